@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Runs, mix, n_words, texts, word_hashes
+from tracewright.llm.common import Runs, mix, n_words, small_batches, texts, word_hashes
 from tracewright.llm.ngram import KeyIndex
 
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -192,6 +192,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 8, walks: i
                 found = [(doc_id, items.ids[number], lo, hi, d) for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True) for number, lo, hi, d in items.matches(tokens_of(text))]
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 5, names=["doc_id", "item_id", "first_word", "end_word", "distance"])
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull()).mapInArrow(scan, schema)
+        part = small_batches(docs).select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull()).mapInArrow(scan, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import LOWER, utf8, written
+from tracewright.llm.common import LOWER, small_batches, utf8, written
 from tracewright.llm.ngram import Level, Summed, Table, UNKNOWN_BITS, count_grams
 
 UNDETERMINED = "und"
@@ -47,7 +47,7 @@ def gram_counts(docs: DataFrame, order: int, group: str = "lang", text: str = "t
                 yield rows(name, got)
 
     own = docs.select(F.col(group).cast("string").alias("grp"), F.col(text).alias("text")).where("grp is not null and text is not null")
-    return own.mapInArrow(count, "grp string, gram long, n long").groupBy("grp", "gram").agg(F.sum("n").alias("n"))
+    return small_batches(own).mapInArrow(count, "grp string, gram long, n long").groupBy("grp", "gram").agg(F.sum("n").alias("n"))
 
 
 def bounded(counts: DataFrame, most: int) -> DataFrame:
@@ -125,4 +125,4 @@ def predict(docs: DataFrame, model: PPM, text: str = "text", keep: list[str | Co
             columns = [batch.column(x) for x in names]
             yield pa.record_batch([*columns, pa.array(lang, pa.string()), pa.array(share), pa.array(best)], names=[*names, "lang_pred", "score", "bits"])
 
-    return kept.mapInArrow(score, f"{schema}, lang_pred string, score double, bits double")
+    return small_batches(kept).mapInArrow(score, f"{schema}, lang_pred string, score double, bits double")

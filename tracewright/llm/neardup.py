@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Runs, texts, word_hashes, written
+from tracewright.llm.common import Runs, small_batches, texts, word_hashes, written
 from tracewright.llm.graph import components
 
 SHARE = 0.4  # of a sketch's values, at least, that two linked documents have in common
@@ -61,7 +61,7 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
                 least.append(found[:k])
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, n long, digest binary, sketch array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, n long, digest binary, sketch array<long>")
 
 
 def listed(classes: DataFrame) -> DataFrame:
@@ -74,6 +74,45 @@ def listed(classes: DataFrame) -> DataFrame:
     return ranked.where((F.col("many") > 1) & (F.col("rank") <= F.col("k") - need + 1)).select("v", "id", "n", "many")
 
 
+def full_sets(docs: DataFrame, some: DataFrame, size: int) -> DataFrame:
+    """(v, id, component, n): every shingle of the documents in ``some``."""
+
+    def explode(batches):
+        for batch in batches:
+            ids, components = batch.column("doc_id").to_numpy(), batch.column("component").to_numpy()
+            for i, text in enumerate(texts(batch.column("text"))):
+                found = shingle_set(text, size)
+                same = lambda x: pa.array(np.full(len(found), x, np.int64))  # noqa: B023, E731
+                yield pa.record_batch([pa.array(found), same(ids[i]), same(components[i]), same(len(found))], names=["v", "id", "component", "n"])
+
+    own = docs.select(F.col("doc_id").cast("long"), "text").join(some, "doc_id").select("doc_id", "component", "text")
+    return small_batches(own).mapInArrow(explode, "v long, id long, component long, n long")
+
+
+def across(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can be linked: the exact prefix filter on full sets.
+
+    Sets of sizes n with a similarity of ``percent`` share their rarest n - ceil(percent * n) + 1 shingles with
+    at least one of the other's, so a document with enough shingles of its own lists none that are frequent.
+    The places of that shingle bound what they can share (the positional filter).
+    """
+    sets = written(sets, "full")
+    many = sets.groupBy("v").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    ranked = sets.join(many, "v", "left").withColumn("many", F.coalesce("many", F.lit(1)))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("many", "v")))
+    lists = written(ranked.where((F.col("many") > 1) & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("v", "id", "component", "n", (F.col("n") - F.col("rank")).alias("left")), "prefixes")
+    sizes = lists.groupBy("v", "component").agg(F.count(F.lit(1)).alias("size"))
+    most = sizes.groupBy("v").agg(F.max(F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    lists = written(lists.join(most.select("v", F.col("most.component").alias("main")), "v"), "members")
+    meet = (F.col("x.v") == F.col("y.v")) & (F.col("x.component") != F.col("y.component"))
+    meet &= (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    # Where two documents first meet, they can share that shingle and what both have left; later ones may fail this.
+    meet &= (1 + F.least("x.left", "y.left")) * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
+    meet &= (F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    rest = lists.where("component <> main")
+    return rest.alias("x").join(lists.alias("y"), meet).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, k: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     of = lambda x: classes.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
@@ -98,7 +137,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
 
     text = lambda x: own.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
     full = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "ta", "tb")
-    return written(full.mapInArrow(verify, "a long, b long"), "links").distinct()
+    return written(small_batches(full).mapInArrow(verify, "a long, b long"), "links").distinct()
 
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 32, short: int = 64) -> DataFrame:
@@ -123,16 +162,12 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 32, s
     pairs = pairs.unionByName(star.select(F.col("first.id").alias("a"), F.col("id").alias("b"))).unionByName(chain)
     links = confirmed(written(pairs.distinct(), "pairs"), classes, docs, size, percent, k)
 
-    if long_lists.head(1):  # pairs of different components that meet in a long list
+    if long_lists.head(1):
         joined = components(links)
-        members = long_lists.join(joined, "id", "left").select("v", "id", "n", F.coalesce("component", "id").alias("component"))
-        sizes = members.groupBy("v", "component").agg(F.count(F.lit(1)).alias("size"))
-        most = sizes.groupBy("v").agg(F.max(F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        members = written(members.join(most.select("v", F.col("most.component").alias("main")), "v"), "members")
-        rest = members.where("component <> main")
-        other = (F.col("x.v") == F.col("y.v")) & (F.col("x.component") != F.col("y.component")) & near
-        other &= (F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-        more = rest.alias("x").join(members.alias("y"), other).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        members = long_lists.join(joined, "id", "left").select("v", "id", F.coalesce("component", "id").alias("component"))
+        open_lists = members.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("v")
+        unsettled = written(members.join(open_lists, "v", "left_semi").select(F.col("id").alias("doc_id"), "component").distinct(), "unsettled")
+        more = across(full_sets(docs, unsettled, size), percent)
         links = links.unionByName(confirmed(written(more, "pairs"), classes, docs, size, percent, k))
 
     group = components(links)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import n_words
+from tracewright.llm.common import n_words, small_batches
 
 # The public pattern by which byte-level BPE vocabularies of this kind split text.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -40,7 +40,7 @@ def bpe_counts(docs: DataFrame, ranks: str, version: str) -> DataFrame:
             n = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), batch.column("source"), batch.column("lang"), pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "source", "lang", "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), "source", "lang", "text")
     return rows.mapInArrow(count, "doc_id long, source string, lang string, n_tokens long").withColumn("tokenizer", F.lit(version))
 
 

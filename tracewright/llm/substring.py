@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Runs, texts, word_hashes, written
+from tracewright.llm.common import Runs, small_batches, texts, word_hashes, written
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -76,7 +76,7 @@ def parse(docs: DataFrame, size: int, seed: int) -> DataFrame:
             longs = pa.list_(pa.int64())
             yield pa.record_batch([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], longs), pa.array(out[3], longs)], names=["doc_id", "n_words", "digest", "anchor", "whole"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, digest string, anchor array<long>, whole array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, digest string, anchor array<long>, whole array<long>")
 
 
 def windows(found: DataFrame, size: int, seed: int) -> DataFrame:
@@ -95,7 +95,7 @@ def windows(found: DataFrame, size: int, seed: int) -> DataFrame:
                 one, where = np.unique(one, return_index=True)
                 yield pa.record_batch([pa.array(one), pa.array(two[where]), pa.array(np.full(len(one), doc_id))], names=["w", "x", "doc_id"])
 
-    return found.select("doc_id", "text", "unsure").mapInArrow(run, "w long, x long, doc_id long")
+    return small_batches(found).select("doc_id", "text", "unsure").mapInArrow(run, "w long, x long, doc_id long")
 
 
 def cut(found: DataFrame, size: int, seed: int) -> DataFrame:
@@ -119,7 +119,7 @@ def cut(found: DataFrame, size: int, seed: int) -> DataFrame:
                     to.append(x)
             yield pa.record_batch([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary()).cast(pa.string())], names=["doc_id", "n_removed", "kept_sha256", "kept_text"])
 
-    return found.mapInArrow(run, "doc_id long, n_removed long, kept_sha256 string, kept_text string")
+    return small_batches(found).mapInArrow(run, "doc_id long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def substring_dedup(docs: DataFrame, size: int = 50, seed: int = 16) -> DataFrame:
