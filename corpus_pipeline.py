@@ -9,31 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.llm import decontaminate, exact, mixing, neardup, quality
-from tracewright.llm.common import table, work_dir
+from tracewright.llm.common import if_small, table, work_dir, written
+
+
+def those(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is (``left_semi``) or isn't (``left_anti``) among the rows found."""
+    return docs.join(if_small(written(found.select("doc_id").distinct(), "ids")), "doc_id", how)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    kept = quality.judge(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi")
+    return those(docs, quality.judge(docs, table(spark, sf_dir, "labels")).where("not kept"), "left_anti")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    kept = exact.exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi")
+    return those(docs, exact.exact_dedup(docs).where("not kept"), "left_anti")
 
 
 def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    kept = neardup.near_dedup(docs, percent=80).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi")
+    return those(docs, neardup.near_dedup(docs, percent=80).where("not kept"), "left_anti")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    return those(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,11 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def if_small(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of a few numbers a row, broadcast if it has at most ``most`` rows; else it is shuffled."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, with the session's Arrow batches bounded: whole texts may be long, and a task holds a batch several times."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

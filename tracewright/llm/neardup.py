@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Runs, small_batches, texts, word_hashes, written
+from tracewright.llm.common import Runs, if_small, small_batches, texts, word_hashes, written
 from tracewright.llm.graph import components
 
 SHARE = 0.4  # of a sketch's values, at least, that two linked documents have in common
@@ -85,7 +85,7 @@ def full_sets(docs: DataFrame, some: DataFrame, size: int) -> DataFrame:
                 same = lambda x: pa.array(np.full(len(found), x, np.int64))  # noqa: B023, E731
                 yield pa.record_batch([pa.array(found), same(ids[i]), same(components[i]), same(len(found))], names=["v", "id", "component", "n"])
 
-    own = docs.select(F.col("doc_id").cast("long"), "text").join(some, "doc_id").select("doc_id", "component", "text")
+    own = docs.select(F.col("doc_id").cast("long"), "text").join(if_small(some), "doc_id").select("doc_id", "component", "text")
     return small_batches(own).mapInArrow(explode, "v long, id long, component long, n long")
 
 
@@ -120,8 +120,8 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     likely = both.withColumn("u", union).where(F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u"))) >= F.floor(F.size("u") * SHARE)).select("a", "b")
     likely = written(likely, "likely")
-    involved = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-    own = written(docs.select(F.col("doc_id").cast("long"), "text").join(involved, "doc_id", "left_semi"), "involved")
+    involved = written(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    own = written(docs.select(F.col("doc_id").cast("long"), "text").join(if_small(involved), "doc_id", "left_semi"), "involved")
 
     def verify(batches):
         last, mine = None, None
