@@ -97,8 +97,9 @@ class PPM:
     @staticmethod
     def fit(docs: DataFrame, order: int = 4, most: int = 1_000_000, text: str = "text", lang: str = "lang") -> PPM:
         """Count all of ``docs``; ``most`` bounds the frozen trees, which go to every executor."""
-        counts = bounded(written(gram_counts(docs, order, lang, text), "grams"), most).toPandas()
-        return PPM.frozen(counts["grp"].to_numpy(object), counts["gram"].to_numpy(np.int64).view(np.uint64), counts["n"].to_numpy(), order)
+        counts = bounded(written(gram_counts(docs, order, lang, text), "grams"), most).toArrow()
+        grp = np.array(counts.column("grp").to_pylist(), dtype=object)
+        return PPM.frozen(grp, counts.column("gram").to_numpy().view(np.uint64), counts.column("n").to_numpy(), order)
 
 
 def predict(docs: DataFrame, model: PPM, text: str = "text", keep: list[str | Column] = ()) -> DataFrame:

@@ -124,8 +124,15 @@ class Table:
     def __init__(self, levels: list[Level]):
         self.levels, self.order = levels, len(levels)
         self.width = levels[0].cost.shape[1]
-        self.index = [KeyIndex(x.keys) for x in levels]
-        self.context_index = [KeyIndex(x.contexts) for x in levels]
+        self.index: list[KeyIndex] | None = None
+
+    def __getstate__(self):  # the indexes are built where they are used
+        return self.__dict__ | {"index": None, "context_index": None}
+
+    def ready(self) -> None:
+        if self.index is None:
+            self.context_index = [KeyIndex(x.contexts) for x in self.levels]
+            self.index = [KeyIndex(x.keys) for x in self.levels]
 
     def costs(self, top: np.ndarray) -> np.ndarray:
         """Bits of each position's byte under each model, from its highest-order gram."""
@@ -148,6 +155,7 @@ class Table:
 
     def bits(self, data: np.ndarray, offsets: np.ndarray, lut: np.ndarray | None = None) -> np.ndarray:
         """Bits of each whole text under each model."""
+        self.ready()
         out = np.zeros((len(offsets) - 1, self.width))
         for i, j in chunks(offsets):
             lens = np.diff(offsets[i : j + 1])
