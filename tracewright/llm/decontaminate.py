@@ -49,12 +49,12 @@ def step_bits(walk: int, steps: int) -> np.ndarray:
     return mix(np.arange(1, steps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(walk * 7919 + 1))
 
 
-def embed(tokens: np.ndarray, starts: np.ndarray, m: int, walk: int, sampled: np.ndarray) -> np.ndarray:
-    """The CGK walk over tokens[start : start + m] of each start, at the sampled steps."""
+def embed(tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, walk: int, sampled: np.ndarray) -> np.ndarray:
+    """The CGK walk over tokens[start : start + length] of each start, at the sampled steps."""
     at, out = np.zeros(len(starts), np.int64), np.zeros((len(sampled), len(starts)), np.uint64)
     step, slot = step_bits(walk, int(sampled[-1]) + 1), {int(s): i for i, s in enumerate(sampled)}
     for j in range(int(sampled[-1]) + 1):
-        token = np.where(at < m, tokens[np.minimum(starts + np.minimum(at, m - 1), len(tokens) - 1)], np.uint64(0))
+        token = np.where(at < lengths, tokens[starts + np.minimum(at, lengths - 1)], np.uint64(0))
         if j in slot:
             out[slot[j]] = token
         at += (mix(token ^ step[j]) >> np.uint64(63)).astype(np.int64)
@@ -67,65 +67,95 @@ class Items:
     def __init__(self, ids: list, token_lists: list[np.ndarray], walks: int, keys: int, bits: int):
         self.ids, self.tokens = ids, token_lists
         self.walks, self.n_keys, self.bits = walks, keys, bits
-        runs = [Runs(t).windows(GRAM) for t in token_lists]
-        self.grams = KeyIndex(np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64))
+        self.runs = [np.unique(Runs(t).windows(GRAM)) for t in token_lists]
         self.lengths = sorted({len(t) for t in token_lists})
+        # For each three-word run the lengths of the items that hold it, one list after another.
+        pairs = [(g, self.lengths.index(len(t))) for t, run in zip(token_lists, self.runs, strict=True) for g in run.tolist()]
+        pairs = sorted(set(pairs))
+        grams, self.first = np.unique(np.array([g for g, _ in pairs], np.uint64), return_index=True)
+        self.grams, self.first, self.of_length = KeyIndex(grams), np.r_[self.first, len(pairs)], np.array([x for _, x in pairs], np.int64)
         self.buckets = {}
         for m in self.lengths:
             mine = np.array([i for i, t in enumerate(token_lists) if len(t) == m])
             flat = np.concatenate([token_lists[i] for i in mine])
-            for walk, key in self.bucket_keys(flat, np.arange(len(mine)) * m, m):
+            for walk, key in self.bucket_keys(flat, np.arange(len(mine)) * m, np.full(len(mine), m), m):
                 order = np.argsort(key, kind="stable")
                 self.buckets[m, walk] = (key[order], mine[np.tile(np.arange(len(mine)), self.n_keys)[order]])
 
-    def bucket_keys(self, tokens: np.ndarray, starts: np.ndarray, m: int):
+    def bucket_keys(self, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, m: int):
         """For each walk the keys of every start, all samples one after another."""
         for walk in range(self.walks):
             draw = np.random.default_rng(walk * 100_003 + m).integers(0, max(1, int(1.5 * m)), (self.n_keys, self.bits))
             sampled, slot = np.unique(draw, return_inverse=True)
-            seen = embed(tokens, starts, m, walk, sampled)
-            slot = slot.reshape(draw.shape)
-            out = []
-            for i in range(self.n_keys):
-                key = np.full(len(starts), i + 1, np.uint64)
-                for s in slot[i]:
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + seen[s])
-                out.append(key)
-            yield walk, np.concatenate(out)
-
-    def places(self, tokens: np.ndarray) -> dict[int, set[int]]:
-        """Item number to the starts of windows that share a bucket with it."""
-        found: dict[int, set[int]] = {}
-        hits = self.grams.find(Runs(tokens).windows(GRAM)) >= 0
-        run = np.r_[0, np.cumsum(hits)]
-        for m in self.lengths:
+            seen = embed(tokens, starts, lengths, walk, sampled)[slot.reshape(draw.shape)]
+            key = np.broadcast_to(np.arange(1, self.n_keys + 1, dtype=np.uint64)[:, None], seen.shape[::2])
+            for s in range(self.bits):
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + seen[:, s])
+            yield walk, key.ravel()
+
+    def places(self, tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Sorted (item number, start) of windows that share a bucket with an item of their length.
+
+        ``tokens`` are of many texts, one after another; ``ends``: of each token, where its text ends."""
+        grams = Runs(tokens).windows(GRAM)
+        row = self.grams.find(grams)
+        at = np.flatnonzero((row >= 0) & (np.arange(len(grams)) + GRAM <= ends[: len(grams)]))
+        n = (self.first[1:] - self.first[:-1])[row[at]]
+        of_length = self.of_length[np.repeat(self.first[row[at]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(at) else at
+        at = np.repeat(at, n)
+        first = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]])
+        begin = np.repeat(first, np.diff(np.r_[first, len(tokens)]))
+        found = [np.zeros((0, 2), np.int64)]
+        for number in np.unique(of_length):
+            m, hits = self.lengths[number], at[of_length == number]
             d = edits(m)
-            if run[-1] < max(1, m - 2 - 3 * d):
+            need, width = max(1, m - 2 - 3 * d), m + d - GRAM
+            if len(hits) < need:
                 continue
-            starts = np.arange(max(1, len(tokens) - m + d + 1))
-            many = run[np.minimum(starts + m + d - 2, len(run) - 1).clip(0)] - run[np.minimum(starts, len(run) - 1)]
-            starts = starts[many >= max(1, m - 2 - 3 * d)]
-            for a in range(0, len(starts), 4096):
-                part = starts[a : a + 4096]
-                for walk, key in self.bucket_keys(tokens, part, m):
+            lo, hi = hits[: len(hits) - need + 1], hits[need - 1 :]
+            near = (ends[lo] == ends[hi]) & (hi - lo <= width)
+            lo, hi = lo[near], hi[near]
+            left = np.maximum(hi - width, begin[lo])
+            n = lo - left + 1
+            starts = np.unique(np.repeat(left - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())) if len(lo) else lo
+            starts = starts[(starts <= ends[starts] - m + d) | (starts == begin[starts])]
+            for a in range(0, len(starts), 1 << 14):
+                part = starts[a : a + (1 << 14)]
+                for walk, key in self.bucket_keys(tokens, part, np.minimum(m, ends[part] - part), m):
                     known, item = self.buckets[m, walk]
                     lo, hi = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
-                    for i in np.flatnonzero(hi > lo):
-                        for j in range(lo[i], hi[i]):
-                            found.setdefault(int(item[j]), set()).add(int(part[i % len(part)]))
-        return found
-
-    def matches(self, tokens: np.ndarray):
-        """(item number, first word, last word + 1, distance) of the best place of each item that matches."""
-        for number, starts in sorted(self.places(tokens).items()):
-            item, best = self.tokens[number], None
+                    i = np.flatnonzero(hi > lo)
+                    n = (hi - lo)[i]
+                    j = np.repeat(lo[i] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                    found.append(np.unique(np.stack([item[j], part[np.repeat(i, n) % len(part)]], axis=1), axis=0))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def matches(self, texts: list[np.ndarray]):
+        """(text number, item number, first word, last word + 1, distance) of the best place of each item in each text."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        if not self.lengths or not sizes.sum():
+            return
+        tokens, ends = np.concatenate(texts), np.repeat(np.cumsum(sizes), sizes)
+        places = self.places(tokens, ends)
+        of = np.repeat(np.arange(len(texts)), sizes)[places[:, 1]]
+        order = np.lexsort((places[:, 1], places[:, 0], of))
+        places, of = places[order], of[order]
+        cuts = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (places[1:, 0] != places[:-1, 0]), True][: len(of) + 1]) if len(of) else np.zeros(0, np.int64)
+        for a, b in zip(cuts, np.r_[cuts[1:], len(of)], strict=True):
+            if a == b:
+                continue
+            number, text = int(places[a, 0]), int(of[a])
+            item, begin, best = self.tokens[number], int(np.cumsum(sizes)[text] - sizes[text]), None
             m, d = len(item), edits(len(item))
-            for lo, hi in regions(sorted(starts), m + 2 * d, d, len(tokens)):
-                got = nearest(item, tokens[lo:hi])
+            for lo, hi in regions((places[a:b, 1] - begin).tolist(), m + 2 * d, d, int(sizes[text])):
+                part = texts[text][lo:hi]
+                if np.isin(Runs(part).windows(GRAM), self.runs[number]).sum() < m - 2 - 3 * d:
+                    continue  # the q-gram lemma again, for this item alone
+                got = nearest(item, part)
                 if got[0] <= d and (best is None or got[0] < best[2]):
                     best = (lo + got[1], lo + got[2], got[0])
             if best is not None:
-                yield number, *best
+                yield text, number, *best
 
 
 def regions(starts: list[int], width: int, before: int, n: int):
@@ -177,7 +207,7 @@ def blocks(items: DataFrame, least: int, most: int, most_words: int):
             yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 8, walks: int = 4, keys: int = 24, bits: int = 2, block: int = 5_000, block_words: int = 500_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 8, walks: int = 4, keys: int = 32, bits: int = 3, block: int = 5_000, block_words: int = 500_000) -> DataFrame:
     """One row per document and item that it contains: doc_id, item_id, first_word, end_word, distance."""
     spark = docs.sparkSession
     out = None
@@ -189,7 +219,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 8, walks: i
         def scan(batches, shared=shared):
             items = shared.value
             for batch in batches:
-                found = [(doc_id, items.ids[number], lo, hi, d) for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True) for number, lo, hi, d in items.matches(tokens_of(text))]
+                ids = batch.column("doc_id").to_pylist()
+                found = [(ids[i], items.ids[number], lo, hi, d) for i, number, lo, hi, d in items.matches([tokens_of(t) for t in texts(batch.column("text"))])]
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 5, names=["doc_id", "item_id", "first_word", "end_word", "distance"])
 
         part = small_batches(docs).select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull()).mapInArrow(scan, schema)
