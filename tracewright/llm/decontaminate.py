@@ -23,6 +23,8 @@ places the first is reported. Repeated items and documents are each reported.
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -140,12 +142,13 @@ class Items:
         of = np.repeat(np.arange(len(texts)), sizes)[places[:, 1]]
         order = np.lexsort((places[:, 1], places[:, 0], of))
         places, of = places[order], of[order]
-        cuts = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (places[1:, 0] != places[:-1, 0]), True][: len(of) + 1]) if len(of) else np.zeros(0, np.int64)
-        for a, b in zip(cuts, np.r_[cuts[1:], len(of)], strict=True):
-            if a == b:
-                continue
+        if not len(of):
+            return
+        begins = np.cumsum(sizes) - sizes
+        cuts = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (places[1:, 0] != places[:-1, 0]), True])
+        for a, b in pairwise(cuts.tolist()):
             number, text = int(places[a, 0]), int(of[a])
-            item, begin, best = self.tokens[number], int(np.cumsum(sizes)[text] - sizes[text]), None
+            item, begin, best = self.tokens[number], int(begins[text]), None
             m, d = len(item), edits(len(item))
             for lo, hi in regions((places[a:b, 1] - begin).tolist(), m + 2 * d, d, int(sizes[text])):
                 part = texts[text][lo:hi]
