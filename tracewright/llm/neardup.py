@@ -35,6 +35,7 @@ from tracewright.llm.common import Runs, if_small, small_batches, texts, word_ha
 from tracewright.llm.graph import components
 
 SHARE = 0.4  # of a sketch's values, at least, that two linked documents have in common
+BITS = 1024  # of the bitmaps that tell sets apart
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -75,18 +76,21 @@ def listed(classes: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, some: DataFrame, size: int) -> DataFrame:
-    """(v, id, component, n): every shingle of the documents in ``some``."""
+    """id, component, n, the whole set and its bitmap for the documents in ``some``.
 
-    def explode(batches):
+    The bitmap holds the parity of the shingles that fall on each of its bits, so two bitmaps differ in at
+    most as many bits as their sets in shingles.
+    """
+
+    def build(batches):
         for batch in batches:
-            ids, components = batch.column("doc_id").to_numpy(), batch.column("component").to_numpy()
-            for i, text in enumerate(texts(batch.column("text"))):
-                found = shingle_set(text, size)
-                same = lambda x: pa.array(np.full(len(found), x, np.int64))  # noqa: B023, E731
-                yield pa.record_batch([pa.array(found), same(ids[i]), same(components[i]), same(len(found))], names=["v", "id", "component", "n"])
+            sets = [shingle_set(text, size) for text in texts(batch.column("text"))]
+            bits = [np.packbits((np.bincount(x % BITS, minlength=BITS) & 1).astype(np.uint8)).view(np.int64) for x in sets]
+            longs = pa.list_(pa.int64())
+            yield pa.record_batch([batch.column("doc_id"), batch.column("component"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, longs), pa.array(bits, longs)], names=["id", "component", "n", "whole", "bits"])
 
     own = docs.select(F.col("doc_id").cast("long"), "text").join(if_small(some), "doc_id").select("doc_id", "component", "text")
-    return small_batches(own).mapInArrow(explode, "v long, id long, component long, n long")
+    return small_batches(own).mapInArrow(build, "id long, component long, n long, whole array<long>, bits array<long>")
 
 
 def across(sets: DataFrame, percent: int) -> DataFrame:
@@ -94,21 +98,27 @@ def across(sets: DataFrame, percent: int) -> DataFrame:
 
     Sets of sizes n with a similarity of ``percent`` share their rarest n - ceil(percent * n) + 1 shingles with
     at least one of the other's, so a document with enough shingles of its own lists none that are frequent.
-    The places of that shingle bound what they can share (the positional filter).
+    The places of that shingle bound what they can share (the positional filter), and their bitmaps in how
+    many shingles they differ at least (the bitmap filter). Neither drops a link.
     """
     sets = written(sets, "full")
-    many = sets.groupBy("v").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    ranked = sets.join(many, "v", "left").withColumn("many", F.coalesce("many", F.lit(1)))
+    posts = sets.select("id", "component", "n", F.explode("whole").alias("v"))
+    many = posts.groupBy("v").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    ranked = posts.join(many, "v", "left").withColumn("many", F.coalesce("many", F.lit(1)))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("many", "v")))
     lists = written(ranked.where((F.col("many") > 1) & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("v", "id", "component", "n", (F.col("n") - F.col("rank")).alias("left")), "prefixes")
     sizes = lists.groupBy("v", "component").agg(F.count(F.lit(1)).alias("size"))
     most = sizes.groupBy("v").agg(F.max(F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    lists = written(lists.join(most.select("v", F.col("most.component").alias("main")), "v"), "members")
+    lists = lists.join(most.select("v", F.col("most.component").alias("main")), "v")
+    lists = written(lists.join(sets.select("id", "bits").dropDuplicates(["id"]), "id"), "members")
+    both = F.col("x.n") + F.col("y.n")
     meet = (F.col("x.v") == F.col("y.v")) & (F.col("x.component") != F.col("y.component"))
     meet &= (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    # Where two documents first meet, they can share that shingle and what both have left; later ones may fail this.
-    meet &= (1 + F.least("x.left", "y.left")) * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
     meet &= (F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    # Where two documents first meet, they can share that shingle and what both have left; later ones may fail this.
+    meet &= (1 + F.least("x.left", "y.left")) * (100 + percent) >= percent * both
+    differ = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    meet &= differ * (100 + percent) <= (100 - percent) * both
     rest = lists.where("component <> main")
     return rest.alias("x").join(lists.alias("y"), meet).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
