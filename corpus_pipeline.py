@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: quality, exact copies, near copies, benchmark passages, mixture.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next
-stage's ``docs``. All but the last return the columns of documents.
+stage's ``docs``. All but the last return the columns of documents. A stage that removes by doc_id removes
+every row that has it; rows with a null doc_id can't be named and pass, but for exact copies among them.
 """
 
 from __future__ import annotations
@@ -12,29 +13,29 @@ from tracewright.llm import decontaminate, exact, mixing, neardup, quality
 from tracewright.llm.common import if_small, table, work_dir, written
 
 
-def those(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is (``left_semi``) or isn't (``left_anti``) among the rows found."""
-    return docs.join(if_small(written(found.select("doc_id").distinct(), "ids")), "doc_id", how)
+def without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id isn't among the rows found."""
+    return docs.join(if_small(written(found.select("doc_id").distinct(), "ids")), "doc_id", "left_anti")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    return those(docs, quality.judge(docs, table(spark, sf_dir, "labels")).where("not kept"), "left_anti")
+    return without(docs, quality.judge(docs, table(spark, sf_dir, "labels")).where("not kept"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return those(docs, exact.exact_dedup(docs).where("not kept"), "left_anti")
+    return exact.drop_copies(docs)
 
 
 def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return those(docs, neardup.near_dedup(docs, percent=80).where("not kept"), "left_anti")
+    return without(docs, neardup.near_dedup(docs, percent=80).where("not kept"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    return those(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")), "left_anti")
+    return without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

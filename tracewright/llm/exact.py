@@ -13,16 +13,19 @@ columns are never read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import lower_ascii, written
+from tracewright.llm.common import if_small, lower_ascii, written
+
+
+def digest() -> Column:
+    return F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256)
 
 
 def exact_dedup(docs: DataFrame, tracked: int = 10_000, top: int = 1_000, least: int = 32) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    text = F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256)
-    digests = written(docs.select("doc_id", text.alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "digests")
+    digests = written(docs.select("doc_id", digest().alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "digests")
     best = F.struct(F.col("doc_id"), F.col("row"))
 
     summary = digests.agg(F.expr(f"approx_top_k(text_sha256, {top}, {tracked})").alias("found"))
@@ -36,3 +39,16 @@ def exact_dedup(docs: DataFrame, tracked: int = 10_000, top: int = 1_000, least:
         "text_sha256", "doc_id", "row", F.count(F.lit(1)).over(group).alias("group_size"), F.max(best).over(group).alias("best"))
     out = [F.col("doc_id"), F.col("best.doc_id").alias("keep_id"), F.col("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), F.col("text_sha256")]
     return heavy.select(*out).unionByName(light.select(*out))
+
+
+def drop_copies(docs: DataFrame, **options: int) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    judged = exact_dedup(docs, **options).groupBy("doc_id", "text_sha256").agg(F.count_if("kept").alias("stay"), F.count(F.lit(1)).alias("n"))
+    judged = written(judged.where("stay = 0 or n > 1").withColumnsRenamed({"doc_id": "__doc_id", "text_sha256": "__copy"}), "judged")
+    here = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__digest") == F.col("__copy"))
+    rows = docs.withColumn("__digest", digest())
+    once = rows.join(if_small(judged), here, "left_anti")
+    repeated = judged.where("stay > 0")
+    if repeated.head(1):  # equal rows of one doc_id: one of them stays
+        once = once.unionByName(rows.join(if_small(repeated), here, "left_semi").dropDuplicates(["doc_id", "__digest"]))
+    return once.drop("__digest")

@@ -108,7 +108,7 @@ def predict(docs: DataFrame, model: PPM, text: str = "text", keep: list[str | Co
     shared = spark.sparkContext.broadcast(model)
     kept = docs.select(*keep, F.col(text).alias("__text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
     names = [x for x in kept.columns if not x.startswith("__")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names)
+    schema = ", ".join([*(f"`{x}` {kept.schema[x].dataType.simpleString()}" for x in names), "lang_pred string, score double, bits double"])
 
     def score(batches):
         model = shared.value
@@ -126,4 +126,4 @@ def predict(docs: DataFrame, model: PPM, text: str = "text", keep: list[str | Co
             columns = [batch.column(x) for x in names]
             yield pa.record_batch([*columns, pa.array(lang, pa.string()), pa.array(share), pa.array(best)], names=[*names, "lang_pred", "score", "bits"])
 
-    return small_batches(kept).mapInArrow(score, f"{schema}, lang_pred string, score double, bits double")
+    return small_batches(kept).mapInArrow(score, schema)

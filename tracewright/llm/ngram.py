@@ -146,10 +146,9 @@ class Table:
             todo, gram = todo[~known], gram[~known]
             if not len(todo):
                 return total
-            if k:
-                row = self.context_index[k].find(gram >> np.uint64(8))
-                seen = row >= 0
-                total[todo[seen]] += self.levels[k].leave[row[seen]]
+            row = self.context_index[k].find(gram >> np.uint64(8))
+            seen = row >= 0
+            total[todo[seen]] += self.levels[k].leave[row[seen]]
         total[todo] += UNKNOWN_BITS
         return total
 
