@@ -36,6 +36,7 @@ from tracewright.llm.graph import components
 
 SHARE = 0.4  # of a sketch's values, at least, that two linked documents have in common
 BITS = 1024  # of the bitmaps that tell sets apart
+BUCKETS = 1 << 20  # of the table of counts that orders shingles
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -102,11 +103,32 @@ def across(sets: DataFrame, percent: int) -> DataFrame:
     many shingles they differ at least (the bitmap filter). Neither drops a link.
     """
     sets = written(sets, "full")
-    posts = sets.select("id", "component", "n", F.explode("whole").alias("v"))
-    many = posts.groupBy("v").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    ranked = posts.join(many, "v", "left").withColumn("many", F.coalesce("many", F.lit(1)))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("many", "v")))
-    lists = written(ranked.where((F.col("many") > 1) & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("v", "id", "component", "n", (F.col("n") - F.col("rank")).alias("left")), "prefixes")
+
+    def count(batches):
+        many = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            many += np.bincount(batch.column("whole").flatten().to_numpy() % BUCKETS, minlength=BUCKETS)
+        at = np.flatnonzero(many)
+        yield pa.record_batch([pa.array(at), pa.array(many[at])], names=["bucket", "many"])
+
+    # Any order that is the same for all documents will do, so a table of fixed size stands for exact counts.
+    found = sets.select("whole").mapInArrow(count, "bucket long, many long").groupBy("bucket").agg(F.sum("many").alias("many")).where("many > 1").toArrow()
+    counts = np.ones(BUCKETS, np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("many").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def rarest(batches):
+        for batch in batches:
+            rows = zip(batch.column("id").to_pylist(), batch.column("component").to_pylist(), batch.column("whole"), strict=True)
+            for one, component, whole in rows:
+                v = whole.values.to_numpy()
+                n, many = len(v), shared.value[v % BUCKETS]
+                order = np.lexsort((v, many))[: n + percent * -n // 100 + 1]
+                rank = np.flatnonzero(many[order] > 1)  # a bucket's only shingle is nobody else's
+                same = lambda x: pa.array(np.full(len(rank), x, np.int64))  # noqa: B023, E731
+                yield pa.record_batch([pa.array(v[order[rank]]), same(one), same(component), same(n), pa.array(n - rank - 1)], names=["v", "id", "component", "n", "left"])
+
+    lists = written(sets.select("id", "component", "whole").mapInArrow(rarest, "v long, id long, component long, n long, left long"), "prefixes")
     sizes = lists.groupBy("v", "component").agg(F.count(F.lit(1)).alias("size"))
     most = sizes.groupBy("v").agg(F.max(F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     lists = lists.join(most.select("v", F.col("most.component").alias("main")), "v")
