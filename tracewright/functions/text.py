@@ -146,3 +146,31 @@ def process_name(path: Column) -> Column:
     drop = lambda w: w.rlike(r"^(|video|recording|screen|download|downloaded|\d{3,4}p|\d{2,})$") | (w.rlike(r"[a-z]") & w.rlike(r"\d") & (F.length(w) >= 8))
     name = F.array_join(F.transform(F.filter(words, lambda w: ~drop(w)), F.initcap), " ")
     return F.when(name == "", "Recorded Process").otherwise(name)
+
+
+# Terms that name what a screen shows.
+KEY_TERMS = r"\b(pivottable|pivot\s+table|pivotchart|pivot\s+chart|slicer|fields?|rows?|columns?|values?|measure|percentage|sum|maximum|chart|filter|dialog|table|worksheet|export|submit|save)\b"
+
+
+def key_terms(x: Column, most: int = 18) -> Column:
+    """The first distinct key terms in order."""
+    return F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text_of(x)), F.lit(KEY_TERMS), F.lit(1)))), 1, most)
+
+
+def state_signature(system: Column, image_hash: Column, x: Column) -> Column:
+    return F.concat_ws(":", system, F.substring(image_hash, 1, 8), F.array_join(F.slice(F.array_sort(tokens(x)), 1, 10), " "))
+
+
+def event_signature(system: Column, x: Column) -> Column:
+    return F.substring(F.sha1(F.concat_ws(":", system, F.lower(F.substring(text_of(x), 1, 500)))), 1, 12)
+
+
+def confidence_reason(confidence: Column, risky: Column, text_delta: Column, visual: Column) -> Column:
+    """Why a step isn't certain, joined in order."""
+    why = [(confidence != "high", "confidence is not high"), (risky, "contains a specific action or value"), (text_delta > 0.6, "text changed strongly"), (visual < 0.04, "little visual change")]
+    return F.concat_ws("; ", *[F.when(cond, reason) for cond, reason in why])
+
+
+def parsed_items(x: Column, schema: str) -> Column:
+    """The JSON array in a model's answer, with or without a code fence, as an array of structs."""
+    return F.from_json(F.regexp_extract(text_of(x), r"(?s)(\[.*\])", 1), f"array<{schema}>")

@@ -145,3 +145,28 @@ def distinct_states(rows: DataFrame) -> DataFrame:
     """Each job's states in order of first appearance: job_id, state, first_number, place."""
     first = rows.groupBy("job_id", F.col("screen_state_id").alias("state")).agg(F.min(BY_NUMBER).alias("first_number"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy("job_id").orderBy("first_number")))
+
+
+# What a review may be about, and phrases that decide within Excel workflows.
+REVIEW_OBJECTS = ["table", "worksheet", "source data", "header row", "pivottable", "pivotchart", "pivot chart", "chart", "slicer", "filter", "summary", "total", "result", "confirmation", "status", "message", "output", "export"]
+FILLER = ["worksheet data", "fields pane", "design tab", "visible process screen", "screen remains visible"]
+OUTPUTS = ["formatted excel table", "selected header row", "source data table", "pivottable summary", "pivot table summary", "pivottable with", "pivot table with", "pivotchart", "pivot chart", "slicer", "filter", "percentage column"]
+
+
+def review_categories(steps: DataFrame) -> DataFrame:
+    """job_id, step_number, category of review-like steps by their neighbours: operational_checkpoint,
+    contextual_review or passive_filler.
+
+    A step between two meaningful ones bridges them only if the next is meaningful, so that case is part of it."""
+    rows = step_flags(steps).join(workflow_family(steps), "job_id")
+    w = in_order(BY_NUMBER)
+    before, after = (F.coalesce(f("meaningful").over(w), F.lit(False)) for f in (F.lag, F.lead))
+    body = F.concat_ws(" ", normalized(F.col("action")), normalized(F.col("expected_output")))
+    rows = rows.withColumns({"before": before, "after": after, "body": body})
+    about, excel = contains_any(F.col("body"), REVIEW_OBJECTS), F.col("family").startswith("excel")
+    shows = excel & contains_any(F.col("body"), OUTPUTS)
+    category = (
+        F.when(F.col("checkpoint"), "operational_checkpoint").when(excel & contains_any(F.col("body"), FILLER), "passive_filler").when(shows & F.col("before"), "operational_checkpoint")
+        .when(shows & F.col("after"), "contextual_review").when(about & F.col("before"), "operational_checkpoint").when(about & F.col("after"), "contextual_review").otherwise("passive_filler")
+    )
+    return rows.where("review or passive or checkpoint").select("job_id", "step_number", category.alias("category"))

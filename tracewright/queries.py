@@ -235,6 +235,10 @@ def queries() -> dict[str, Query]:
         "job_list": lambda s, d: jobs.newest(job_log(s, d).select(F.col("seq").alias("id"), F.col("updated").alias("created"), "status"), 25),
         "config_precedence": q_config,
         "process_names": lambda s, d: R.table(s, d, "part").select("p_partkey", text.process_name(F.concat(F.lit("/in/"), F.regexp_replace("p_name", " ", "_"), F.lit("_1080p_video.mp4"))).alias("name")),
+        "review_categories": lambda s, d: cleanup.review_categories(st(s, d)),
+        "state_signatures": lambda s, d: stated(s, d).select("event_id", text.state_signature(F.col("system"), F.col("hash"), F.col("ocr_text")).alias("state"), text.event_signature(F.col("system"), F.col("ocr_text")).alias("event"), F.array_join(text.key_terms(F.col("ocr_text")), ",").alias("terms")),
+        "confidence_reasons": lambda s, d: steps.risk_flags(st(s, d)).select("job_id", "step_number", text.confidence_reason(F.col("confidence"), F.col("risky"), F.col("k") / 100, F.col("k") / 500).alias("reason")),
+        "parsed_items": lambda s, d: R.table(s, d, "region").select("r_regionkey", F.explode(text.parsed_items(F.concat(F.lit("```json\n[{\"id\": 1, \"action\": \""), "r_name", F.lit("\"}]\n```")), "struct<id:int,action:string>")).alias("x")).select("r_regionkey", "x.id", "x.action"),
         "live_activity": lambda s, d: live.activity(R.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select(F.unix_micros("start").alias("start_us"), "user_id", "n", "peak"),
         "live_sessions": lambda s, d: live.sessions(R.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "user_id", "n"),
     }
@@ -347,6 +351,16 @@ def oracle_sql() -> dict[str, str]:
         "job_latest": "SELECT o_custkey AS id, arg_max(o_orderstatus, (epoch_us(o_orderdate), o_orderkey)) AS status, max(epoch_us(o_orderdate)) AS updated, arg_max(o_orderkey, (epoch_us(o_orderdate), o_orderkey)) AS seq FROM orders GROUP BY 1",
         "job_list": "SELECT o_orderkey AS id, epoch_us(o_orderdate) AS created, o_orderstatus AS status FROM orders ORDER BY created DESC, id LIMIT 25",
         "config_precedence": "SELECT * FROM (VALUES ('MODEL', 'b', 'environment'), ('KEY', 'c', 'secrets'), ('PRICE', '5', 'secrets')) v(key, value, source)",
+        "review_categories": f"""WITH {FLAGS.replace(STEPS, FAMILY, 1)}, n AS (SELECT flags.*, family, coalesce(lag(meaningful) OVER w, false) AS before, coalesce(lead(meaningful) OVER w, false) AS after, {A} || ' ' || {E} AS body
+            FROM flags JOIN fam USING (job_id) WINDOW w AS (PARTITION BY flags.job_id ORDER BY step_number)), c AS (SELECT *, family LIKE 'excel%' AS xl, {sql_has("body", cleanup.REVIEW_OBJECTS)} AS about, {sql_has("body", cleanup.OUTPUTS)} AS shows, {sql_has("body", cleanup.FILLER)} AS filler FROM n)
+            SELECT job_id, step_number, CASE WHEN checkpoint THEN 'operational_checkpoint' WHEN xl AND filler THEN 'passive_filler' WHEN (about OR (xl AND shows)) AND before THEN 'operational_checkpoint'
+              WHEN (about OR (xl AND shows)) AND after THEN 'contextual_review' ELSE 'passive_filler' END AS category FROM c WHERE review OR passive OR checkpoint""",
+        "state_signatures": f"""WITH {SCREENS}, l AS (SELECT *, {sql_class("ocr_text", rules.SYSTEMS, "Other")} AS system, lpad(printf('%x', k % 5 * 1023), 16, '0') AS hash FROM screens)
+            SELECT event_id, system || ':' || substr(hash, 1, 8) || ':' || array_to_string(list_sort({sql_tokens("ocr_text")})[1:10], ' ') AS state, substr(sha1(system || ':' || lower(substr(ocr_text, 1, 500))), 1, 12) AS event,
+              array_to_string(list_sort(list_distinct(regexp_extract_all(lower(ocr_text), {lit(text.KEY_TERMS)})))[1:18], ',') AS terms FROM l""",
+        "confidence_reasons": f"""WITH {STEPS} SELECT job_id, step_number, concat_ws('; ', CASE WHEN confidence <> 'high' THEN 'confidence is not high' END, CASE WHEN {RISKY} THEN 'contains a specific action or value' END,
+            CASE WHEN k / 100 > 0.6 THEN 'text changed strongly' END, CASE WHEN k / 500 < 0.04 THEN 'little visual change' END) AS reason FROM steps""",
+        "parsed_items": "SELECT r_regionkey, 1 AS id, r_name AS action FROM region",
         "live_activity": "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, user_id, count(*) AS n, max(value) AS peak FROM events GROUP BY 1, 2",
         "live_sessions": f"WITH m AS ({session}), r AS (SELECT *, sum(mark) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM m) SELECT min(t) AS start_us, max(t) + 10800000000 AS end_us, user_id, count(*) AS n FROM r GROUP BY user_id, s",
     }
