@@ -121,3 +121,42 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(str, spark.table("activity").collect())) == sorted(map(str, live.activity(source).collect()))
+
+
+def info_rows(spark, n_events, **other):
+    base = {"job_id": 1, "n_events": n_events, "justification": "", "mode": "local_ocr_draft", "model_ready": False, "calls": 0, "succeeded": 0, "ocr_count": 5, "duration": 100.0, "target_density": 3.0} | other
+    kinds = "job_id int, n_events long, justification string, mode string, model_ready boolean, calls int, succeeded int, ocr_count int, duration double, target_density double"
+    return spark.createDataFrame([tuple(base[k.split()[0]] for k in kinds.split(", "))], kinds)
+
+
+def report_of(spark, rows, info):
+    from tracewright.operators import procedure
+
+    rows = rows.withColumns({"generation_source": F.lit("local_ocr"), "duration": F.lit(1.0)})
+    return procedure.quality_report(procedure.clean_steps(rows, info), info, cleanup.chronology(rows)).first()
+
+
+def test_reports(spark):
+    # Distinct operations, no two of which are one.
+    words = [("Open the ledger", "It is displayed"), ("Select vendor alpha", "Alpha is chosen"), ("Enter net price", "Price accepted"), ("Filter for region", "Fewer rows"), ("Export everything", "Done"), ("Submit all", "Sent"), ("Approve batch", "Approved"), ("Delete draft", "Gone"), ("Rename sheet", "Renamed")]
+    good = step_rows(spark, [(100 * i, "Browser", a + ".", e + ".", "high") for i, (a, e) in enumerate(words)])
+    r = report_of(spark, good, info_rows(spark, 9))
+    assert (r.steps, r.score, r.readiness, r.blockers) == (9, 100, "demo_ready", "")
+    r = report_of(spark, good, info_rows(spark, 35))
+    assert r.readiness == "not_ready" and "coverage" in r.blockers and r.ratio < 0.6
+    r = report_of(spark, good, info_rows(spark, 9, model_ready=True, calls=2))
+    assert r.blockers == "model failed" and r.readiness != "demo_ready"
+    only = step_rows(spark, [(0, "Other", "Review the visible process screen.", "The screen is visible.", "high")])
+    r = report_of(spark, only, info_rows(spark, 1))
+    assert (r.steps, r.score, r.readiness) == (0, 0, "not_ready")
+    none = report_of(spark, good.limit(0), info_rows(spark, 0))
+    assert (none.steps, none.score) == (0, 0)
+
+
+def test_pivot_merge(spark):
+    from tracewright.operators import procedure
+
+    rows = step_rows(spark, [(0, "Excel", "Complete the PivotTable setup.", "A blank sheet.", "high"), (5, "Excel", "Create a new PivotTable.", "The sheet is ready.", "high"), (9, "Excel", None, None, "low")])
+    rows = rows.withColumns({"generation_source": F.lit("local_ocr"), "duration": F.lit(1.0)})
+    got = procedure.clean_steps(rows, info_rows(spark, 3)).orderBy("place").collect()
+    assert got[0].sources == [1, 2] and got[0].step_number == 2 and got[0].action == procedure.SETUP_WORDING and got[0].phase == "Create PivotTable"

@@ -174,3 +174,14 @@ def confidence_reason(confidence: Column, risky: Column, text_delta: Column, vis
 def parsed_items(x: Column, schema: str) -> Column:
     """The JSON array in a model's answer, with or without a code fence, as an array of structs."""
     return F.from_json(F.regexp_extract(text_of(x), r"(?s)(\[.*\])", 1), f"array<{schema}>")
+
+
+def holds(conditions: list[tuple[str, str, str]], columns: dict[str, Column]) -> Column:
+    """Whether all of a rule's conditions hold: (column, has or lacks, terms)."""
+    parts = [contains_any(columns[c], terms.split("|")) if op == "has" else ~contains_any(columns[c], terms.split("|")) for c, op, terms in conditions]
+    return reduce(lambda a, b: a & b, parts)
+
+
+def first_rule(table: list, columns: dict[str, Column]) -> Column:
+    """The name of the first rule that holds; null if none does."""
+    return F.coalesce(*[F.when(holds(conditions, columns), name) for name, conditions in table])

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import rules
-from tracewright.functions.score import coverage_minimum
 from tracewright.functions.text import action_roots, checkpoint, contains_any, content_tokens, generic_review, jaccard, meaningful, noise, normalized, passive, review_style, text_of
 from tracewright.operators.ordered import in_order, paired, run_id
 
@@ -64,10 +63,23 @@ def described(steps: DataFrame) -> DataFrame:
     a, e = text_of(F.col("action")), text_of(F.col("expected_output"))
     words = content_tokens(F.concat_ws(" ", a, e))
     details = F.array_sort(F.array_union(F.array_intersect(words, F.array(*map(F.lit, rules.DETAIL_TERMS))), F.filter(words, lambda w: w.rlike("^[0-9]+$"))))
-    return steps.withColumns({"words": words, "action_words": content_tokens(a), "expected_words": content_tokens(e), "targets": terms_in(words, rules.DOMAIN_TERMS), "details": details, "roots": terms_in(action_roots(a), rules.VERBS)})
+    body = normalized(F.concat_ws(" ", a, e))
+    fields = F.filter(F.array(*map(F.lit, rules.FIELD_TERMS)), lambda t: normalized(a).contains(t))
+    return steps.withColumns({"body": body, "fields": fields, "pivot": normalized(a).contains("pivottable"), "words": words, "action_words": content_tokens(a), "expected_words": content_tokens(e), "targets": terms_in(words, rules.DOMAIN_TERMS), "details": details, "roots": terms_in(action_roots(a), rules.VERBS)})
 
 
-COMPARED = ["step_number", "time_sec", "system", "words", "action_words", "expected_words", "targets", "details", "roots"]
+# Phrases that name one intent.
+SAME_INTENT = [("pivottable setup", "create a new pivottable"), ("review the sales data table", "review the worksheet data")]
+
+
+def canned(x: Column, y: Column, pairs: list = SAME_INTENT) -> Column:
+    out = F.lit(False)
+    for a, b in pairs:
+        out = out | (x.contains(a) & y.contains(b)) | (x.contains(b) & y.contains(a))
+    return out
+
+
+COMPARED = ["step_number", "time_sec", "system", "body", "fields", "pivot", "words", "action_words", "expected_words", "targets", "details", "roots"]
 
 
 def duplicate(a: str, b: str) -> Column:
@@ -77,22 +89,29 @@ def duplicate(a: str, b: str) -> Column:
     near = (F.abs(y("step_number") - x("step_number")) <= 2) | (F.abs(y("time_sec") - x("time_sec")) <= 45)
     targets = ~(both("targets") & ~F.arrays_overlap(x("targets"), y("targets")))
     details = ~(both("details") & (x("details") != y("details")))
-    verbs = ~(both("roots") & (x("roots") != y("roots")) & (jaccard(x("action_words"), y("action_words"), 1.0) < 0.72))
+    setup = canned(x("body"), y("body"), SAME_INTENT[:1])
+    fields = ~((x("pivot") | y("pivot")) & both("fields") & (x("fields") != y("fields")))
+    verbs = setup | ~(both("roots") & (x("roots") != y("roots")) & (jaccard(x("action_words"), y("action_words"), 1.0) < 0.72))
     alike = jaccard(x("words"), y("words"), 1.0)
-    intent = (alike > 0.72) | ((jaccard(x("expected_words"), y("expected_words"), 1.0) > 0.45) & (alike > 0.55))
-    return (x("system") == y("system")) & near & targets & details & verbs & intent
+    intent = canned(x("body"), y("body")) | (alike > 0.72) | ((jaccard(x("expected_words"), y("expected_words"), 1.0) > 0.45) & (alike > 0.55))
+    return (x("system") == y("system")) & fields & near & targets & details & verbs & intent
+
+
+def setup_first(a: str, b: str) -> Column:
+    """Whether the set-up of a pivot comes before its creation: the creation's row stays then."""
+    return F.col(f"{a}.body").contains(SAME_INTENT[0][0]) & F.col(f"{b}.body").contains(SAME_INTENT[0][1])
 
 
 def merged_pairs(steps: DataFrame) -> DataFrame:
     """job_id, left_number, right_number, kept: adjacent steps that are one, taken from the left without overlap.
 
-    The more specific step's wording is kept, the left one's if they are equal."""
+    The more specific step is kept, the left one if they are equal; of the set-up of a pivot and its creation the latter."""
     flags = step_flags(described(steps))
     score = F.size("words") + 8 * F.col("meaningful").cast("int") - 5 * F.col("passive").cast("int") + 4 * F.col("checkpoint").cast("int")
     rows = flags.withColumn("me", F.struct(*COMPARED, score.alias("score")))
     rows = rows.select("job_id", "step_number", "me", F.lead("me").over(in_order(BY_NUMBER)).alias("next"))
     rows = paired(rows, duplicate("me", "next"), BY_NUMBER).where("first")
-    return rows.select("job_id", F.col("step_number").alias("left_number"), F.col("next.step_number").alias("right_number"), F.when(F.col("me.score") >= F.col("next.score"), F.col("step_number")).otherwise(F.col("next.step_number")).alias("kept"))
+    return rows.select("job_id", F.col("step_number").alias("left_number"), F.col("next.step_number").alias("right_number"), F.when((F.col("me.score") >= F.col("next.score")) & ~setup_first("me", "next"), F.col("step_number")).otherwise(F.col("next.step_number")).alias("kept"))
 
 
 def review_runs(steps: DataFrame) -> DataFrame:
@@ -116,31 +135,6 @@ def semantic_counts(steps: DataFrame) -> DataFrame:
     )
 
 
-def quality_report(steps: DataFrame, events: DataFrame) -> DataFrame:
-    """One row per job of ``events`` (job_id, n_events): counts, ratio, violations, score 0 to 100, readiness, blockers."""
-    counts = semantic_counts(steps)
-    late = chronology(steps).groupBy("job_id").agg(F.count(F.lit(1)).alias("violations"))
-    twice = merged_pairs(steps).groupBy("job_id").agg(F.count(F.lit(1)).alias("duplicates"))
-    runs = review_runs(steps).groupBy("job_id").agg(F.count(F.lit(1)).alias("review_runs"))
-    rows = events.join(counts, "job_id", "left").join(late, "job_id", "left").join(twice, "job_id", "left").join(runs, "job_id", "left")
-    rows = rows.fillna(0)
-    n, low = F.col("steps"), F.col("low_confidence")
-    ratio = F.col("ratio")
-    rows = rows.withColumn("ratio", F.round(n / F.col("n_events"), 3))
-    big = F.col("n_events") >= 25
-    minus = lambda cond, points: F.when(cond, points).otherwise(0)
-    raw = n < coverage_minimum(F.col("n_events"))
-    score = (
-        100 - 10 * F.col("noise") - 5 * F.col("duplicates") - 3 * F.greatest(F.lit(0), F.col("passive") - 2) - 2 * low - minus(raw, 30) - minus(ratio < 0.60, 35) - minus(big & (ratio < 0.70), 15)
-        - minus(big & (F.col("coverage") < 0.55), 35) - minus(F.col("generic") / n > 0.20, 25) - 5 * F.col("review_runs") - minus(n < 8, 10) - minus(low / n > 0.25, 10) - minus(F.col("violations") > 0, 20)
-    )
-    rows = rows.withColumn("score", F.when(n == 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score))).cast("int"))
-    block = F.array_compact(F.array(F.when(raw, "raw coverage"), F.when(ratio < 0.60, "final coverage"), F.when(F.col("violations") > 0, "chronology"), F.when(F.col("noise") > 0, "noise")))
-    rows = rows.withColumn("blockers", F.array_join(block, ","))
-    ready = F.when((F.col("score") >= 80) & (F.col("blockers") == ""), "demo_ready").when(F.col("score") >= 60, "needs_review").otherwise("not_ready")
-    return rows.select("job_id", "n_events", "steps", "noise", "passive", "duplicates", "violations", "review_runs", "ratio", "score", ready.alias("readiness"), "blockers")
-
-
 def distinct_states(rows: DataFrame) -> DataFrame:
     """Each job's states in order of first appearance: job_id, state, first_number, place."""
     first = rows.groupBy("job_id", F.col("screen_state_id").alias("state")).agg(F.min(BY_NUMBER).alias("first_number"))
@@ -153,20 +147,23 @@ FILLER = ["worksheet data", "fields pane", "design tab", "visible process screen
 OUTPUTS = ["formatted excel table", "selected header row", "source data table", "pivottable summary", "pivot table summary", "pivottable with", "pivot table with", "pivotchart", "pivot chart", "slicer", "filter", "percentage column"]
 
 
-def review_categories(steps: DataFrame) -> DataFrame:
-    """job_id, step_number, category of review-like steps by their neighbours: operational_checkpoint,
-    contextual_review or passive_filler.
+def category_of(order: Window) -> Column:
+    """operational_checkpoint, contextual_review or passive_filler for a review-like step, by its neighbours in
+    ``order``; null for others. Needs the flags and family.
 
     A step between two meaningful ones bridges them only if the next is meaningful, so that case is part of it."""
-    rows = step_flags(steps).join(workflow_family(steps), "job_id")
-    w = in_order(BY_NUMBER)
-    before, after = (F.coalesce(f("meaningful").over(w), F.lit(False)) for f in (F.lag, F.lead))
+    before, after = (F.coalesce(f("meaningful").over(order), F.lit(False)) for f in (F.lag, F.lead))
     body = F.concat_ws(" ", normalized(F.col("action")), normalized(F.col("expected_output")))
-    rows = rows.withColumns({"before": before, "after": after, "body": body})
-    about, excel = contains_any(F.col("body"), REVIEW_OBJECTS), F.col("family").startswith("excel")
-    shows = excel & contains_any(F.col("body"), OUTPUTS)
+    about, excel = contains_any(body, REVIEW_OBJECTS), F.col("family").startswith("excel")
+    shows = excel & contains_any(body, OUTPUTS)
     category = (
-        F.when(F.col("checkpoint"), "operational_checkpoint").when(excel & contains_any(F.col("body"), FILLER), "passive_filler").when(shows & F.col("before"), "operational_checkpoint")
-        .when(shows & F.col("after"), "contextual_review").when(about & F.col("before"), "operational_checkpoint").when(about & F.col("after"), "contextual_review").otherwise("passive_filler")
+        F.when(F.col("checkpoint"), "operational_checkpoint").when(excel & contains_any(body, FILLER), "passive_filler").when(shows & before, "operational_checkpoint")
+        .when(shows & after, "contextual_review").when(about & before, "operational_checkpoint").when(about & after, "contextual_review").otherwise("passive_filler")
     )
-    return rows.where("review or passive or checkpoint").select("job_id", "step_number", category.alias("category"))
+    return F.when(F.col("review") | F.col("passive") | F.col("checkpoint"), category)
+
+
+def review_categories(steps: DataFrame) -> DataFrame:
+    """job_id, step_number, category of review-like steps."""
+    rows = step_flags(steps).join(workflow_family(steps), "job_id").withColumn("category", category_of(in_order(BY_NUMBER)))
+    return rows.where("category is not null").select("job_id", "step_number", "category")

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tracewright.operators import cleanup, steps
+from tracewright.operators import cleanup, procedure, steps
 from tracewright.sources import recordings
 
 
-def final_steps(raw: DataFrame) -> DataFrame:
-    """Repaired and redacted steps without noise, renumbered by time."""
-    rows = cleanup.step_flags(steps.verified_offline(steps.risk_flags(steps.repaired(raw)))).where("not noise").drop("noise", "passive", "review", "generic", "meaningful", "checkpoint")
-    order = cleanup.in_time(rows).withColumnsRenamed({"step_number": "place", "original": "step_number"})
-    return rows.join(order, ["job_id", "step_number"]).drop("step_number").withColumnRenamed("place", "step_number")
+def verified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Repaired and redacted steps of all jobs, and what is known about each job."""
+    raw = recordings.procedures(spark, sf_dir)
+    return steps.verified_offline(steps.risk_flags(steps.repaired(raw))), recordings.job_info(raw)
+
+
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return procedure.clean_steps(*verified(spark, sf_dir))
 
 
 def job_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = recordings.steps(spark, sf_dir)
-    return cleanup.quality_report(final_steps(raw), raw.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_events")))
+    rows, info = verified(spark, sf_dir)
+    return procedure.quality_report(procedure.clean_steps(rows, info), info, cleanup.chronology(rows))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import rules, score, text
-from tracewright.operators import boundaries, cleanup, jobs, screens, steps
+from tracewright.operators import boundaries, cleanup, jobs, procedure, screens, steps
 from tracewright.plans import report
 from tracewright.sources import recordings as R
 from tracewright.streaming import live
@@ -227,6 +227,13 @@ def queries() -> dict[str, Query]:
         "semantic_counts": lambda s, d: cleanup.semantic_counts(st(s, d)),
         "distinct_states": lambda s, d: cleanup.distinct_states(st(s, d)),
         "quality_report": report.job_reports,
+        "clean_steps": lambda s, d: report.cleaned(s, d).select("job_id", "place", "step_number", "action", F.size("sources").alias("n_sources"), "category", "phase", "section"),
+        "removal_guards": lambda s, d: procedure.judged(*report.verified(s, d)).select("job_id", "step_number", "removal", "guarded", "category"),
+        "removed_steps": lambda s, d: procedure.removed_steps(*report.verified(s, d)),
+        "completeness": lambda s, d: (lambda x: procedure.completeness(procedure.clean_steps(*x), x[1]))(report.verified(s, d)),
+        "phase_labels": lambda s, d: procedure.phase_labels(R.procedures(s, d)).select("job_id", "step_number", "family", "phase", "corrected"),
+        "phase_errors": lambda s, d: R.procedures(s, d).withColumns({"family": F.lit("excel_pivottable"), "phase": R.pick(["Configure PivotTable fields", "Add calculations and formatting", "Create PivotTable"], F.col("step_number"))}).select("job_id", "step_number", procedure.phase_error().alias("error")),
+        "legacy_phases": lambda s, d: procedure.legacy_phases(R.procedures(s, d)),
         "batches": lambda s, d: jobs.batches(fr(s, d), 9).groupBy("job_id", "batch").agg(F.count(F.lit(1)).alias("n")),
         "cost_estimate": lambda s, d: jobs.cost_estimate(jobs.profiles(s)),
         "call_budget": lambda s, d: jobs.call_budget(jobs.profiles(s)),
@@ -277,6 +284,144 @@ def fallback_sql() -> str:
       CASE WHEN clean_text = '' THEN 'low' ELSE 'medium' END AS confidence, CASE WHEN trim(clean_text) = '' THEN 'diagnostic_fallback' ELSE 'local_ocr' END AS generation_source FROM e"""
 
 
+def sql_holds(conditions: list, columns: dict[str, str]) -> str:
+    return " AND ".join(("" if op == "has" else "NOT ") + sql_has(columns[c], terms.split("|")) for c, op, terms in conditions)
+
+
+def sql_first(table: list, columns: dict[str, str], default: str = "NULL") -> str:
+    return "CASE " + " ".join(f"WHEN {sql_holds(conditions, columns)} THEN {lit(name)}" for name, conditions in table) + f" ELSE {default} END"
+
+
+def sql_dup(x: str, y: str) -> str:
+    """Whether two described rows (structs x and y) are one step."""
+    canned = lambda a, b: f"((contains({x}.body, {lit(a)}) AND contains({y}.body, {lit(b)})) OR (contains({x}.body, {lit(b)}) AND contains({y}.body, {lit(a)})))"
+    both = lambda c: f"len({x}.{c}) > 0 AND len({y}.{c}) > 0"
+    alike = lambda c: f"({sql_jaccard(f'{x}.{c}', f'{y}.{c}', 1.0)})"
+    return f"""({x}.system = {y}.system AND NOT (({x}.pivot OR {y}.pivot) AND {both("fields")} AND {x}.fields <> {y}.fields) AND (abs({y}.step_number - {x}.step_number) <= 2 OR abs({y}.time_sec - {x}.time_sec) <= 45)
+      AND NOT ({both("targets")} AND NOT list_has_any({x}.targets, {y}.targets)) AND NOT ({both("details")} AND {x}.details <> {y}.details)
+      AND ({canned(*cleanup.SAME_INTENT[0])} OR NOT ({both("roots")} AND {x}.roots <> {y}.roots AND {alike("aw")} < 0.72))
+      AND ({canned(*cleanup.SAME_INTENT[0])} OR {canned(*cleanup.SAME_INTENT[1])} OR {alike("w")} > 0.72 OR ({alike("ew")} > 0.45 AND {alike("w")} > 0.55)))"""
+
+
+def sql_me(*more: str) -> str:
+    """A struct of what pairs are compared by, and further columns."""
+    terms = lambda x, of: f"list_sort(list_distinct(list_filter({x}, lambda t: list_contains([{', '.join(map(lit, of))}], t))))"
+    words = sql_content(BOTH_TEXT)
+    details = f"list_sort(list_distinct(list_filter({words}, lambda t: list_contains([{', '.join(map(lit, rules.DETAIL_TERMS))}], t) OR regexp_matches(t, '^[0-9]+$'))))"
+    fields = f"list_filter([{', '.join(map(lit, rules.FIELD_TERMS))}], lambda t: contains({A}, t))"
+    parts = {"step_number": "step_number", "time_sec": "time_sec", "system": "system", "body": BOTH, "pivot": f"contains({A}, 'pivottable')", "fields": fields, "w": words, "aw": sql_content("action"), "ew": sql_content("expected_output"),
+             "targets": terms(words, rules.DOMAIN_TERMS), "details": details, "roots": terms(sql_roots("action"), rules.VERBS)}
+    return "{" + ", ".join(f"'{k}': {v}" for k, v in (parts | {m: m for m in more}).items()) + "}"
+
+
+SCORE = f"len({sql_content(BOTH_TEXT)}) + 8 * meaningful::INT - 5 * passive::INT + 4 * checkpoint::INT"
+SETUP = " AND ".join(f"contains({r}.body, {lit(t)})" for r, t in zip(("me", "nxt"), cleanup.SAME_INTENT[0], strict=True))
+PAIRS = f"""{FLAGS}, d AS (SELECT job_id, {sql_me("score")} AS me FROM (SELECT *, {SCORE} AS score FROM flags)), l AS (SELECT job_id, me, lead(me) OVER (PARTITION BY job_id ORDER BY me.step_number) AS nxt FROM d),
+e AS (SELECT *, coalesce({sql_dup("me", "nxt")}, false) AS edge FROM l), r AS (SELECT *, sum((NOT edge)::INT) OVER (PARTITION BY job_id ORDER BY me.step_number) AS run FROM e),
+p AS (SELECT *, row_number() OVER (PARTITION BY job_id, run, edge ORDER BY me.step_number) AS nth FROM r)"""
+
+# Whole procedures in SQL.
+RAW = f"""{EV}, vocab(i, rule_system, action, expected_output, confidence) AS (VALUES {duck_rows([*R.STEPS, *R.PIVOT_STEPS])}),
+raw AS (SELECT job_id, ord + 1 AS step_number, round(CASE WHEN k % 17 = 0 THEN greatest(0.0, time_sec - 50) ELSE time_sec END, 6) AS time_sec, k, rule_system, rule_system AS system, action, expected_output, confidence, (k % 47)::DOUBLE AS duration,
+  CASE WHEN k % 29 = 0 THEN 'diagnostic_fallback' WHEN job_id % 5 = 0 THEN 'local_ocr' ELSE 'openai_vision' END AS generation_source FROM ev JOIN vocab ON i = CASE WHEN job_id % 2 = 0 THEN k % {len(R.STEPS)} ELSE {len(R.STEPS)} + k % {len(R.PIVOT_STEPS)} END),
+info AS (SELECT job_id, CASE WHEN job_id % 4 = 0 THEN n * 2 WHEN job_id % 4 = 1 THEN 0 ELSE n END AS n_events, CASE WHEN job_id % 7 = 0 THEN 'short training clip' ELSE '' END AS justification,
+  CASE WHEN job_id % 3 = 0 THEN 'production_vision' WHEN job_id % 3 = 1 THEN 'local_ocr_draft' ELSE 'diagnostic_only' END AS mode, job_id % 3 = 0 AS model_ready, CASE WHEN job_id % 3 = 0 THEN 3 ELSE 0 END AS calls,
+  CASE WHEN job_id % 6 = 0 THEN 2 ELSE 0 END AS succeeded, CASE WHEN job_id % 2 = 0 THEN 5 ELSE 0 END AS ocr_count, duration AS length FROM (SELECT job_id, count(*) AS n, max(time_sec) AS duration FROM raw GROUP BY 1))"""
+LEAST = "CASE WHEN n_events >= 35 THEN 24 WHEN n_events >= 30 THEN 22 WHEN n_events >= 25 THEN 18 ELSE 0 END"
+SAID = {"action": A, "expected": E, "text": BOTH, "phase": "phase"}
+
+
+def family_sql() -> str:
+    any_of = lambda cond: f"bool_or({cond}) OVER (PARTITION BY job_id)"
+    pivot = sql_has(f"lower({BOTH_TEXT})", ["pivottable", "pivot table", "pivotchart", "slicer"])
+    rest = " ".join(f"WHEN {any_of(f'system = {lit(s)}')} THEN {lit(f)}" for s, f in (("Excel", "excel"), ("SAP", "sap"), ("Browser", "browser_crud")))
+    return f"CASE WHEN {any_of(pivot)} THEN 'excel_pivottable' {rest} ELSE 'generic' END"
+
+
+def safe_sql() -> str:
+    safe = lambda x: f"CASE WHEN risky THEN {REDACT.format(x=x)} ELSE {x} END AS {x}"
+    return f"""{RAW}, fixed AS (SELECT * REPLACE (trim(action) AS action) FROM raw WHERE trim(action) <> '' AND NOT regexp_matches(lower(trim(action)), {lit(rules.TOOLBAR)})),
+    safe AS (SELECT * REPLACE ({safe("action")[: -len(" AS action")]} AS action, {safe("expected_output")[: -len(" AS expected_output")]} AS expected_output, CASE WHEN risky AND confidence = 'high' THEN 'medium' ELSE confidence END AS confidence) FROM (SELECT *, {RISKY} AS risky FROM fixed))"""
+
+
+def phases_sql(rows: str) -> str:
+    """Rows with family, phase, corrected and phase_error as the relation ``phased``."""
+    base = f"CASE WHEN family = 'excel_pivottable' THEN {sql_first(rules.PIVOT_PHASES, SAID, lit(rules.PIVOT_DEFAULT))} ELSE {phase_sql()} END"
+    return f"""based AS (SELECT *, {base} AS base FROM (SELECT *, {family_sql()} AS family FROM {rows})),
+    phased AS (SELECT *, phase <> base AS corrected, CASE WHEN family = 'excel_pivottable' THEN {sql_first(rules.PHASE_ERRORS, SAID)} END AS phase_error
+      FROM (SELECT *, coalesce(CASE WHEN family = 'excel_pivottable' THEN {sql_first(rules.PIVOT_OVERRIDES, SAID)} END, base) AS phase FROM based))"""
+
+
+def judged_sql() -> str:
+    has = lambda terms: sql_has("body", terms)
+    return f"""{safe_sql()}, flags AS (SELECT *, {BOTH} AS body, {MEANINGFUL} AS meaningful, {CHECKPOINT} AS checkpoint, {NOISE} AS noise, {PASSIVE} AS passive, {REVIEW} AS review, {family_sql()} AS family FROM safe JOIN info USING (job_id)),
+    near AS (SELECT *, coalesce(lag(meaningful) OVER w, false) AS before_it, coalesce(lead(meaningful) OVER w, false) AS after_it, family LIKE 'excel%' AS xl, {has(cleanup.REVIEW_OBJECTS)} AS about, {has(cleanup.OUTPUTS)} AS shows, {has(cleanup.FILLER)} AS filler
+      FROM flags WINDOW w AS (PARTITION BY job_id ORDER BY time_sec, step_number)),
+    cat AS (SELECT *, CASE WHEN NOT (review OR passive OR checkpoint) THEN NULL WHEN checkpoint THEN 'operational_checkpoint' WHEN xl AND filler THEN 'passive_filler' WHEN (about OR (xl AND shows)) AND before_it THEN 'operational_checkpoint'
+      WHEN (about OR (xl AND shows)) AND after_it THEN 'contextual_review' ELSE 'passive_filler' END AS c FROM near),
+    going AS (SELECT *, count(*) OVER (PARTITION BY job_id) AS n_before, count_if(noise OR coalesce(c = 'passive_filler', false)) OVER (PARTITION BY job_id) AS out FROM cat),
+    guard AS (SELECT *, (n_events > 0 AND n_before < {LEAST}) OR (n_events >= 25 AND (n_before - out) / n_events < 0.6) OR (out / n_before > 0.4 AND n_before >= 5) AS guarded FROM going),
+    judged AS (SELECT *, CASE WHEN noise THEN 'noise' WHEN NOT guarded AND c = 'passive_filler' THEN 'filler' END AS removal,
+      CASE WHEN NOT guarded OR c IS NULL THEN c WHEN checkpoint THEN 'operational_checkpoint' ELSE 'passive_filler' END AS category FROM guard)"""
+
+
+def clean_sql() -> str:
+    more = "score action expected_output confidence duration generation_source noise meaningful passive checkpoint review category n_events n_before".split()
+    at = "(PARTITION BY job_id ORDER BY me.time_sec, me.step_number)"
+    return f"""{judged_sql()}, d AS (SELECT job_id, {sql_me(*more)} AS me FROM (SELECT *, {SCORE} AS score FROM judged WHERE removal IS NULL)), l AS (SELECT job_id, me, lead(me) OVER {at} AS nxt FROM d),
+    e AS (SELECT *, coalesce({sql_dup("me", "nxt")}, false) AS edge FROM l), r AS (SELECT *, sum((NOT edge)::INT) OVER {at} AS run FROM e),
+    p AS (SELECT *, edge AND row_number() OVER (PARTITION BY job_id, run, edge ORDER BY me.time_sec, me.step_number) % 2 = 1 AS first FROM r),
+    u AS (SELECT *, coalesce(lag(first) OVER {at}, false) AS second, count(*) OVER (PARTITION BY job_id) AS n, count_if(first) OVER (PARTITION BY job_id) AS pairs, {LEAST.replace("n_events", "me.n_events")} AS least_n FROM p),
+    v AS (SELECT *, least_n > 0 AND n - pairs < least_n AND least_n <= n AS undo FROM u),
+    m AS (SELECT job_id, CASE WHEN first AND NOT undo AND (({SETUP}) OR nxt.score > me.score) THEN nxt ELSE me END AS x, first AND NOT undo AS pair, CASE WHEN first AND NOT undo AND {SETUP} THEN {lit(procedure.SETUP_WORDING)} END AS said FROM v WHERE undo OR NOT second),
+    rows AS (SELECT job_id, pair, x.step_number AS step_number, x.time_sec AS time_sec, x.system AS system, coalesce(said, x.action) AS action, {", ".join(f"x.{c} AS {c}" for c in more if c != "action")} FROM m),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY time_sec, step_number) AS place FROM rows), {phases_sql("placed")}"""
+
+
+def report_sql() -> str:
+    """The relations ``counts`` (one row per job) and before them all that leads there."""
+    missing = []
+    for name, evidence, acted, asked, phrases in rules.EXPECTED_ACTIONS:
+        any_of = lambda x, terms: f"bool_or({sql_has(x, terms.split('|'))})"
+        done = any_of("a", phrases) if asked else f"({any_of('a', acted)} AND {any_of('a', phrases)})"
+        asks = f"({any_of('b', evidence)} AND {any_of('a', acted) if asked else 'true'})"
+        missing.append(f"CASE WHEN any_value(family) = 'excel_pivottable' AND {asks} AND NOT {done} THEN {lit(name)} END")
+    return f"""{clean_sql()}, w1 AS (SELECT *, {A} AS a, {BOTH} AS b, {sql_me()} AS me, coalesce(category IN ('contextual_review', 'passive_filler'), false) OR (review AND NOT meaningful) AS in_review,
+      CASE WHEN meaningful THEN step_number - last_value(CASE WHEN meaningful THEN step_number END IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS gap FROM phased),
+    w2 AS (SELECT *, sum((NOT in_review)::INT) OVER (PARTITION BY job_id ORDER BY place) AS rv, lead(me) OVER (PARTITION BY job_id ORDER BY place) AS nxt FROM w1),
+    w3 AS (SELECT *, coalesce({sql_dup("me", "nxt")}, false) AS twice, CASE WHEN in_review THEN count_if(in_review) OVER (PARTITION BY job_id, rv ORDER BY place) END AS run_at FROM w2),
+    counts AS (SELECT job_id, count(*) AS steps, any_value(n_before) AS before, count_if(noise) AS noise, count_if(passive OR coalesce(category = 'contextual_review', false)) AS passive, count_if(twice) AS duplicates, count_if(pair) AS merged,
+      count_if(confidence <> 'high') AS low, count_if(generation_source = 'diagnostic_fallback') AS diagnostic, count_if((review AND NOT meaningful) OR starts_with(a, 'review the process state shown')) AS generic, count_if(meaningful) AS operational,
+      count_if(category = 'contextual_review') AS contextual, count_if(category = 'operational_checkpoint') AS checkpoints, count_if(coalesce(run_at = 2, false)) AS review_runs, coalesce(max(gap), 0) AS widest_gap, count_if(duration > 45) AS long,
+      count_if(corrected) AS corrections, count(phase_error) AS phase_errors, count_if(phase IN ({", ".join(map(lit, rules.GENERIC_PHASES))})) AS generic_phases, count(DISTINCT phase) AS phases, concat_ws(',', {", ".join(missing)}) AS missing FROM w3 GROUP BY 1)"""
+
+
+COUNTED = "before steps merged noise passive duplicates low diagnostic generic operational contextual checkpoints review_runs long corrections phase_errors generic_phases phases".split()
+
+
+def quality_sql() -> str:
+    zero = ", ".join(f"coalesce({c}, 0) AS {c}" for c in COUNTED)
+    block = [
+        ("noise", "noise > 0"), ("coverage", "short"), ("under-coverage", "uncovered"), ("passive reviews", "contextual > greatest(3, steps // 5)"), ("diagnostic mode", "mode = 'diagnostic_only'"), ("diagnostic steps", "diagnostic > steps / 2"),
+        ("no evidence source", "NOT model_ready AND ocr_count = 0"), ("model failed", "model_ready AND calls > 0 AND succeeded = 0"), ("few operations", "vague"), ("generic reviews", "wordy"), ("missing actions", "n_missing > 0"),
+        ("phase errors", "phase_errors > 0"), ("density", "sparse"), ("long segments", "long > 0"),
+    ]
+    costs = "10 * noise + 5 * duplicates + 3 * greatest(0, passive - 2) + 2 * low + least(60, 8 * diagnostic) + 8 * n_missing + 5 * review_runs + least(30, 10 * long)"
+    for cond, points in (("raw_low", 30), ("final_low", 35), ("short", 15), ("vague", 35), ("wordy", 25), ("steps < 8", 10), ("low / greatest(1, steps) > 0.25", 10), ("violations > 0", 20), ("(phases = 1 AND generic_phases > 0)", 5), ("generic_phases = steps", 5), ("phase_errors > 0", 20), ("sparse", 25)):
+        costs += f" + {points} * ({cond})::INT"
+    return f"""{report_sql()}, late AS (SELECT job_id, count(*) AS violations FROM (SELECT job_id, time_sec < lag(time_sec) OVER (PARTITION BY job_id ORDER BY step_number) AS back FROM safe) WHERE back GROUP BY 1),
+    q1 AS (SELECT info.*, {zero}, coalesce(missing, '') AS missing, coalesce(violations, 0) AS violations FROM info LEFT JOIN counts USING (job_id) LEFT JOIN late USING (job_id)),
+    q2 AS (SELECT *, CASE WHEN n_events > 0 THEN round(steps / n_events, 3) END AS ratio, round(operational / greatest(1, steps), 3) AS coverage, CASE WHEN length > 0 THEN round(steps / (length / 60), 3) END AS density,
+      CASE WHEN missing = '' THEN 0 ELSE len(string_split(missing, ',')) END AS n_missing FROM q1),
+    q3 AS (SELECT *, n_events > 0 AND before < {LEAST} AS raw_low, coalesce(ratio < 0.6, false) AS final_low, n_events >= 25 AND coalesce(ratio < 0.7, false) AS short, n_events >= 25 AND coverage < 0.55 AS vague, generic / greatest(1, steps) > 0.2 AS wordy,
+      mode = 'production_vision' AND length > 300 AND coalesce(density < 3.0, false) AND justification = '' AS sparse FROM q2),
+    q4 AS (SELECT *, (raw_low OR final_low) AND justification = '' AS uncovered FROM q3),
+    q5 AS (SELECT *, greatest(0, least(CASE WHEN n_missing > 0 THEN 69 WHEN phase_errors > 0 OR sparse THEN 79 ELSE 100 END, CASE WHEN steps = 0 THEN 0 ELSE 100 - ({costs}) END))::INT AS score,
+      concat_ws(',', {", ".join(f"CASE WHEN {cond} THEN {lit(name)} END" for name, cond in block)}) AS blockers FROM q4)
+    SELECT job_id, n_events, {", ".join(c for c in COUNTED if c not in ("generic_phases", "phases"))}, violations, missing, ratio, coverage, density, score,
+      CASE WHEN score >= 80 AND blockers = '' AND NOT raw_low AND diagnostic = 0 THEN 'demo_ready' WHEN score >= 60 THEN 'needs_review' ELSE 'not_ready' END AS readiness, blockers FROM q5"""
+
+
 def oracle_sql() -> dict[str, str]:
     bits = "list_transform(embedding, lambda v: CASE WHEN v::DOUBLE > list_sum(list_transform(embedding, lambda u: u::DOUBLE)) / len(embedding) THEN '1' ELSE '0' END)"
     hash_sql = f"h AS (SELECT vec_id, array_to_string({bits}, '') AS b FROM embeddings)"
@@ -341,6 +486,16 @@ def oracle_sql() -> dict[str, str]:
         "anti_removed": f"WITH {FLAGS} SELECT job_id, step_number, action FROM flags WHERE NOT noise",
         "semantic_counts": f"""WITH {FLAGS} SELECT job_id, count(*) AS steps, count_if(noise) AS noise, count_if(passive) AS passive, count_if(generic) AS generic, count_if(meaningful) AS operational, count_if(confidence <> 'high') AS low_confidence,
             round(count_if(meaningful) / count(*), 3) AS coverage FROM flags GROUP BY 1""",
+        "pair_merge": f"WITH {PAIRS} SELECT job_id, me.step_number AS left_number, nxt.step_number AS right_number, CASE WHEN me.score >= nxt.score AND NOT ({SETUP}) THEN me.step_number ELSE nxt.step_number END AS kept FROM p WHERE edge AND nth % 2 = 1",
+        "quality_report": f"WITH {quality_sql()}",
+        "clean_steps": f"WITH {clean_sql()}, s AS (SELECT *, (phase IS DISTINCT FROM lag(phase) OVER (PARTITION BY job_id ORDER BY place))::INT AS mark FROM phased) SELECT job_id, place, step_number, action, 1 + pair::INT AS n_sources, category, phase, sum(mark) OVER (PARTITION BY job_id ORDER BY place) AS section FROM s",
+        "removal_guards": f"WITH {judged_sql()} SELECT job_id, step_number, removal, guarded, category FROM judged",
+        "removed_steps": f"WITH {judged_sql()} SELECT job_id, step_number, CASE WHEN removal = 'filler' AND row_number() OVER (PARTITION BY job_id, removal, body ORDER BY time_sec, step_number) > 1 THEN 'repeated filler' ELSE removal END AS reason FROM judged WHERE removal IS NOT NULL",
+        "completeness": f"WITH {report_sql()} SELECT job_id, review_runs, n_events >= 25 AND operational < greatest(12, floor(steps * 0.55)) AS thin, n_events >= 25 AND widest_gap >= 5 AS gappy, missing FROM counts JOIN info USING (job_id)",
+        "phase_labels": f"WITH {RAW}, {phases_sql('raw')} SELECT job_id, step_number, family, phase, corrected FROM phased",
+        "phase_errors": f"WITH {RAW}, p AS (SELECT *, ['Configure PivotTable fields', 'Add calculations and formatting', 'Create PivotTable'][step_number % 3 + 1] AS phase FROM raw) SELECT job_id, step_number, {sql_first(rules.PHASE_ERRORS, SAID)} AS error FROM p",
+        "legacy_phases": f"""WITH {RAW}, p AS (SELECT *, CASE WHEN system = 'Excel' THEN 'Process in Excel' {" ".join(f"WHEN {sql_has(f'lower(system || chr(32) || {BOTH_TEXT})', t.split('|'))} THEN {lit(n)}" for n, t in rules.LEGACY_PHASES)} END AS phase FROM raw)
+            SELECT job_id, step_number, coalesce(phase, CASE WHEN count_if(phase IS NULL) OVER (PARTITION BY job_id ORDER BY step_number) <= {rules.LEGACY_FIRST} THEN 'Access system' ELSE 'Validate' END) AS phase FROM p""",
         "distinct_states": f"WITH {STEPS}, f AS (SELECT job_id, screen_state_id AS state, min(step_number) AS first_number FROM steps GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY first_number) AS place FROM f",
         "batches": f"WITH {FRAMES} SELECT job_id, (ord // 9)::INT AS batch, count(*) AS n FROM frames GROUP BY 1, 2",
         "cost_estimate": f"""WITH {profiles_sql()}, c AS (SELECT *, {calls} AS calls, {made} AS made FROM p), i AS (SELECT *, made * CASE WHEN context THEN 3 ELSE 1 END + least(risky, max_events) + least(reviews * 2, max_events * 2) AS images FROM c)

@@ -29,6 +29,32 @@ STEPS = [
     ("Other", "", "The expected screen is displayed.", "low"),
 ]
 
+# Own wording: the steps of pivot workflows.
+PIVOT_STEPS = [
+    ("Excel", "Open the workbook with regional figures.", "The workbook is open.", "high"),
+    ("Excel", "Select the data range.", "The selected range is highlighted.", "high"),
+    ("Excel", "Format the range as a table.", "The table with headers is created.", "high"),
+    ("Excel", "Open the Insert tab and choose PivotTable.", "The PivotTable dialog is displayed.", "high"),
+    ("Excel", "Open the Insert tab.", "The ribbon changed.", "high"),
+    ("Excel", "Complete the PivotTable setup.", "A blank PivotTable appears.", "high"),
+    ("Excel", "Create a new PivotTable on its own sheet.", "The PivotTable is created.", "high"),
+    ("Excel", "Add region to the rows area.", "Regions are listed.", "high"),
+    ("Excel", "Select the sales amount field.", "The sales amount is shown.", "high"),
+    ("Excel", "Rename the percentage column.", "The percentage has a new name.", "medium"),
+    ("Excel", "Show values as a percentage.", "Shares are displayed.", "high"),
+    ("Excel", "Insert a PivotChart.", "The PivotChart appears.", "high"),
+    ("Excel", "Insert slicers for the region.", "The slicer appears.", "high"),
+    ("Excel", "Apply the region slicer.", "The chart updates.", "high"),
+    ("Excel", "Review the PivotTable summary.", "The totals are visible.", "medium"),
+    ("Excel", "Review the PivotTable fields pane.", "The pane is visible.", "low"),
+    ("Excel", "Review the visible process screen.", "The screen is visible.", "low"),
+    ("Excel", "Verify the totals.", "The result shows all regions.", "high"),
+    ("Excel", "Drag the entry to its place.", "The slicer appears.", "high"),
+    ("Excel", "Confirm the choice.", "The table has its headers formatted.", "high"),
+    ("Excel", "Apply the product filter.", "Fewer rows are listed.", "high"),
+    ("Other", "Presenter outro screen.", "Subscribe on social media.", "low"),
+]
+
 # Own wording: what is read on screen at an event; some is empty on purpose.
 TEXTS = [
     "SAP transaction FB60 vendor invoice posting", "Excel workbook pivot column formula", "", "Outlook inbox subject reply to vendor", "Chrome browser http www.example.com url",
@@ -82,6 +108,28 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps as ``steps`` gives them, in odd jobs of pivot workflows, with generation_source and duration."""
+    i = F.when(F.col("job_id") % 2 == 0, F.col("k") % len(STEPS)).otherwise(len(STEPS) + F.col("k") % len(PIVOT_STEPS))
+    step = pick([*STEPS, *PIVOT_STEPS], i)
+    said = {"rule_system": step["col1"], "action": step["col2"], "expected_output": step["col3"], "confidence": step["col4"]}
+    rows = steps(spark, sf_dir).withColumns(said).withColumn("system", F.col("rule_system"))
+    source = F.when(F.col("k") % 29 == 0, "diagnostic_fallback").when(F.col("job_id") % 5 == 0, "local_ocr").otherwise("openai_vision")
+    return rows.withColumns({"generation_source": source, "duration": (F.col("k") % 47).cast("double")})
+
+
+def job_info(steps: DataFrame) -> DataFrame:
+    """One row per job of ``steps``: what a run would have recorded about it, by key arithmetic."""
+    j = F.col("job_id")
+    rows = steps.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.max("time_sec").alias("duration"))
+    mode = F.when(j % 3 == 0, "production_vision").when(j % 3 == 1, "local_ocr_draft").otherwise("diagnostic_only")
+    return rows.select(
+        "job_id", F.when(j % 4 == 0, F.col("n") * 2).when(j % 4 == 1, F.lit(0)).otherwise(F.col("n")).alias("n_events"), F.when(j % 7 == 0, "short training clip").otherwise("").alias("justification"),
+        mode.alias("mode"), (j % 3 == 0).alias("model_ready"), F.when(j % 3 == 0, 3).otherwise(0).alias("calls"), F.when(j % 6 == 0, 2).otherwise(0).alias("succeeded"), F.when(j % 2 == 0, 5).otherwise(0).alias("ocr_count"),
+        "duration", F.lit(3.0).alias("target_density"),
+    )
+
+
 def sampling_grid(recordings: DataFrame, interval: float, most: int) -> DataFrame:
     """job_id, frame_id, time_sec: sample times of recordings (job_id, duration), with the end if it would be missed."""
     n = F.least(F.lit(most), F.ceil(F.col("duration") / interval).cast("int"))
