@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import rules
@@ -42,6 +42,65 @@ def latest(log: DataFrame) -> DataFrame:
     return log.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("updated", "seq")).alias("r")).select("id", "r.*")
 
 
+def job_state(log: DataFrame, fields: list[str]) -> DataFrame:
+    """The present row of each id in a log of partial updates (id, updated, seq, fields): the last value set of each field."""
+    at = F.struct("updated", "seq")
+    return log.groupBy("id").agg(*[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), at)).alias(f) for f in fields], F.max("updated").alias("updated"))
+
+
+def meta_of(x: Column) -> Column:
+    """A JSON object as a map of strings; empty where it doesn't parse."""
+    empty = F.create_map().cast("map<string,string>")
+    return F.coalesce(F.when(F.try_parse_json(x).isNotNull(), F.from_json(x, "map<string,string>")), empty)
+
+
+def slowest_stage(jobs: DataFrame, meta: str) -> DataFrame:
+    """id, stage, seconds: the stage that took longest by the timings in ``meta``, of equals the first by name."""
+    stages = jobs.select("id", F.explode(meta_of(F.col(meta))).alias("stage", "value")).withColumn("seconds", F.col("value").try_cast("double")).where("seconds is not null")
+    best = stages.groupBy("id").agg(F.min_by(F.struct("stage", "seconds"), F.struct(-F.col("seconds"), F.col("stage"))).alias("x"))
+    return best.select("id", "x.stage", "x.seconds")
+
+
+def truthy(x: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(x, F.lit("")))).isin("1", "true", "yes", "on")
+
+
+def capabilities(jobs: DataFrame) -> DataFrame:
+    """id, model_ready, mode and mode_after_text: by the key (a placeholder is none), the switch that disables it, and text recognition."""
+    key = F.trim(F.coalesce("key", F.lit("")))
+    ready = (key != "") & (key != "replace_me") & ~truthy(F.col("disabled"))
+    mode = lambda text: F.when(ready, "production_vision").when(text, "local_ocr_draft").otherwise("diagnostic_only")
+    return jobs.select("id", ready.alias("model_ready"), mode(F.col("ocr_available")).alias("mode"), mode(F.col("ocr_count") > 0).alias("mode_after_text"))
+
+
+def evaluation(steps: DataFrame, reports: DataFrame) -> DataFrame:
+    """job_id, generation_source, steps, low_confidence, fault: a job that is ready for a demo must have no diagnostic steps."""
+    rows = steps.groupBy("job_id", "generation_source").agg(F.count(F.lit(1)).alias("steps"), F.count_if(~F.col("confidence").eqNullSafe(F.lit("high"))).alias("low_confidence"))
+    rows = rows.join(reports.select("job_id", "readiness"), "job_id")
+    return rows.select("job_id", "generation_source", "steps", "low_confidence", ((F.col("readiness") == "demo_ready") & F.col("generation_source").eqNullSafe(F.lit("diagnostic_fallback"))).alias("fault"))
+
+
+def documents(steps: DataFrame, reports: DataFrame) -> DataFrame:
+    """job_id, document: each job's procedure in Markdown: summary, phase sections, steps, what to check again, quality.
+
+    ``steps``: cleaned, with place, section and phase; a job without steps has the summary and quality only."""
+    sure = F.when(F.col("confidence") == "high", "").otherwise(F.concat(F.lit(" *(confidence: "), F.coalesce("confidence", F.lit("unknown")), F.lit(")*")))
+    head = F.when(F.row_number().over(Window.partitionBy("job_id", "section").orderBy("place")) == 1, F.concat(F.lit("\n## "), "phase", F.lit("\n\n"))).otherwise("")
+    said = F.concat(head, F.col("place").cast("string"), F.lit(". **"), F.coalesce("action", F.lit("")), F.lit("** - "), F.coalesce("expected_output", F.lit("")), sure)
+    check = F.when(~F.col("confidence").eqNullSafe(F.lit("high")), F.concat(F.lit("- [ ] step "), F.col("place").cast("string")))
+    rows = steps.select("job_id", "place", said.alias("line"), check.alias("check"))
+    body = rows.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("place", "line", "check"))).alias("x"))
+    body = body.select("job_id", F.array_join("x.line", "\n").alias("body"), F.array_join("x.check", "\n").alias("checks"))
+    rows = reports.join(body, "job_id", "left")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    parts = [
+        F.lit("# Procedure of job "), text("job_id"), F.lit("\n\n- readiness: "), text("readiness"), F.lit("\n- steps: "), text("steps"), F.lit("\n- events: "), text("n_events"), F.lit("\n- coverage: "), text("ratio"), F.lit("\n"),
+        F.coalesce("body", F.lit("")), F.when(F.coalesce("checks", F.lit("")) != "", F.concat(F.lit("\n\n## To check\n\n"), "checks")).otherwise(""),
+        F.lit("\n\n## Quality\n\n- score: "), text("score"), F.lit("\n- merged: "), text("merged"), F.lit("\n- out of order: "), text("violations"), F.lit("\n- blockers: "), F.when(F.col("blockers") == "", "none").otherwise(F.col("blockers")),
+    ]
+    return rows.select("job_id", F.concat(*parts).alias("document"))
+
+
 def newest(jobs: DataFrame, n: int) -> DataFrame:
     """The report of the n jobs created last."""
     return jobs.orderBy(F.desc("created"), "id").limit(n)

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.functions import rules, score, text
-from tracewright.operators import boundaries, cleanup, jobs, procedure, screens, steps
-from tracewright.plans import report
+from tracewright.functions import pixels, rules, score, text
+from tracewright.operators import boundaries, cleanup, evidence, jobs, procedure, screens, steps
+from tracewright.plans import report, segments
 from tracewright.sources import recordings as R
 from tracewright.streaming import live
 
@@ -182,6 +182,61 @@ def local_events(spark, sf_dir):
     return rows.select("job_id", (F.col("ord") + 1).alias("event_id"), F.col("ocr_text").alias("clean_text"), "system", text.hint_of(F.col("ocr_text")).alias("action_hint"), state.alias("screen_state_id"))
 
 
+def told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a system, a text and a change score."""
+    return screens.labelled(R.screens(spark, sf_dir)).select("job_id", "ord", "time_sec", "system", F.col("ocr_text").alias("text"), F.col("visual_score").alias("diff_score"), "k")
+
+
+def segment_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with the paths of three frames, some of which are the same or not there."""
+    frame = lambda n: F.when(n % 10 != 3, F.concat(F.lit("f"), n.cast("string")))
+    rows = stated(spark, sf_dir).select("job_id", F.col("ord").alias("segment"), frame(F.col("ord")).alias("stable_frame"), frame(F.col("ord") - F.col("k") % 2).alias("entry_frame"), frame(F.col("ord") + 1).alias("after_frame"), F.col("hash").alias("image_hash"), F.round(F.col("boundary_score") / 10, 6).alias("boundary_score"), (F.col("k") % 9 == 0).alias("forced"))
+    return rows
+
+
+def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts read for the roles of each segment."""
+    role = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(r).alias("role")) for i, r in enumerate(["stable_frame", "entry_frame", "after_frame"])]))
+    rows = R.frames(spark, sf_dir).where("k % 8 <> 5").select("job_id", F.col("ord").alias("segment"), "k", role.alias("r")).select("job_id", "segment", "k", "r.*")
+    return rows.withColumns({"text": R.pick(R.TEXTS, F.col("k") + 5 * F.col("pos")), "structure": (F.col("k") * 7 + F.col("pos") * 13) % 10 / 10})
+
+
+def job_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of partial updates of jobs: each order changes some fields of its customer's job; some meta is not JSON."""
+    n = F.col("o_orderkey")
+    rows = R.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("updated"), n.alias("seq"), F.when(n % 3 > 0, F.col("o_orderstatus")).alias("status"), (n % 100).alias("x"))
+    meta = F.when(F.col("seq") % 7 == 0, F.lit("{broken")).when(F.col("seq") % 2 == 0, F.concat(F.lit('{"extraction": '), F.col("x").cast("string"), F.lit(', "cleanup": '), (F.lit(100) - F.col("x")).cast("string"), F.lit("}")))
+    return rows.select("id", "updated", "seq", "status", F.when(F.col("seq") % 5 == 0, F.col("x") / 100).alias("progress"), meta.alias("meta"))
+
+
+def q_slowest(spark, sf_dir):
+    return jobs.slowest_stage(jobs.job_state(job_updates(spark, sf_dir), ["status", "progress", "meta"]), "meta")
+
+
+def q_capabilities(spark, sf_dir):
+    c = F.col("c_custkey")
+    rows = R.table(spark, sf_dir, "customer").select(c.alias("id"), F.when(c % 4 == 0, "replace_me").when(c % 4 == 1, "key").when(c % 4 == 2, " ").alias("key"), F.when(c % 3 == 0, "yes").when(c % 3 == 1, "0").alias("disabled"), (c % 2 == 0).alias("ocr_available"), (c % 5).alias("ocr_count"))
+    return jobs.capabilities(rows)
+
+
+def pixel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring embeddings as 8 by 8 images of 0 to 255."""
+    rows = R.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.round(127.5 + 127.5 * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v.cast("double")))).cast("int")).alias("pixels"))
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("pixels").alias("after"))
+    return rows.withColumnRenamed("pixels", "before").join(after, "vec_id")
+
+
+def q_merges(spark, sf_dir):
+    spans = spans_of(spark, sf_dir)[1]
+    decisions = spans.select("job_id", "segment", F.when((F.col("start_ord") + F.col("segment")) % 3 == 0, "merge").otherwise("keep").alias("decision"))
+    return evidence.apply_merges(spans, decisions)
+
+
+def q_texts(spark, sf_dir):
+    rows = evidence.texts_by_role(R.frames(spark, sf_dir).select("job_id", F.col("ord").alias("segment")), read_texts(spark, sf_dir))
+    return rows.select("job_id", "segment", F.size("texts").alias("n"), F.coalesce(F.try_element_at("texts", F.lit("entry_frame")), F.lit("")).alias("entry_text"))
+
+
 def queries() -> dict[str, Query]:
     """Name to query; each takes (spark, sf_dir)."""
     st, fr, sc = R.steps, R.frames, R.screens
@@ -233,6 +288,23 @@ def queries() -> dict[str, Query]:
         "completeness": lambda s, d: (lambda x: procedure.completeness(procedure.clean_steps(*x), x[1]))(report.verified(s, d)),
         "phase_labels": lambda s, d: procedure.phase_labels(R.procedures(s, d)).select("job_id", "step_number", "family", "phase", "corrected"),
         "phase_errors": lambda s, d: R.procedures(s, d).withColumns({"family": F.lit("excel_pivottable"), "phase": R.pick(["Configure PivotTable fields", "Add calculations and formatting", "Create PivotTable"], F.col("step_number"))}).select("job_id", "step_number", procedure.phase_error().alias("error")),
+        "segments": segments.job_segments,
+        "job_state": lambda s, d: jobs.job_state(job_updates(s, d), ["status", "progress", "meta"]).select("id", "status", "progress", "updated", F.coalesce(F.element_at(jobs.meta_of(F.col("meta")), "extraction"), F.lit("")).alias("extraction")),
+        "slowest_stage": q_slowest,
+        "capabilities": q_capabilities,
+        "job_evaluation": lambda s, d: (lambda x: jobs.evaluation(procedure.clean_steps(*x), report.job_reports(s, d)))(report.verified(s, d)),
+        "job_document": lambda s, d: jobs.documents(report.cleaned(s, d), report.job_reports(s, d)).select("job_id", F.md5("document").alias("document_md5"), F.size(F.split("document", "\n")).alias("n_lines")),
+        "pixel_diff": lambda s, d: pixel_pairs(s, d).select("vec_id", F.round(pixels.diff_score(F.col("before"), F.col("after")), 6).alias("diff")),
+        "pixel_structure": lambda s, d: pixels.ssim(pixel_pairs(s, d), 8, 8).select("vec_id", F.round("ssim", 5).alias("ssim")),
+        "evidence_pick": lambda s, d: evidence.pick_evidence(segment_frames(s, d), 30),
+        "role_score": lambda s, d: evidence.role_scores(read_texts(s, d)),
+        "ocr_join": q_texts,
+        "ocr_stride": lambda s, d: evidence.strided(fr(s, d), 9).select("job_id", "ord"),
+        "ambiguous_boundaries": lambda s, d: evidence.ambiguous(boundaries.boundary_candidates(fr(s, d), MAX_SEGMENTS), 4),
+        "boundary_merges": q_merges,
+        "cluster_events": lambda s, d: evidence.cluster_events(told(s, d), 40),
+        "prune_events": lambda s, d: evidence.prune_events(told(s, d), 12),
+        "representative_frames": lambda s, d: evidence.representative_frames(stated(s, d).select("job_id", "ord", "time_sec", F.col("visual_score").alias("diff_score"), F.conv(F.concat(F.lit("0"), (F.col("k") * 91193).cast("string")), 10, 16).alias("image_hash")), 20),
         "legacy_phases": lambda s, d: procedure.legacy_phases(R.procedures(s, d)),
         "batches": lambda s, d: jobs.batches(fr(s, d), 9).groupBy("job_id", "batch").agg(F.count(F.lit(1)).alias("n")),
         "cost_estimate": lambda s, d: jobs.cost_estimate(jobs.profiles(s)),
@@ -396,6 +468,82 @@ def report_sql() -> str:
       count_if(corrected) AS corrections, count(phase_error) AS phase_errors, count_if(phase IN ({", ".join(map(lit, rules.GENERIC_PHASES))})) AS generic_phases, count(DISTINCT phase) AS phases, concat_ws(',', {", ".join(missing)}) AS missing FROM w3 GROUP BY 1)"""
 
 
+def fold_sql(rows: str, kind: str, step: str) -> str:
+    """A fold over the rows of each job by ``i`` from 1; ``kept`` is the list so far. Gives ``got`` (job_id, x)."""
+    return f"""f AS (SELECT job_id, 0 AS i, []::{kind}[] AS kept FROM (SELECT DISTINCT job_id FROM {rows}) UNION ALL SELECT f.job_id, q.i, {step} FROM f JOIN {rows} q ON q.job_id = f.job_id AND q.i = f.i + 1),
+    got AS (SELECT job_id, unnest(arg_max(kept, i)) AS x FROM f GROUP BY job_id)"""
+
+
+TOLD = f"{SCREENS}, told AS (SELECT job_id, ord, time_sec, {sql_class('ocr_text', rules.SYSTEMS, 'Other')} AS system, ocr_text AS text, visual_score AS diff_score, {sql_tokens('ocr_text')} AS tok, k FROM screens)"
+READ = f"{FRAMES}, texts(i, t) AS (VALUES {duck_rows(R.TEXTS)}), read AS (SELECT job_id, ord AS segment, pos, role, t AS text, (k * 7 + pos * 13) % 10 / 10 AS structure FROM frames, (VALUES (0, 'stable_frame'), (1, 'entry_frame'), (2, 'after_frame')) r(pos, role), texts WHERE k % 8 <> 5 AND i = (k + 5 * pos) % {len(R.TEXTS)})"
+FRAMED = "coalesce(lag(time_sec) OVER w, time_sec) AS start_time, coalesce(lead(time_sec) OVER w, time_sec) AS end_time, row_number() OVER w AS event_id"
+
+
+def evidence_sql() -> dict[str, str]:
+    jac = f"({sql_jaccard('q.tok', 'kept[-1].tok', 0.0)})"
+    entry = "{'ord': q.ord, 'time_sec': q.time_sec, 'system': q.system, 'text': q.text, 'diff_score': q.diff_score, 'tok': q.tok}"
+    like = f"len(kept) > 0 AND q.system = kept[-1].system AND ({jac} > 0.82 OR (q.diff_score < 0.025 AND q.text = ''))"
+    cluster = f"CASE WHEN {like} THEN CASE WHEN length(q.text) > length(kept[-1].text) THEN list_append(kept[:-2], {entry}) ELSE kept END ELSE list_append(kept, {entry}) END"
+    event = "STRUCT(ord BIGINT, time_sec DOUBLE, system VARCHAR, text VARCHAR, diff_score DOUBLE, tok VARCHAR[])"
+    terms = " + ".join(f"contains(lower(text), {lit(t)})::INT" for t in rules.BUSINESS_TERMS)
+    score = "round(q.terms + least(4.0, q.diff_score * 60) + (q.system <> 'Other')::INT + least(3.0, length(q.text) / 180) + CASE WHEN len(kept) > 0 AND q.system <> kept[-1].system THEN 2.0 ELSE 0.0 END + CASE WHEN q.hint IN ('filter', 'export', 'data entry', 'post/save') THEN 1.5 ELSE 0.0 END, 6)"
+    scored = "{'ord': q.ord, 'time_sec': q.time_sec, 'system': q.system, 'text': q.text, 'tok': q.tok, 'ends': q.ends, 'n_ends': q.n_ends, 'score': " + score + "}"
+    prune = f"CASE WHEN len(kept) > 0 AND q.diff_score < 0.018 AND {jac} > 0.7 AND q.system = kept[-1].system THEN kept ELSE list_append(kept, {scored}) END"
+    frame = lambda n: f"CASE WHEN ({n}) % 10 <> 3 THEN 'f' || ({n}) END"
+    pick = "CASE WHEN len(list_filter(kept, lambda e: e.path = q.path)) > 0 OR (q.score < 0.02 AND NOT q.forced AND len(list_filter(kept, lambda e: bit_count(xor(e.h, q.h)) <= 2)) > 0) OR len(kept) >= 30 THEN kept ELSE list_append(kept, {'segment': q.segment, 'role': q.role, 'path': q.path, 'h': q.h}) END"
+    clash = "len(list_filter(kept, lambda e: e.ord = q.ord OR (NOT q.force AND (abs(e.time_sec - q.time_sec) < q.wide OR bit_count(xor(e.h, q.h)) <= 4)))) > 0"
+    spread = f"CASE WHEN {clash} OR len(kept) >= 20 THEN kept ELSE list_append(kept, {{'ord': q.ord, 'time_sec': q.time_sec, 'h': q.h, 'reason': q.reason}}) END"
+    hint = sql_class("text", rules.HINTS, "review")
+    return {
+        "evidence_pick": f"""WITH RECURSIVE {FRAMES}, s AS (SELECT job_id, ord AS segment, (k % 5 * 1023)::BIGINT AS h, round(boundary_score / 10, 6) AS score, k % 9 = 0 AS forced, unnest([{{'go': 1, 'at': 0, 'role': 'stable_frame', 'path': {frame("ord")}}},
+            {{'go': 2, 'at': 1, 'role': 'entry_frame', 'path': {frame("ord - k % 2")}}}, {{'go': 2, 'at': 2, 'role': 'after_frame', 'path': {frame("ord + 1")}}}]) AS x FROM frames),
+            o AS (SELECT job_id, segment, h, score, forced, x.role AS role, x.path AS path, row_number() OVER (PARTITION BY job_id ORDER BY x.go, segment, x.at) AS i FROM s WHERE x.path IS NOT NULL),
+            {fold_sql("o", "STRUCT(segment BIGINT, role VARCHAR, path VARCHAR, h BIGINT)", pick)}, b AS (SELECT job_id, generate_subscripts(kept, 1) AS event_id, unnest(kept) AS x FROM (SELECT job_id, arg_max(kept, i) AS kept FROM f GROUP BY 1))
+            SELECT job_id, event_id, x.segment AS segment, x.role AS role, x.path AS path FROM b""",
+        "role_score": f"""WITH {READ}, m AS (SELECT *, CASE WHEN len({sql_tokens("text")}) = 0 THEN 0.0 ELSE least(1.0, 0.55 * least(1.0, len({sql_tokens("text")}) / 18) + 0.45 * least(1.0, length(trim(text)) / 180)) END AS s,
+            CASE WHEN role = 'stable_frame' THEN 0.03 ELSE 0.08 END + CASE WHEN {sql_has("lower(text)", rules.DIALOG_TERMS)} THEN 0.12 ELSE 0.0 END AS bonus FROM read),
+            n AS (SELECT *, round(CASE WHEN s = 0 THEN 0.7 * structure ELSE 0.6 * s + 0.3 * structure END + bonus, 9) AS score FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY job_id, segment ORDER BY score DESC, pos) AS nth FROM n)
+            SELECT job_id, segment, role, round(score, 6) AS score, round(s, 3) AS strength FROM r WHERE nth = 1""",
+        "ocr_join": f"WITH {READ} SELECT frames.job_id, frames.ord AS segment, count(role)::INT AS n, coalesce(max(text) FILTER (WHERE role = 'entry_frame'), '') AS entry_text FROM frames LEFT JOIN read ON read.job_id = frames.job_id AND read.segment = frames.ord GROUP BY 1, 2",
+        "ocr_stride": f"WITH {FRAMES}, n AS (SELECT *, count(*) OVER (PARTITION BY job_id) AS n FROM frames) SELECT job_id, ord FROM n WHERE n <= 9 OR (ord % greatest(1, n // 9) = 0 AND ord < n // 9 * 8) OR ord = n - 1",
+        "ambiguous_boundaries": f"WITH RECURSIVE {QUALIFIED}, r AS (SELECT job_id, ord, round(abs(boundary_score - 0.16), 6) AS distance FROM cand) SELECT job_id, ord, distance FROM r QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY distance, ord) <= 4",
+        "boundary_merges": f"""WITH RECURSIVE {SPANS}, g AS (SELECT *, sum((segment = 1 OR (start_ord + segment) % 3 <> 0)::INT) OVER (PARTITION BY job_id ORDER BY segment) AS event_id FROM spans)
+            SELECT job_id, event_id, min(start_ord) AS start_ord, max(end_ord) AS end_ord, min(start_time) AS start_time, max(end_time) AS end_time, sum(frame_count) AS frame_count, count(*) - 1 AS merged FROM g GROUP BY 1, 2""",
+        "cluster_events": f"""WITH RECURSIVE {TOLD}, o AS (SELECT *, ord + 1 AS i FROM told), {fold_sql("o", event, cluster)},
+            c AS (SELECT job_id, x.ord AS ord, x.time_sec AS time_sec, x.system AS system, x.text AS text, x.diff_score AS diff_score FROM got),
+            k AS (SELECT * FROM c WINDOW p AS (PARTITION BY job_id) QUALIFY count(*) OVER p <= 40 OR ord = min(ord) OVER p OR ord = max(ord) OVER p OR row_number() OVER (PARTITION BY job_id ORDER BY diff_score DESC, ord) <= 38)
+            SELECT *, {FRAMED}, {hint} AS action_hint FROM k WINDOW w AS (PARTITION BY job_id ORDER BY ord)""",
+        "prune_events": f"""WITH RECURSIVE {TOLD}, a AS (SELECT *, ord = min(ord) OVER p OR ord = max(ord) OVER p AS ends, CASE WHEN min(ord) OVER p = max(ord) OVER p THEN 1 ELSE 2 END AS n_ends, {terms} AS terms, {hint} AS hint,
+            row_number() OVER (PARTITION BY job_id, system, lower(text) ORDER BY ord) AS nth FROM told WINDOW p AS (PARTITION BY job_id)),
+            o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ord) AS i FROM a WHERE nth = 1 AND (ends OR NOT (len(tok) <= 4 AND terms = 0 AND system = 'Other'))),
+            {fold_sql("o", "STRUCT(ord BIGINT, time_sec DOUBLE, system VARCHAR, text VARCHAR, tok VARCHAR[], ends BOOLEAN, n_ends INT, score DOUBLE)", prune)},
+            c AS (SELECT job_id, x.ord AS ord, x.time_sec AS time_sec, x.system AS system, x.text AS text, x.score AS score, x.ends AS ends, x.n_ends AS n_ends FROM got),
+            k AS (SELECT job_id, ord, time_sec, system, text, score FROM c QUALIFY count(*) OVER (PARTITION BY job_id) <= 12 OR ends OR row_number() OVER (PARTITION BY job_id, ends ORDER BY score DESC, ord) <= 12 - n_ends)
+            SELECT *, {FRAMED}, {hint} AS action_hint FROM k WINDOW w AS (PARTITION BY job_id ORDER BY ord)""",
+        "representative_frames": f"""WITH RECURSIVE {FRAMES}, n AS (SELECT job_id, ord, time_sec, visual_score AS diff, (k * 91193)::BIGINT AS h, count(*) OVER (PARTITION BY job_id) AS n FROM frames), s AS (SELECT *, greatest(1, n // 8) AS stride FROM n WHERE n > 20),
+            t AS (SELECT job_id, ord, time_sec, h, 0 AS turn, 0.0::DOUBLE AS key, 0.0 AS wide, 'first' AS reason, true AS force FROM s WHERE ord = 0 UNION ALL SELECT job_id, ord, time_sec, h, 1, 0.0, 0.0, 'last', true FROM s WHERE ord = n - 1
+              UNION ALL SELECT job_id, ord, time_sec, h, 2, ord, 8.0, 'even', false FROM s WHERE ord % stride = 0 UNION ALL SELECT job_id, ord, time_sec, h, 3, -diff, 8.0, 'change', false FROM s WHERE diff >= 0.01 UNION ALL SELECT job_id, ord, time_sec, h, 4, ord, 4.0, 'fill', false FROM s),
+            o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY turn, key, ord) AS i FROM t), {fold_sql("o", "STRUCT(ord BIGINT, time_sec DOUBLE, h BIGINT, reason VARCHAR)", spread)}
+            SELECT job_id, ord, 'all' AS reason FROM n WHERE n <= 20 UNION ALL SELECT job_id, x.ord, x.reason FROM got""",
+    }
+
+
+def job_sql() -> dict[str, str]:
+    px = "list_transform(embedding, lambda v: round(127.5 + 127.5 * greatest(-1.0, least(1.0, v::DOUBLE)))::INT)"
+    log = """l AS (SELECT o_custkey AS id, epoch_us(o_orderdate) AS updated, o_orderkey AS seq, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 100 / 100 END AS progress,
+        CASE WHEN o_orderkey % 7 = 0 THEN '{broken' WHEN o_orderkey % 2 = 0 THEN '{"extraction": ' || o_orderkey % 100 || ', "cleanup": ' || 100 - o_orderkey % 100 || '}' END AS meta FROM orders),
+        j AS (SELECT id, arg_max(status, (updated, seq)) FILTER (WHERE status IS NOT NULL) AS status, arg_max(progress, (updated, seq)) FILTER (WHERE progress IS NOT NULL) AS progress, arg_max(meta, (updated, seq)) FILTER (WHERE meta IS NOT NULL) AS meta, max(updated) AS updated FROM l GROUP BY 1),
+        p AS (SELECT *, CASE WHEN json_valid(meta) THEN json_extract_string(meta, '$.extraction') END AS a FROM j)"""
+    return {
+        "job_state": f"WITH {log} SELECT id, status, progress, updated, coalesce(a, '') AS extraction FROM p",
+        "slowest_stage": f"WITH {log} SELECT id, CASE WHEN a::INT > 50 THEN 'extraction' ELSE 'cleanup' END AS stage, greatest(a::DOUBLE, 100 - a::DOUBLE) AS seconds FROM p WHERE a IS NOT NULL",
+        "capabilities": """SELECT c_custkey AS id, k AS model_ready, CASE WHEN k THEN 'production_vision' WHEN c_custkey % 2 = 0 THEN 'local_ocr_draft' ELSE 'diagnostic_only' END AS mode,
+            CASE WHEN k THEN 'production_vision' WHEN c_custkey % 5 > 0 THEN 'local_ocr_draft' ELSE 'diagnostic_only' END AS mode_after_text FROM (SELECT c_custkey, c_custkey % 4 = 1 AND c_custkey % 3 <> 0 AS k FROM customer)""",
+        "job_evaluation": f"WITH {quality_sql().replace('SELECT job_id, n_events', ', rep AS (SELECT job_id, n_events', 1)}) SELECT job_id, generation_source, count(*) AS steps, count_if(confidence <> 'high') AS low_confidence, any_value(readiness) = 'demo_ready' AND bool_or(generation_source = 'diagnostic_fallback') AS fault FROM phased JOIN rep USING (job_id) GROUP BY 1, 2",
+        "pixel_diff": f"WITH p AS (SELECT vec_id, {px} AS x FROM embeddings) SELECT a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: abs(a.x[i] - b.x[i]))) / 64 / 255, 6) AS diff FROM p a JOIN p b ON b.vec_id = a.vec_id + 1",
+    }
+
+
 COUNTED = "before steps merged noise passive duplicates low diagnostic generic operational contextual checkpoints review_runs long corrections phase_errors generic_phases phases".split()
 
 
@@ -437,7 +585,7 @@ def oracle_sql() -> dict[str, str]:
     session = "SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 10800000000 THEN 0 ELSE 1 END AS mark FROM events"
     calls = "least(max_calls, ceil(max_events / batch) + (risky > 0)::INT + (reviews > 0)::INT)"
     made = "least(max_events, batch * least(ceil(max_events / batch), greatest(0, max_calls - (risky > 0)::INT - (reviews > 0)::INT)))"
-    return {
+    return evidence_sql() | job_sql() | {
         "threshold_by_job": f"WITH {THRESHOLD} SELECT * FROM th",
         "frame_deltas": f"""WITH {FRAMES} SELECT job_id, ord, round(abs(coalesce(boundary_score - lag(boundary_score) OVER w, 0)), 6) AS score_delta, round(abs(coalesce(visual_score - lag(visual_score) OVER w, 0)), 6) AS visual_delta,
             round(abs(coalesce(time_sec - lag(time_sec) OVER w, 0)), 6) AS gap FROM frames WINDOW w AS (PARTITION BY job_id ORDER BY ord)""",
