@@ -89,15 +89,17 @@ def checkpoint(action: Column, expected: Column) -> Column:
     return verb & (a.rlike(r"\bthat\b") | matches_any(normalized(expected), [rf"\b{v}\b" for v in rules.CHECK_OUTPUTS]))
 
 
-def noise(action: Column, expected: Column) -> Column:
+def noise(action: Column, expected: Column, acts: Column | None = None) -> Column:
+    """``acts``: whether the action is meaningful, if that is known already."""
     both = F.trim(F.concat_ws(" ", normalized(action), normalized(expected)))
     always = matches_any(both, ["presenter", "outro", "social", "youtube", "subscribe"])
-    return matches_any(both, rules.NOISE) & (always | ~meaningful(action))
+    return matches_any(both, rules.NOISE) & (always | ~(meaningful(action) if acts is None else acts))
 
 
-def passive(action: Column, expected: Column) -> Column:
+def passive(action: Column, expected: Column, acts: Column | None = None, checks: Column | None = None) -> Column:
+    """``acts``, ``checks``: whether the step is meaningful and a checkpoint, if that is known already."""
     seen = matches_any(normalized(action), rules.PASSIVE) | normalized(expected).rlike(r"\bscreen is visible\b|\bscreen remains visible\b")
-    return seen & ~checkpoint(action, expected) & ~meaningful(action)
+    return seen & ~(checkpoint(action, expected) if checks is None else checks) & ~(meaningful(action) if acts is None else acts)
 
 
 def review_style(action: Column) -> Column:

@@ -17,14 +17,16 @@ def frame_deltas(frames: DataFrame) -> DataFrame:
 
 def thresholds(frames: DataFrame) -> DataFrame:
     """One row per job: median, mad, percentile, threshold over all frames but the first."""
-    rest = frames.where("ord > 0").select("job_id", F.col("boundary_score").alias("x"))
-    one = rest.groupBy("job_id").agg(F.median("x").alias("median"), F.percentile("x", 0.88).alias("p88"), F.percentile("x", 0.94).alias("p94"), (F.max("x") - F.min("x")).alias("range"))
-    mad = rest.join(one, "job_id").groupBy("job_id").agg(F.median(F.abs(F.col("x") - F.col("median"))).alias("mad"))
-    out = one.join(mad, "job_id").withColumn("mad", F.when(F.col("mad") == 0, 1e-6).otherwise(F.col("mad")))
+    x = F.when(F.col("ord") > 0, F.col("boundary_score"))
+    one = frames.groupBy("job_id").agg(F.median(x).alias("median"), F.percentile(x, 0.88).alias("p88"), F.percentile(x, 0.94).alias("p94"), (F.max(x) - F.min(x)).alias("range"), F.collect_list(x).alias("all"))
+    # A recording has few frames, so its deviations fit one row; this saves two more passes over the frames.
+    one = one.withColumn("all", F.array_sort(F.transform("all", lambda v: F.abs(v - F.col("median")))))
+    middle = lambda i: F.try_element_at("all", (F.floor(i) + 1).cast("int"))
+    mad = (middle((F.size("all") - 1) / 2) + middle(F.size("all") / 2)) / 2
+    out = one.withColumn("mad", mad).withColumn("mad", F.when(F.col("mad") == 0, 1e-6).otherwise(F.col("mad")))
     limit = F.when(F.col("range") < 0.03, F.col("p94")).otherwise(F.greatest(F.col("median") + 2.5 * F.col("mad"), F.col("p88")))
     found = out.select("job_id", "median", "mad", F.when(F.col("range") < 0.03, F.col("p94")).otherwise(F.col("p88")).alias("percentile"), limit.alias("threshold"))
-    jobs = frames.select("job_id").distinct().join(found, "job_id", "left")
-    return jobs.select("job_id", *[F.round(F.coalesce(c, F.lit(d)), 6).alias(c) for c, d in (("median", 0.0), ("mad", 0.0), ("percentile", 1.0), ("threshold", 1.0))])
+    return found.select("job_id", *[F.round(F.coalesce(c, F.lit(d)), 6).alias(c) for c, d in (("median", 0.0), ("mad", 0.0), ("percentile", 1.0), ("threshold", 1.0))])
 
 
 def boundary_candidates(frames: DataFrame, max_segments: int = 20, min_stable: float = 3.0) -> DataFrame:
@@ -69,15 +71,17 @@ def split_long(spans: DataFrame, frames: DataFrame, longest: float = 30.0) -> Da
 
     Each of the k - 1 targets at i / k takes the nearest inner frame with a score of 0.01 or more (of equals the
     higher score, then the earlier), or else the frame at that share of the span."""
-    k = F.greatest(F.lit(2), F.ceil((F.col("end_time") - F.col("start_time")) / longest).cast("int"))
-    long = spans.where(F.col("end_time") - F.col("start_time") > longest).withColumn("k", k)
-    targets = long.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k") - 1))).withColumn("target", F.col("start_time") + (F.col("end_time") - F.col("start_time")) * F.col("i") / F.col("k"))
+    lasts = F.col("end_time") - F.col("start_time")
+    k = F.when(lasts > longest, F.greatest(F.lit(2), F.ceil(lasts / longest).cast("int"))).otherwise(1)
+    # i = 0 stands for the span's own start.
+    targets = spans.withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("target", F.col("start_time") + (F.col("end_time") - F.col("start_time")) * F.col("i") / F.col("k"))
     inner = frames.where("boundary_score >= 0.01").select(F.col("job_id").alias("j"), F.col("ord").alias("o"), F.col("time_sec").alias("t"), F.col("boundary_score").alias("s"))
-    near = targets.join(inner, (F.col("j") == F.col("job_id")) & (F.col("o") > F.col("start_ord")) & (F.col("o") < F.col("end_ord") - 1), "left")
+    near = targets.join(inner, (F.col("i") > 0) & (F.col("j") == F.col("job_id")) & (F.col("o") > F.col("start_ord")) & (F.col("o") < F.col("end_ord") - 1), "left")
     best = near.groupBy("job_id", "segment", "start_ord", "end_ord", "i", "k").agg(F.min_by("o", F.struct(F.abs(F.col("t") - F.col("target")), -F.col("s"), F.col("o"))).alias("o"))
     share = F.least(F.col("end_ord") - 1, F.greatest(F.col("start_ord") + 1, F.rint(F.col("start_ord") + (F.col("end_ord") - F.col("start_ord")) * F.col("i") / F.col("k")).cast("int")))
-    cuts = best.select("job_id", "segment", F.coalesce("o", share).alias("cut"), "start_ord", "end_ord").where("cut > start_ord and cut < end_ord")
-    edges = spans.select("job_id", "segment", F.col("start_ord").alias("cut"), "end_ord").unionByName(cuts.select("job_id", "segment", "cut", "end_ord")).distinct()
+    cut = F.when(F.col("i") == 0, F.col("start_ord")).otherwise(F.coalesce("o", share))
+    cuts = best.select("job_id", "segment", "i", cut.alias("cut"), "start_ord", "end_ord").where("i = 0 or (cut > start_ord and cut < end_ord)")
+    edges = cuts.select("job_id", "segment", "cut", "end_ord").distinct()
     w = Window.partitionBy("job_id", "segment").orderBy("cut")
     return edges.select(
         "job_id", "segment", F.row_number().over(w).alias("part"), F.col("cut").alias("start_ord"), F.coalesce(F.lead("cut").over(w), F.col("end_ord")).alias("end_ord"),

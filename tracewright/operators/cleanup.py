@@ -14,7 +14,8 @@ BY_NUMBER = "step_number"
 
 def step_flags(steps: DataFrame) -> DataFrame:
     a, e = F.col("action"), F.col("expected_output")
-    return steps.withColumns({"meaningful": meaningful(a), "checkpoint": checkpoint(a, e), "noise": noise(a, e), "passive": passive(a, e), "review": review_style(a), "generic": generic_review(a)})
+    rows = steps.withColumns({"meaningful": meaningful(a), "checkpoint": checkpoint(a, e), "review": review_style(a), "generic": generic_review(a)})
+    return rows.withColumns({"noise": noise(a, e, F.col("meaningful")), "passive": passive(a, e, F.col("meaningful"), F.col("checkpoint"))})
 
 
 def chronology(steps: DataFrame) -> DataFrame:
@@ -61,11 +62,12 @@ def terms_in(tokens: Column, terms: list[str]) -> Column:
 def described(steps: DataFrame) -> DataFrame:
     """Adds what pairs are compared by."""
     a, e = text_of(F.col("action")), text_of(F.col("expected_output"))
-    words = content_tokens(F.concat_ws(" ", a, e))
+    words = F.col("words")
     details = F.array_sort(F.array_union(F.array_intersect(words, F.array(*map(F.lit, rules.DETAIL_TERMS))), F.filter(words, lambda w: w.rlike("^[0-9]+$"))))
     body = normalized(F.concat_ws(" ", a, e))
     fields = F.filter(F.array(*map(F.lit, rules.FIELD_TERMS)), lambda t: normalized(a).contains(t))
-    return steps.withColumns({"body": body, "fields": fields, "pivot": normalized(a).contains("pivottable"), "words": words, "action_words": content_tokens(a), "expected_words": content_tokens(e), "targets": terms_in(words, rules.DOMAIN_TERMS), "details": details, "roots": terms_in(action_roots(a), rules.VERBS)})
+    steps = steps.withColumn("words", content_tokens(F.concat_ws(" ", a, e)))
+    return steps.withColumns({"body": body, "fields": fields, "pivot": normalized(a).contains("pivottable"), "action_words": content_tokens(a), "expected_words": content_tokens(e), "targets": terms_in(words, rules.DOMAIN_TERMS), "details": details, "roots": terms_in(action_roots(a), rules.VERBS)})
 
 
 # Phrases that name one intent.

@@ -29,8 +29,8 @@ def paired(df: DataFrame, edge: Column, *order: str) -> DataFrame:
 
 
 def fold(df: DataFrame, columns: list[str], order: list[str], start: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
-    """job_id, state: a fold over each job's rows in order, for decisions that depend on earlier decisions.
+    """job_id, state, rows: a fold over each job's rows in order, for decisions that depend on earlier decisions.
 
     A job is one recording, whose rows are few by nature; jobs run in parallel."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order])))
-    return df.groupBy("job_id").agg(F.aggregate(rows, start, step).alias("state"))
+    rows = F.array_sort(F.collect_list(F.struct(*order, *[c for c in dict.fromkeys(columns) if c not in order])))
+    return df.groupBy("job_id").agg(rows.alias("rows")).select("job_id", F.aggregate("rows", start, step).alias("state"), "rows")

@@ -23,11 +23,17 @@ def smooth_systems(screens: DataFrame) -> DataFrame:
 
 
 def text_deltas(screens: DataFrame) -> DataFrame:
-    """text_delta (1 - token Jaccard to the previous row) and system_delta of each row."""
+    """job_id, ord, text_delta, system_delta of each row."""
+    return with_deltas(screens).select("job_id", "ord", "text_delta", "system_delta")
+
+
+def with_deltas(screens: DataFrame) -> DataFrame:
+    """Adds text_delta (1 - token Jaccard to the previous row) and system_delta."""
     w = in_order()
     before = F.coalesce(F.lag("ocr_text").over(w), F.lit(""))
     changed = (F.lag("system").over(w) != "Other") & (F.lag("system").over(w) != F.col("system"))
-    return screens.withColumn("before", before).select("job_id", "ord", F.round(1 - jaccard(tokens(F.col("before")), tokens(F.col("ocr_text")), 1.0), 6).alias("text_delta"), F.coalesce(changed.cast("int"), F.lit(0)).alias("system_delta"))
+    rows = screens.withColumns({"before": before, "system_delta": F.coalesce(changed.cast("int"), F.lit(0))})
+    return rows.withColumn("text_delta", F.round(1 - jaccard(tokens(F.col("before")), tokens(F.col("ocr_text")), 1.0), 6)).drop("before")
 
 
 def repeated_runs(rows: DataFrame, state: str) -> DataFrame:
@@ -37,12 +43,12 @@ def repeated_runs(rows: DataFrame, state: str) -> DataFrame:
     return rows.withColumn("dense_repeated_run", F.coalesce(same, F.lit(False)))
 
 
-def screen_states(screens: DataFrame) -> DataFrame:
-    """job_id, ord, screen_state_id: leader clustering in order.
+def screen_states(screens: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """job_id, ord, screen_state_id and the columns to keep: leader clustering in order.
 
     A row joins the first state of its system whose hash is within 8 bits or whose tokens overlap by more than
     0.72; a textless Other row with a boundary over 0.02 joins none that is textless too. Leaders don't change."""
-    kind = "struct<states:array<struct<system:string,hash:string,tok:array<string>>>,out:array<struct<ord:int,id:int>>>"
+    kind = "struct<states:array<struct<system:string,hash:string,tok:array<string>>>,out:array<int>>"
 
     def step(s, x):
         fit = lambda st: (st["system"] == x["system"]) & ~((F.size(st["tok"]) == 0) & (F.size(x["tok"]) == 0) & (x["system"] == "Other") & (x["boundary_score"] > 0.02)) & (
@@ -50,20 +56,22 @@ def screen_states(screens: DataFrame) -> DataFrame:
         at = F.array_position(F.transform(s["states"], lambda st: F.coalesce(fit(st), F.lit(False))), True).cast("int")
         new = F.array_append(s["states"], F.struct(x["system"].alias("system"), x["hash"].alias("hash"), x["tok"].alias("tok")))
         number = F.when(at > 0, at).otherwise(F.size(s["states"]) + 1)
-        return F.struct(F.when(at > 0, s["states"]).otherwise(new).alias("states"), F.array_append(s["out"], F.struct(x["ord"].alias("ord"), number.alias("id"))).alias("out"))
+        return F.struct(F.when(at > 0, s["states"]).otherwise(new).alias("states"), F.array_append(s["out"], number).alias("out"))
 
-    start = F.struct(F.array().cast("array<struct<system:string,hash:string,tok:array<string>>>").alias("states"), F.array().cast("array<struct<ord:int,id:int>>").alias("out")).cast(kind)
+    start = F.struct(F.array().cast("array<struct<system:string,hash:string,tok:array<string>>>").alias("states"), F.array().cast("array<int>").alias("out")).cast(kind)
     rows = screens.withColumn("tok", tokens(F.col("ocr_text")))
-    got = fold(rows, ["ord", "system", "hash", "tok", "boundary_score"], ["ord"], start, step)
-    return got.select("job_id", F.explode("state.out").alias("x")).select("job_id", "x.ord", F.col("x.id").alias("screen_state_id"))
+    got = fold(rows, ["ord", "system", "hash", "tok", "boundary_score", *keep], ["ord"], start, step)
+    both = got.select("job_id", F.explode(F.arrays_zip("rows", F.col("state.out").alias("id"))).alias("x"))
+    return both.select("job_id", *[f"x.rows.{c}" for c in dict.fromkeys(["ord", *keep])], F.col("x.id").alias("screen_state_id"))
 
 
 def scroll_collapse(screens: DataFrame) -> DataFrame:
-    """job_id, event_id, ord, end_time, frame_count, ocr_text: rows that only scroll are merged into the last kept row.
+    """job_id, event_id, ord, end_time, frame_count, ocr_text, system, screen_state_id, boundary_score: rows that only
+    scroll are merged into the last kept row.
 
     With text on both: same system and state, Jaccard over 0.70, boundary under 0.12, visual under 0.01 and no
     operational term. Otherwise: same system and state, visual under 0.01. The longer text is kept."""
-    row = "struct<ord:int,time_sec:double,system:string,state:int,text:string,n:int>"
+    row = "struct<ord:int,time_sec:double,system:string,state:int,text:string,n:int,score:double>"
 
     def step(kept, x):
         last = F.try_element_at(kept, F.lit(-1))
@@ -73,9 +81,9 @@ def scroll_collapse(screens: DataFrame) -> DataFrame:
         still = (jaccard(tokens(x["ocr_text"]), tokens(last["text"]), 1.0) > 0.70) & (x["boundary_score"] < 0.12) & ~contains_any(words, rules.OPERATIONAL_TERMS)
         merge = (F.size(kept) > 0) & same & F.when(both, still).otherwise(F.lit(True))
         text = F.when(F.length(x["ocr_text"]) > F.length(last["text"]), x["ocr_text"]).otherwise(last["text"])
-        entry = lambda o, t, n: F.struct(o.alias("ord"), x["time_sec"].alias("time_sec"), x["system"].alias("system"), x["screen_state_id"].alias("state"), t.alias("text"), n.alias("n"))
-        merged = F.array_append(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), entry(last["ord"], text, last["n"] + 1))
-        return F.when(F.coalesce(merge, F.lit(False)), merged).otherwise(F.array_append(kept, entry(x["ord"], x["ocr_text"], F.lit(1))))
+        entry = lambda o, t, n, score: F.struct(o.alias("ord"), x["time_sec"].alias("time_sec"), x["system"].alias("system"), x["screen_state_id"].alias("state"), t.alias("text"), n.alias("n"), score.alias("score"))
+        merged = F.array_append(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), entry(last["ord"], text, last["n"] + 1, last["score"]))
+        return F.when(F.coalesce(merge, F.lit(False)), merged).otherwise(F.array_append(kept, entry(x["ord"], x["ocr_text"], F.lit(1), x["boundary_score"])))
 
     got = fold(screens, ["ord", "time_sec", "system", "screen_state_id", "ocr_text", "visual_score", "boundary_score"], ["ord"], F.array().cast(f"array<{row}>"), step)
-    return got.select("job_id", F.posexplode("state").alias("i", "x")).select("job_id", (F.col("i") + 1).alias("event_id"), "x.ord", F.col("x.time_sec").alias("end_time"), F.col("x.n").alias("frame_count"), F.col("x.text").alias("ocr_text"))
+    return got.select("job_id", F.posexplode("state").alias("i", "x")).select("job_id", (F.col("i") + 1).alias("event_id"), "x.ord", F.col("x.time_sec").alias("end_time"), F.col("x.n").alias("frame_count"), F.col("x.text").alias("ocr_text"), "x.system", F.col("x.state").alias("screen_state_id"), F.col("x.score").alias("boundary_score"))

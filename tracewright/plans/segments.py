@@ -23,12 +23,11 @@ def segments_of(frames: DataFrame, most: int = 36, longest: float = 30.0) -> Dat
     parts = boundaries.top_spans(boundaries.split_long(spans, frames, longest), frames, most)
     stable = boundaries.stable_frames(parts, frames).select("job_id", F.col("stable_ord").alias("ord"))
     rows = screens.smooth_systems(screens.labelled(frames.join(stable, ["job_id", "ord"])))
-    rows = rows.join(screens.text_deltas(rows), ["job_id", "ord"])
+    rows = screens.with_deltas(rows)
     action = F.when(hint_of(F.col("ocr_text")).isin(TELLING), 1.0).otherwise(0.3)
     rows = rows.withColumn("boundary_score", F.round(segment_score(F.col("visual_score"), F.col("text_delta"), F.col("system_delta"), action), 4))
-    rows = rows.join(screens.screen_states(rows), ["job_id", "ord"])
-    kept = screens.scroll_collapse(rows).join(rows.select("job_id", "ord", "system", "screen_state_id", "boundary_score"), ["job_id", "ord"])
-    return screens.repeated_runs(kept, "screen_state_id")
+    rows = screens.screen_states(rows, keep=("time_sec", "system", "ocr_text", "visual_score", "boundary_score"))
+    return screens.repeated_runs(screens.scroll_collapse(rows), "screen_state_id")
 
 
 def job_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
