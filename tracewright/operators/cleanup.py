@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import rules
+from tracewright.functions.score import seconds_in
 from tracewright.functions.text import action_roots, checkpoint, contains_any, content_tokens, generic_review, jaccard, meaningful, noise, normalized, passive, review_style, text_of
 from tracewright.operators.ordered import in_order, paired, run_id
 
@@ -24,6 +25,18 @@ def chronology(steps: DataFrame) -> DataFrame:
     return steps.withColumn("prior_time", prior).where("time_sec < prior_time").select("job_id", "step_number", "time_sec", "prior_time")
 
 
+def ordering_keys(steps: DataFrame) -> DataFrame:
+    """Adds kind and value by which steps are ordered, and ``place``: by time, or the event's number, or the step's.
+
+    The time is the first given of start_time and time_sec, or else the seconds in the screenshot's name. Steps with
+    a time come before those without one. A number that isn't one counts as 0."""
+    time = F.coalesce("start_time", "time_sec", seconds_in(F.col("screenshot")))
+    number = F.coalesce(F.col("step_number").try_cast("double"), F.lit(0.0))
+    event = F.col("event_index").try_cast("double")
+    rows = steps.withColumn("kind", F.when(time.isNotNull(), 0).when(event.isNotNull(), 1).otherwise(2)).withColumn("value", F.coalesce(time, event, number))
+    return rows.withColumn("place", F.row_number().over(in_order("kind", "value", BY_NUMBER)))
+
+
 def in_time(steps: DataFrame) -> DataFrame:
     """Steps renumbered by time, then their number: job_id, original, step_number."""
     return steps.select("job_id", F.col("step_number").alias("original"), F.row_number().over(in_order("time_sec", "step_number")).alias("step_number"))

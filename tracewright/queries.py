@@ -209,6 +209,13 @@ def job_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "updated", "seq", "status", F.when(F.col("seq") % 5 == 0, F.col("x") / 100).alias("progress"), meta.alias("meta"))
 
 
+def q_ordering(spark, sf_dir):
+    k = F.col("k")
+    rows = R.steps(spark, sf_dir).select("job_id", "step_number", "k", "time_sec").withColumns({
+        "start_time": F.when(k % 5 == 0, F.col("time_sec") + 1), "screenshot": F.when(k % 4 == 0, F.format_string("frame_%04d_%05ds.jpg", F.col("step_number"), k * 7)), "event_index": F.when(k % 9 > 0, F.col("step_number") * 2)})
+    return cleanup.ordering_keys(rows.withColumn("time_sec", F.when(k % 3 == 0, F.col("time_sec")))).select("job_id", "step_number", "kind", "value", "place")
+
+
 def q_slowest(spark, sf_dir):
     return jobs.slowest_stage(jobs.job_state(job_updates(spark, sf_dir), ["status", "progress", "meta"]), "meta")
 
@@ -296,6 +303,7 @@ def queries() -> dict[str, Query]:
         "job_document": lambda s, d: jobs.documents(report.cleaned(s, d), report.job_reports(s, d)).select("job_id", F.md5("document").alias("document_md5"), F.size(F.split("document", "\n")).alias("n_lines")),
         "pixel_diff": lambda s, d: pixel_pairs(s, d).select("vec_id", F.round(pixels.diff_score(F.col("before"), F.col("after")), 6).alias("diff")),
         "pixel_structure": lambda s, d: pixels.ssim(pixel_pairs(s, d), 8, 8).select("vec_id", F.round("ssim", 5).alias("ssim")),
+        "ordering_keys": q_ordering,
         "evidence_pick": lambda s, d: evidence.pick_evidence(segment_frames(s, d), 30),
         "role_score": lambda s, d: evidence.role_scores(read_texts(s, d)),
         "ocr_join": q_texts,
@@ -637,6 +645,8 @@ def oracle_sql() -> dict[str, str]:
         "pair_merge": f"WITH {PAIRS} SELECT job_id, me.step_number AS left_number, nxt.step_number AS right_number, CASE WHEN me.score >= nxt.score AND NOT ({SETUP}) THEN me.step_number ELSE nxt.step_number END AS kept FROM p WHERE edge AND nth % 2 = 1",
         "quality_report": f"WITH {quality_sql()}",
         "clean_steps": f"WITH {clean_sql()}, s AS (SELECT *, (phase IS DISTINCT FROM lag(phase) OVER (PARTITION BY job_id ORDER BY place))::INT AS mark FROM phased) SELECT job_id, place, step_number, action, 1 + pair::INT AS n_sources, category, phase, sum(mark) OVER (PARTITION BY job_id ORDER BY place) AS section FROM s",
+        "ordering_keys": f"""WITH {STEPS}, t AS (SELECT *, coalesce(CASE WHEN k % 5 = 0 THEN time_sec + 1 END, CASE WHEN k % 3 = 0 THEN time_sec END, CASE WHEN k % 4 = 0 THEN k * 7.0 END)::DOUBLE AS t, CASE WHEN k % 9 > 0 THEN step_number * 2.0 END AS e FROM steps),
+            v AS (SELECT job_id, step_number, CASE WHEN t IS NOT NULL THEN 0 WHEN e IS NOT NULL THEN 1 ELSE 2 END AS kind, coalesce(t, e, step_number)::DOUBLE AS value FROM t) SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY kind, value, step_number) AS place FROM v""",
         "removal_guards": f"WITH {judged_sql()} SELECT job_id, step_number, removal, guarded, category FROM judged",
         "removed_steps": f"WITH {judged_sql()} SELECT job_id, step_number, CASE WHEN removal = 'filler' AND row_number() OVER (PARTITION BY job_id, removal, body ORDER BY time_sec, step_number) > 1 THEN 'repeated filler' ELSE removal END AS reason FROM judged WHERE removal IS NOT NULL",
         "completeness": f"WITH {report_sql()} SELECT job_id, review_runs, n_events >= 25 AND operational < greatest(12, floor(steps * 0.55)) AS thin, n_events >= 25 AND widest_gap >= 5 AS gappy, missing FROM counts JOIN info USING (job_id)",
