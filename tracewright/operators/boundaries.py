@@ -21,7 +21,7 @@ def thresholds(frames: DataFrame) -> DataFrame:
     one = frames.groupBy("job_id").agg(F.median(x).alias("median"), F.percentile(x, 0.88).alias("p88"), F.percentile(x, 0.94).alias("p94"), (F.max(x) - F.min(x)).alias("range"), F.collect_list(x).alias("all"))
     # A recording has few frames, so its deviations fit one row; this saves two more passes over the frames.
     one = one.withColumn("all", F.array_sort(F.transform("all", lambda v: F.abs(v - F.col("median")))))
-    middle = lambda i: F.try_element_at("all", (F.floor(i) + 1).cast("int"))
+    middle = lambda i: F.get("all", F.floor(i).cast("int"))
     mad = (middle((F.size("all") - 1) / 2) + middle(F.size("all") / 2)) / 2
     out = one.withColumn("mad", mad).withColumn("mad", F.when(F.col("mad") == 0, 1e-6).otherwise(F.col("mad")))
     limit = F.when(F.col("range") < 0.03, F.col("p94")).otherwise(F.greatest(F.col("median") + 2.5 * F.col("mad"), F.col("p88")))
