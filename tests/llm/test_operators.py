@@ -285,6 +285,24 @@ def test_quality(spark):
     assert all(r.kept for r in quality.judge(table(spark, good), labels.limit(0)).collect())
 
 
+def test_quality_all_grams(spark):
+    """Any bound on what is held at once gives the same rows, for a small language beside a hot one too."""
+    rng = random.Random(15)
+    rows = [(i, "".join(rng.choice("abcdefghij klmno") for _ in range(rng.randrange(20, 200))), "hot") for i in range(120)]
+    rows += [(1000 + i, "".join(rng.choice("uvwxyz ") for _ in range(60)), "small") for i in range(20)]
+    rows += [(2000, rows[0][1], "hot"), (2000, rows[0][1], "small"), (2001, "", "hot"), (2002, None, "hot"), (2003, "zz", None), (None, "zz 0123456789" * 9, "small")]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows[:140]], "doc_id long, quality int, toxic int")
+    key = lambda r: (r.doc_id or -1, r.lang or "", r.n_bytes)
+    one, many = (sorted(quality.judge(table(spark, rows), labels, most=most).collect(), key=key) for most in (1_000_000, 6_000))
+    assert len(one) == len(many) == len(rows)
+    for a, b in zip(one, many):
+        assert (a.doc_id, a.lang, a.n_bytes, a.kept) == (b.doc_id, b.lang, b.n_bytes, b.kept)
+        for x in ("bits_per_byte", "threshold"):
+            assert (a[x] is None) == (b[x] is None) and (a[x] is None or abs(a[x] - b[x]) < 1e-6)
+    assert all(r.threshold is not None for r in many if r.lang == "small")
+    assert not next(r for r in many if r.doc_id is None).kept
+
+
 def test_licenses(spark):
     known = licenses.known(spark)
     rows = [(1, "Released under the MIT License."), (2, "Copyright 2020 Me\nRELEASED under the M.I.T licence"), (3, "released   under,\nthe MIT Licence!"), (4, "Prose about the MIT License and more."),

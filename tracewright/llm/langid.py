@@ -50,6 +50,28 @@ def gram_counts(docs: DataFrame, order: int, group: str = "lang", text: str = "t
     return small_batches(own).mapInArrow(count, "grp string, gram long, n long").groupBy("grp", "gram").agg(F.sum("n").alias("n"))
 
 
+def reach(order: int) -> tuple[Column, Column]:
+    """The first and last context of ``order - 1`` bytes, read backwards, that end in the context of a row's gram of ``size`` bytes."""
+    lo = F.lit(0).cast("long")
+    for i in range(order - 1):
+        lo = lo + F.shiftleft(F.shiftrightunsigned("gram", 8 * (i + 1)).bitwiseAND(F.lit(255)), 8 * (order - 2 - i))
+    return lo, lo + F.expr(f"shiftleft(1L, 8 * ({order} - size)) - 1")
+
+
+def spans(rows: DataFrame, n: int, order: int, most: int) -> list[tuple[int, int]]:
+    """Spans of contexts that cover all, each reached by about ``most`` of the ``n`` rows (size, gram). A row is in all it reaches."""
+    parts, cuts = -(-n // most), []
+    if parts > 1:
+        cuts = rows.select(F.percentile_approx(reach(order)[0], [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0]
+    edges = [*sorted({0, *cuts}), 1 << (8 * (order - 1))]
+    return [(a, b - 1) for a, b in zip(edges, edges[1:])]
+
+
+def inside(span: tuple[int, int], order: int) -> Column:
+    lo, hi = reach(order)
+    return (lo <= span[1]) & (hi >= span[0])
+
+
 def bounded(counts: DataFrame, most: int) -> DataFrame:
     """At most ``most`` grams, the most frequent ones: a histogram of counts gives the least count that fits."""
     sizes = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().orderBy(F.desc("b")).collect()

@@ -36,6 +36,14 @@ def grams(text: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
+def backwards(gram: np.ndarray, order: int) -> np.ndarray:
+    """The context of each gram of ``order`` bytes as a number whose highest byte is the newest: contexts that end alike are near."""
+    out = np.zeros(len(gram), np.uint64)
+    for i in range(order - 1):
+        out |= ((gram >> np.uint64(8 * (i + 1))) & np.uint64(255)) << np.uint64(8 * (order - 2 - i))
+    return out
+
+
 def count_grams(data: np.ndarray, offsets: np.ndarray, order: int, lut: np.ndarray | None = None):
     """(gram, count) of the texts, a chunk of bounded size at a time."""
     for i, j in chunks(offsets):
@@ -119,10 +127,14 @@ class Level:
 
 
 class Table:
-    """Levels by size, from 1 up to the order."""
+    """Levels by size, from 1 up to the order.
+
+    With a ``span`` the table knows only contexts that lie in it when read backwards, and scores only
+    positions behind these: bits of tables whose spans cover all contexts once add up to those of the whole.
+    """
 
-    def __init__(self, levels: list[Level]):
-        self.levels, self.order = levels, len(levels)
+    def __init__(self, levels: list[Level], span: tuple[int, int] | None = None):
+        self.levels, self.order, self.span = levels, len(levels), span
         self.width = levels[0].cost.shape[1]
         self.index: list[KeyIndex] | None = None
 
@@ -137,6 +149,9 @@ class Table:
     def costs(self, top: np.ndarray) -> np.ndarray:
         """Bits of each position's byte under each model, from its highest-order gram."""
         total, todo = np.zeros((len(top), self.width), np.float32), np.arange(len(top))
+        if self.span is not None:
+            behind = backwards(top, self.order)
+            todo = np.flatnonzero((behind >= np.uint64(self.span[0])) & (behind <= np.uint64(self.span[1])))
         for k in range(self.order - 1, -1, -1):
             keep = np.uint64((1 << (8 * (k + 1))) - 1)
             gram = top[todo] & keep

@@ -2,8 +2,9 @@
 
 Each language gets a model of order ``order`` trained on all of its trusted texts. Counts, continuation
 counts, discounts and interpolation weights are made by joins of count tables that Spark shards by
-(language, context) and (language, suffix). The frozen probabilities, at most ``most`` top-order grams,
-are scored against whole texts. A text is rejected if its smoothed bits a byte exceed its language's
+(language, context) and (language, suffix). No gram is left out. The frozen probabilities are scored
+against whole texts, about ``most`` grams at a time: a larger model is split by its contexts, and a text's
+bits under the parts are added up. A text is rejected if its smoothed bits a byte exceed its language's
 threshold: the ``quantile`` of trusted texts that were held out of the training, plus ``slack``.
 
 Cases. Null and empty texts carry nothing to keep: kept is false, perplexity null. A text whose language
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import if_small, small_batches, utf8, written
-from tracewright.llm.langid import bounded, gram_counts
+from tracewright.llm.langid import gram_counts, inside, spans
 from tracewright.llm.ngram import Level, Table
 
 HELD_OUT = 8  # one trusted text of so many sets the thresholds and isn't trained on
@@ -69,18 +70,36 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     return every
 
 
-def tables(p: DataFrame, order: int) -> dict[str, Table]:
-    """The frozen models, one for each language; their size was bounded with the counts."""
+def passes(p: DataFrame, order: int, most: int) -> list[list[tuple[str, tuple[int, int]]]]:
+    """All of the models as (lang, span) in lists of about ``most`` grams: what is held at once. None is left out."""
+    out, room = [], 0
+    for lang, n in p.groupBy("lang").count().orderBy("lang").collect():
+        parts = [(lang, x) for x in spans(p.where(F.col("lang") == lang), n, order, most)]
+        if len(parts) == 1 and n <= room:
+            out[-1] += parts
+            room -= n
+        else:
+            out += [[x] for x in parts]
+            room = most - n if len(parts) == 1 else 0
+    return out
+
+
+def tables(p: DataFrame, order: int, part: list[tuple[str, tuple[int, int]]] | None = None) -> dict[str, Table]:
+    """The frozen models, one for each language; with ``part``, only of its languages and spans."""
+    if part is None:
+        part = [(lang, (0, (1 << (8 * (order - 1))) - 1)) for (lang,) in p.select("lang").distinct().collect()]
     out = {}
     cost = [(-F.log2(x)).cast("float").alias(x) for x in ("p", "gamma")]
-    for (lang,) in p.select("lang").distinct().collect():
+    for lang, span in part:
+        rows = p.where((F.col("lang") == lang) & inside(span, order)).select(F.col("size").cast("byte"), "gram", *cost).toArrow()
+        sizes = rows.column("size").to_numpy()
         levels = []
         for size in range(1, order + 1):
-            x = p.where((F.col("lang") == lang) & (F.col("size") == size)).select("gram", "context", *cost).toArrow()
-            gram, context = (x.column(c).to_numpy().view(np.uint64) for c in ("gram", "context"))
-            contexts, first = np.unique(context, return_index=True)
+            x = rows.filter(pa.array(sizes == size))
+            gram = x.column("gram").to_numpy().view(np.uint64)
+            contexts, first = np.unique(gram >> np.uint64(8), return_index=True)
             levels.append(Level(size, gram, x.column("p").to_numpy()[:, None], contexts, x.column("gamma").to_numpy()[first][:, None]))
-        out[lang] = Table(levels)
+        out[lang] = Table(levels, span)
     return out
 
 
@@ -104,6 +123,23 @@ def perplexity(docs: DataFrame, models: dict[str, Table], keep: list[str]) -> Da
     return small_batches(rows).mapInArrow(score, f"{schema}, n_bytes long, bits double")
 
 
+def score(docs: DataFrame, p: DataFrame, order: int, most: int) -> DataFrame:
+    """doc_id, lang, n_bytes and bits of every row, under all grams: models of over ``most`` are scored a part after another."""
+    parts = passes(p, order, most)
+    if len(parts) <= 1:
+        return written(perplexity(docs, tables(p, order, parts[0] if parts else []), ["doc_id", "lang"]), "scored")
+    keyed = docs.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    every = None
+    for i, part in enumerate(parts):
+        mine = keyed.where(F.col("lang").isin([lang for lang, _ in part]))
+        bits = written(perplexity(mine, tables(p, order, part), ["lang", "key"]).select("lang", "key", F.lit(i).alias("part"), "bits"), f"bits{i}")
+        every = bits if every is None else every.unionByName(bits)
+    once = every.groupBy("lang", "key", "part").agg(F.first("bits").alias("bits"))  # equal texts have equal bits
+    bits = once.groupBy("lang", "key").agg(F.sum("bits").alias("bits"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    return written(keyed.join(bits, ["lang", "key"], "left").select("doc_id", "lang", size, "bits"), "scored")
+
+
 def judge(docs: DataFrame, labels: DataFrame, order: int = 5, most: int = 1_000_000, quantile: float = 0.99, slack: float = 0.15, prior: int = 200) -> DataFrame:
     """One row per document: doc_id, lang, n_bytes, bits_per_byte, perplexity (of a byte), threshold, kept.
 
@@ -114,10 +150,8 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = 5, most: int = 1_000_
     trusted = if_small(written(trusted, "trusted"))
     held_out = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     train = docs.where(~held_out).join(trusted, "doc_id", "left_semi")
-    counts = bounded(written(gram_counts(train, order, lower=False), "grams"), most)
-    models = tables(kneser_ney(counts, order), order)
-
-    scored = written(perplexity(docs, models, ["doc_id", "lang"]), "scored")
+    counts = written(gram_counts(train, order, lower=False), "grams")
+    scored = score(docs, kneser_ney(counts, order), order, most)
     base = scored.where(held_out & F.col("bits").isNotNull() & (F.col("n_bytes") > 0)).join(trusted, "doc_id", "left_semi")
     mean = base.groupBy("lang").agg((F.sum("bits") / F.sum("n_bytes")).alias("mean"))
     smooth = (F.col("bits") + prior * F.col("mean")) / (F.col("n_bytes") + prior)
