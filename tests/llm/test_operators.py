@@ -223,6 +223,27 @@ def test_ppm(spark):
     assert {r.lang_pred for r in langid.predict(table(spark, rows), none).collect()} == {"und"}
 
 
+def test_ppm_all_grams(spark, monkeypatch):
+    """Trees that don't fit at once give the same code lengths, and a small language beside a hot one stays."""
+    monkeypatch.setattr(langid, "BLOCK", 2)
+    rng = random.Random(16)
+    train = {"hot": ["".join(rng.choice("abcdefgh ") for _ in range(900)) for _ in range(4)], "mid": ["xyz abc " * 3], "small": ["pqrs tuv"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in train.items() for t in ts)]
+    model = langid.PPM.fit(table(spark, rows), order=4, most=900)
+    tests = ["pqrs", "abc hgf", "xyz", "123", None, "tuv pqrs " * 9, "pqrs"]
+    got = langid.predict(table(spark, list(enumerate(tests))).withColumnRenamed("n", "key"), model, keep=["doc_id", "key"]).collect()
+    assert len(model.parts) > 2 and len(got) == len(tests) and {r.key for r in got} == {1}
+    for r in got:
+        t = tests[r.doc_id]
+        if r.doc_id in (3, 4):
+            assert (r.lang_pred, r.score, r.bits) == ("und", 0.0, 0.0)
+            continue
+        bits = {lang: brute_ppm(ts, t, 4) for lang, ts in train.items()}
+        assert r.lang_pred == min(sorted(bits), key=bits.get) and r.bits == pytest.approx(min(bits.values()), rel=1e-5)
+        assert r.score == pytest.approx(1 / sum(2 ** (min(bits.values()) - x) for x in bits.values()), rel=1e-3)
+    assert {r.lang_pred for r in got if r.doc_id in (0, 5, 6)} == {"small"}
+
+
 def brute_kn(train, order):
     """Interpolated modified Kneser-Ney, recursively by the textbook."""
     counts = {order: Counter()}

@@ -149,7 +149,7 @@ class Table:
     def costs(self, top: np.ndarray) -> np.ndarray:
         """Bits of each position's byte under each model, from its highest-order gram."""
         total, todo = np.zeros((len(top), self.width), np.float32), np.arange(len(top))
-        if self.span is not None:
+        if self.span not in (None, (0, (1 << (8 * (self.order - 1))) - 1)):
             behind = backwards(top, self.order)
             todo = np.flatnonzero((behind >= np.uint64(self.span[0])) & (behind <= np.uint64(self.span[1])))
         for k in range(self.order - 1, -1, -1):
