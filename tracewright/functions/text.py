@@ -49,10 +49,10 @@ def contains_any(x: Column, terms: list[str]) -> Column:
     return matches_any(x, [t.replace(".", r"\.") for t in terms])
 
 
-def best_class(x: Column, classes: dict[str, str], default: str) -> Column:
+def best_class(x: Column, classes: dict[str, list[str]], default: str) -> Column:
     """The class of which most terms occur in the text; of equals the first; the default if none occurs."""
     low = F.lower(text_of(x))
-    score = lambda terms: reduce(lambda a, b: a + b, [low.contains(t).cast("int") for t in terms.split("|")])
+    score = lambda terms: reduce(lambda a, b: a + b, [low.contains(t).cast("int") for t in terms])
     ranked = F.array(*[F.struct(score(terms).alias("n"), F.lit(-i).alias("at"), F.lit(name).alias("name")) for i, (name, terms) in enumerate(classes.items())])
     best = F.array_max(ranked)
     return F.when(best["n"] > 0, best["name"]).otherwise(default)
@@ -67,10 +67,8 @@ def hint_of(x: Column) -> Column:
 
 
 def verb_root(w: Column) -> Column:
-    """The word without its first of the endings ing, ed, s that leaves enough, and creat as create."""
-    n = F.length(w)
-    cut = F.when(w.endswith("ing") & (n > 5), 3).when(w.endswith("ed") & (n > 4), 2).when(w.endswith("s") & (n > 4), 1).otherwise(0)
-    root = F.substr(w, F.lit(1), n - cut)
+    """The word without the endings ing, ed and s, in this order, where enough is left; creat as create."""
+    root = F.regexp_replace(F.regexp_replace(F.regexp_replace(w, "^(.{3,})ing$", "$1"), "^(.{3,})ed$", "$1"), "^(.{4,})s$", "$1")
     return F.when(root == "creat", "create").otherwise(root)
 
 
@@ -178,9 +176,9 @@ def parsed_items(x: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(text_of(x), r"(?s)(\[.*\])", 1), f"array<{schema}>")
 
 
-def holds(conditions: list[tuple[str, str, str]], columns: dict[str, Column]) -> Column:
+def holds(conditions: list[tuple[str, str, list[str]]], columns: dict[str, Column]) -> Column:
     """Whether all of a rule's conditions hold: (column, has or lacks, terms)."""
-    parts = [contains_any(columns[c], terms.split("|")) if op == "has" else ~contains_any(columns[c], terms.split("|")) for c, op, terms in conditions]
+    parts = [contains_any(columns[c], terms) if op == "has" else ~contains_any(columns[c], terms) for c, op, terms in conditions]
     return reduce(lambda a, b: a & b, parts)
 
 

@@ -25,17 +25,19 @@ def thresholds(frames: DataFrame) -> DataFrame:
     mad = (middle((F.size("all") - 1) / 2) + middle(F.size("all") / 2)) / 2
     out = one.withColumn("mad", mad).withColumn("mad", F.when(F.col("mad") == 0, 1e-6).otherwise(F.col("mad")))
     limit = F.when(F.col("range") < 0.03, F.col("p94")).otherwise(F.greatest(F.col("median") + 2.5 * F.col("mad"), F.col("p88")))
-    found = out.select("job_id", "median", "mad", F.when(F.col("range") < 0.03, F.col("p94")).otherwise(F.col("p88")).alias("percentile"), limit.alias("threshold"))
+    found = out.select("job_id", "median", "mad", F.col("p88").alias("percentile"), limit.alias("threshold"))
     return found.select("job_id", *[F.round(F.coalesce(c, F.lit(d)), 6).alias(c) for c, d in (("median", 0.0), ("mad", 0.0), ("percentile", 1.0), ("threshold", 1.0))])
 
 
-def boundary_candidates(frames: DataFrame, max_segments: int = 20, min_stable: float = 3.0) -> DataFrame:
+def boundary_candidates(frames: DataFrame, max_segments: int = 20, min_stable: float | None = None) -> DataFrame:
     """job_id, ord, time_sec, boundary_score, reason: frames that begin a segment.
 
-    A frame qualifies by the threshold or among the job's highest scores. Within ``min_stable`` of the last
-    accepted one it may only replace it, if its score is higher. A job ends at ``max_segments`` - 1."""
+    A frame qualifies by the threshold or among the job's highest scores. Within ``min_stable`` (if none is
+    given 3, for recordings under 20 long 1) of the last accepted one it may only replace it, if its score is higher. A job ends at ``max_segments`` - 1."""
     rank = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("boundary_score"), "ord"))
-    rest = frames.where("ord > 0").withColumn("rank", rank).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("job_id")))
+    every = Window.partitionBy("job_id")
+    calm = F.lit(min_stable) if min_stable is not None else F.when(F.max("time_sec").over(every) - F.min("time_sec").over(every) < 20, 1.0).otherwise(3.0)
+    rest = frames.withColumn("calm", calm).where("ord > 0").withColumn("rank", rank).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("job_id")))
     top = F.least(F.greatest(F.lit(2), F.lit(max_segments // 3)), F.greatest(F.lit(2), F.floor(F.col("n") / 4)))
     high = (F.col("rank") <= top) & (F.col("boundary_score") >= F.greatest(F.lit(0.01), F.col("percentile") * 0.75))
     rest = rest.join(thresholds(frames), "job_id").withColumn("by_score", F.col("boundary_score") >= F.col("threshold")).where(F.col("by_score") | high)
@@ -45,13 +47,13 @@ def boundary_candidates(frames: DataFrame, max_segments: int = 20, min_stable: f
 
     def step(kept, x):
         n, last = F.size(kept), F.try_element_at(kept, F.lit(-1))
-        close = (n > 0) & (x["time_sec"] - last["time_sec"] < min_stable)
+        close = (n > 0) & (x["time_sec"] - last["time_sec"] < x["calm"])
         replaced = F.array_append(F.slice(kept, F.lit(1), F.greatest(n - 1, F.lit(0))), entry(x, F.lit("hysteresis-replace")))
         added = F.array_append(kept, entry(x, F.when(x["by_score"], "adaptive-threshold").otherwise("top-percentile")))
         go = (n == 0) | (n < max_segments - 1)
         return F.when(~go, kept).when(close & (x["boundary_score"] > last["score"]), replaced).when(close, kept).otherwise(added)
 
-    got = fold(rest, ["ord", "time_sec", "boundary_score", "by_score"], ["ord"], F.array().cast(kind), step)
+    got = fold(rest, ["ord", "time_sec", "boundary_score", "by_score", "calm"], ["ord"], F.array().cast(kind), step)
     return got.select("job_id", F.explode("state").alias("x")).select("job_id", "x.ord", "x.time_sec", F.col("x.score").alias("boundary_score"), "x.reason")
 
 
@@ -89,12 +91,12 @@ def split_long(spans: DataFrame, frames: DataFrame, longest: float = 30.0) -> Da
     )
 
 
-def top_spans(parts: DataFrame, frames: DataFrame, most: int) -> DataFrame:
+def top_spans(parts: DataFrame, frames: DataFrame, most: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """The first span and the ``most`` - 1 with the highest score at their start, numbered in order; holes stay."""
     scored = parts.join(frames.select("job_id", F.col("ord").alias("start_ord"), F.col("boundary_score").alias("start_score")), ["job_id", "start_ord"])
     rank = F.row_number().over(Window.partitionBy("job_id").orderBy((F.col("start_ord") != 0).cast("int"), F.desc("start_score"), "start_ord"))
     kept = scored.withColumn("rank", rank).where(F.col("rank") <= most)
-    return kept.select("job_id", F.row_number().over(in_order("start_ord")).alias("event_id"), "start_ord", "end_ord", "start_score", "forced")
+    return kept.select("job_id", F.row_number().over(in_order("start_ord")).alias("event_id"), "start_ord", "end_ord", "start_score", "forced", *keep)
 
 
 def stable_frames(parts: DataFrame, frames: DataFrame) -> DataFrame:

@@ -51,23 +51,15 @@ def workflow_family(steps: DataFrame) -> DataFrame:
 
 
 def phase_of(text: Column, family: Column) -> Column:
-    """The first phase rule of the family that the text meets. The pivot family uses the rules of excel here."""
+    """The first phase rule of the family that the text meets; null for a family without a table."""
     out = None
     for name, table in rules.PHASES.items():
-        case = F.coalesce(*[F.when(contains_any(text, terms.split("|")), phase) for terms, phase in table if terms], F.lit(table[-1][1]))
-        own = F.when((family == name) | ((family == "excel_pivottable") & F.lit(name == "excel")), case)
+        case = F.coalesce(*[F.when(contains_any(text, terms), phase) for terms, phase in table if terms], F.lit(table[-1][1]))
+        own = F.when(family == name, case)
         out = own if out is None else F.coalesce(out, own)
     return out
 
 
-def phases(steps: DataFrame) -> DataFrame:
-    """job_id, step_number, family, phase, section: runs of one phase are sections; a phase may come again."""
-    rows = steps.join(workflow_family(steps), "job_id")
-    text = F.concat_ws(" ", normalized(F.col("action")), normalized(F.col("expected_output")))
-    rows = rows.withColumn("phase", phase_of(text, F.col("family")))
-    return rows.select("job_id", "step_number", "family", "phase", run_id(F.col("phase") != F.lag("phase").over(in_order(BY_NUMBER)), BY_NUMBER).alias("section"))
-
-
 def terms_in(tokens: Column, terms: list[str]) -> Column:
     return F.array_sort(F.array_intersect(tokens, F.array(*map(F.lit, terms))))
 

@@ -14,9 +14,8 @@ def profiles(spark: SparkSession) -> DataFrame:
 
 def with_profile(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     """Jobs with their profile's row, or the default's where the name is unknown."""
-    names = F.array(*map(F.lit, rules.PROFILES))
-    known = F.when(F.array_contains(names, F.coalesce("profile", F.lit(""))), F.col("profile")).otherwise(rules.DEFAULT_PROFILE)
-    return jobs.withColumn("profile", known).join(profiles, "profile")
+    named = jobs.join(profiles.select(F.col("profile").alias("known")).distinct(), F.col("profile") == F.col("known"), "left")
+    return named.withColumn("profile", F.coalesce("known", F.lit(rules.DEFAULT_PROFILE))).drop("known").join(profiles, "profile")
 
 
 def cost_estimate(profiles: DataFrame, prices: dict = rules.PRICES) -> DataFrame:

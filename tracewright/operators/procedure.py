@@ -54,12 +54,19 @@ def phase_error() -> Column:
     return F.when(F.col("family") == "excel_pivottable", first_rule(rules.PHASE_ERRORS, said))
 
 
+def phase_sections(steps: DataFrame) -> DataFrame:
+    """job_id, step_number, family, phase, section: runs of one phase are sections; a phase may come again."""
+    rows = phase_labels(steps)
+    section = run_id(F.col("phase") != F.lag("phase").over(in_order("step_number")), "step_number")
+    return rows.select("job_id", "step_number", "family", "phase", section.alias("section"))
+
+
 def legacy_phases(steps: DataFrame) -> DataFrame:
     """job_id, step_number, phase by the five older phases."""
     text = F.lower(F.concat_ws(" ", text_of(F.col("system")), text_of(F.col("action")), text_of(F.col("expected_output"))))
     phase = F.when(F.col("system") == "Excel", rules.LEGACY_PHASES[0][0])
     for name, terms in rules.LEGACY_PHASES:
-        phase = phase.when(contains_any(text, terms.split("|")), name)
+        phase = phase.when(contains_any(text, terms), name)
     rows = steps.withColumn("phase", phase)
     nth = F.count_if(F.col("phase").isNull()).over(in_order(BY_NUMBER).rowsBetween(Window.unboundedPreceding, 0))
     return rows.select("job_id", BY_NUMBER, F.coalesce("phase", F.when(nth <= rules.LEGACY_FIRST, "Access system").otherwise("Validate")).alias("phase"))
@@ -137,7 +144,7 @@ def job_counts(clean: DataFrame) -> DataFrame:
     action = normalized(F.col("action"))
     text = F.concat_ws(" ", action, normalized(F.col("expected_output")))
     pivot = F.first("family") == "excel_pivottable"
-    any_of = lambda column, terms: F.bool_or(contains_any(column, terms.split("|")))
+    any_of = lambda column, terms: F.bool_or(contains_any(column, terms if isinstance(terms, list) else [terms]))
     missing = []
     for name, evidence, acted, asked, phrases in rules.EXPECTED_ACTIONS:
         done = any_of(action, phrases) if asked else any_of(action, acted) & any_of(action, phrases)

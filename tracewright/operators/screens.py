@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import contains_any, hash_distance, jaccard, system_of, tokens
+from tracewright.functions.text import contains_any, hash_distance, jaccard, system_of, text_of, tokens
 from tracewright.functions import rules
 from tracewright.operators.ordered import fold, in_order
 
@@ -47,20 +47,20 @@ def screen_states(screens: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """job_id, ord, screen_state_id and the columns to keep: leader clustering in order.
 
     A row joins the first state of its system whose hash is within 8 bits or whose tokens overlap by more than
-    0.72; a textless Other row with a boundary over 0.02 joins none that is textless too. Leaders don't change."""
-    kind = "struct<states:array<struct<system:string,hash:string,tok:array<string>>>,out:array<int>>"
+    0.72; an Other row without text and with a boundary over 0.02 joins none without text. Leaders don't change."""
+    kind = "struct<states:array<struct<system:string,hash:string,tok:array<string>,blank:boolean>>,out:array<int>>"
 
     def step(s, x):
-        fit = lambda st: (st["system"] == x["system"]) & ~((F.size(st["tok"]) == 0) & (F.size(x["tok"]) == 0) & (x["system"] == "Other") & (x["boundary_score"] > 0.02)) & (
+        fit = lambda st: (st["system"] == x["system"]) & ~(st["blank"] & x["blank"] & (x["system"] == "Other") & (x["boundary_score"] > 0.02)) & (
             (hash_distance(st["hash"], x["hash"]) <= 8) | (jaccard(st["tok"], x["tok"], 0.0) > 0.72))
         at = F.array_position(F.transform(s["states"], lambda st: F.coalesce(fit(st), F.lit(False))), True).cast("int")
-        new = F.array_append(s["states"], F.struct(x["system"].alias("system"), x["hash"].alias("hash"), x["tok"].alias("tok")))
+        new = F.array_append(s["states"], F.struct(x["system"].alias("system"), x["hash"].alias("hash"), x["tok"].alias("tok"), x["blank"].alias("blank")))
         number = F.when(at > 0, at).otherwise(F.size(s["states"]) + 1)
         return F.struct(F.when(at > 0, s["states"]).otherwise(new).alias("states"), F.array_append(s["out"], number).alias("out"))
 
-    start = F.struct(F.array().cast("array<struct<system:string,hash:string,tok:array<string>>>").alias("states"), F.array().cast("array<int>").alias("out")).cast(kind)
-    rows = screens.withColumn("tok", tokens(F.col("ocr_text")))
-    got = fold(rows, ["ord", "system", "hash", "tok", "boundary_score", *keep], ["ord"], start, step)
+    start = F.struct(F.array().cast("array<struct<system:string,hash:string,tok:array<string>,blank:boolean>>").alias("states"), F.array().cast("array<int>").alias("out")).cast(kind)
+    rows = screens.withColumns({"tok": tokens(F.col("ocr_text")), "blank": F.trim(text_of(F.col("ocr_text"))) == ""})
+    got = fold(rows, ["ord", "system", "hash", "tok", "blank", "boundary_score", *keep], ["ord"], start, step)
     both = got.select("job_id", F.explode(F.arrays_zip("rows", F.col("state.out").alias("id"))).alias("x"))
     return both.select("job_id", *[f"x.rows.{c}" for c in dict.fromkeys(["ord", *keep])], F.col("x.id").alias("screen_state_id"))
 
@@ -69,8 +69,12 @@ def scroll_collapse(screens: DataFrame) -> DataFrame:
     """job_id, event_id, ord, end_time, frame_count, ocr_text, system, screen_state_id, boundary_score: rows that only
     scroll are merged into the last kept row.
 
+    end_time and frame_count are those of all rows merged; without such columns a row is one frame at its time.
     With text on both: same system and state, Jaccard over 0.70, boundary under 0.12, visual under 0.01 and no
     operational term. Otherwise: same system and state, visual under 0.01. The longer text is kept."""
+    for name, of in (("end_time", F.col("time_sec")), ("frame_count", F.lit(1))):
+        screens = screens if name in screens.columns else screens.withColumn(name, of)
+    screens = screens.withColumn("frame_count", F.col("frame_count").cast("int"))
     row = "struct<ord:int,time_sec:double,system:string,state:int,text:string,n:int,score:double>"
 
     def step(kept, x):
@@ -81,9 +85,9 @@ def scroll_collapse(screens: DataFrame) -> DataFrame:
         still = (jaccard(tokens(x["ocr_text"]), tokens(last["text"]), 1.0) > 0.70) & (x["boundary_score"] < 0.12) & ~contains_any(words, rules.OPERATIONAL_TERMS)
         merge = (F.size(kept) > 0) & same & F.when(both, still).otherwise(F.lit(True))
         text = F.when(F.length(x["ocr_text"]) > F.length(last["text"]), x["ocr_text"]).otherwise(last["text"])
-        entry = lambda o, t, n, score: F.struct(o.alias("ord"), x["time_sec"].alias("time_sec"), x["system"].alias("system"), x["screen_state_id"].alias("state"), t.alias("text"), n.alias("n"), score.alias("score"))
-        merged = F.array_append(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), entry(last["ord"], text, last["n"] + 1, last["score"]))
-        return F.when(F.coalesce(merge, F.lit(False)), merged).otherwise(F.array_append(kept, entry(x["ord"], x["ocr_text"], F.lit(1), x["boundary_score"])))
+        entry = lambda o, t, n, score: F.struct(o.alias("ord"), x["end_time"].alias("time_sec"), x["system"].alias("system"), x["screen_state_id"].alias("state"), t.alias("text"), n.alias("n"), score.alias("score"))
+        merged = F.array_append(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), entry(last["ord"], text, last["n"] + x["frame_count"], last["score"]))
+        return F.when(F.coalesce(merge, F.lit(False)), merged).otherwise(F.array_append(kept, entry(x["ord"], x["ocr_text"], x["frame_count"], x["boundary_score"])))
 
-    got = fold(screens, ["ord", "time_sec", "system", "screen_state_id", "ocr_text", "visual_score", "boundary_score"], ["ord"], F.array().cast(f"array<{row}>"), step)
+    got = fold(screens, ["ord", "end_time", "frame_count", "system", "screen_state_id", "ocr_text", "visual_score", "boundary_score"], ["ord"], F.array().cast(f"array<{row}>"), step)
     return got.select("job_id", F.posexplode("state").alias("i", "x")).select("job_id", (F.col("i") + 1).alias("event_id"), "x.ord", F.col("x.time_sec").alias("end_time"), F.col("x.n").alias("frame_count"), F.col("x.text").alias("ocr_text"), "x.system", F.col("x.state").alias("screen_state_id"), F.col("x.score").alias("boundary_score"))

@@ -105,21 +105,30 @@ def repaired(steps: DataFrame, toolbar: bool = True) -> DataFrame:
 def validated(steps: DataFrame, most: int = 40) -> DataFrame:
     """job_id, step_number, source_number: repaired steps without those that repeat the last kept one.
 
-    Equal system and wording, the same screen state, and within one number or 12 units of time; the generic
-    review needs only the same state."""
-    rows = repaired(steps).withColumn("key", F.concat_ws("|", "system", word_norm(F.col("action")), word_norm(F.col("expected_output"))))
+    Equal system and wording, the same screen state or screenshot (a column that may be missing), and within one
+    event or 12 units of time; without any state or screenshot the latter alone counts, for the generic review
+    the former. The event is source_event_index where there is such a column, else the number."""
+    for name, of in (("screenshot", F.lit(None).cast("string")), ("source_event_index", F.col("step_number"))):
+        steps = steps if name in steps.columns else steps.withColumn(name, of)
+    rows = repaired(steps).withColumn("shot", F.nullif(F.col("screenshot"), F.lit("")))
+    rows = rows.withColumn("key", F.concat_ws("|", "system", word_norm(F.col("action")), word_norm(F.col("expected_output"))))
     rows = rows.withColumn("generic", F.concat_ws(" ", word_norm(F.col("action")), word_norm(F.col("expected_output"))).isin(
         "review the visible process screen the relevant process information is available on screen", "review the visible process screen the expected screen is displayed"))
 
+    rows = rows.withColumn("event", F.col("source_event_index").cast("int"))
+
     def step(kept, x):
         last = F.try_element_at(kept, F.lit(-1))
-        close = (F.abs(x["step_number"] - last["number"]) <= 1) | (F.abs(x["time_sec"] - last["time_sec"]) <= 12)
-        repeat = (x["key"] == last["key"]) & (x["screen_state_id"] == last["state"]) & (x["generic"] | close)
-        entry = F.struct(x["step_number"].alias("number"), x["time_sec"].alias("time_sec"), x["key"].alias("key"), x["screen_state_id"].alias("state"))
+        sure = lambda c: F.coalesce(c, F.lit(False))
+        close = sure(F.abs(x["event"] - last["event"]) <= 1) | sure(F.abs(x["time_sec"] - last["time_sec"]) <= 12)
+        there = sure(x["screen_state_id"] == last["state"]) | sure(x["shot"] == last["shot"])
+        keyless = F.coalesce(x["screen_state_id"].cast("string"), last["state"].cast("string"), x["shot"], last["shot"]).isNull()
+        repeat = (x["key"] == last["key"]) & F.when(x["generic"], there).when(keyless, close).otherwise(there & close)
+        entry = F.struct(x["step_number"].alias("number"), x["event"].alias("event"), x["shot"].alias("shot"), x["time_sec"].alias("time_sec"), x["key"].alias("key"), x["screen_state_id"].alias("state"))
         return F.when((F.size(kept) >= most) | ((F.size(kept) > 0) & F.coalesce(repeat, F.lit(False))), kept).otherwise(F.array_append(kept, entry))
 
-    start = F.array().cast("array<struct<number:int,time_sec:double,key:string,state:int>>")
-    got = fold(rows, ["step_number", "time_sec", "key", "screen_state_id", "generic"], ["step_number"], start, step)
+    start = F.array().cast("array<struct<number:int,event:int,shot:string,time_sec:double,key:string,state:int>>")
+    got = fold(rows, ["step_number", "event", "shot", "time_sec", "key", "screen_state_id", "generic"], ["step_number"], start, step)
     return got.select("job_id", F.posexplode("state").alias("i", "x")).select("job_id", (F.col("i") + 1).alias("step_number"), F.col("x.number").alias("source_number"))
 
 

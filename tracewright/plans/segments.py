@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.score import segment_score
-from tracewright.functions.text import hint_of
+from tracewright.functions.text import clean_lines, hint_of
 from tracewright.operators import boundaries, screens
 from tracewright.sources import recordings
 
@@ -17,17 +17,29 @@ def segments_of(frames: DataFrame, most: int = 36, longest: float = 30.0) -> Dat
     """Segments of frames (job_id, ord, time_sec, boundary_score, visual_score, ocr_text, hash).
 
     job_id, event_id, ord (of the stable frame), end_time, frame_count, ocr_text, screen_state_id,
-    dense_repeated_run. Each segment is told by its stable frame; its score weighs visual change, change of
-    text and system, and whether its text names an action."""
+    dense_repeated_run. A segment's text is that of its stable frame, its first frame and the frame after it,
+    cleaned; its score weighs the score of the boundary that closes it, change of text and system, and whether
+    its text names an action. States are told before systems are smoothed, scrolling is judged after."""
     spans = boundaries.spans(frames, boundaries.boundary_candidates(frames, most))
-    parts = boundaries.top_spans(boundaries.split_long(spans, frames, longest), frames, most)
-    stable = boundaries.stable_frames(parts, frames).select("job_id", F.col("stable_ord").alias("ord"))
-    rows = screens.smooth_systems(screens.labelled(frames.join(stable, ["job_id", "ord"])))
-    rows = screens.with_deltas(rows)
+    parts = boundaries.top_spans(boundaries.split_long(spans, frames, longest), frames, most, keep=("segment",))
+    stable = boundaries.stable_frames(parts, frames)
+    parts = parts.join(stable, ["job_id", "start_ord"]).join(spans.select("job_id", "segment", F.col("boundary_score").alias("closing")), ["job_id", "segment"])
+    # One row for each frame that tells something of a segment: its role and what it shows.
+    roles = [("1stable", F.col("stable_ord")), ("2entry", F.col("start_ord")), ("3after", F.col("end_ord")), ("4last", F.col("end_ord") - 1)]
+    told = parts.select("*", F.explode(F.array(*[F.struct(F.lit(name).alias("role"), at.alias("ord")) for name, at in roles])).alias("at")).select("*", "at.role", "at.ord")
+    told = told.join(frames.select("job_id", "ord", "time_sec", "hash", clean_lines(F.col("ocr_text")).alias("said")), ["job_id", "ord"])
+    first = F.row_number().over(Window.partitionBy("job_id", "start_ord", "ord").orderBy("role")) == 1
+    told = told.withColumn("said", F.when(first & (F.col("role") != "4last") & (F.col("said") != ""), F.struct("role", "said")))
+    of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+    rows = told.groupBy("job_id", "start_ord").agg(
+        F.first("stable_ord").alias("ord"), F.first("closing").alias("visual_score"), (F.first("end_ord") - F.first("start_ord")).alias("frame_count"), of("1stable", "time_sec").alias("time_sec"), of("4last", "time_sec").alias("end_time"),
+        of("1stable", "hash").alias("hash"), F.array_join(F.array_sort(F.collect_list("said"))["said"], "\n").alias("ocr_text"),
+    ).drop("start_ord")
+    rows = screens.with_deltas(screens.labelled(rows))
     action = F.when(hint_of(F.col("ocr_text")).isin(TELLING), 1.0).otherwise(0.3)
     rows = rows.withColumn("boundary_score", F.round(segment_score(F.col("visual_score"), F.col("text_delta"), F.col("system_delta"), action), 4))
-    rows = screens.screen_states(rows, keep=("time_sec", "system", "ocr_text", "visual_score", "boundary_score"))
-    return screens.repeated_runs(screens.scroll_collapse(rows), "screen_state_id")
+    rows = screens.screen_states(rows, keep=("time_sec", "end_time", "frame_count", "system", "ocr_text", "visual_score", "boundary_score"))
+    return screens.repeated_runs(screens.scroll_collapse(screens.smooth_systems(rows)), "screen_state_id")
 
 
 def job_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

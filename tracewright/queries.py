@@ -59,16 +59,18 @@ def sql_jaccard(a: str, b: str, both: float) -> str:
     return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN {both} WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END"
 
 
-def sql_class(x: str, classes: dict[str, str], default: str) -> str:
-    scores = {name: " + ".join(f"contains(lower({x}), {lit(t)})::INT" for t in terms.split("|")) for name, terms in classes.items()}
+def sql_class(x: str, classes: dict[str, list[str]], default: str) -> str:
+    scores = {name: " + ".join(f"contains(lower({x}), {lit(t)})::INT" for t in terms) for name, terms in classes.items()}
     best = f"greatest({', '.join(f'({s})' for s in scores.values())})"
     cases = " ".join(f"WHEN ({s}) = {best} THEN {lit(name)}" for name, s in scores.items())
     return f"CASE WHEN {best} = 0 THEN {lit(default)} {cases} END"
 
 
 def sql_root(w: str) -> str:
-    cut = f"CASE WHEN {w} LIKE '%ing' AND length({w}) > 5 THEN 3 WHEN {w} LIKE '%ed' AND length({w}) > 4 THEN 2 WHEN {w} LIKE '%s' AND length({w}) > 4 THEN 1 ELSE 0 END"
-    root = f"substr({w}, 1, length({w}) - ({cut}))"
+    less = lambda x, end, least: f"CASE WHEN {x} LIKE '%{end}' AND length({x}) > {least} THEN substr({x}, 1, length({x}) - {len(end)}) ELSE {x} END"
+    root = w
+    for end, least in (("ing", 5), ("ed", 4), ("s", 4)):
+        root = f"({less(root, end, least)})"
     return f"CASE WHEN {root} = 'creat' THEN 'create' ELSE {root} END"
 
 
@@ -92,15 +94,15 @@ REDACT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coal
 THRESHOLD = f"""{FRAMES}, rest AS (SELECT job_id, boundary_score AS x FROM frames WHERE ord > 0),
 one AS (SELECT job_id, median(x) AS m, quantile_cont(x, 0.88) AS p88, quantile_cont(x, 0.94) AS p94, max(x) - min(x) AS r FROM rest GROUP BY 1),
 dev AS (SELECT job_id, median(abs(x - m)) AS d FROM rest JOIN one USING (job_id) GROUP BY 1),
-th AS (SELECT job_id, round(coalesce(m, 0), 6) AS median, round(coalesce(CASE WHEN d = 0 THEN 1e-6 ELSE d END, 0), 6) AS mad, round(coalesce(CASE WHEN r < 0.03 THEN p94 ELSE p88 END, 1), 6) AS percentile,
+th AS (SELECT job_id, round(coalesce(m, 0), 6) AS median, round(coalesce(CASE WHEN d = 0 THEN 1e-6 ELSE d END, 0), 6) AS mad, round(coalesce(p88, 1), 6) AS percentile,
   round(coalesce(CASE WHEN r < 0.03 THEN p94 ELSE greatest(m + 2.5 * CASE WHEN d = 0 THEN 1e-6 ELSE d END, p88) END, 1), 6) AS threshold FROM (SELECT DISTINCT job_id FROM frames) LEFT JOIN one USING (job_id) LEFT JOIN dev USING (job_id))"""
 MAX_SEGMENTS = 20
-QUALIFIED = f"""{THRESHOLD}, ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY boundary_score DESC, ord) AS rank, count(*) OVER (PARTITION BY job_id) AS n FROM frames WHERE ord > 0),
+QUALIFIED = f"""{THRESHOLD}, ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY boundary_score DESC, ord) AS rank, count(*) OVER (PARTITION BY job_id) AS n FROM frames JOIN (SELECT job_id, CASE WHEN max(time_sec) - min(time_sec) < 20 THEN 1.0 ELSE 3.0 END AS calm FROM frames GROUP BY 1) USING (job_id) WHERE ord > 0),
 q AS (SELECT row_number() OVER (PARTITION BY job_id ORDER BY ord) AS i, r.*, boundary_score >= threshold AS by_score FROM ranked r JOIN th USING (job_id)
   WHERE boundary_score >= threshold OR (rank <= least(greatest(2, {MAX_SEGMENTS // 3}), greatest(2, n // 4)) AND boundary_score >= greatest(0.01, percentile * 0.75))),
 f AS (SELECT job_id, 0 AS i, []::STRUCT(ord BIGINT, time_sec DOUBLE, score DOUBLE, reason VARCHAR)[] AS kept FROM (SELECT DISTINCT job_id FROM q)
   UNION ALL SELECT f.job_id, q.i, CASE WHEN len(kept) >= {MAX_SEGMENTS - 1} AND len(kept) > 0 THEN kept
-    WHEN len(kept) > 0 AND q.time_sec - kept[-1].time_sec < 3.0 THEN CASE WHEN q.boundary_score > kept[-1].score THEN list_append(kept[:-2], {{'ord': q.ord, 'time_sec': q.time_sec, 'score': q.boundary_score, 'reason': 'hysteresis-replace'}}) ELSE kept END
+    WHEN len(kept) > 0 AND q.time_sec - kept[-1].time_sec < calm THEN CASE WHEN q.boundary_score > kept[-1].score THEN list_append(kept[:-2], {{'ord': q.ord, 'time_sec': q.time_sec, 'score': q.boundary_score, 'reason': 'hysteresis-replace'}}) ELSE kept END
     ELSE list_append(kept, {{'ord': q.ord, 'time_sec': q.time_sec, 'score': q.boundary_score, 'reason': CASE WHEN q.by_score THEN 'adaptive-threshold' ELSE 'top-percentile' END}}) END
   FROM f JOIN q ON q.job_id = f.job_id AND q.i = f.i + 1),
 cand AS (SELECT job_id, x.ord AS ord, x.time_sec AS time_sec, x.score AS boundary_score, x.reason AS reason FROM (SELECT job_id, unnest(arg_max(kept, i)) AS x FROM f GROUP BY job_id))"""
@@ -280,7 +282,7 @@ def queries() -> dict[str, Query]:
         "audit_runs": lambda s, d: steps.audit_runs(st(s, d)),
         "update_join": q_updates,
         "workflow_family": lambda s, d: cleanup.workflow_family(st(s, d)),
-        "phase_sections": lambda s, d: cleanup.phases(st(s, d)),
+        "phase_sections": lambda s, d: procedure.phase_sections(st(s, d)),
         "chronology": lambda s, d: cleanup.chronology(st(s, d)),
         "order_repair": lambda s, d: cleanup.in_time(st(s, d)),
         "review_runs": lambda s, d: cleanup.review_runs(st(s, d)),
@@ -339,9 +341,8 @@ def profiles_sql() -> str:
 def phase_sql() -> str:
     both, out = f"({A} || ' ' || {E})", []
     for name, table in rules.PHASES.items():
-        cases = " ".join(f"WHEN {sql_has(both, terms.split('|'))} THEN {lit(phase)}" for terms, phase in table if terms)
-        family = "('excel', 'excel_pivottable')" if name == "excel" else f"({lit(name)})"
-        out.append(f"WHEN family IN {family} THEN CASE {cases} ELSE {lit(table[-1][1])} END")
+        cases = " ".join(f"WHEN {sql_has(both, terms)} THEN {lit(phase)}" for terms, phase in table if terms)
+        out.append(f"WHEN family = {lit(name)} THEN CASE {cases} ELSE {lit(table[-1][1])} END")
     return f"CASE {' '.join(out)} END"
 
 
@@ -365,7 +366,7 @@ def fallback_sql() -> str:
 
 
 def sql_holds(conditions: list, columns: dict[str, str]) -> str:
-    return " AND ".join(("" if op == "has" else "NOT ") + sql_has(columns[c], terms.split("|")) for c, op, terms in conditions)
+    return " AND ".join(("" if op == "has" else "NOT ") + sql_has(columns[c], terms) for c, op, terms in conditions)
 
 
 def sql_first(table: list, columns: dict[str, str], default: str = "NULL") -> str:
@@ -462,9 +463,9 @@ def report_sql() -> str:
     """The relations ``counts`` (one row per job) and before them all that leads there."""
     missing = []
     for name, evidence, acted, asked, phrases in rules.EXPECTED_ACTIONS:
-        any_of = lambda x, terms: f"bool_or({sql_has(x, terms.split('|'))})"
-        done = any_of("a", phrases) if asked else f"({any_of('a', acted)} AND {any_of('a', phrases)})"
-        asks = f"({any_of('b', evidence)} AND {any_of('a', acted) if asked else 'true'})"
+        any_of = lambda x, terms: f"bool_or({sql_has(x, terms if isinstance(terms, list) else [terms])})"
+        done = any_of("a", phrases) if asked else f"({any_of('a', [acted])} AND {any_of('a', phrases)})"
+        asks = f"({any_of('b', evidence)} AND {any_of('a', [acted]) if asked else 'true'})"
         missing.append(f"CASE WHEN any_value(family) = 'excel_pivottable' AND {asks} AND NOT {done} THEN {lit(name)} END")
     return f"""{clean_sql()}, w1 AS (SELECT *, {A} AS a, {BOTH} AS b, {sql_me()} AS me, coalesce(category IN ('contextual_review', 'passive_filler'), false) OR (review AND NOT meaningful) AS in_review,
       CASE WHEN meaningful THEN step_number - last_value(CASE WHEN meaningful THEN step_number END IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS gap FROM phased),
@@ -634,7 +635,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT job_id, step_number, count(*) OVER (PARTITION BY job_id, run) AS run_length, count(*) OVER (PARTITION BY job_id, run) >= 2 OR generic AS weak FROM r""",
         "update_join": f"WITH {STEPS} SELECT job_id, step_number, CASE WHEN k % 10 = 0 THEN action || ' (checked twice)' WHEN k % 5 = 0 THEN action || ' (checked)' ELSE action END AS action, CASE WHEN k % 10 = 0 THEN 'high' WHEN k % 5 = 0 THEN 'medium' ELSE confidence END AS confidence FROM steps",
         "workflow_family": f"WITH {FAMILY} SELECT * FROM fam",
-        "phase_sections": f"""WITH {FAMILY}, p AS (SELECT job_id, step_number, family, {phase_sql()} AS phase FROM steps JOIN fam USING (job_id)), m AS (SELECT *, (phase IS DISTINCT FROM lag(phase) OVER (PARTITION BY job_id ORDER BY step_number))::INT AS s FROM p)
+        "phase_sections": f"""WITH {STEPS}, {phases_sql("steps")}, m AS (SELECT *, (phase IS DISTINCT FROM lag(phase) OVER (PARTITION BY job_id ORDER BY step_number))::INT AS s FROM phased)
             SELECT job_id, step_number, family, phase, sum(s) OVER (PARTITION BY job_id ORDER BY step_number) AS section FROM m""",
         "chronology": f"WITH {STEPS}, p AS (SELECT *, lag(time_sec) OVER (PARTITION BY job_id ORDER BY step_number) AS prior_time FROM steps) SELECT job_id, step_number, time_sec, prior_time FROM p WHERE time_sec < prior_time",
         "order_repair": f"WITH {STEPS} SELECT job_id, step_number AS original, row_number() OVER (PARTITION BY job_id ORDER BY time_sec, step_number) AS step_number FROM steps",
@@ -652,7 +653,7 @@ def oracle_sql() -> dict[str, str]:
         "completeness": f"WITH {report_sql()} SELECT job_id, review_runs, n_events >= 25 AND operational < greatest(12, floor(steps * 0.55)) AS thin, n_events >= 25 AND widest_gap >= 5 AS gappy, missing FROM counts JOIN info USING (job_id)",
         "phase_labels": f"WITH {RAW}, {phases_sql('raw')} SELECT job_id, step_number, family, phase, corrected FROM phased",
         "phase_errors": f"WITH {RAW}, p AS (SELECT *, ['Configure PivotTable fields', 'Add calculations and formatting', 'Create PivotTable'][step_number % 3 + 1] AS phase FROM raw) SELECT job_id, step_number, {sql_first(rules.PHASE_ERRORS, SAID)} AS error FROM p",
-        "legacy_phases": f"""WITH {RAW}, p AS (SELECT *, CASE WHEN system = 'Excel' THEN 'Process in Excel' {" ".join(f"WHEN {sql_has(f'lower(system || chr(32) || {BOTH_TEXT})', t.split('|'))} THEN {lit(n)}" for n, t in rules.LEGACY_PHASES)} END AS phase FROM raw)
+        "legacy_phases": f"""WITH {RAW}, p AS (SELECT *, CASE WHEN system = 'Excel' THEN 'Process in Excel' {" ".join(f"WHEN {sql_has(f'lower(system || chr(32) || {BOTH_TEXT})', t)} THEN {lit(n)}" for n, t in rules.LEGACY_PHASES)} END AS phase FROM raw)
             SELECT job_id, step_number, coalesce(phase, CASE WHEN count_if(phase IS NULL) OVER (PARTITION BY job_id ORDER BY step_number) <= {rules.LEGACY_FIRST} THEN 'Access system' ELSE 'Validate' END) AS phase FROM p""",
         "distinct_states": f"WITH {STEPS}, f AS (SELECT job_id, screen_state_id AS state, min(step_number) AS first_number FROM steps GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY first_number) AS place FROM f",
         "batches": f"WITH {FRAMES} SELECT job_id, (ord // 9)::INT AS batch, count(*) AS n FROM frames GROUP BY 1, 2",
