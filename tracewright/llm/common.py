@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,23 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def shipped(spark: SparkSession, data: Any, make: Callable[[Any], Any] = lambda data: data) -> Callable[[], Any]:
+    """A function that gives ``make(data)`` in a task, made once for each Python worker.
+
+    ``data`` is broadcast and must be of bounded size. It should consist of built-in types and arrays, which
+    need no package on the executors; ``make`` travels with the job. ``.destroy()`` frees it when its jobs are done.
+    """
+    shared = spark.sparkContext.broadcast(data)
+
+    def get():
+        if not hasattr(shared, "made"):
+            shared.made = make(shared.value)
+        return shared.made
+
+    get.destroy = shared.destroy
+    return get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,14 +12,17 @@ value, then the value): two such documents must then meet in a list. A passage t
 is listed by none that also has enough text of its own.
 
 Long lists. Lists of up to ``short`` documents give all their pairs. In a longer list each member is first
-compared with the list's least member and with its neighbours by size, in salted runs; what these links
-join is one component. Only members outside a list's largest component then meet the list's other members,
-so a large group of near copies costs pairs in proportion to its size, and no pair of different components
-is left out. There is no cap on candidates or partners.
+compared with the list's most central member, the one whose retained values most others retain too: of near
+copies that is one close to the common original. Those linked to one such hub are one group already, so only
+pairs that don't share a hub are still open. They are found by a prefix filter on full sets, which loses no
+link. A large group of near copies so costs pairs in proportion to its size, and there is no cap on
+candidates or partners.
+
+``exact`` skips the sketches and finds all candidates by that prefix filter, so no link can be missed.
 
 Cases. Null text or text without words: an empty set, linked with nothing. Fewer than five words: the whole
-sequence is the only shingle. Rows that share a doc_id are one document of the graph. A null doc_id is
-linked with nothing and kept. Very long texts count whole. An empty table gives an empty result.
+sequence is the only shingle. Rows that share a doc_id are linked each by its own text, under the one name.
+A null doc_id is linked with nothing and kept. Very long texts count whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Runs, if_small, small_batches, texts, word_hashes, written
+from tracewright.llm.common import Runs, if_small, shipped, small_batches, texts, word_hashes, written
 from tracewright.llm.graph import components
 
 SHARE = 0.4  # of a sketch's values, at least, that two linked documents have in common
@@ -67,40 +70,47 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
 
 
 def listed(classes: DataFrame) -> DataFrame:
-    """(v, id, n, many): each class's rarest retained values that other sketches hold too; many: how many hold v."""
+    """(v, id, n, many, score): each class's rarest retained values that other sketches hold too.
+
+    many: how many hold v; score: how many hold the class's values, in all.
+    """
     posts = classes.select("id", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
     many = posts.groupBy("v").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    ranked = posts.join(many, "v", "left").withColumn("many", F.coalesce("many", F.lit(1)))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("many", "v")))
+    shared, own = posts.join(many, "v"), Window.partitionBy("id", "n")
+    # Values that nobody else holds come first in the order: they are all of k but the shared ones.
+    alone = F.col("k") - F.count(F.lit(1)).over(own)
+    ranked = shared.select("v", "id", "n", "k", "many", F.sum("many").over(own).alias("score"), (alone + F.row_number().over(own.orderBy("many", "v"))).alias("rank"))
     need = F.greatest(F.lit(1), F.floor(F.col("k") * SHARE))
-    return ranked.where((F.col("many") > 1) & (F.col("rank") <= F.col("k") - need + 1)).select("v", "id", "n", "many")
+    return ranked.where(F.col("rank") <= F.col("k") - need + 1).select("v", "id", "n", "many", "score")
 
 
-def full_sets(docs: DataFrame, some: DataFrame, size: int) -> DataFrame:
-    """id, component, n, the whole set and its bitmap for the documents in ``some``.
+def whole_sets(docs: DataFrame, some: DataFrame, size: int) -> DataFrame:
+    """id, n, the whole set and its bitmap for the documents in ``some``.
 
     The bitmap holds the parity of the shingles that fall on each of its bits, so two bitmaps differ in at
     most as many bits as their sets in shingles.
     """
 
     def build(batches):
+        longs = pa.list_(pa.int64())
         for batch in batches:
             sets = [shingle_set(text, size) for text in texts(batch.column("text"))]
             bits = [np.packbits((np.bincount(x % BITS, minlength=BITS) & 1).astype(np.uint8)).view(np.int64) for x in sets]
-            longs = pa.list_(pa.int64())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("component"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, longs), pa.array(bits, longs)], names=["id", "component", "n", "whole", "bits"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, longs), pa.array(bits, longs)], names=["id", "n", "whole", "bits"])
 
-    own = docs.select(F.col("doc_id").cast("long"), "text").join(if_small(some), "doc_id").select("doc_id", "component", "text")
-    return small_batches(own).mapInArrow(build, "id long, component long, n long, whole array<long>, bits array<long>")
+    own = docs.select(F.col("doc_id").cast("long"), "text").join(if_small(some), "doc_id", "left_semi")
+    return small_batches(own).mapInArrow(build, "id long, n long, whole array<long>, bits array<long>")
 
 
 def across(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that can be linked: the exact prefix filter on full sets.
-
-    Sets of sizes n with a similarity of ``percent`` share their rarest n - ceil(percent * n) + 1 shingles with
-    at least one of the other's, so a document with enough shingles of its own lists none that are frequent.
-    The places of that shingle bound what they can share (the positional filter), and their bitmaps in how
-    many shingles they differ at least (the bitmap filter). Neither drops a link.
+    """Pairs (a, b) of different groups that can be linked: the exact prefix filter on full sets.
+
+    ``sets``: id, grp, n, whole, bits, and near one another what is likely alike. Sets of sizes n with a
+    similarity of ``percent`` share their first n - ceil(percent * n) + 1 shingles, in any order that is the
+    same for all, with at least one of the other's. The order has shingles last that are frequent among the
+    sets of some task, so a document with enough shingles of its own lists none that are frequent.
+    The places of that shingle bound what two sets can share (the positional filter), and their bitmaps in how
+    many shingles they differ at least (the bitmap filter). None of these drops a link.
     """
     sets = written(sets, "full")
 
@@ -108,102 +118,105 @@ def across(sets: DataFrame, percent: int) -> DataFrame:
         many = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             many += np.bincount(batch.column("whole").flatten().to_numpy() % BUCKETS, minlength=BUCKETS)
-        at = np.flatnonzero(many)
+        at = np.flatnonzero(many > 1)
         yield pa.record_batch([pa.array(at), pa.array(many[at])], names=["bucket", "many"])
 
-    # Any order that is the same for all documents will do, so a table of fixed size stands for exact counts.
-    found = sets.select("whole").mapInArrow(count, "bucket long, many long").groupBy("bucket").agg(F.sum("many").alias("many")).where("many > 1").toArrow()
+    found = sets.select("whole").mapInArrow(count, "bucket long, many long").groupBy("bucket").agg(F.sum("many").alias("many")).toArrow()
     counts = np.ones(BUCKETS, np.int64)
     counts[found.column("bucket").to_numpy()] = found.column("many").to_numpy()
-    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    counts = shipped(sets.sparkSession, counts)
 
     def rarest(batches):
+        many = counts()
         for batch in batches:
-            rows = zip(batch.column("id").to_pylist(), batch.column("component").to_pylist(), batch.column("whole"), strict=True)
-            for one, component, whole in rows:
+            rows = zip(batch.column("id").to_pylist(), batch.column("grp").to_pylist(), batch.column("whole"), strict=True)
+            for one, grp, whole in rows:
                 v = whole.values.to_numpy()
-                n, many = len(v), shared.value[v % BUCKETS]
-                order = np.lexsort((v, many))[: n + percent * -n // 100 + 1]
-                rank = np.flatnonzero(many[order] > 1)  # a bucket's only shingle is nobody else's
-                same = lambda x: pa.array(np.full(len(rank), x, np.int64))  # noqa: B023, E731
-                yield pa.record_batch([pa.array(v[order[rank]]), same(one), same(component), same(n), pa.array(n - rank - 1)], names=["v", "id", "component", "n", "left"])
-
-    lists = written(sets.select("id", "component", "whole").mapInArrow(rarest, "v long, id long, component long, n long, left long"), "prefixes")
-    sizes = lists.groupBy("v", "component").agg(F.count(F.lit(1)).alias("size"))
-    most = sizes.groupBy("v").agg(F.max(F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    lists = lists.join(most.select("v", F.col("most.component").alias("main")), "v")
-    lists = written(lists.join(sets.select("id", "bits").dropDuplicates(["id"]), "id"), "members")
+                n = len(v)
+                first = np.lexsort((v, many[v % BUCKETS]))[: n + percent * -n // 100 + 1]
+                same = lambda x: pa.array(np.full(len(first), x, np.int64))  # noqa: B023, E731
+                yield pa.record_batch([pa.array(v[first]), same(one), same(grp), same(n), pa.array(n - 1 - np.arange(len(first)))], names=["v", "id", "grp", "n", "left"])
+
+    lists = written(sets.select("id", "grp", "whole").mapInArrow(rarest, "v long, id long, grp long, n long, left long"), "prefixes")
+    sizes = lists.groupBy("v", "grp").agg(F.count(F.lit(1)).alias("size"))
+    most = sizes.groupBy("v").agg(F.max(F.struct("size", "grp")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    lists = lists.join(most.select("v", F.col("most.grp").alias("main")), "v")
+    lists = written(lists.join(sets.select("id", "n", "bits").distinct(), ["id", "n"]), "members")
     both = F.col("x.n") + F.col("y.n")
-    meet = (F.col("x.v") == F.col("y.v")) & (F.col("x.component") != F.col("y.component"))
+    meet = (F.col("x.v") == F.col("y.v")) & (F.col("x.grp") != F.col("y.grp"))
     meet &= (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    meet &= (F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    meet &= (F.col("y.grp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
     # Where two documents first meet, they can share that shingle and what both have left; later ones may fail this.
     meet &= (1 + F.least("x.left", "y.left")) * (100 + percent) >= percent * both
     differ = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(BITS // 64)), F.lit(0))
     meet &= differ * (100 + percent) <= (100 - percent) * both
-    rest = lists.where("component <> main")
+    rest = lists.where("grp <> main")
     return rest.alias("x").join(lists.alias("y"), meet).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, k: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def likely(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) of which the sketch of the union says that they may be linked."""
     of = lambda x: classes.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    likely = both.withColumn("u", union).where(F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u"))) >= F.floor(F.size("u") * SHARE)).select("a", "b")
-    likely = written(likely, "likely")
-    involved = written(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    own = written(docs.select(F.col("doc_id").cast("long"), "text").join(if_small(involved), "doc_id", "left_semi"), "involved")
+    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k))
+    return both.where(F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u"))) >= F.floor(F.size("u") * SHARE)).select("a", "b").distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def verify(batches):
-        last, mine = None, None
         for batch in batches:
             keep = []
-            for a, ta, tb in zip(batch.column("a").to_pylist(), texts(batch.column("ta")), texts(batch.column("tb")), strict=True):
-                if a != last:
-                    last, mine = a, shingle_set(ta, size)
-                other = shingle_set(tb, size)
+            for mine, other in zip(batch.column("wa"), batch.column("wb"), strict=True):
+                mine, other = mine.values.to_numpy(), other.values.to_numpy()
                 same = len(np.intersect1d(mine, other, assume_unique=True))
                 keep.append(100 * same >= percent * (len(mine) + len(other) - same) and same > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    text = lambda x: own.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    full = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "ta", "tb")
+    whole = lambda x: sets.select(F.col("id").alias(x), F.col("whole").alias(f"w{x}"))
+    full = pairs.join(whole("b"), "b").join(whole("a"), "a").select("a", "b", "wa", "wb")
     return written(small_batches(full).mapInArrow(verify, "a long, b long"), "links").distinct()
 
 
-def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 32, short: int = 64) -> DataFrame:
+def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 32, short: int = 64, exact: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id of the group), kept."""
     sets = written(sketches(docs, size, k), "sets")
-    least = sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    classes = sets.join(least, (sets["digest"] == least["digest"]) & (sets["doc_id"] == least["id"])).select("id", "n", "sketch")
-    classes = written(classes.dropDuplicates(["id", "n"]), "classes")
-    lists = written(listed(classes), "lists")
-
+    copies = sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    copies = if_small(written(copies.select("digest", "first"), "copies"))
+    sets = sets.join(copies, "digest", "left").withColumn("id", F.when(F.col("n") > 0, F.coalesce("first", "doc_id")))
+    once = sets.where("first is null and id is not null").unionByName(sets.where("first = doc_id").dropDuplicates(["id", "digest"]))
+    classes = written(once.select("id", "n", "sketch"), "classes")
     near = F.col("x.n") * 100 >= F.col("y.n") * percent
     near &= F.col("y.n") * 100 >= F.col("x.n") * percent
-    few = lists.where(F.col("many") <= short)
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-
-    long_lists = written(lists.where(F.col("many") > short), "long")
-    first = long_lists.groupBy("v").agg(F.min(F.struct("id", "n")).alias("first"))
-    star = long_lists.join(first, "v").where((F.col("id") > F.col("first.id")) & (F.col("n") * 100 >= F.col("first.n") * percent) & (F.col("first.n") * 100 >= F.col("n") * percent))
-    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("many") / 500))
-    by_size = Window.partitionBy("v", salt).orderBy("n", "id")
-    chain = long_lists.withColumn("prior", F.lag("id").over(by_size)).where("prior is not null").select(F.least("id", "prior").alias("a"), F.greatest("id", "prior").alias("b"))
-    pairs = pairs.unionByName(star.select(F.col("first.id").alias("a"), F.col("id").alias("b"))).unionByName(chain)
-    links = confirmed(written(pairs.distinct(), "pairs"), classes, docs, size, percent, k)
-
-    if long_lists.head(1):
-        joined = components(links)
-        members = long_lists.join(joined, "id", "left").select("v", "id", F.coalesce("component", "id").alias("component"))
-        open_lists = members.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("v")
-        unsettled = written(members.join(open_lists, "v", "left_semi").select(F.col("id").alias("doc_id"), "component").distinct(), "unsettled")
-        more = across(full_sets(docs, unsettled, size), percent)
-        links = links.unionByName(confirmed(written(more, "pairs"), classes, docs, size, percent, k))
+
+    if exact:
+        full = written(whole_sets(docs, written(classes.select(F.col("id").alias("doc_id")), "ids"), size), "whole")
+        links = confirmed(across(full.withColumn("grp", F.col("id")), percent), full, percent)
+    else:
+        lists = written(listed(classes), "lists")
+        few = lists.where(F.col("many") <= short)
+        pairs = few.alias("x").join(few.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        long = lists.where(F.col("many") > short)
+        hubs = written(long.groupBy("v").agg(F.max(F.struct("score", (-F.col("id")).alias("less"), "n")).alias("hub")).select("v", (-F.col("hub.less")).alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+        star = long.alias("x").join(hubs.select("v", F.col("hub").alias("id"), F.col("hub_n").alias("n")).alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.id") != F.col("y.id")) & near)
+        pairs = pairs.unionByName(star.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))).distinct()
+        pairs = written(likely(pairs, classes, k), "likely")
+        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(long.select(F.col("id").alias("doc_id")))
+        full = written(whole_sets(docs, written(ids.distinct(), "ids"), size), "whole")
+        links = confirmed(pairs, full, percent)
+
+        # A member's group is the least hub that it is linked to or is itself.
+        at = hubs.select("hub").distinct()
+        led = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(if_small(written(at, "hub")), F.col("a") == F.col("hub")).select(F.col("b").alias("id"), F.col("a").alias("grp"))
+        led = led.unionByName(at.select(F.col("hub").alias("id"), F.col("hub").alias("grp"))).groupBy("id").agg(F.min("grp").alias("grp"))
+        members = long.join(led, "id", "left").select("v", "id", F.coalesce("grp", "id").alias("grp"))
+        open_lists = members.groupBy("v").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("v")
+        # Members of a list lie side by side, in heaps of about ``heap``.
+        unsettled = written(members.join(open_lists, "v", "left_semi").groupBy("id").agg(F.min("grp").alias("grp"), F.min("v").alias("v")), "unsettled")
+        heap = F.pmod(F.xxhash64("id"), F.lit(16))
+        links = links.unionByName(confirmed(across(full.join(if_small(unsettled), "id").repartition("v", heap).drop("v"), percent), full, percent))
 
     group = components(links)
-    to_class = sets.where("n > 0").join(least, "digest").join(group, "id", "left").select(F.col("doc_id"), F.coalesce("component", "id").alias("component")).groupBy("doc_id").agg(F.min("component").alias("component"))
-    out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(to_class, "doc_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    group = group.withColumnRenamed("id", "of")
+    out = sets.join(group, F.col("id") == F.col("of"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
