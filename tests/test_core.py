@@ -56,6 +56,43 @@ def test_threshold_and_candidates(spark):
     assert boundaries.thresholds(frames(spark, [0.1])).first()["threshold"] == 1.0
 
 
+def test_narrow_scores(spark):
+    """Scores within 0.03: the threshold is the 94th percentile, the percentile that is reported stays the 88th."""
+    scores = [0.0] + [0.02 + 0.0001 * i for i in range(60)]
+    got = boundaries.thresholds(frames(spark, scores)).first()
+    rest = sorted(scores[1:])
+    at = lambda q: rest[int(q * 59)] + (q * 59 % 1) * (rest[int(q * 59) + 1] - rest[int(q * 59)])
+    assert (got["percentile"], got["threshold"]) == (round(at(0.88), 6), round(at(0.94), 6))
+
+
+def test_short_recordings(spark):
+    """Boundaries two apart: both stay in a recording under 20, one in a longer one."""
+    scores = [0.0, 0.0, 0.5, 0.0, 0.6, 0.0, 0.0, 0.0, 0.0, 0.0]
+    assert [r.ord for r in boundaries.boundary_candidates(frames(spark, scores)).orderBy("ord").collect()] == [2, 4]
+    assert [r.ord for r in boundaries.boundary_candidates(frames(spark, scores + [0.0] * 11)).orderBy("ord").collect()] == [4]
+
+
+def test_blank_screens(spark):
+    """Only screens without any text are kept apart; two that read ok are one state."""
+    rows = [(1, i, "Other", t, "00", 0.5) for i, t in enumerate(["ok", "ok", "", " "])] + [(2, 0, "Other", "", "00", 0.5), (2, 1, "Other", " ", "00", 0.5)]
+    got = screens.screen_states(spark.createDataFrame(rows, "job_id int, ord int, system string, ocr_text string, hash string, boundary_score double"))
+    assert [r.screen_state_id for r in got.orderBy("job_id", "ord").collect()] == [1, 1, 1, 1, 1, 2]
+
+
+def test_nearby_duplicates(spark):
+    """Equal steps a second apart: one stays without any evidence key, with one state or with one screenshot."""
+    schema = "job_id int, step_number int, time_sec double, system string, rule_system string, action string, expected_output string, confidence string, screen_state_id int, screenshot string"
+    for left, right, kept in [((None, None), (None, None), 1), ((1, None), (1, None), 1), ((1, "a"), (2, "a"), 1), ((1, "a"), (2, "b"), 2), ((None, "a"), (None, None), 2)]:
+        rows = [(1, n, float(n), "SAP", "SAP", "Save the invoice.", "It is saved.", "high", *key) for n, key in ((1, left), (2, right))]
+        assert steps.validated(spark.createDataFrame(rows, schema)).count() == kept
+
+
+def test_own_profiles(spark):
+    own = spark.createDataFrame([("Mine", 1), ("Showcase fast", 2)], "profile string, batch int")
+    rows = spark.createDataFrame([(1, "Mine"), (2, "Balanced"), (3, None)], "id int, profile string")
+    assert {r.id: r.batch for r in jobs.with_profile(rows, own).collect()} == {1: 1, 2: 2, 3: 2}
+
+
 def test_forced_split(spark):
     f = frames(spark, [0.0] * 13, 10.0)
     spans = boundaries.spans(f, f.limit(0).select("job_id", "ord"))
