@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,15 +34,19 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches: all documents under a BPE vocabulary, the same under a second tokenizer, then a takedown of
-    the documents labelled toxic from both. The first batch is sent twice, as after a failure, and counts once."""
+    """All documents under a BPE vocabulary and by words, a snapshot, then two more batches: words are counted anew
+    without digits, and documents labelled toxic are taken down from both. The first batch is sent twice, as after
+    a failure, and counts once."""
     docs, root = table(spark, sf_dir, "documents"), work_dir(spark)
     bpe = written(rollup.bpe_counts(docs, TOKENIZER, "byte_bpe_50k"), "counts")
     words = written(rollup.word_counts(docs), "counts")
+    plain = written(rollup.word_counts(docs.withColumn("text", F.regexp_replace("text", "[0-9]+", ""))), "counts")
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     rollup.commit(root, "load-bpe", rollup.inserted(bpe))
     rollup.commit(root, "load-words", rollup.inserted(words))
-    rollup.commit(root, "takedown", rollup.deleted(bpe.unionByName(words).join(toxic, "doc_id", "left_semi")))
+    rollup.compact(spark, root)
+    rollup.commit(root, "revise-words", rollup.revised(words, plain))
+    rollup.commit(root, "takedown", rollup.deleted(bpe.unionByName(plain).join(toxic, "doc_id", "left_semi")))
     rollup.commit(root, "load-bpe", rollup.inserted(bpe))
     return rollup.totals(spark, root)
 
@@ -73,7 +78,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text", "factors")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +102,7 @@ def duck(pattern: str) -> str:
 
 def replaced(expr: str, steps: list[tuple[str, str]]) -> str:
     for pattern, to in steps:
-        to = to.replace("${1}", "\\1").replace("${2}", "\\2").replace("$1", "\\1").replace("$2", "\\2").replace("$3", "\\3")
+        to = re.sub(r"\$\{?(\d)\}?", r"\\\1", to)
         to = f"chr(10)" if to == "\n" else duck(to)
         expr = f"regexp_replace({expr}, {duck(pattern)}, {to}, 'g')"
     return expr
@@ -109,18 +114,25 @@ def canonical_sql(text: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     lower = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
-    notices = ", ".join(f"({duck(name)}, {duck(text)})" for name, text in licenses.NOTICES)
+    notices = ", ".join(f"({duck(name)}, {duck(text)})" for name, text in licenses.TEXTS + licenses.NOTICES)
+    long_texts = ", ".join(f"({duck(name)}, {duck(digest)}, {n}, {duck(head)})" for name, digest, n, _, head in licenses.DIGESTS)
     words = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
     low = f"translate(text, '{UPPER}', '{UPPER.lower()}')"
     host = "regexp_extract(url, '^([A-Za-z]+://)?([^/?#]*)', 0)"
     url = replaced(f"lower({host}) || substr(url, length({host}) + 1)", revisits.URL_STEPS)
     return {
         "op3_license_scan": f"""
-            WITH known AS (SELECT sha256(trim(replace({canonical_sql('t')}, chr(10), ' '))) AS digest, min(id) AS license_id FROM (VALUES {notices}) v(id, t) GROUP BY 1),
+            WITH texts AS (SELECT id, trim(replace({canonical_sql('t')}, chr(10), ' ')) AS t FROM (VALUES {notices}) v(id, t)),
+            known AS (SELECT digest, min(id) AS license_id, any_value(n) AS n, any_value(head) AS head FROM (
+              SELECT sha256(t) AS digest, id, len(string_split(t, ' ')) AS n, array_to_string(string_split(t, ' ')[1:{licenses.HEAD}], ' ') AS head FROM texts UNION ALL SELECT digest, id, n, head FROM (VALUES {long_texts}) v(id, digest, n, head)) GROUP BY 1),
             canon AS (SELECT row_number() OVER () AS r, doc_id, {canonical_sql("coalesce(text, '')")} AS c FROM documents),
             lines AS (SELECT r, license_id FROM (SELECT r, sha256(trim(unnest(string_split(c, chr(10))))) AS digest FROM canon) JOIN known USING (digest)),
-            per AS (SELECT r, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS names FROM lines GROUP BY r)
-            SELECT doc_id, license_id AS text_license, coalesce(n, 0)::BIGINT AS notices, names AS licenses, digest
+            maybe AS (SELECT r, c, string_split(replace(c, chr(10), ' '), ' ') AS w FROM canon WHERE regexp_matches(c, (SELECT string_agg(DISTINCT replace(head, ' ', '[ ' || chr(10) || ']'), '|') FROM known WHERE n >= {licenses.LEAST}))),
+            starts AS (SELECT r, sum(n) OVER (PARTITION BY r ORDER BY i) - n AS s FROM (SELECT r, i, len(string_split(c[i], ' ')) AS n FROM (SELECT r, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT r, string_split(c, chr(10)) AS c FROM maybe)))),
+            runs AS (SELECT r, license_id FROM starts b JOIN maybe USING (r) JOIN known k ON k.n >= {licenses.LEAST} AND array_to_string(w[s + 1:s + {licenses.HEAD}], ' ') = head
+              WHERE sha256(array_to_string(w[s + 1:s + k.n], ' ')) = digest AND (s + k.n = len(w) OR EXISTS (FROM starts e WHERE e.r = b.r AND e.s = b.s + k.n))),
+            per AS (SELECT r, count_if(line) AS n, count_if(NOT line) AS m, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS names FROM (SELECT *, true AS line FROM lines UNION ALL SELECT *, false FROM runs) GROUP BY r)
+            SELECT doc_id, license_id AS text_license, coalesce(per.n, 0)::BIGINT AS notices, coalesce(m, 0)::BIGINT AS contained, names AS licenses, digest
             FROM (SELECT r, doc_id, sha256(trim(replace(c, chr(10), ' '))) AS digest FROM canon) LEFT JOIN per USING (r) LEFT JOIN known USING (digest)""",
         "op6_warc_revisits": f"""
             WITH page AS (SELECT page_id, {url} AS key, '"' || md5(html) || '"' AS tag, strlen(html) AS size FROM pages),

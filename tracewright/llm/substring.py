@@ -1,16 +1,20 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by relative Lempel-Ziv factors, found from anchors.
 
-Every document is both reference block and text to parse. A document's factors are found from anchors: of
-each window of ``size`` words, the least hash of its ``seed``-word runs. A maximal run of windows with the
-same anchor is a factor candidate, so two documents that share a window share its anchor, wherever it
-stands. The index maps (anchor, whole words of the candidate) to the least doc_id that has it:
+The factors of a text are its longest runs of at least ``size`` words that the reference, all documents of a
+smaller doc_id, has too. Parsing each text against each indexed block of the reference would read all texts
+once for every block, and the number of blocks grows with the texts: the square of the input. So texts are
+cut where their own words say, and a text meets only those reference blocks with which it shares an anchor:
+of each window of ``size`` words, the least hash of its ``seed``-word runs. A maximal run of windows with the
+same anchor is a block, so two documents that share a window share its anchor, wherever it stands. The index
+maps (anchor, whole words of the block) to the least doc_id that has it:
 
 1. A text equal to one with a smaller doc_id is one factor, the whole text.
-2. A candidate whose words a smaller doc_id has in full is a factor.
+2. A block whose words a smaller doc_id has in full belongs to a factor.
 3. At factor boundaries, where an anchor is shared but the words around it differ, the windows themselves
    are looked up; only one document for each different surrounding of an anchor sends them.
 
-Each word that such a factor or window covers is removed. Windows are compared by 128-bit hashes.
+From left to right these blocks and windows join to the factors, the spans that are removed. Windows are
+compared by 128-bit hashes, blocks by 64-bit hashes under equal 64-bit anchors.
 
 Cases. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null text has none. Texts under ``size`` words lose
 nothing. Only a strictly smaller doc_id counts as a source: rows that share a doc_id don't remove each
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Runs, small_batches, texts, word_hashes, written
+from tracewright.llm.common import Runs, if_small, small_batches, texts, word_hashes, written
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -99,11 +103,11 @@ def windows(found: DataFrame, size: int, seed: int) -> DataFrame:
 
 
 def cut(found: DataFrame, size: int, seed: int) -> DataFrame:
-    """doc_id, n_removed, kept_sha256, kept_text of documents with sure factors or repeated windows."""
+    """doc_id, n_removed, kept_sha256, kept_text, factors of documents with sure blocks or repeated windows."""
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             rows = zip(texts(batch.column("text")), batch.column("sure").to_pylist(), batch.column("repeated").to_pylist(), strict=True)
             for text, sure, repeated in rows:
                 words = text.split()
@@ -114,21 +118,23 @@ def cut(found: DataFrame, size: int, seed: int) -> DataFrame:
                 if repeated:
                     starts = np.flatnonzero(np.isin(Runs(tokens, 1).windows(size).view(np.int64), np.array(repeated, np.int64)))
                     gone |= covered(len(words), starts, starts, size)
+                edges = np.flatnonzero(np.diff(np.r_[False, gone, False])).reshape(-1, 2)
                 left = [words[i] for i in np.flatnonzero(~gone)]
-                for to, x in zip(out, (int(gone.sum()), sha(left), b" ".join(left)), strict=True):
+                for to, x in zip(out, (int(gone.sum()), sha(left), b" ".join(left), edges.tolist()), strict=True):
                     to.append(x)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary()).cast(pa.string())], names=["doc_id", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary()).cast(pa.string()), pa.array(out[3], pa.list_(pa.list_(pa.int64())))], names=["doc_id", "n_removed", "kept_sha256", "kept_text", "factors"])
 
-    return small_batches(found).mapInArrow(run, "doc_id long, n_removed long, kept_sha256 string, kept_text string")
+    return small_batches(found).mapInArrow(run, "doc_id long, n_removed long, kept_sha256 string, kept_text string, factors array<array<long>>")
 
 
 def substring_dedup(docs: DataFrame, size: int = 50, seed: int = 16) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept_text (null if nothing was removed)."""
+    """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept_text (null if nothing was removed), factors (null likewise: first word and last word + 1 of each span removed)."""
     parsed = written(parse(docs, size, seed), "parsed")
     long = parsed.where(F.col("n_words") >= size).where("doc_id is not null")
-    first = long.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = long.join(first, "digest").where("doc_id > first").select("doc_id").distinct()
-    blocks = long.join(first, "digest").where("doc_id = first").select("doc_id", F.explode(F.arrays_zip("anchor", "whole")).alias("c"))
+    first = long.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = if_small(written(first.select("digest", "first"), "first"))
+    copies = long.select("doc_id", "digest").join(first, "digest").where("doc_id > first").select("doc_id").distinct()
+    blocks = long.join(first, "digest", "left").where("first is null or doc_id = first").select("doc_id", F.explode(F.arrays_zip("anchor", "whole")).alias("c"))
     blocks = written(blocks.select("doc_id", "c.anchor", "c.whole").distinct(), "blocks")
 
     index = blocks.groupBy("anchor", "whole").agg(F.min("doc_id").alias("source"))
@@ -143,12 +149,13 @@ def substring_dedup(docs: DataFrame, size: int = 50, seed: int = 16) -> DataFram
     sources = window.groupBy("w", "x").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("w", "x", "source")
     repeated = window.join(sources, ["w", "x"]).where("doc_id > source").groupBy("doc_id").agg(F.collect_set("w").alias("repeated"))
     partly = found.join(repeated, "doc_id", "left").where(F.col("repeated").isNotNull() | (F.size("sure") > 0)).select("doc_id", "text", "sure", "repeated")
-    partly = cut(partly, size, seed).select("doc_id", F.struct("n_removed", "kept_sha256", "kept_text").alias("cut")).unionByName(
-        copies.select("doc_id", F.struct(F.lit(-1).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("").alias("kept_text")).alias("cut")))
+    partly = cut(partly, size, seed).select("doc_id", F.struct("n_removed", "kept_sha256", "kept_text", "factors").alias("cut")).unionByName(
+        copies.select("doc_id", F.struct(F.lit(-1).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("").alias("kept_text"), F.lit(None).cast("array<array<long>>").alias("factors")).alias("cut")))
     out = parsed.select("doc_id", "n_words", "digest").join(partly, "doc_id", "left")
     return out.select(
         "doc_id", "n_words",
         F.when(F.col("cut.n_removed") < 0, F.col("n_words")).otherwise(F.coalesce("cut.n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.coalesce("cut.kept_sha256", "digest").alias("kept_sha256"),
         F.col("cut.kept_text").alias("kept_text"),
+        F.when(F.col("cut.n_removed") < 0, F.array(F.array(F.lit(0).cast("long"), "n_words"))).otherwise(F.col("cut.factors")).alias("factors"),
     )
