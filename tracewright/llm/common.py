@@ -26,9 +26,11 @@ LOWER[65:91] += 32
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under the shared ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new folder under the shared ``spark.checkpoint.dir``. It may be unset only where there is one machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/tracewright-work"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 

@@ -14,11 +14,12 @@ The items are the query set: they are read in blocks of at most ``block`` items
 each block is broadcast (its size is bounded by these two), and all documents are scanned against it.
 
 Words are runs between white space, A-Z lower-cased, stripped of ASCII punctuation at both ends. An item
-of m words matches within floor(0.2 * m) word edits, exactly if m < 10.
+of m words matches within floor(0.2 * m) word edits, exactly if m < ``EXACT``: so few words with one of them
+changed occur in clean text by chance. Exact items are found by the hash of their whole sequence of words.
 
-Cases. Null and empty texts match nothing. Items under ``least`` words are not searched: they occur in
-clean text by chance. Items longer than ``block_words`` words make a block alone. Ties: of equally distant
-places the first is reported. Repeated items and documents are each reported.
+Cases. Null and empty texts, and items without words, match nothing. Items longer than ``block_words`` words
+make a block alone. Ties: of equally distant places the first is reported. Repeated items and documents are
+each reported, and a null item_id or doc_id as null.
 """
 
 from __future__ import annotations
@@ -27,14 +28,16 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Runs, mix, n_words, small_batches, texts, word_hashes
+from tracewright.llm.common import Runs, mix, n_words, shipped, small_batches, texts, word_hashes
 from tracewright.llm.ngram import KeyIndex
 
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 RATE = 0.2
+EXACT = 10
 GRAM = 3
 
 
@@ -44,7 +47,7 @@ def tokens_of(text: bytes) -> np.ndarray:
 
 def edits(m: int) -> int:
     """Word edits within which an item of m words matches."""
-    return int(RATE * m) if m >= 10 else 0
+    return int(RATE * m) if m >= EXACT else 0
 
 
 def step_bits(walk: int, steps: int) -> np.ndarray:
@@ -69,10 +72,18 @@ class Items:
     def __init__(self, ids: list, token_lists: list[np.ndarray], walks: int, keys: int, bits: int):
         self.ids, self.tokens = ids, token_lists
         self.walks, self.n_keys, self.bits = walks, keys, bits
-        self.runs = [np.unique(Runs(t).windows(GRAM)) for t in token_lists]
-        self.lengths = sorted({len(t) for t in token_lists})
+        self.exact = {}
+        for m in sorted({len(t) for t in token_lists if 0 < len(t) < EXACT}):
+            of: dict[int, list[int]] = {}
+            for i, t in enumerate(token_lists):
+                if len(t) == m:
+                    of.setdefault(int(Runs(t).windows(m)[0]), []).append(i)
+            self.exact[m] = KeyIndex(np.array(list(of), np.uint64)), list(of.values())
+        long = [t for t in token_lists if len(t) >= EXACT]
+        self.runs = [np.unique(Runs(t).windows(GRAM)) if len(t) >= EXACT else None for t in token_lists]
+        self.lengths = sorted({len(t) for t in long})
         # For each three-word run the lengths of the items that hold it, one list after another.
-        pairs = [(g, self.lengths.index(len(t))) for t, run in zip(token_lists, self.runs, strict=True) for g in run.tolist()]
+        pairs = [(g, self.lengths.index(len(t))) for t, run in zip(token_lists, self.runs, strict=True) if run is not None for g in run.tolist()]
         pairs = sorted(set(pairs))
         grams, self.first = np.unique(np.array([g for g, _ in pairs], np.uint64), return_index=True)
         self.grams, self.first, self.of_length = KeyIndex(grams), np.r_[self.first, len(pairs)], np.array([x for _, x in pairs], np.int64)
@@ -132,19 +143,34 @@ class Items:
                     found.append(np.unique(np.stack([item[j], part[np.repeat(i, n) % len(part)]], axis=1), axis=0))
         return np.unique(np.concatenate(found), axis=0)
 
+    def equal(self, tokens: np.ndarray, ends: np.ndarray, of: np.ndarray, begins: np.ndarray):
+        """The first place of each exact item in each text, as ``matches`` gives it."""
+        for m, (index, items) in self.exact.items():
+            row = index.find(Runs(tokens).windows(m))
+            at = np.flatnonzero((row >= 0) & (np.arange(len(row)) + m <= ends[: len(row)]))
+            _, first = np.unique(of[at] * len(items) + row[at], return_index=True)
+            for p in at[first].tolist():
+                text = int(of[p])
+                for number in items[row[p]]:
+                    if (self.tokens[number] == tokens[p : p + m]).all():
+                        yield text, number, p - int(begins[text]), p - int(begins[text]) + m, 0
+
     def matches(self, texts: list[np.ndarray]):
         """(text number, item number, first word, last word + 1, distance) of the best place of each item in each text."""
         sizes = np.array([len(t) for t in texts], np.int64)
-        if not self.lengths or not sizes.sum():
+        if not sizes.sum():
             return
         tokens, ends = np.concatenate(texts), np.repeat(np.cumsum(sizes), sizes)
+        begins = np.cumsum(sizes) - sizes
+        yield from self.equal(tokens, ends, np.repeat(np.arange(len(texts)), sizes), begins)
+        if not self.lengths:
+            return
         places = self.places(tokens, ends)
         of = np.repeat(np.arange(len(texts)), sizes)[places[:, 1]]
         order = np.lexsort((places[:, 1], places[:, 0], of))
         places, of = places[order], of[order]
         if not len(of):
             return
-        begins = np.cumsum(sizes) - sizes
         cuts = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (places[1:, 0] != places[:-1, 0]), True])
         for a, b in pairwise(cuts.tolist()):
             number, text = int(places[a, 0]), int(of[a])
@@ -193,9 +219,9 @@ def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), int(start[end]), end
 
 
-def blocks(items: DataFrame, least: int, most: int, most_words: int):
+def blocks(items: DataFrame, most: int, most_words: int):
     """Lists of (item_id, text), each within the bounds, one at a time."""
-    items = items.select("item_id", "text").where(F.col("text").isNotNull()).withColumn("n", n_words(F.col("text"))).where(F.col("n") >= least)
+    items = items.select("item_id", "text").where(F.col("text").isNotNull()).withColumn("n", n_words(F.col("text"))).where("n > 0")
     rows, words = items.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts = max(1, -(-2 * rows // most) if rows > most else 1, -(-2 * words // most_words) if words > most_words else 1)
     for part in range(parts):
@@ -210,17 +236,17 @@ def blocks(items: DataFrame, least: int, most: int, most_words: int):
             yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 8, walks: int = 4, keys: int = 32, bits: int = 3, block: int = 5_000, block_words: int = 500_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, walks: int = 4, keys: int = 32, bits: int = 3, block: int = 5_000, block_words: int = 500_000) -> DataFrame:
     """One row per document and item that it contains: doc_id, item_id, first_word, end_word, distance."""
     spark = docs.sparkSession
     out = None
     schema = "doc_id long, item_id long, first_word long, end_word long, distance long"
-    for rows in blocks(benchmark, least, block, block_words):
-        pairs = [(i, t) for i, t in ((i, tokens_of(text.encode())) for i, text in rows) if len(t) >= least]
-        shared = spark.sparkContext.broadcast(Items([i for i, _ in pairs], [t for _, t in pairs], walks, keys, bits))
+    for rows in blocks(benchmark, block, block_words):
+        pairs = [(i, t) for i, t in ((i, tokens_of(text.encode())) for i, text in rows) if len(t)]
+        held = shipped(spark, cloudpickle.dumps(Items([i for i, _ in pairs], [t for _, t in pairs], walks, keys, bits)), cloudpickle.loads)
 
-        def scan(batches, shared=shared):
-            items = shared.value
+        def scan(batches, held=held):
+            items = held()
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 found = [(ids[i], items.ids[number], lo, hi, d) for i, number, lo, hi, d in items.matches([tokens_of(t) for t in texts(batch.column("text"))])]

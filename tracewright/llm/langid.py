@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import LOWER, small_batches, utf8, written
+from tracewright.llm.common import LOWER, shipped, small_batches, utf8, written
 from tracewright.llm.ngram import Level, Summed, Table, UNKNOWN_BITS, count_grams
 
 UNDETERMINED = "und"
@@ -138,11 +138,11 @@ def frozen(languages: list[str], grp: np.ndarray, size: np.ndarray, gram: np.nda
 
 def part_bits(keyed: DataFrame, table: Table, part: int, block: int) -> DataFrame:
     """(key, block, part, b0, b1, ...) of every row: the bits that one part gives it under each language of its block."""
-    shared = keyed.sparkSession.sparkContext.broadcast(table)
+    held = shipped(keyed.sparkSession, table.plain(), Table.of)
     names = ["key", *(f"b{i}" for i in range(BLOCK))]
 
     def score(batches):
-        table = shared.value
+        table = held()
         for batch in batches:
             bits = np.zeros((batch.num_rows, BLOCK))
             bits[:, : table.width] = table.bits(*utf8(batch.column("__text")), LOWER)
@@ -183,11 +183,12 @@ def predict(docs: DataFrame, model: PPM, text: str = "text", keep: list[str | Co
     names = [x for x in kept.columns if not x.startswith("__")]
     if len(model.parts) > 1:
         return predict_parts(kept, model, names)
-    shared = spark.sparkContext.broadcast((model.languages, model.table(model.parts[0]) if model.parts else None))
+    languages = model.languages
+    held = shipped(spark, model.table(model.parts[0]).plain() if model.parts else None, lambda plain: plain and Table.of(plain))
     schema = ", ".join([*(f"`{x}` {kept.schema[x].dataType.simpleString()}" for x in names), "lang_pred string, score double, bits double"])
 
     def score(batches):
-        languages, table = shared.value
+        table = held()
         for batch in batches:
             letters = np.array(batch.column("__letters").to_pylist(), dtype=bool)
             lang = np.full(len(letters), UNDETERMINED, dtype=object)

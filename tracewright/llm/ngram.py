@@ -138,8 +138,13 @@ class Table:
         self.width = levels[0].cost.shape[1]
         self.index: list[KeyIndex] | None = None
 
-    def __getstate__(self):  # the indexes are built where they are used
-        return self.__dict__ | {"index": None, "context_index": None}
+    def plain(self) -> tuple:
+        """What the table is made of, as built-in types and arrays; the indexes are built where they are used."""
+        return [(x.size, x.keys, x.cost, x.contexts, x.leave) for x in self.levels], self.span
+
+    @staticmethod
+    def of(plain: tuple) -> "Table":
+        return Table([Level(*x) for x in plain[0]], plain[1])
 
     def ready(self) -> None:
         if self.index is None:
