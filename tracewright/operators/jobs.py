@@ -53,6 +53,17 @@ def meta_of(x: Column) -> Column:
     return F.coalesce(F.when(F.try_parse_json(x).isNotNull(), F.from_json(x, "map<string,string>")), empty)
 
 
+def created(jobs: DataFrame) -> DataFrame:
+    """The first log row of each new job (id, input_path, meta, updated, seq): queued, without progress."""
+    return jobs.select("id", "updated", "seq", F.lit("queued").alias("status"), F.lit(0.0).alias("progress"), F.lit("Queued").alias("message"), "input_path", F.coalesce("meta", F.lit("{}")).alias("meta"))
+
+
+def status_line(progress: Column, message: Column, status: Column) -> Column:
+    """Such as ``40% - Reading frames``; the status where there is no message."""
+    share = F.floor(F.coalesce(progress.cast("double"), F.lit(0.0)) * 100).cast("int").cast("string")
+    return F.concat(share, F.lit("% - "), F.coalesce(F.nullif(message, F.lit("")), status, F.lit("")))
+
+
 def slowest_stage(jobs: DataFrame, meta: str) -> DataFrame:
     """id, stage, seconds: the stage that took longest by the timings in ``meta``, of equals the first by name."""
     stages = jobs.select("id", F.explode(meta_of(F.col(meta))).alias("stage", "value")).withColumn("seconds", F.col("value").try_cast("double")).where("seconds is not null")

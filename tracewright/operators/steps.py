@@ -72,10 +72,13 @@ def audit_runs(steps: DataFrame) -> DataFrame:
 
 
 def risk_flags(steps: DataFrame) -> DataFrame:
-    """Adds risky: not of high confidence, a specific action or exact value, or two systems that disagree."""
+    """Adds risky: not of high confidence, a specific action or exact value, two systems that disagree, or a step
+    whose coverage the audit wants reviewed (if there is such a column)."""
     both = F.concat_ws(" ", text_of(F.col("action")), text_of(F.col("expected_output")))
     apart = (F.col("rule_system") != "Other") & (F.col("system") != F.col("rule_system")) & (F.col("rule_system") != "") & (F.col("system") != "")
     risky = ~F.col("confidence").eqNullSafe(F.lit("high")) | both.rlike(rules.SPECIFIC_ACTION) | both.rlike(rules.EXACT_VALUE) | F.coalesce(apart, F.lit(False))
+    if "coverage_review_required" in steps.columns:
+        risky = risky | F.coalesce("coverage_review_required", F.lit(False))
     return steps.withColumn("risky", risky)
 
 

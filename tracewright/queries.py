@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import pixels, rules, score, text
-from tracewright.operators import boundaries, cleanup, evidence, jobs, procedure, screens, steps
+from tracewright.operators import boundaries, cleanup, evidence, jobs, procedure, review, screens, steps
 from tracewright.plans import report, segments
 from tracewright.sources import recordings as R
 from tracewright.streaming import live
@@ -184,6 +184,34 @@ def local_events(spark, sf_dir):
     return rows.select("job_id", (F.col("ord") + 1).alias("event_id"), F.col("ocr_text").alias("clean_text"), "system", text.hint_of(F.col("ocr_text")).alias("action_hint"), state.alias("screen_state_id"))
 
 
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's items for every third event: some fields blank, some twice, some with a confidence that doesn't exist."""
+    k, n = F.col("k"), F.col("ord").cast("string")
+    rows = R.frames(spark, sf_dir).where("k % 3 = 0").withColumn("pos", F.explode(F.when(k % 12 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return rows.select(
+        "job_id", (F.col("ord") + 1).alias("event_id"), "pos", F.when(k % 2 == 0, "SAP").alias("system"), F.when(k % 5 > 0, F.concat(F.lit(" Post document "), n, F.lit(" take "), F.col("pos").cast("string"))).otherwise(" ").alias("action"),
+        F.when(k % 4 > 0, "It is posted.").alias("expected_output"), F.when(k % 9 == 0, "certain").otherwise("High").alias("confidence"),
+    )
+
+
+def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The local writer's steps with what is known of their segments."""
+    events = local_events(spark, sf_dir)
+    seen = R.screens(spark, sf_dir).select("job_id", (F.col("ord") + 1).alias("step_number"), "k", "ocr_text", "boundary_score", "time_sec")
+    made = steps.local_steps(events).select("job_id", F.col("event_id").alias("step_number"), "action", "expected_output")
+    known = events.select("job_id", F.col("event_id").alias("step_number"), "system", "action_hint", "screen_state_id")
+    return made.join(known, ["job_id", "step_number"]).join(seen, ["job_id", "step_number"]).withColumns({"start_time": F.col("time_sec"), "end_time": F.when(F.col("k") % 13 > 0, F.col("time_sec") + F.col("k") % 50)})
+
+
+def q_verified(spark, sf_dir):
+    """Every second step that is sent is updated, some only in part."""
+    rows = steps.risk_flags(R.steps(spark, sf_dir)).select("job_id", "step_number", "k", "system", "action", "expected_output", "confidence", "risky")
+    k = F.col("k")
+    updates = review.to_verify(rows, 8).where("k % 2 = 0").select(
+        "job_id", "step_number", F.lit(1).alias("pos"), F.when(k % 6 == 0, "PDF").otherwise("").alias("system"), F.concat("action", F.lit(" Click 12345.")).alias("action"), F.lit(None).cast("string").alias("expected_output"), F.when(k % 4 == 0, "sure").otherwise("low").alias("confidence"))
+    return review.verified(rows, updates).select("job_id", "step_number", "system", "action", "expected_output", "confidence", "verified")
+
+
 def told(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a system, a text and a change score."""
     return screens.labelled(R.screens(spark, sf_dir)).select("job_id", "ord", "time_sec", "system", F.col("ocr_text").alias("text"), F.col("visual_score").alias("diff_score"), "k")
@@ -281,6 +309,12 @@ def queries() -> dict[str, Query]:
         "fallback_steps": lambda s, d: steps.local_steps(local_events(s, d)),
         "audit_runs": lambda s, d: steps.audit_runs(st(s, d)),
         "update_join": q_updates,
+        "generated_steps": lambda s, d: review.generated(local_events(s, d), answers(s, d)),
+        "audit_flags": lambda s, d: review.audited(audit_rows(s, d)).select("job_id", "step_number", "duration", "weak_candidate", "missing_operation", "long_segment", "coverage_review_required"),
+        "verify_updates": q_verified,
+        "run_stats": lambda s, d: review.run_stats(R.ordered_events(s, d).select("job_id", F.col("ord").alias("pos"), F.when(F.col("k") % 6 == 0, F.concat(F.lit("timeout "), F.col("k").cast("string"))).alias("error"))),
+        "job_status": lambda s, d: jobs.job_state(job_updates(s, d), ["status", "progress", "meta"]).select("id", jobs.status_line(F.col("progress"), F.when(F.col("id") % 2 == 0, "Reading frames"), F.col("status")).alias("line")),
+        "job_created": lambda s, d: jobs.created(R.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(1).alias("updated"), F.lit(0).alias("seq"), F.col("c_name").alias("input_path"), F.when(F.col("c_custkey") % 3 == 0, "{}").alias("meta"))),
         "workflow_family": lambda s, d: cleanup.workflow_family(st(s, d)),
         "phase_sections": lambda s, d: procedure.phase_sections(st(s, d)),
         "chronology": lambda s, d: cleanup.chronology(st(s, d)),
@@ -350,6 +384,19 @@ FAMILY = f"""{STEPS}, fam AS (SELECT job_id, CASE WHEN bool_or({sql_has("lower("
   WHEN bool_or(system = 'SAP') THEN 'sap' WHEN bool_or(system = 'Browser') THEN 'browser_crud' ELSE 'generic' END AS family FROM steps GROUP BY 1)"""
 
 
+def audit_sql() -> str:
+    """Flags of the local writer's steps, in the relations of ``fallback_sql``."""
+    generic = GENERIC
+    low, clean = "lower(coalesce(ocr_text, ''))", lambda x: f"trim(regexp_replace(lower({x}), '[^\\pL\\pN_]+', ' ', 'g'))"
+    return f"""WITH own AS ({fallback_sql()}), seen AS (WITH {SCREENS} SELECT job_id, ord + 1 AS event_id, k, ocr_text, boundary_score, {sql_class("ocr_text", rules.SYSTEMS, "Other")} AS system, {sql_class("ocr_text", rules.HINTS, "review")} AS hint,
+      CASE WHEN k % 4 > 0 THEN k % 4 END AS state FROM screens), b AS (SELECT *, {generic} AS generic, {clean("system || ' ' || action || ' ' || expected_output")} AS sig FROM own JOIN seen USING (job_id, event_id)),
+    n AS (SELECT *, (sig IS DISTINCT FROM lag(sig) OVER w)::INT AS s, (state IS DISTINCT FROM lag(state) OVER w) OR (state IS DISTINCT FROM lead(state) OVER w) AS alone FROM b WINDOW w AS (PARTITION BY job_id ORDER BY event_id)),
+    g AS (SELECT *, sum(s) OVER (PARTITION BY job_id ORDER BY event_id) AS run FROM n), p AS (SELECT *, row_number() OVER (PARTITION BY job_id, run ORDER BY event_id) AS nth FROM g),
+    f AS (SELECT job_id, event_id AS step_number, CASE WHEN k % 13 > 0 THEN (k % 50)::DOUBLE ELSE 0.0 END AS duration, generic AND nth >= 2 AS weak_candidate, generic AND alone AS apart,
+      generic AND system = 'Excel' AND (hint IN ({", ".join(map(lit, review.OPERATION_HINTS))}) OR boundary_score >= {review.OPERATION_SCORE} OR {sql_has(low, review.OPERATION_TERMS + review.PIVOT_TERMS)}) AS missing_operation FROM p)
+    SELECT job_id, step_number, duration, weak_candidate, missing_operation, duration > {review.LONG_SECONDS} AS long_segment, weak_candidate OR apart OR missing_operation OR duration > {review.LONG_SECONDS} AS coverage_review_required FROM f"""
+
+
 def fallback_sql() -> str:
     t, has = "lower(coalesce(clean_text, ''))", lambda *x: sql_has("lower(coalesce(clean_text, ''))", list(x))
     conds = [
@@ -545,6 +592,7 @@ def job_sql() -> dict[str, str]:
         p AS (SELECT *, CASE WHEN json_valid(meta) THEN json_extract_string(meta, '$.extraction') END AS a FROM j)"""
     return {
         "job_state": f"WITH {log} SELECT id, status, progress, updated, coalesce(a, '') AS extraction FROM p",
+        "job_status": f"WITH {log} SELECT id, floor(coalesce(progress, 0) * 100)::INT || '% - ' || coalesce(CASE WHEN id % 2 = 0 THEN 'Reading frames' END, status, '') AS line FROM p",
         "slowest_stage": f"WITH {log} SELECT id, CASE WHEN a::INT > 50 THEN 'extraction' ELSE 'cleanup' END AS stage, greatest(a::DOUBLE, 100 - a::DOUBLE) AS seconds FROM p WHERE a IS NOT NULL",
         "capabilities": """SELECT c_custkey AS id, k AS model_ready, CASE WHEN k THEN 'production_vision' WHEN c_custkey % 2 = 0 THEN 'local_ocr_draft' ELSE 'diagnostic_only' END AS mode,
             CASE WHEN k THEN 'production_vision' WHEN c_custkey % 5 > 0 THEN 'local_ocr_draft' ELSE 'diagnostic_only' END AS mode_after_text FROM (SELECT c_custkey, c_custkey % 4 = 1 AND c_custkey % 3 <> 0 AS k FROM customer)""",
@@ -630,6 +678,17 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN risky THEN {REDACT.format(x="expected_output")} ELSE expected_output END AS expected_output, CASE WHEN risky AND confidence = 'high' THEN 'medium' ELSE confidence END AS confidence FROM r""",
         "repair_steps": f"WITH {STEPS} {repair}",
         "fallback_steps": fallback_sql(),
+        "generated_steps": f"""WITH own AS ({fallback_sql()}), seen AS (WITH {SCREENS} SELECT job_id, ord + 1 AS event_id, k, {sql_class("ocr_text", rules.SYSTEMS, "Other")} AS seen FROM screens)
+            SELECT job_id, event_id, CASE WHEN k % 6 = 0 THEN 'SAP' ELSE seen END AS system, CASE WHEN k % 3 = 0 AND k % 5 > 0 THEN 'Post document ' || (event_id - 1) || ' take ' || CASE WHEN k % 12 = 0 THEN 2 ELSE 1 END ELSE action END AS action,
+              CASE WHEN k % 3 = 0 AND k % 4 > 0 THEN 'It is posted.' ELSE expected_output END AS expected_output, CASE WHEN k % 3 > 0 THEN confidence WHEN k % 9 = 0 THEN 'medium' ELSE 'high' END AS confidence,
+              CASE WHEN k % 3 = 0 THEN 'openai_vision' ELSE generation_source END AS generation_source FROM own JOIN seen USING (job_id, event_id)""",
+        "audit_flags": audit_sql(),
+        "verify_updates": f"""WITH {STEPS}, r AS (SELECT *, {RISKY} AS risky FROM steps), n AS (SELECT *, row_number() OVER (PARTITION BY job_id, risky ORDER BY step_number) AS nth FROM r), u AS (SELECT *, risky AND nth <= 8 AND k % 2 = 0 AS upd FROM n),
+            v AS (SELECT job_id, step_number, risky, upd, k, confidence AS c, expected_output, system AS sy, CASE WHEN upd THEN action || ' Click 12345.' ELSE action END AS action FROM u)
+            SELECT job_id, step_number, CASE WHEN upd AND k % 6 = 0 THEN 'PDF' ELSE sy END AS system, CASE WHEN risky THEN {REDACT.format(x="action")} ELSE action END AS action, CASE WHEN risky THEN {REDACT.format(x="expected_output")} ELSE expected_output END AS expected_output,
+              CASE WHEN upd AND k % 4 > 0 THEN 'low' ELSE c END AS confidence, upd AS verified FROM v""",
+        "run_stats": f"""WITH {EV} SELECT job_id, count(*) AS attempted, count_if(k % 6 <> 0) AS succeeded, coalesce(string_agg(CASE WHEN k % 6 = 0 THEN 'timeout ' || k END, '; ' ORDER BY ord), '') AS errors FROM ev GROUP BY 1""",
+        "job_created": "SELECT c_custkey AS id, 1 AS updated, 0 AS seq, 'queued' AS status, 0.0::DOUBLE AS progress, 'Queued' AS message, c_name AS input_path, '{}' AS meta FROM customer",
         "audit_runs": f"""WITH {FLAGS}, m AS (SELECT *, CASE WHEN (system, action, expected_output) = lag((system, action, expected_output)) OVER w THEN 0 ELSE 1 END AS s FROM flags WINDOW w AS (PARTITION BY job_id ORDER BY step_number)),
             r AS (SELECT *, sum(s) OVER (PARTITION BY job_id ORDER BY step_number) AS run FROM m)
             SELECT job_id, step_number, count(*) OVER (PARTITION BY job_id, run) AS run_length, count(*) OVER (PARTITION BY job_id, run) >= 2 OR generic AS weak FROM r""",
