@@ -93,6 +93,13 @@ def test_own_profiles(spark):
     assert {r.id: r.batch for r in jobs.with_profile(rows, own).collect()} == {1: 1, 2: 2, 3: 2}
 
 
+def test_artifacts(spark, tmp_path):
+    made = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "job_id long, action string")
+    jobs.write_artifacts({"steps": made}, f"file://{tmp_path}/out")
+    got = {(r.job_id, r.name): r.n for r in jobs.artifact_counts(spark, f"file://{tmp_path}/out", ["steps", "report"]).collect()}
+    assert got == {(1, "steps"): 2, (2, "steps"): 1, (None, "report"): None}
+
+
 def test_forced_split(spark):
     f = frames(spark, [0.0] * 13, 10.0)
     spans = boundaries.spans(f, f.limit(0).select("job_id", "ord"))

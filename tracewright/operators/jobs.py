@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +135,22 @@ def segment_report(spans: DataFrame) -> DataFrame:
     return spans.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("segment", line.alias("line")))).alias("x")).select("job_id", F.array_join(F.col("x.line"), "\n").alias("report"))
 
 
+def artifact_counts(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """job_id, name, n: rows of each stage's table by job, as ``write_artifacts`` has written them; a stage that
+    isn't there has one row without job_id and n, so a job that stopped early can be read as far as it came."""
+    out = None
+    for name in names:
+        try:
+            rows = spark.read.json(f"{root}/{name}").groupBy(F.col("job_id").cast("long").alias("job_id")).agg(F.count(F.lit(1)).alias("n"))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = spark.createDataFrame([(None, None)], "job_id long, n long")
+        rows = rows.select("job_id", F.lit(name).alias("name"), "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def write_artifacts(tables: dict[str, DataFrame], root: str) -> None:
     """One folder of JSON for each stage's table, by job."""
     for name, df in tables.items():

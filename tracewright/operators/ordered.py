@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the folder that spark.checkpoint.dir names, which executors must share.
+
+    The folder may be unset only where there is one machine."""
+    spark = df.sparkSession
+    if not (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/tracewright-settled")
+    return df.checkpoint()
+
+
 def in_order(*order: str) -> Window:
     return Window.partitionBy("job_id").orderBy(*(order or ("ord",)))
 

@@ -127,11 +127,13 @@ def removed_steps(steps: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def watched(clean: DataFrame) -> DataFrame:
-    """Adds what is counted along the order: event_gap to the last operational step, in_review, run, twice."""
-    w = in_order("place")
-    before = F.last(F.when(F.col("meaningful"), F.col(BY_NUMBER)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    """Adds what is counted along the order: event_gap to the last operational step, in_review, run, twice.
+
+    The gap is in source_event_index where there is such a column, else in step numbers."""
+    w, at = in_order("place"), F.col("source_event_index" if "source_event_index" in clean.columns else BY_NUMBER)
+    before = F.last(F.when(F.col("meaningful"), at), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     in_review = F.coalesce(F.col("category").isin("contextual_review", "passive_filler"), F.lit(False)) | (F.col("review") & ~F.col("meaningful"))
-    rows = described(clean).withColumns({"event_gap": F.when(F.col("meaningful"), F.col(BY_NUMBER) - before), "in_review": in_review})
+    rows = described(clean).withColumns({"event_gap": F.when(F.col("meaningful"), at - before), "in_review": in_review})
     rows = rows.withColumn("run", run_id(~F.col("in_review"), "place"))
     rows = rows.withColumn("run_at", F.when(F.col("in_review"), F.count_if("in_review").over(Window.partitionBy("job_id", "run").orderBy("place"))))
     rows = rows.withColumn("me", F.struct(*COMPARED))

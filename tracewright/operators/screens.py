@@ -66,16 +66,16 @@ def screen_states(screens: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def scroll_collapse(screens: DataFrame) -> DataFrame:
-    """job_id, event_id, ord, end_time, frame_count, ocr_text, system, screen_state_id, boundary_score: rows that only
+    """job_id, event_id, ord, start_time, end_time, frame_count, ocr_text, system, screen_state_id, boundary_score: rows that only
     scroll are merged into the last kept row.
 
     end_time and frame_count are those of all rows merged; without such columns a row is one frame at its time.
     With text on both: same system and state, Jaccard over 0.70, boundary under 0.12, visual under 0.01 and no
     operational term. Otherwise: same system and state, visual under 0.01. The longer text is kept."""
-    for name, of in (("end_time", F.col("time_sec")), ("frame_count", F.lit(1))):
+    for name, of in (("start_time", F.col("time_sec")), ("end_time", F.col("time_sec")), ("frame_count", F.lit(1))):
         screens = screens if name in screens.columns else screens.withColumn(name, of)
     screens = screens.withColumn("frame_count", F.col("frame_count").cast("int"))
-    row = "struct<ord:int,time_sec:double,system:string,state:int,text:string,n:int,score:double>"
+    row = "struct<ord:int,start:double,time_sec:double,system:string,state:int,text:string,n:int,score:double>"
 
     def step(kept, x):
         last = F.try_element_at(kept, F.lit(-1))
@@ -85,9 +85,9 @@ def scroll_collapse(screens: DataFrame) -> DataFrame:
         still = (jaccard(tokens(x["ocr_text"]), tokens(last["text"]), 1.0) > 0.70) & (x["boundary_score"] < 0.12) & ~contains_any(words, rules.OPERATIONAL_TERMS)
         merge = (F.size(kept) > 0) & same & F.when(both, still).otherwise(F.lit(True))
         text = F.when(F.length(x["ocr_text"]) > F.length(last["text"]), x["ocr_text"]).otherwise(last["text"])
-        entry = lambda o, t, n, score: F.struct(o.alias("ord"), x["end_time"].alias("time_sec"), x["system"].alias("system"), x["screen_state_id"].alias("state"), t.alias("text"), n.alias("n"), score.alias("score"))
-        merged = F.array_append(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), entry(last["ord"], text, last["n"] + x["frame_count"], last["score"]))
-        return F.when(F.coalesce(merge, F.lit(False)), merged).otherwise(F.array_append(kept, entry(x["ord"], x["ocr_text"], x["frame_count"], x["boundary_score"])))
+        entry = lambda o, begin, t, n, score: F.struct(o.alias("ord"), begin.alias("start"), x["end_time"].alias("time_sec"), x["system"].alias("system"), x["screen_state_id"].alias("state"), t.alias("text"), n.alias("n"), score.alias("score"))
+        merged = F.array_append(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), entry(last["ord"], last["start"], text, last["n"] + x["frame_count"], last["score"]))
+        return F.when(F.coalesce(merge, F.lit(False)), merged).otherwise(F.array_append(kept, entry(x["ord"], x["start_time"], x["ocr_text"], x["frame_count"], x["boundary_score"])))
 
-    got = fold(screens, ["ord", "end_time", "frame_count", "system", "screen_state_id", "ocr_text", "visual_score", "boundary_score"], ["ord"], F.array().cast(f"array<{row}>"), step)
-    return got.select("job_id", F.posexplode("state").alias("i", "x")).select("job_id", (F.col("i") + 1).alias("event_id"), "x.ord", F.col("x.time_sec").alias("end_time"), F.col("x.n").alias("frame_count"), F.col("x.text").alias("ocr_text"), "x.system", F.col("x.state").alias("screen_state_id"), F.col("x.score").alias("boundary_score"))
+    got = fold(screens, ["ord", "start_time", "end_time", "frame_count", "system", "screen_state_id", "ocr_text", "visual_score", "boundary_score"], ["ord"], F.array().cast(f"array<{row}>"), step)
+    return got.select("job_id", F.posexplode("state").alias("i", "x")).select("job_id", (F.col("i") + 1).alias("event_id"), "x.ord", F.col("x.start").alias("start_time"), F.col("x.time_sec").alias("end_time"), F.col("x.n").alias("frame_count"), F.col("x.text").alias("ocr_text"), "x.system", F.col("x.state").alias("screen_state_id"), F.col("x.score").alias("boundary_score"))

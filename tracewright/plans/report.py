@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.operators import cleanup, procedure, steps
+from tracewright.operators.ordered import settled
 from tracewright.sources import recordings
 
 
@@ -20,4 +21,5 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, info = verified(spark, sf_dir)
-    return procedure.quality_report(procedure.clean_steps(rows, info), info, cleanup.chronology(rows))
+    rows = settled(rows)
+    return procedure.quality_report(settled(procedure.clean_steps(rows, info)), info, cleanup.chronology(rows))

@@ -16,7 +16,7 @@ TELLING = ["filter", "export", "data entry", "post/save"]
 def segments_of(frames: DataFrame, most: int = 36, longest: float = 30.0) -> DataFrame:
     """Segments of frames (job_id, ord, time_sec, boundary_score, visual_score, ocr_text, hash).
 
-    job_id, event_id, ord (of the stable frame), end_time, frame_count, ocr_text, screen_state_id,
+    job_id, event_id, ord (of the stable frame), start_time, end_time, frame_count, ocr_text, screen_state_id,
     dense_repeated_run. A segment's text is that of its stable frame, its first frame and the frame after it,
     cleaned; its score weighs the score of the boundary that closes it, change of text and system, and whether
     its text names an action. States are told before systems are smoothed, scrolling is judged after."""
@@ -32,13 +32,13 @@ def segments_of(frames: DataFrame, most: int = 36, longest: float = 30.0) -> Dat
     told = told.withColumn("said", F.when(first & (F.col("role") != "4last") & (F.col("said") != ""), F.struct("role", "said")))
     of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
     rows = told.groupBy("job_id", "start_ord").agg(
-        F.first("stable_ord").alias("ord"), F.first("closing").alias("visual_score"), (F.first("end_ord") - F.first("start_ord")).alias("frame_count"), of("1stable", "time_sec").alias("time_sec"), of("4last", "time_sec").alias("end_time"),
+        F.first("stable_ord").alias("ord"), F.first("closing").alias("visual_score"), (F.first("end_ord") - F.first("start_ord")).alias("frame_count"), of("1stable", "time_sec").alias("time_sec"), of("4last", "time_sec").alias("end_time"), of("2entry", "time_sec").alias("start_time"),
         of("1stable", "hash").alias("hash"), F.array_join(F.array_sort(F.collect_list("said"))["said"], "\n").alias("ocr_text"),
     ).drop("start_ord")
     rows = screens.with_deltas(screens.labelled(rows))
     action = F.when(hint_of(F.col("ocr_text")).isin(TELLING), 1.0).otherwise(0.3)
     rows = rows.withColumn("boundary_score", F.round(segment_score(F.col("visual_score"), F.col("text_delta"), F.col("system_delta"), action), 4))
-    rows = screens.screen_states(rows, keep=("time_sec", "end_time", "frame_count", "system", "ocr_text", "visual_score", "boundary_score"))
+    rows = screens.screen_states(rows, keep=("time_sec", "start_time", "end_time", "frame_count", "system", "ocr_text", "visual_score", "boundary_score"))
     return screens.repeated_runs(screens.scroll_collapse(screens.smooth_systems(rows)), "screen_state_id")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import pixels, rules, score, text
 from tracewright.operators import boundaries, cleanup, evidence, jobs, procedure, review, screens, steps
-from tracewright.plans import report, segments
+from tracewright.plans import job, report, segments
 from tracewright.sources import recordings as R
 from tracewright.streaming import live
 
@@ -288,6 +288,7 @@ def queries() -> dict[str, Query]:
         "stable_frame": lambda s, d: (lambda x: boundaries.stable_frames(x[1], x[0]))(parts_of(s, d)),
         "segment_report": lambda s, d: jobs.segment_report(spans_of(s, d)[1]),
         "average_hash": lambda s, d: hashed(s, d),
+        "visual_scores": lambda s, d: R.frames(s, d).select("job_id", "ord", F.round(score.visual_score(F.col("boundary_score"), F.col("k") % 10 / 11, F.col("k") % 7 / 7, F.col("k") % 64 / 63), 6).alias("score")),
         "hash_distance": lambda s, d: (lambda h: h.alias("a").join(h.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1).select(F.col("a.vec_id").alias("vec_id"), text.hash_distance(F.col("a.hash"), F.col("b.hash")).alias("distance")))(hashed(s, d)),
         "classify_system": lambda s, d: screens.labelled(sc(s, d)).select("job_id", "ord", "system", text.hint_of(F.col("ocr_text")).alias("hint")),
         "classify_pages": lambda s, d: R.table(s, d, "pages").select("page_id", text.system_of(F.col("url")).alias("system")),
@@ -332,6 +333,7 @@ def queries() -> dict[str, Query]:
         "phase_labels": lambda s, d: procedure.phase_labels(R.procedures(s, d)).select("job_id", "step_number", "family", "phase", "corrected"),
         "phase_errors": lambda s, d: R.procedures(s, d).withColumns({"family": F.lit("excel_pivottable"), "phase": R.pick(["Configure PivotTable fields", "Add calculations and formatting", "Create PivotTable"], F.col("step_number"))}).select("job_id", "step_number", procedure.phase_error().alias("error")),
         "segments": segments.job_segments,
+        "job_pipeline": job.job_pipeline,
         "job_state": lambda s, d: jobs.job_state(job_updates(s, d), ["status", "progress", "meta"]).select("id", "status", "progress", "updated", F.coalesce(F.element_at(jobs.meta_of(F.col("meta")), "extraction"), F.lit("")).alias("extraction")),
         "slowest_stage": q_slowest,
         "capabilities": q_capabilities,
@@ -384,6 +386,46 @@ FAMILY = f"""{STEPS}, fam AS (SELECT job_id, CASE WHEN bool_or({sql_has("lower("
   WHEN bool_or(system = 'SAP') THEN 'sap' WHEN bool_or(system = 'Browser') THEN 'browser_crud' ELSE 'generic' END AS family FROM steps GROUP BY 1)"""
 
 
+def states_sql() -> str:
+    """Leader clustering, one row after another with the leaders found so far."""
+    fit = """s.system = q.system AND NOT (s.blank AND q.blank AND q.system = 'Other' AND q.bs > 0.02) AND (bit_count(xor(s.hash, q.hash)) <= 8
+      OR CASE WHEN len(s.tok) = 0 OR len(q.tok) = 0 THEN 0.0 ELSE len(list_intersect(s.tok, q.tok)) / len(list_distinct(list_concat(s.tok, q.tok))) END > 0.72)"""
+    return f"""WITH RECURSIVE {SCREENS}, st AS (SELECT job_id, ord, {sql_class("ocr_text", rules.SYSTEMS, "Other")} AS system, (k % 5 * 1023)::BIGINT AS hash, {sql_tokens("ocr_text")} AS tok, trim(ocr_text) = '' AS blank, boundary_score AS bs FROM screens),
+    f AS (SELECT job_id, 0::BIGINT AS i, 0 AS num, []::STRUCT(system VARCHAR, hash BIGINT, tok VARCHAR[], blank BOOLEAN)[] AS leaders FROM (SELECT DISTINCT job_id FROM st)
+      UNION ALL SELECT job_id, i + 1, CASE WHEN pos > 0 THEN pos ELSE len(leaders) + 1 END::INT, CASE WHEN pos > 0 THEN leaders ELSE list_append(leaders, {{'system': system, 'hash': hash, 'tok': tok, 'blank': blank}}) END
+      FROM (SELECT f.job_id, f.i, f.leaders, q.system, q.hash, q.tok, q.blank, coalesce(list_position(list_transform(f.leaders, lambda s: {fit}), true), 0) AS pos FROM f JOIN st q ON q.job_id = f.job_id AND q.ord = f.i))
+    SELECT job_id, i - 1 AS ord, num AS screen_state_id FROM f WHERE i > 0"""
+
+
+def scroll_sql() -> str:
+    """Scroll collapse, one row after another with the rows kept so far."""
+    seen = sql_tokens("l.text")
+    still = f"{sql_jaccard('q.tok', seen, 1.0)} > 0.70 AND q.bs < 0.12 AND NOT {sql_has('lower(q.text || chr(32) || l.text)', rules.OPERATIONAL_TERMS)}"
+    row = lambda o, b, t, n, c: f"{{'ord': {o}, 'start': {b}, 'fin': q.time_sec, 'system': q.system, 'state': q.state, 'text': {t}, 'n': {n}, 'score': {c}}}"
+    longer = "CASE WHEN length(q.text) > length(l.text) THEN q.text ELSE l.text END"
+    return f"""WITH RECURSIVE {SCREENS}, st AS (SELECT job_id, ord, time_sec, {sql_class("ocr_text", rules.SYSTEMS, "Other")} AS system, (k % 3)::INT AS state, ocr_text AS text, visual_score AS vs, boundary_score AS bs, {sql_tokens("ocr_text")} AS tok FROM screens),
+    f AS (SELECT job_id, 0::BIGINT AS i, []::STRUCT(ord BIGINT, "start" DOUBLE, fin DOUBLE, system VARCHAR, state INT, text VARCHAR, n INT, score DOUBLE)[] AS kept FROM (SELECT DISTINCT job_id FROM st)
+      UNION ALL SELECT q.job_id, q.i + 1, CASE WHEN coalesce(len(kept) > 0 AND l.system = q.system AND l.state = q.state AND q.vs < 0.01 AND CASE WHEN trim(q.text) <> '' AND trim(l.text) <> '' THEN {still} ELSE true END, false)
+        THEN list_append(kept[:-2], {row("l.ord", "l.start", longer, "l.n + 1", "l.score")}) ELSE list_append(kept, {row("q.ord", "q.time_sec", "q.text", "1", "q.bs")}) END
+      FROM (SELECT f.i, f.kept, f.kept[-1] AS l, q.* FROM f JOIN st q ON q.job_id = f.job_id AND q.ord = f.i) q),
+    done AS (SELECT job_id, unnest(range(1, len(kept) + 1)) AS event_id, kept FROM (SELECT job_id, arg_max(kept, i) AS kept FROM f GROUP BY 1))
+    SELECT job_id, event_id::INT AS event_id, x.ord AS ord, x.start AS start_time, x.fin AS end_time, x.n AS frame_count, x.text AS ocr_text, x.system AS system, x.state AS screen_state_id, x.score AS boundary_score FROM (SELECT job_id, event_id, kept[event_id] AS x FROM done)"""
+
+
+def validate_sql(repair: str) -> str:
+    """Adjacent repeats dropped, one step after another with the last one kept; at most 40 stay."""
+    norm = lambda x: f"trim(regexp_replace(lower(coalesce({x}, '')), '[^\\pL\\pN_]+', ' ', 'g'))"
+    vague = ["review the visible process screen the relevant process information is available on screen", "review the visible process screen the expected screen is displayed"]
+    return f"""WITH RECURSIVE {STEPS}, fixed AS ({repair}), r AS (SELECT row_number() OVER (PARTITION BY job_id ORDER BY step_number) AS i, job_id, step_number, time_sec, screen_state_id AS state,
+      f.system || '|' || {norm("f.action")} || '|' || {norm("trim(expected_output)")} AS key, {norm("f.action")} || ' ' || {norm("trim(expected_output)")} IN ({", ".join(map(lit, vague))}) AS vague
+      FROM fixed f JOIN (SELECT job_id, step_number, time_sec, screen_state_id, expected_output FROM steps) USING (job_id, step_number)),
+    f AS (SELECT job_id, 0::BIGINT AS i, 0 AS n, false AS kept, NULL::BIGINT AS number, NULL::DOUBLE AS tm, NULL::VARCHAR AS key, NULL::INT AS state FROM (SELECT DISTINCT job_id FROM r)
+      UNION ALL SELECT job_id, i + 1, n + keep::INT, keep, CASE WHEN keep THEN q_number ELSE number END, CASE WHEN keep THEN q_at ELSE tm END, CASE WHEN keep THEN q_key ELSE key END, CASE WHEN keep THEN q_state ELSE state END
+      FROM (SELECT f.*, q.step_number AS q_number, q.time_sec AS q_at, q.key AS q_key, q.state::INT AS q_state,
+        n < 40 AND NOT coalesce(n > 0 AND q.key = f.key AND q.state = f.state AND (q.vague OR abs(q.step_number - f.number) <= 1 OR abs(q.time_sec - f.tm) <= 12), false) AS keep FROM f JOIN r q ON q.job_id = f.job_id AND q.i = f.i + 1))
+    SELECT job_id, n AS step_number, number AS source_number FROM f WHERE kept"""
+
+
 def audit_sql() -> str:
     """Flags of the local writer's steps, in the relations of ``fallback_sql``."""
     generic = GENERIC
@@ -677,7 +719,15 @@ def oracle_sql() -> dict[str, str]:
         "verify_offline": f"""WITH {STEPS}, r AS (SELECT *, {RISKY} AS risky FROM steps) SELECT job_id, step_number, CASE WHEN risky THEN {REDACT.format(x="action")} ELSE action END AS action,
             CASE WHEN risky THEN {REDACT.format(x="expected_output")} ELSE expected_output END AS expected_output, CASE WHEN risky AND confidence = 'high' THEN 'medium' ELSE confidence END AS confidence FROM r""",
         "repair_steps": f"WITH {STEPS} {repair}",
+        "validate_dedupe": validate_sql(repair),
+        "screen_states": states_sql(),
+        "scroll_collapse": scroll_sql(),
+        "segment_report": f"""WITH RECURSIVE {SPANS} SELECT job_id, string_agg('- ' || segment || ': ' || printf('%.1f', start_time) || '-' || printf('%.1f', end_time) || ' s, ' || frame_count || ' frames, score ' || printf('%.4f', boundary_score), chr(10) ORDER BY segment) AS report FROM spans GROUP BY 1""",
+        "process_names": """WITH w AS (SELECT p_partkey, list_filter(string_split(lower(regexp_replace(replace(p_name, ' ', '_') || '_1080p_video', '[_-]+', ' ', 'g')), ' '), lambda w: NOT regexp_full_match(w, '|video|recording|screen|download|downloaded|\\d{3,4}p|\\d{2,}')
+              AND NOT (regexp_matches(w, '[a-z]') AND regexp_matches(w, '\\d') AND length(w) >= 8)) AS w FROM part)
+            SELECT p_partkey, CASE WHEN len(w) = 0 THEN 'Recorded Process' ELSE array_to_string(list_transform(w, lambda x: upper(x[1]) || x[2:]), ' ') END AS name FROM w""",
         "fallback_steps": fallback_sql(),
+        "visual_scores": f"WITH {FRAMES} SELECT job_id, ord, round(0.40 * boundary_score + 0.35 * (k % 10 / 11) + 0.15 * (k % 7 / 7) + 0.10 * (k % 64 / 63), 6) AS score FROM frames",
         "generated_steps": f"""WITH own AS ({fallback_sql()}), seen AS (WITH {SCREENS} SELECT job_id, ord + 1 AS event_id, k, {sql_class("ocr_text", rules.SYSTEMS, "Other")} AS seen FROM screens)
             SELECT job_id, event_id, CASE WHEN k % 6 = 0 THEN 'SAP' ELSE seen END AS system, CASE WHEN k % 3 = 0 AND k % 5 > 0 THEN 'Post document ' || (event_id - 1) || ' take ' || CASE WHEN k % 12 = 0 THEN 2 ELSE 1 END ELSE action END AS action,
               CASE WHEN k % 3 = 0 AND k % 4 > 0 THEN 'It is posted.' ELSE expected_output END AS expected_output, CASE WHEN k % 3 > 0 THEN confidence WHEN k % 9 = 0 THEN 'medium' ELSE 'high' END AS confidence,
