@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import if_small, small_batches, utf8, written
+from tracewright.llm.common import if_small, shipped, small_batches, utf8, written
 from tracewright.llm.langid import gram_counts, inside, spans
 from tracewright.llm.ngram import Level, Table
 
@@ -50,11 +51,12 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     many = [F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     cut = [F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(F.lit(0.5)).alias(f"d{i}") for i in (1, 2, 3)]
-    discounts = every.groupBy("lang", "size").agg(*many).select("lang", "size", *cut)
+    discounts = if_small(written(every.groupBy("lang", "size").agg(*many).select("lang", "size", *cut), "discounts"))
     own = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     counted = every.join(discounts, ["lang", "size"]).select("lang", "size", "gram", "n", own.alias("cut"), context().alias("context"))
-    totals = counted.groupBy("lang", "size", "context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("gamma"))
-    own = written(counted.join(totals, ["lang", "size", "context"]).select("lang", "size", "gram", "context", ((F.col("n") - F.col("cut")) / F.col("total")).alias("own"), "gamma"), "own")
+    after = Window.partitionBy("lang", "size", "context")  # a context has 256 grams at most
+    total, gamma = F.sum("n").over(after), F.sum("cut").over(after) / F.sum("n").over(after)
+    own = written(counted.select("lang", "size", "gram", "context", ((F.col("n") - F.col("cut")) / total).alias("own"), gamma.alias("gamma")), "own")
 
     below = None
     for size in range(1, order + 1):
@@ -90,8 +92,11 @@ def tables(p: DataFrame, order: int, part: list[tuple[str, tuple[int, int]]] | N
         part = [(lang, (0, (1 << (8 * (order - 1))) - 1)) for (lang,) in p.select("lang").distinct().collect()]
     out = {}
     cost = [(-F.log2(x)).cast("float").alias(x) for x in ("p", "gamma")]
-    for lang, span in part:
-        rows = p.where((F.col("lang") == lang) & inside(span, order)).select(F.col("size").cast("byte"), "gram", *cost).toArrow()
+    # A part is several whole languages or one span of one language, and is read at once.
+    names = [lang for lang, _ in part]
+    every = p.where(F.col("lang").isin(names) & inside(part[0][1], order)).select(F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int").alias("lang"), F.col("size").cast("byte"), "gram", *cost).toArrow() if part else None
+    for i, (lang, span) in enumerate(part, 1):
+        rows = every.filter(pc.equal(every.column("lang"), i))
         sizes = rows.column("size").to_numpy()
         levels = []
         for size in range(1, order + 1):
@@ -105,12 +110,12 @@ def tables(p: DataFrame, order: int, part: list[tuple[str, tuple[int, int]]] | N
 
 def perplexity(docs: DataFrame, models: dict[str, Table], keep: list[str]) -> DataFrame:
     """``keep`` columns, n_bytes and bits (null without a model for the language) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    held = shipped(docs.sparkSession, {lang: x.plain() for lang, x in models.items()}, lambda plain: {lang: Table.of(x) for lang, x in plain.items()})
     rows = docs.select(*keep, F.col("lang").cast("string").alias("__lang"), F.col("text").alias("__text"))
     schema = ", ".join(f"`{x}` {rows.schema[x].dataType.simpleString()}" for x in keep)
 
     def score(batches):
-        models = shared.value
+        models = held()
         for batch in batches:
             langs = np.array(batch.column("__lang").to_pylist(), dtype=object)
             text = batch.column("__text")
