@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.llm import decontaminate, exact, mixing, neardup, quality
-from tracewright.llm.common import if_small, table, work_dir, written
+from tracewright.llm.common import if_small, scratch, table, work_dir, written
 
 
 def without(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -53,6 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, root = table(spark, sf_dir, "documents"), work_dir(spark)
     for i, (name, stage) in enumerate(STAGES):
         path = f"{root}/{i}-{name}.parquet"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -35,13 +36,31 @@ def work_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, and the columns stay prunable."""
-    path = f"{work_dir(df.sparkSession)}/{name}.parquet"
+    folder = work_dir(df.sparkSession)
+    path = f"{folder}/{name}.parquet"
+    WRITTEN.append(folder)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write inside are deleted at the end. Results must have been written by then."""
+    first = len(WRITTEN)
+    try:
+        yield
+    finally:
+        for folder in WRITTEN[first:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del WRITTEN[first:]
+
+
 def if_small(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     """A written table of a few numbers a row, broadcast if it has at most ``most`` rows; else it is shuffled."""
     return F.broadcast(ids) if ids.count() <= most else ids
