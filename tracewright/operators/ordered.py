@@ -13,11 +13,12 @@ def settled(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the folder that spark.checkpoint.dir names, which executors must share.
 
     The folder may be unset only where there is one machine."""
-    spark = df.sparkSession
-    if not (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()):
-        if not spark.sparkContext.master.startswith("local"):
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        root = context.getConf().get("spark.checkpoint.dir")
+        if not root and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/tracewright-settled")
+        context.setCheckpointDir(root or f"{tempfile.gettempdir()}/tracewright-settled")
     return df.checkpoint()
 
 
