@@ -40,6 +40,7 @@ from tracewright.llm.graph import components
 SHARE = 0.4  # of a sketch's values, at least, that two linked documents have in common
 BITS = 1024  # of the bitmaps that tell sets apart
 BUCKETS = 1 << 20  # of the table of counts that orders shingles
+HEAP = 1_000  # members of a long list that lie side by side
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -209,12 +210,13 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 32, s
         at = hubs.select("hub").distinct()
         led = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(if_small(written(at, "hub")), F.col("a") == F.col("hub")).select(F.col("b").alias("id"), F.col("a").alias("grp"))
         led = led.unionByName(at.select(F.col("hub").alias("id"), F.col("hub").alias("grp"))).groupBy("id").agg(F.min("grp").alias("grp"))
-        members = long.join(led, "id", "left").select("v", "id", F.coalesce("grp", "id").alias("grp"))
+        members = long.join(led, "id", "left").select("v", "many", "id", F.coalesce("grp", "id").alias("grp"))
         open_lists = members.groupBy("v").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("v")
-        # Members of a list lie side by side, in heaps of about ``heap``.
-        unsettled = written(members.join(open_lists, "v", "left_semi").groupBy("id").agg(F.min("grp").alias("grp"), F.min("v").alias("v")), "unsettled")
-        heap = F.pmod(F.xxhash64("id"), F.lit(16))
-        links = links.unionByName(confirmed(across(full.join(if_small(unsettled), "id").repartition("v", heap).drop("v"), percent), full, percent))
+        unsettled = members.join(open_lists, "v", "left_semi").groupBy("id").agg(F.min("grp").alias("grp"), F.min(F.struct("v", "many")).alias("at"))
+        unsettled = written(unsettled.select("id", "grp", "at.v", "at.many"), "unsettled")
+        # Members of a list lie side by side, in heaps of about HEAP.
+        heap = F.pmod(F.xxhash64("id"), F.ceil(F.col("many") / HEAP))
+        links = links.unionByName(confirmed(across(full.join(if_small(unsettled), "id").repartition("v", heap).drop("v", "many"), percent), full, percent))
 
     group = components(links)
     group = group.withColumnRenamed("id", "of")

@@ -14,6 +14,7 @@ import numpy as np
 from tracewright.llm.common import chunks
 
 START = 10  # what stands before the first byte of a text
+STEP = 1 << 18  # positions that are scored at once
 UNKNOWN_BITS = 8.0  # a byte that no order knows
 
 
@@ -176,12 +177,12 @@ class Table:
         """Bits of each whole text under each model."""
         self.ready()
         out = np.zeros((len(offsets) - 1, self.width))
-        for i, j in chunks(offsets):
+        for i, j in chunks(offsets, STEP):
             lens = np.diff(offsets[i : j + 1])
             text, starts = padded(data, offsets[i : j + 1], self.order, lut)
             top = grams(text, self.order)
-            for a in range(0, len(top), 1 << 20):  # one very long text is a chunk alone
-                part = self.costs(top[a : a + (1 << 20)])
+            for a in range(0, len(top), STEP):  # one very long text is a chunk alone
+                part = self.costs(top[a : a + STEP])
                 run = np.concatenate([np.zeros((1, self.width)), np.cumsum(part, axis=0, dtype=np.float64)])
                 lo, hi = np.clip(starts - a, 0, len(part)), np.clip(starts + lens - a, 0, len(part))
                 out[i:j] += run[hi] - run[lo]
