@@ -184,7 +184,8 @@ def test_decontaminate(spark):
         i, text = items[k % 12]
         w = text.split()
         for _ in range(rng.randrange(len(w) // 5 + 1) if len(w) >= 10 else 0):
-            w[rng.randrange(len(w))] = f"z{k}"
+            p, kind = rng.randrange(len(w)), rng.randrange(3)
+            w[p : p + (kind != 1)] = [] if kind == 2 else [f"z{k}"]  # change, insert or delete a word
         rows.append((100 + k, words(rng, 30, 10**6) + " " + " ".join(w).title() + ". " + words(rng, 20, 10**6)))
         planted.add((100 + k, i))
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -180,7 +180,7 @@ def predict(docs: DataFrame, model: PPM, text: str = "text", keep: list[str | Co
     """``keep`` columns, then lang_pred, score (the share of the best code's probability) and bits of every row."""
     spark = docs.sparkSession
     kept = docs.select(*keep, F.col(text).alias("__text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
-    names = [x for x in kept.columns if not x.startswith("__")]
+    names = [x for x in kept.columns if x not in ("__text", "__letters")]
     if len(model.parts) > 1:
         return predict_parts(kept, model, names)
     languages = model.languages

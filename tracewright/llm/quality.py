@@ -8,7 +8,8 @@ bits under the parts are added up. A text is rejected if its smoothed bits a byt
 threshold: the ``quantile`` of trusted texts that were held out of the training, plus ``slack``.
 
 Cases. Null and empty texts carry nothing to keep: kept is false, perplexity null. A text whose language
-is null or has no trusted text can't be judged and is kept, with a null threshold. Short texts are drawn
+is null, or has no trusted text that was trained on or none that was held out, can't be judged and is kept,
+with a null threshold. Short texts are drawn
 towards their language's mean by ``prior`` bytes, so one odd word rejects nothing. Repeated rows count
 each time; an empty table gives an empty result.
 """
@@ -158,9 +159,11 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = 5, most: int = 1_000_
     counts = written(gram_counts(train, order, lower=False), "grams")
     scored = score(docs, kneser_ney(counts, order), order, most)
     base = scored.where(held_out & F.col("bits").isNotNull() & (F.col("n_bytes") > 0)).join(trusted, "doc_id", "left_semi")
-    mean = base.groupBy("lang").agg((F.sum("bits") / F.sum("n_bytes")).alias("mean"))
+    # A row for each language: joined where the documents are, however many of them one language has.
+    mean = if_small(written(base.groupBy("lang").agg((F.sum("bits") / F.sum("n_bytes")).alias("mean")), "means"))
     smooth = (F.col("bits") + prior * F.col("mean")) / (F.col("n_bytes") + prior)
     limits = base.join(mean, "lang").groupBy("lang").agg(F.first("mean").alias("mean"), (F.percentile_approx(smooth, quantile, 10_000) + slack).alias("threshold"))
+    limits = if_small(written(limits, "limits"))
     empty = F.col("n_bytes") == 0
     return scored.join(limits, "lang", "left").select(
         "doc_id", "lang", "n_bytes",
