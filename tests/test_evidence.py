@@ -89,7 +89,7 @@ def test_pixels(spark):
 
 def test_segment_plan(spark):
     shown = ["SAP vendor invoice list", "Excel workbook pivot column formula", "Outlook inbox reply"]
-    rows = [(1, i, i * 5.0, 0.5 if i in (4, 8) else 0.0, 0.5 if i in (4, 8) else 0.0, shown[i // 4], f"{15 << (20 * (i // 4)):016x}") for i in range(12)]
+    rows = [(1, i, i * 5.0, 0.5 if i in (4, 8) else 0.0, 0.5 if i in (4, 8) else 0.0, shown[i // 4], f"{255 << (20 * (i // 4)):016x}") for i in range(12)]
     got = segments.segments_of(spark.createDataFrame(rows, "job_id int, ord int, time_sec double, boundary_score double, visual_score double, ocr_text string, hash string")).orderBy("event_id").collect()
     # The frame after a segment tells of it too, and Excel has five terms there.
     assert [r.system for r in got] == ["Excel", "Excel", "Email"] and len({r.screen_state_id for r in got}) == 3
