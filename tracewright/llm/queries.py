@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontaminate, exact, langid, licenses, mixing, neardup, quality, revisits, rollup, substring
+from tracewright.llm import bpe, decontaminate, divergence, exact, langid, licenses, mixing, neardup, quality, resample, revisits, rollup, substring
 from tracewright.llm.common import UPPER, table, work_dir, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+WORD_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +86,20 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_dedup(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return bpe.decode(encoded, WORD_TOKENIZER).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_language_id, op2_quality, op3_license_scan, op4_decontaminate, op5_token_rollup, op6_warc_revisits, op7_exact_dedup, op8_mix_sources, op9_substring_dedup, op10_near_dedup, pipeline]
+    ops = [op1_language_id, op2_quality, op3_license_scan, op4_decontaminate, op5_token_rollup, op6_warc_revisits, op7_exact_dedup, op8_mix_sources, op9_substring_dedup, op10_near_dedup, op11_importance_resampling, op12_source_divergence, op13_bpe, pipeline]
     return {f.__name__: f for f in ops}
 
 
@@ -118,6 +133,7 @@ def oracle_sql() -> dict[str, str]:
     long_texts = ", ".join(f"({duck(name)}, {duck(digest)}, {n}, {duck(head)})" for name, digest, n, _, head in licenses.DIGESTS)
     words = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
     low = f"translate(text, '{UPPER}', '{UPPER.lower()}')"
+    feature_words = f"regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     host = "regexp_extract(url, '^([A-Za-z]+://)?([^/?#]*)', 0)"
     url = replaced(f"lower({host}) || substr(url, length({host}) + 1)", revisits.URL_STEPS)
     return {
@@ -165,4 +181,32 @@ def oracle_sql() -> dict[str, str]:
             reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
             SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(reach.b) AS component_id, d.doc_id = min(reach.b) AS kept
             FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n""",
+        "op11_importance_resampling": f"""
+            WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+            d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({feature_words}, []) AS w FROM documents),
+            b AS (SELECT coalesce({feature_words}, []) AS w FROM benchmark),
+            df AS (SELECT r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM d),
+            bf AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM b),
+            hex AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+            hashed AS (SELECT f, xor(4294967295, list_reduce([4294967295] || list_transform(range(1, len(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]))) % 10000 AS bucket FROM hex, crc),
+            s AS (SELECT bucket, count(*) AS n FROM df JOIN hashed USING (f) GROUP BY 1), t AS (SELECT bucket, count(*) AS n FROM bf JOIN hashed USING (f) GROUP BY 1),
+            total AS (SELECT (SELECT count(*) FROM df)::DOUBLE AS s, (SELECT count(*) FROM bf)::DOUBLE AS t),
+            gain AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (total.s + 10000) / ((s.n + 1)::DOUBLE * (total.t + 10000))))::BIGINT AS g FROM s LEFT JOIN t USING (bucket), total),
+            sums AS (SELECT r, count(*) AS n, sum(g)::BIGINT AS g FROM df JOIN hashed USING (f) JOIN gain USING (bucket) GROUP BY r),
+            scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (g - ((g % n) + n) % n) // n ELSE 0 END AS weight,
+              floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise FROM d LEFT JOIN sums USING (r)),
+            ranked AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS k, count(*) OVER () * 25 // 100 AS most FROM scored WHERE n_words >= 20)
+            SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, weight::BIGINT + noise AS score, CASE WHEN k <= most THEN k END AS rank FROM scored LEFT JOIN ranked USING (doc_id)""",
+        "op12_source_divergence": f"""
+            WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({lower}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+            seen AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+            vocab AS (SELECT lang, term, count(*) AS n FROM seen GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+            langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM vocab GROUP BY lang),
+            groups AS (SELECT DISTINCT lang, source FROM d),
+            dense AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, vocab.n AS all_n FROM groups JOIN vocab USING (lang) LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM seen GROUP BY ALL) c USING (lang, source, term)),
+            p AS (SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p, 1 + 1000000000::HUGEINT * (all_n + 5) // (total + 5 * v) AS q FROM dense JOIN langs USING (lang)),
+            apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+            pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(apart.value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source),
+            found AS (SELECT * FROM pair UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+            SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM found) WHERE part = 'pair' OR rank <= 50""",
     }
