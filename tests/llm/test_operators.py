@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -395,6 +396,22 @@ def test_license_texts(spark):
         assert names or not r.licenses or r.notices
 
 
+def test_license_lines(spark):
+    """Documents of very many lines behind, between and before licence texts: the time follows the length."""
+    mit, known = licenses.TEXTS[0][1], licenses.known(spark)
+    code = "\n".join(f"value_{i} = compute({i}, other_{i % 7})" for i in range(40_000))
+    heads = "\n".join(["permission is hereby granted free of charge"] * 3_000)
+    rows = [(1, f"{mit}\n{code}"), (2, f"{code}\n{mit}"), (3, f"{mit}\n{code}\n{mit}"), (4, f"{heads}\n{mit}"), (5, code)]
+    took = []
+    for lines in (code[: len(code) // 8], code):
+        began = time.perf_counter()
+        assert licenses.license_scan(table(spark, [(1, f"{mit}\n{lines}\n")] * 4), known).where("contained = 1").count() == 4
+        took.append(time.perf_counter() - began)
+    assert took[1] < 16 * took[0] + 5
+    got = {r.doc_id: (r.contained, r.licenses) for r in licenses.license_scan(table(spark, rows), known).collect()}
+    assert got == {1: (1, "MIT"), 2: (1, "MIT"), 3: (2, "MIT"), 4: (1, "MIT"), 5: (0, None)}
+
+
 def test_rollup(spark, tmp_path):
     root = f"file://{tmp_path}/rollup"
     before = rollup.word_counts(table(spark, [(1, "a b", "en", "s"), (2, "c", "en", "s"), (3, None, None, None), (4, "d e f", "en", "t")]))
