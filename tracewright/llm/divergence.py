@@ -48,9 +48,36 @@ def term_counts(text: bytes, most: int = 1 << 20) -> Counter:
     return found
 
 
-def places(lang: bytes, terms: list[bytes], width: int, depth: int) -> np.ndarray:
-    """The counter of each term in each of the sketch's rows."""
-    h = mix(word_hashes(terms) ^ word_hashes([lang])[0])
+def occurrences(batch: list[bytes], most: int = 1 << 22) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """(terms, doc, term, n): the distinct terms of each text with their counts, as numbers of texts and terms, for about
+    ``most`` bytes of text at a time. A text longer than that comes alone."""
+    at = 0
+    while at < len(batch):
+        end, size = at + 1, len(batch[at])
+        if size > most:
+            seen = term_counts(batch[at])
+            yield list(seen), np.full(len(seen), at), np.arange(len(seen)), np.fromiter(seen.values(), np.int64, len(seen))
+            at = end
+            continue
+        while end < len(batch) and size + len(batch[end]) <= most:
+            size += len(batch[end])
+            end += 1
+        words = [t.translate(TERMS).split() for t in batch[at:end]]
+        doc = np.repeat(np.arange(at, end), list(map(len, words)))
+        coded = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode()
+        terms = coded.dictionary.to_pylist()
+        pairs = pa.array(doc * max(1, len(terms)) + coded.indices.to_numpy()).value_counts()
+        key, n = pairs.field("values").to_numpy(), pairs.field("counts").to_numpy()
+        yield terms, key // max(1, len(terms)), key % max(1, len(terms)), n
+        at = end
+
+
+def hashes(terms: list[bytes], lang: bytes) -> np.ndarray:
+    return mix(word_hashes(terms) ^ word_hashes([lang])[0])
+
+
+def places(h: np.ndarray, width: int, depth: int) -> np.ndarray:
+    """The counter of each hash in each of the sketch's rows."""
     step = mix(h) | np.uint64(1)
     return np.stack([(h + np.uint64(i) * step) % np.uint64(width) + np.uint64(i * width) for i in range(depth)]).astype(np.int64)
 
@@ -62,17 +89,14 @@ def sketch(docs: DataFrame, least: int, width: int, depth: int) -> np.ndarray:
     def local(batches):
         total = np.zeros(depth * width, kind)
         for batch in batches:
-            by_lang: dict[bytes, Counter] = {}
-            for lang, text in zip(texts(batch.column("lang")), texts(batch.column("text"))):
-                by_lang.setdefault(lang, Counter()).update(term_counts(text).keys())
-            for lang, seen in by_lang.items():
-                at, n = places(lang, list(seen), width, depth), np.fromiter(seen.values(), np.int64, len(seen))
-                for row in at:  # terms may share a counter
-                    cells, back = np.unique(row, return_inverse=True)
-                    total[cells] = np.minimum(total[cells] + np.bincount(back, n).astype(np.int64), least).astype(kind)
-        yield from sliced(total)
-
-    def sliced(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+            langs = np.array(texts(batch.column("lang")), object)
+            for terms, doc, term, _ in occurrences(texts(batch.column("text"))):
+                for lang in set(langs[doc]):
+                    df = np.bincount(term[langs[doc] == lang], minlength=len(terms))
+                    seen = np.flatnonzero(df)
+                    for row in places(hashes([terms[i] for i in seen], lang), width, depth):  # terms may share a counter
+                        cells, back = np.unique(row, return_inverse=True)
+                        total[cells] = np.minimum(total[cells] + np.bincount(back, df[seen]).astype(np.int64), least).astype(kind)
         for i in range(0, len(total), SLICE):
             if total[i : i + SLICE].any():
                 yield pa.RecordBatch.from_arrays([pa.array([i // SLICE], pa.int32()), pa.array([zlib.compress(total[i : i + SLICE].tobytes(), 1)], pa.binary())], ["slice", "counters"])
@@ -97,34 +121,78 @@ def sketch(docs: DataFrame, least: int, width: int, depth: int) -> np.ndarray:
     return out
 
 
+def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Keys, each once, with the sums of the columns beside them."""
+    key, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return (key, *(np.bincount(back, np.concatenate([p[i] for p in parts])).astype(np.int64) for i in range(1, len(parts[0]))))
+
+
+class Tally:
+    """Counts by (lang, source, term) in a task, handed out when there are ``most`` of them."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.groups: dict[tuple[bytes, bytes], int] = {}
+        self.terms: dict[bytes, int] = {}
+        self.parts, self.size = [], 0
+
+    def add(self, group: np.ndarray, term: np.ndarray, n: np.ndarray) -> None:
+        """One row for each document and term."""
+        self.parts.append(summed([(group << np.int64(32) | term, n, np.ones(len(n), np.int64))]))
+        self.size += len(self.parts[-1][0])
+        if self.size > self.most:
+            self.parts = [summed(self.parts)]
+            self.size = len(self.parts[0][0])
+
+    def rows(self, batch: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        key, n, docs = summed(self.parts)
+        groups, terms = list(self.groups), pa.array(list(self.terms), pa.binary())
+        langs, sources = (pa.array([g[i] for g in groups], pa.binary()) for i in (0, 1))
+        for i in range(0, len(key), batch):
+            group, term = pa.array(key[i : i + batch] >> 32), pa.array(key[i : i + batch] & 0xFFFFFFFF)
+            columns = [langs.take(group), sources.take(group), terms.take(term)]
+            yield pa.RecordBatch.from_arrays([*(c.cast(pa.string()) for c in columns), pa.array(n[i : i + batch]), pa.array(docs[i : i + batch])], ["lang", "source", "term", "n", "docs"])
+        self.clear()
+
+
 def counted(docs: DataFrame, least: int, width: int, depth: int) -> DataFrame:
-    """lang, source, term, n, docs of the terms that the sketch lets pass."""
+    """lang, source, term, n, docs of the terms that the sketch lets pass, dealt by lang and term."""
     shared = shipped(docs.sparkSession, sketch(docs.select("lang", "text"), least, width, depth))
 
     def count(batches):
-        counters = shared()
+        counters, tally = shared(), Tally()
         for batch in batches:
-            n: dict[tuple[bytes, bytes], Counter] = {}
-            df: dict[tuple[bytes, bytes], Counter] = {}
-            for lang, source, text in zip(*(texts(batch.column(x)) for x in ("lang", "source", "text"))):
-                seen = term_counts(text)
-                n.setdefault((lang, source), Counter()).update(seen)
-                df.setdefault((lang, source), Counter()).update(seen.keys())
-            vocabulary: dict[bytes, set[bytes]] = {}
-            for (lang, _), seen in n.items():
-                vocabulary.setdefault(lang, set()).update(seen)
-            possible = {}
-            for lang, seen in vocabulary.items():
-                terms = list(seen)
-                if terms:
-                    estimate = counters[places(lang, terms, width, depth)].min(axis=0)
-                    possible[lang] = {t for t, ok in zip(terms, (estimate >= least).tolist()) if ok}
-            rows = [(lang, source, t, c, df[lang, source][t]) for (lang, source), seen in n.items() for t, c in seen.items() if t in possible[lang]]
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()).cast(pa.string()) for c in columns[:3]), *(pa.array(c, pa.int64()) for c in columns[3:])], ["lang", "source", "term", "n", "docs"])
-
-    found = docs.mapInArrow(count, "lang string, source string, term string, n long, docs long")
-    return written(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counted")
+            langs, sources = np.array(texts(batch.column("lang")), object), texts(batch.column("source"))
+            for terms, doc, term, n in occurrences(texts(batch.column("text"))):
+                keep, own = np.zeros(len(n), bool), langs[doc]
+                for lang in set(own):
+                    here = np.flatnonzero(own == lang)
+                    seen = np.unique(term[here])
+                    possible = np.zeros(len(terms), bool)
+                    possible[seen] = counters[places(hashes([terms[i] for i in seen], lang), width, depth)].min(axis=0) >= least
+                    keep[here] = possible[term[here]]
+                doc, term, n = doc[keep], term[keep], n[keep]
+                if not len(n):
+                    continue
+                number = np.zeros(len(terms), np.int64)
+                for i in np.unique(term):
+                    number[i] = tally.terms.setdefault(terms[i], len(tally.terms))
+                group = {d: tally.groups.setdefault((langs[d], sources[d]), len(tally.groups)) for d in np.unique(doc).tolist()}
+                of = np.zeros(len(sources), np.int64)
+                of[list(group)] = list(group.values())
+                tally.add(of[doc], number[term], n)
+                if tally.size > tally.most or len(tally.terms) > tally.most:
+                    yield from tally.rows()
+        yield from tally.rows()
+
+    # Tasks have summed up what they saw, so rows are shuffled as they are, once, to where both sums below are made.
+    found = docs.mapInArrow(count, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
+    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
