@@ -9,6 +9,10 @@ window of the last tokens of the left part and the first of the right one is enc
 outermost tokens are those that the parts had there. Then every two neighbouring tokens are ones that the
 merges leave apart, which makes the whole sequence the encoding of the whole word.
 
+Cut at white space, a text is the words between. A task keeps the ids of the words it has met, up to a bound, and only
+new ones are encoded. Texts of plain Latin letters, digits and ASCII signs, about which all versions of Unicode agree,
+are cut into words by the vocabulary's own pattern; any other text is left to the library between its white space.
+
 Ids are kept as bytes, unsigned 32-bit little-endian. Vocabularies are files of the ``tokenizers`` library,
 of a megabyte or two, read on the driver and sent to the executors.
 
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +36,11 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import shipped, small_batches, written
 
 PIECE, LEAF = 1 << 16, 1 << 12
+KNOWN = 1 << 18  # words whose ids a task keeps
+LATIN = "À-ÖØ-Þß-öø-ÿ"  # the letters of Latin-1, upper case first
+#: How byte-level vocabularies write bytes: those that print as they are, the others as characters from 256 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SYMBOLS = {b: b if b in PRINTED else 256 + i for i, b in enumerate(sorted(range(256), key=lambda b: (b in PRINTED, b)))}
 #: What a piece is: text as it stands; words of symbols, parted by spaces; a leaf inside a word; a word's last leaf.
 TEXT, WORDS, LEAF_IN, LEAF_END = range(4)
 ENCODED = "doc_id long, n_tokens long, ids binary"
@@ -53,13 +63,39 @@ class Coder:
         self.words.pre_tokenizer = self.inside.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         special = sorted((t.content for t in self.whole.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-
-    def pieces(self, kinds: list[int], texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(texts)
-        for kind, by in ((TEXT, self.whole), (WORDS, self.words), (LEAF_IN, self.inside), (LEAF_END, self.words)):
+        self.known: dict[str, bytes] = {}
+        self.plain = plain_words(spec)
+        self.odd = re.compile("|".join([rf"[^\t\n\r -~{LATIN}]", *map(re.escape, special)]))
+        ids = lambda text: self.whole.encode(text, add_special_tokens=False).ids
+        if ids(" a  b\n\tc ") != ids("a") + ids("b") + ids("c"):
+            raise ValueError("the vocabulary must drop white space")
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts or pieces of them, as bytes."""
+        split, met, odd = [], set(), set()
+        for text in texts:
+            easy = self.plain and not self.odd.search(text)
+            split.append(self.plain.findall(text.lower()) if easy else WORD.findall(text))
+            (met if easy else odd).update(split[-1])
+        if len(self.known) + len(met) + len(odd) > KNOWN:
+            self.known.clear()
+        tokenize = self.words.model.tokenize
+        for word in met - odd:
+            if word not in self.known:
+                symbols = word if word.isascii() else word.encode().decode("latin-1").translate(SYMBOLS)
+                self.known[word] = packed([t.id for t in tokenize(symbols)])
+        new = [w for w in odd if w not in self.known]
+        self.known.update(zip(new, (packed(e.ids) for e in self.whole.encode_batch_fast(new, add_special_tokens=False))))
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+    def pieces(self, kinds: list[int], texts: list[str]) -> list[bytes]:
+        out = [b""] * len(texts)
+        for kind, by in ((TEXT, None), (WORDS, self.words), (LEAF_IN, self.inside), (LEAF_END, self.words)):
             if at := [i for i, k in enumerate(kinds) if k == kind]:
-                for i, e in zip(at, by.encode_batch_fast([texts[i] for i in at], add_special_tokens=False)):
-                    out[i] = e.ids
+                some = [texts[i] for i in at]
+                found = self.texts(some) if by is None else [packed(e.ids) for e in by.encode_batch_fast(some, add_special_tokens=False)]
+                for i, ids in zip(at, found):
+                    out[i] = ids
         return out
 
     def symbols(self, ids: list[int]) -> str:
@@ -129,11 +165,24 @@ class Coder:
                 yield WORDS, " ".join(words)
 
 
-SPACE = re.compile("[ \n]")
+def plain_words(spec: dict) -> re.Pattern | None:
+    """What cuts lower-cased plain text into words as the vocabulary does; none if it doesn't cut by one pattern."""
+    parts = lambda x, name: x.get(name, [x]) if x else []
+    norms = {(x["type"], str(x.get("pattern", "")), x.get("content", "")) for x in parts(spec["normalizer"], "normalizers")}
+    cut = parts(spec["pre_tokenizer"], "pretokenizers")
+    shape = [(x["type"], x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in cut]
+    if norms != {("NFC", "", ""), ("Replace", str({"Regex": r"\s+"}), " "), ("Lowercase", "", "")} or shape != [("Split", "Removed", True, None, None), ("ByteLevel", None, None, False, False)]:
+        return None
+    pattern = cut[0]["pattern"].get("Regex", "")
+    plain = pattern.replace(r"\p{L}", f"a-z{LATIN[6:]}").replace(r"\p{N}", "0-9").replace(r"\s", r" \t\n\r")
+    return None if "\\p" in plain else re.compile(plain)
+
+
+SPACE, WORD = re.compile("[ \n]"), re.compile("[^ \t\n\r]+")
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def coder(docs: DataFrame, path: str) -> Callable[[], Coder]:
@@ -156,8 +205,8 @@ def encode(docs: DataFrame, path: str, piece: int = PIECE, leaf: int = LEAF) ->
 
     def whole(batches):
         for batch in batches:
-            found = get().pieces([TEXT] * len(batch), batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, found), pa.int64()), pa.array(map(packed, found), pa.binary())], ["doc_id", "n_tokens", "ids"])
+            found = get().texts(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     def cut(batches):
         for batch in batches:
@@ -168,7 +217,7 @@ def encode(docs: DataFrame, path: str, piece: int = PIECE, leaf: int = LEAF) ->
     def by_piece(batches):
         for batch in batches:
             found = get().pieces(batch.column("kind").to_pylist(), batch.column("part").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("row", "doc_id", "at", "kind")), pa.array(map(packed, found), pa.binary())], ["row", "doc_id", "at", "kind", "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("row", "doc_id", "at", "kind")), pa.array(found, pa.binary())], ["row", "doc_id", "at", "kind", "ids"])
 
     def join(group):
         """The pieces of one text."""
