@@ -63,8 +63,8 @@ def buckets(own: bytes, carried: bytes, ngrams: int, n_buckets: int) -> tuple[in
     return n, np.array(found, np.int64) % n_buckets
 
 
-def parts(docs: DataFrame, ngrams: int, chunk: int) -> DataFrame:
-    """row, doc_id, own, carried: each short text as it is (row is null), each long one in chunks."""
+def parts(docs: DataFrame, ngrams: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """row, doc_id, own, carried: the short texts as they are (row is null), and the long ones in chunks."""
     rows = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     long = F.octet_length("text") > chunk
 
@@ -78,10 +78,10 @@ def parts(docs: DataFrame, ngrams: int, chunk: int) -> DataFrame:
     cut = rows.where(long).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(split, "row long, part int, doc_id long, own binary, carried binary")
     cut = written(cut.repartition("row", "part"), "chunks")
     short = rows.where(~long).select(F.lit(None).cast("long").alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("own"), F.lit(b"").alias("carried"))
-    return short.unionByName(cut.drop("part"))
+    return short, cut.drop("part")
 
 
-def bucket_counts(split: DataFrame, ngrams: int, n_buckets: int) -> np.ndarray:
+def bucket_counts(split: tuple[DataFrame, DataFrame], ngrams: int, n_buckets: int) -> np.ndarray:
     """Features of all chunks by bucket; each task sends one row for each bucket it has seen."""
 
     def count(batches):
@@ -93,7 +93,8 @@ def bucket_counts(split: DataFrame, ngrams: int, n_buckets: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["bucket", "n"])
 
     out = np.zeros(n_buckets, np.int64)
-    for r in split.select("own", "carried").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # n_buckets rows at most
+    both = split[0].unionByName(split[1])
+    for r in both.select("own", "carried").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # n_buckets rows at most
         out[r["bucket"]] = r["n"]
     return out
 
@@ -138,9 +139,9 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 25, ngrams: int
             sums = np.array(found, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *(pa.array(sums[:, i]) for i in range(3))], ["row", "doc_id", "n_words", "n_features", "total"])
 
-    sums = split.mapInArrow(weigh, "row long, doc_id long, n_words long, n_features long, total long")
-    whole = sums.where("row is null").drop("row")
-    added = sums.where("row is not null").groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(x).alias(x) for x in ("n_words", "n_features", "total"))).drop("row")
+    short, cut = (rows.mapInArrow(weigh, "row long, doc_id long, n_words long, n_features long, total long") for rows in split)
+    whole = short.drop("row")
+    added = cut.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(x).alias(x) for x in ("n_words", "n_features", "total"))).drop("row")
     mean = F.when(F.col("n_features") > 0, F.expr("(total - pmod(total, n_features)) div n_features")).otherwise(F.lit(0).cast("long"))  # rounded down
     scored = whole.unionByName(added).select("doc_id", "n_words", "n_features", mean.alias("weight"))
     scored = written(scored.withColumn("score", F.col("weight") + noise(seed)), "scored")
