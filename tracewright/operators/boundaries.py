@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators.ordered import fold, in_order
@@ -26,11 +26,11 @@ def thresholds(frames: DataFrame) -> DataFrame:
     out = one.withColumn("mad", mad).withColumn("mad", F.when(F.col("mad") == 0, 1e-6).otherwise(F.col("mad")))
     limit = F.when(F.col("range") < 0.03, F.col("p94")).otherwise(F.greatest(F.col("median") + 2.5 * F.col("mad"), F.col("p88")))
     found = out.select("job_id", "median", "mad", F.col("p88").alias("percentile"), limit.alias("threshold"))
-    return found.select("job_id", *[F.round(F.coalesce(c, F.lit(d)), 6).alias(c) for c, d in (("median", 0.0), ("mad", 0.0), ("percentile", 1.0), ("threshold", 1.0))])
+    return found.select("job_id", *[F.coalesce(c, F.lit(d)).alias(c) for c, d in (("median", 0.0), ("mad", 0.0), ("percentile", 1.0), ("threshold", 1.0))])
 
 
-def boundary_candidates(frames: DataFrame, max_segments: int = 20, min_stable: float | None = None) -> DataFrame:
-    """job_id, ord, time_sec, boundary_score, reason: frames that begin a segment.
+def boundary_starts(frames: DataFrame, max_segments: int = 20, min_stable: float | None = None) -> DataFrame:
+    """job_id, starts (array of ord, time_sec, score, reason): the frames that begin a segment, by job.
 
     A frame qualifies by the threshold or among the job's highest scores. Within ``min_stable`` (if none is
     given 3, for recordings under 20 long 1) of the last accepted one it may only replace it, if its score is higher. A job ends at ``max_segments`` - 1."""
@@ -54,7 +54,13 @@ def boundary_candidates(frames: DataFrame, max_segments: int = 20, min_stable: f
         return F.when(~go, kept).when(close & (x["boundary_score"] > last["score"]), replaced).when(close, kept).otherwise(added)
 
     got = fold(rest, ["ord", "time_sec", "boundary_score", "by_score", "calm"], ["ord"], F.array().cast(kind), step)
-    return got.select("job_id", F.explode("state").alias("x")).select("job_id", "x.ord", "x.time_sec", F.col("x.score").alias("boundary_score"), "x.reason")
+    return got.select("job_id", F.col("state").alias("starts"))
+
+
+def boundary_candidates(frames: DataFrame, max_segments: int = 20, min_stable: float | None = None) -> DataFrame:
+    """job_id, ord, time_sec, boundary_score, reason of the frames that ``boundary_starts`` finds."""
+    found = boundary_starts(frames, max_segments, min_stable).select("job_id", F.explode("starts").alias("x"))
+    return found.select("job_id", "x.ord", "x.time_sec", F.col("x.score").alias("boundary_score"), "x.reason")
 
 
 def spans(frames: DataFrame, starts: DataFrame) -> DataFrame:
@@ -68,22 +74,57 @@ def spans(frames: DataFrame, starts: DataFrame) -> DataFrame:
     return got.withColumn("boundary_score", F.coalesce(F.lead("own").over(in_order("segment")), F.lit(0.0))).drop("own")
 
 
-def split_long(spans: DataFrame, frames: DataFrame, longest: float = 30.0) -> DataFrame:
-    """job_id, segment, part, start_ord, end_ord, forced: spans cut where they last longer than ``longest``.
+def located(frames: DataFrame, spans: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Frames with the columns of the span that they lie in, start_ord and end_ord among them; frames in none are left out.
+
+    Spans don't overlap, so frames and spans are laid side by side in order and each frame takes the last span
+    begun: one sort of both, however many frames and spans a job has."""
+    names = list(dict.fromkeys(("start_ord", "end_ord", *columns)))
+    begun = spans.select("job_id", F.col("start_ord").cast(frames.schema["ord"].dataType).alias("ord"), F.lit(0).alias("__kind"), F.struct(*names).alias("__span"))
+    rows = frames.withColumn("__kind", F.lit(1)).unionByName(begun, allowMissingColumns=True)
+    rows = rows.withColumn("__span", F.last("__span", ignorenulls=True).over(in_order("ord", "__kind").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.where("__kind = 1 and ord < __span.end_ord")
+    return rows.select(*[c for c in frames.columns if c not in names], *[F.col(f"__span.{c}").alias(c) for c in names])
+
 
-    Each of the k - 1 targets at i / k takes the nearest inner frame with a score of 0.01 or more (of equals the
-    higher score, then the earlier), or else the frame at that share of the span."""
+def cuts(rows: DataFrame, longest: float) -> DataFrame:
+    """job_id, segment, cut, end_ord: where spans begin, and where those are cut that last longer than ``longest``.
+
+    ``rows``: frames with segment, start_ord, end_ord, start_time and end_time of their span. Each of the k - 1 targets
+    at i / k takes the nearest inner frame with a score of 0.01 or more (of equals the higher score, then the earlier);
+    where a span has none, the frame at that share of it. A target lies between two neighbouring frames and only
+    meets these, so the work is in proportion to frames and targets."""
     lasts = F.col("end_time") - F.col("start_time")
     k = F.when(lasts > longest, F.greatest(F.lit(2), F.ceil(lasts / longest).cast("int"))).otherwise(1)
-    # i = 0 stands for the span's own start.
-    targets = spans.withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("target", F.col("start_time") + (F.col("end_time") - F.col("start_time")) * F.col("i") / F.col("k"))
-    inner = frames.where("boundary_score >= 0.01").select(F.col("job_id").alias("j"), F.col("ord").alias("o"), F.col("time_sec").alias("t"), F.col("boundary_score").alias("s"))
-    near = targets.join(inner, (F.col("i") > 0) & (F.col("j") == F.col("job_id")) & (F.col("o") > F.col("start_ord")) & (F.col("o") < F.col("end_ord") - 1), "left")
-    best = near.groupBy("job_id", "segment", "start_ord", "end_ord", "i", "k").agg(F.min_by("o", F.struct(F.abs(F.col("t") - F.col("target")), -F.col("s"), F.col("o"))).alias("o"))
-    share = F.least(F.col("end_ord") - 1, F.greatest(F.col("start_ord") + 1, F.rint(F.col("start_ord") + (F.col("end_ord") - F.col("start_ord")) * F.col("i") / F.col("k")).cast("int")))
-    cut = F.when(F.col("i") == 0, F.col("start_ord")).otherwise(F.coalesce("o", share))
-    cuts = best.select("job_id", "segment", "i", cut.alias("cut"), "start_ord", "end_ord").where("i = 0 or (cut > start_ord and cut < end_ord)")
-    edges = cuts.select("job_id", "segment", "cut", "end_ord").distinct()
+    span = ["start_ord", "end_ord", "start_time", "end_time", "k"]
+    inner = (F.col("k") > 1) & (F.col("boundary_score") >= 0.01) & (F.col("ord") > F.col("start_ord")) & (F.col("ord") < F.col("end_ord") - 1)
+    rows = rows.select("job_id", "segment", "ord", "time_sec", "boundary_score", *span[:-1], k.alias("k")).withColumn("inner", inner)
+    rows = rows.withColumn("n_inner", F.count_if("inner").over(Window.partitionBy("job_id", "segment")))
+    whole = rows.where("ord = start_ord")
+
+    target = lambda i: F.col("start_time") + (F.col("end_time") - F.col("start_time")) * i / F.col("k")
+    at = rows.where("inner").groupBy("job_id", "segment", "time_sec", *span).agg(F.min_by(F.struct("boundary_score", "ord"), F.struct(-F.col("boundary_score"), "ord")).alias("x"))
+    at = at.select("job_id", "segment", *span, F.struct("time_sec", "x.boundary_score", "x.ord").alias("here"))
+    w = Window.partitionBy("job_id", "segment").orderBy("here")
+    at = at.withColumns({"after": F.lead("here").over(w), "first": F.lag("here").over(w).isNull()})
+    # Targets from this frame's time up to the next one's; the first and the last also have all before and behind them.
+    place = lambda t: (t - F.col("start_time")) * F.col("k") / (F.col("end_time") - F.col("start_time"))
+    low = F.when(F.col("first"), 1).otherwise(F.greatest(F.lit(1), F.floor(place(F.col("here.time_sec"))).cast("int") - 1))
+    high = F.coalesce(F.least(F.col("k") - 1, F.ceil(place(F.col("after.time_sec"))).cast("int") + 1), F.col("k") - 1)
+    near = at.where(low <= high).withColumn("i", F.explode(F.sequence(low, high)))
+    near = near.where((F.col("first") | (target(F.col("i")) >= F.col("here.time_sec"))) & (F.col("after").isNull() | (target(F.col("i")) < F.col("after.time_sec"))))
+    far = lambda x: F.struct(F.abs(x["time_sec"] - target(F.col("i"))).alias("far"), (-x["boundary_score"]).alias("less"), x["ord"].alias("ord"))
+    taken = near.select("job_id", "segment", F.least(far(F.col("here")), F.when(F.col("after").isNotNull(), far(F.col("after"))))["ord"].alias("cut"), "start_ord", "end_ord")
+
+    i = F.col("i")
+    share = F.least(F.col("end_ord") - 1, F.greatest(F.col("start_ord") + 1, F.rint(F.col("start_ord") + (F.col("end_ord") - F.col("start_ord")) * i / F.col("k")).cast("long")))
+    plain = whole.where("k > 1 and n_inner = 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k") - 1))).select("job_id", "segment", share.alias("cut"), "start_ord", "end_ord")
+    inside = taken.unionByName(plain).where("cut > start_ord and cut < end_ord").drop("start_ord")
+    return inside.unionByName(whole.select("job_id", "segment", F.col("start_ord").alias("cut"), "end_ord")).distinct()
+
+
+def parts_of(edges: DataFrame) -> DataFrame:
+    """job_id, segment, part, start_ord, end_ord, forced from the cuts of spans."""
     w = Window.partitionBy("job_id", "segment").orderBy("cut")
     return edges.select(
         "job_id", "segment", F.row_number().over(w).alias("part"), F.col("cut").alias("start_ord"), F.coalesce(F.lead("cut").over(w), F.col("end_ord")).alias("end_ord"),
@@ -91,6 +132,11 @@ def split_long(spans: DataFrame, frames: DataFrame, longest: float = 30.0) -> Da
     )
 
 
+def split_long(spans: DataFrame, frames: DataFrame, longest: float = 30.0) -> DataFrame:
+    """job_id, segment, part, start_ord, end_ord, forced: spans cut where they last longer than ``longest``, see ``cuts``."""
+    return parts_of(cuts(located(frames.select("job_id", "ord", "time_sec", "boundary_score"), spans, ("segment", "start_time", "end_time")), longest))
+
+
 def top_spans(parts: DataFrame, frames: DataFrame, most: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """The first span and the ``most`` - 1 with the highest score at their start, numbered in order; holes stay."""
     scored = parts.join(frames.select("job_id", F.col("ord").alias("start_ord"), F.col("boundary_score").alias("start_score")), ["job_id", "start_ord"])
@@ -100,6 +146,13 @@ def top_spans(parts: DataFrame, frames: DataFrame, most: int, keep: tuple[str, .
 
 
 def stable_frames(parts: DataFrame, frames: DataFrame) -> DataFrame:
-    """job_id, start_ord, stable_ord: of each span the frame that changes least (lowest visual score, then earliest)."""
-    inside = parts.join(frames.select(F.col("job_id").alias("j"), "ord", "visual_score"), (F.col("j") == F.col("job_id")) & (F.col("ord") >= F.col("start_ord")) & (F.col("ord") < F.col("end_ord")))
-    return inside.groupBy("job_id", "start_ord").agg(F.min_by("ord", F.struct("visual_score", "ord")).alias("stable_ord"))
+    """job_id, start_ord, stable_ord: of each span the frame that changes least: the lowest visual score, then the highest
+    diff_score where there is one (the change seen when it was taken), then the earliest."""
+    change = F.coalesce(F.col("diff_score"), F.lit(0.0)) if "diff_score" in frames.columns else F.lit(0.0)
+    inside = located(frames.select("job_id", "ord", "visual_score", change.alias("change")), parts, ())
+    return inside.groupBy("job_id", "start_ord").agg(F.min_by("ord", steadiness()).alias("stable_ord"))
+
+
+def steadiness() -> Column:
+    """The steadiest frame of a span is the least by this."""
+    return F.struct("visual_score", -F.col("change"), "ord")

@@ -19,27 +19,41 @@ def step_flags(steps: DataFrame) -> DataFrame:
     return rows.withColumns({"noise": noise(a, e, F.col("meaningful")), "passive": passive(a, e, F.col("meaningful"), F.col("checkpoint"))})
 
 
+def first_of(steps: DataFrame, names: tuple[str, ...], kind: str = "double") -> Column:
+    """The first value given among those of the columns that there are; null if there is none."""
+    return F.coalesce(*[F.col(c).try_cast(kind) for c in names if c in steps.columns], F.lit(None).cast(kind))
+
+
+def start_of(steps: DataFrame) -> Column:
+    """When a step begins: the first given of start_time and time_sec, or else the seconds in the screenshot's name."""
+    named = seconds_in(F.col("screenshot")) if "screenshot" in steps.columns else F.lit(None).cast("double")
+    return F.coalesce(first_of(steps, ("start_time", "time_sec")), named)
+
+
+def order_key(steps: DataFrame) -> Column:
+    """(kind, value) by which steps are ordered: 0 and the time, or 1 and the event's number, or 2 and the step's.
+
+    Steps with a time so come before those without one. A number that isn't one counts as 0."""
+    time, event = start_of(steps), first_of(steps, ("event_index", "source_event_index", "event_id"))
+    kind = F.when(time.isNotNull(), 0).when(event.isNotNull(), 1).otherwise(2)
+    return F.struct(kind.alias("kind"), F.coalesce(time, event, F.col(BY_NUMBER).try_cast("double"), F.lit(0.0)).alias("value"))
+
+
 def chronology(steps: DataFrame) -> DataFrame:
-    """Rows that come before the row they follow: job_id, step_number, time_sec, prior_time."""
-    prior = F.lag("time_sec").over(in_order(BY_NUMBER))
-    return steps.withColumn("prior_time", prior).where("time_sec < prior_time").select("job_id", "step_number", "time_sec", "prior_time")
+    """Rows whose key is below that of the row they follow: job_id, step_number, kind, value, prior_kind, prior_value."""
+    rows = steps.select("job_id", BY_NUMBER, order_key(steps).alias("key")).withColumn("prior", F.lag("key").over(in_order(BY_NUMBER))).where("key < prior")
+    return rows.select("job_id", BY_NUMBER, "key.*", F.col("prior.kind").alias("prior_kind"), F.col("prior.value").alias("prior_value"))
 
 
 def ordering_keys(steps: DataFrame) -> DataFrame:
-    """Adds kind and value by which steps are ordered, and ``place``: by time, or the event's number, or the step's.
-
-    The time is the first given of start_time and time_sec, or else the seconds in the screenshot's name. Steps with
-    a time come before those without one. A number that isn't one counts as 0."""
-    time = F.coalesce("start_time", "time_sec", seconds_in(F.col("screenshot")))
-    number = F.coalesce(F.col("step_number").try_cast("double"), F.lit(0.0))
-    event = F.col("event_index").try_cast("double")
-    rows = steps.withColumn("kind", F.when(time.isNotNull(), 0).when(event.isNotNull(), 1).otherwise(2)).withColumn("value", F.coalesce(time, event, number))
+    """Adds the kind and value of ``order_key``, and ``place`` by them."""
+    rows = steps.withColumn("__key", order_key(steps)).withColumns({"kind": F.col("__key.kind"), "value": F.col("__key.value")}).drop("__key")
     return rows.withColumn("place", F.row_number().over(in_order("kind", "value", BY_NUMBER)))
 
 
 def in_time(steps: DataFrame) -> DataFrame:
-    """Steps renumbered by time, then their number: job_id, original, step_number."""
-    return steps.select("job_id", F.col("step_number").alias("original"), F.row_number().over(in_order("time_sec", "step_number")).alias("step_number"))
+    """Steps renumbered by their key, then their number: job_id, original, step_number."""
+    return ordering_keys(steps).select("job_id", F.col(BY_NUMBER).alias("original"), F.col("place").alias(BY_NUMBER))
 
 
 def workflow_family(steps: DataFrame) -> DataFrame:
@@ -71,7 +85,9 @@ def described(steps: DataFrame) -> DataFrame:
     details = F.array_sort(F.array_union(F.array_intersect(words, F.array(*map(F.lit, rules.DETAIL_TERMS))), F.filter(words, lambda w: w.rlike("^[0-9]+$"))))
     body = normalized(F.concat_ws(" ", a, e))
     fields = F.filter(F.array(*map(F.lit, rules.FIELD_TERMS)), lambda t: normalized(a).contains(t))
-    steps = steps.withColumn("words", content_tokens(F.concat_ws(" ", a, e)))
+    begins = start_of(steps)
+    times = {"begins": F.coalesce(begins, F.lit(0.0)), "ends": F.coalesce(first_of(steps, ("end_time",)), begins, F.lit(0.0))}
+    steps = steps.withColumn("words", content_tokens(F.concat_ws(" ", a, e))).withColumns(times)
     return steps.withColumns({"body": body, "fields": fields, "pivot": normalized(a).contains("pivottable"), "action_words": content_tokens(a), "expected_words": content_tokens(e), "targets": terms_in(words, rules.DOMAIN_TERMS), "details": details, "roots": terms_in(action_roots(a), rules.VERBS)})
 
 
@@ -86,14 +102,16 @@ def canned(x: Column, y: Column, pairs: list = SAME_INTENT) -> Column:
     return out
 
 
-COMPARED = ["step_number", "time_sec", "system", "body", "fields", "pivot", "words", "action_words", "expected_words", "targets", "details", "roots"]
+COMPARED = ["step_number", "begins", "ends", "system", "body", "fields", "pivot", "words", "action_words", "expected_words", "targets", "details", "roots"]
 
 
 def duplicate(a: str, b: str) -> Column:
-    """Whether two described steps are one: the vetoes in order, then the same intent."""
+    """Whether two described steps are one: the vetoes in order, then the same intent.
+
+    Near is within 2 numbers, or 45 s from the end of the first to the beginning of the second."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     both = lambda c: (F.size(x(c)) > 0) & (F.size(y(c)) > 0)
-    near = (F.abs(y("step_number") - x("step_number")) <= 2) | (F.abs(y("time_sec") - x("time_sec")) <= 45)
+    near = (F.abs(y("step_number") - x("step_number")) <= 2) | (F.abs(y("begins") - x("ends")) <= 45)
     targets = ~(both("targets") & ~F.arrays_overlap(x("targets"), y("targets")))
     details = ~(both("details") & (x("details") != y("details")))
     setup = canned(x("body"), y("body"), SAME_INTENT[:1])

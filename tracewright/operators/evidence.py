@@ -49,17 +49,35 @@ def texts_by_role(segments: DataFrame, read: DataFrame) -> DataFrame:
     return segments.join(by, ["job_id", "segment"], "left").withColumn("texts", F.coalesce("texts", F.create_map().cast("map<string,string>")))
 
 
+#: Why a role was chosen, where it had text, where it showed a dialog, and else.
+REASONS = ("had the strongest OCR and structure evidence", "best exposed the visible dialog or configuration area", "showed the richest visible screen structure")
+
+
+def best_role(read: Column) -> Column:
+    """(role, score, strength, structure, reason) of the best of an array of (pos, role, text, structure); of equals the first by pos.
+
+    Of an empty or null array the stable frame, without score."""
+
+    def scored(x: Column) -> Column:
+        text, strength, seen = text_of(x["text"]), text_strength(x["text"]), F.coalesce(x["structure"], F.lit(0.0))
+        dialog = contains_any(F.lower(text), rules.DIALOG_TERMS)
+        bonus = F.when(x["role"].isin("entry_frame", "after_frame"), 0.08).otherwise(0.03) + F.when(dialog, 0.12).otherwise(0.0)
+        score = F.round(F.when(strength == 0, 0.7 * seen).otherwise(0.6 * strength + 0.3 * seen) + bonus, 9)
+        why = F.when(strength > 0, REASONS[0]).when(dialog, REASONS[1]).otherwise(REASONS[2])
+        return F.struct(score.alias("score"), (-x["pos"]).alias("back"), x["role"].alias("role"), F.round(strength, 3).alias("strength"), F.round(seen, 3).alias("structure"), F.concat_ws(" ", x["role"], why).alias("reason"))
+
+    best = F.array_max(F.transform(read, scored))
+    none = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit("stable_frame").alias("role"), F.lit(0.0).alias("strength"), F.lit(0.0).alias("structure"), F.lit("default stable frame").alias("reason"))
+    best = F.coalesce(best, none)
+    return F.struct(best["role"].alias("role"), F.round(best["score"], 6).alias("score"), best["strength"].alias("strength"), best["structure"].alias("structure"), best["reason"].alias("reason"))
+
+
 def role_scores(read: DataFrame) -> DataFrame:
-    """job_id, segment, role, score, strength: of the texts read for each segment the best role, of equals the first by pos.
+    """job_id, segment, role, score, strength, structure, reason: ``best_role`` of the texts read for each segment.
 
     ``read``: job_id, segment, pos, role, text, structure (0 to 1, of the image)."""
-    text, strength = text_of(F.col("text")), text_strength(F.col("text"))
-    bonus = F.when(F.col("role").isin("entry_frame", "after_frame"), 0.08).otherwise(0.03) + F.when(contains_any(F.lower(text), rules.DIALOG_TERMS), 0.12).otherwise(0.0)
-    seen = F.coalesce("structure", F.lit(0.0))
-    score = F.round(F.when(strength == 0, 0.7 * seen).otherwise(0.6 * strength + 0.3 * seen) + bonus, 9)
-    rows = read.withColumns({"score": score, "strength": F.round(strength, 3)})
-    best = rows.groupBy("job_id", "segment").agg(F.max_by(F.struct("role", "score", "strength"), F.struct("score", -F.col("pos"))).alias("x"))
-    return best.select("job_id", "segment", "x.role", F.round("x.score", 6).alias("score"), "x.strength")
+    by = read.groupBy("job_id", "segment").agg(F.collect_list(F.struct("pos", "role", "text", "structure")).alias("read"))
+    return by.select("job_id", "segment", best_role(F.col("read")).alias("x")).select("job_id", "segment", "x.*")
 
 
 def pick_evidence(segments: DataFrame, most: int) -> DataFrame:
@@ -68,6 +86,12 @@ def pick_evidence(segments: DataFrame, most: int) -> DataFrame:
     A path is taken once. A segment whose hash is within 2 bits of one already taken gives none if its boundary is
     under 0.02 and it wasn't a forced split. Rows: job_id, segment, stable_frame, entry_frame, after_frame,
     image_hash, boundary_score, forced; a null path is a file that isn't there."""
+    got = picks(segments, most)
+    return got.select("job_id", F.posexplode("state").alias("at", "x")).select("job_id", (F.col("at") + 1).alias("event_id"), "x.segment", "x.role", "x.path")
+
+
+def picks(segments: DataFrame, most: int) -> DataFrame:
+    """job_id, state: what ``pick_evidence`` takes, an array (segment, role, path, hash) for each job."""
     frames = F.array(*[F.struct(F.lit(go).alias("go"), "segment", F.lit(i).alias("i"), F.lit(role).alias("role"), F.col(role).alias("path")) for i, (go, role) in enumerate([(1, "stable_frame"), (2, "entry_frame"), (2, "after_frame")])])
     rows = segments.select("job_id", F.coalesce("image_hash", F.lit("")).alias("hash"), F.coalesce("boundary_score", F.lit(0.0)).alias("score"), F.coalesce("forced", F.lit(False)).alias("forced"), F.explode(frames).alias("x")).select("job_id", "hash", "score", "forced", "x.*").where("path is not null")
 
@@ -78,8 +102,7 @@ def pick_evidence(segments: DataFrame, most: int) -> DataFrame:
         return F.when(known | weak | (F.size(kept) >= most), kept).otherwise(F.array_append(kept, entry))
 
     start = F.array().cast("array<struct<segment:int,role:string,path:string,hash:string>>")
-    got = fold(rows, ["role", "path", "hash", "score", "forced"], ["go", "segment", "i"], start, step)
-    return got.select("job_id", F.posexplode("state").alias("at", "x")).select("job_id", (F.col("at") + 1).alias("event_id"), "x.segment", "x.role", "x.path")
+    return fold(rows, ["role", "path", "hash", "score", "forced"], ["go", "segment", "i"], start, step)
 
 
 def with_context(events: DataFrame) -> DataFrame:

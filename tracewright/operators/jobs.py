@@ -135,6 +135,22 @@ def segment_report(spans: DataFrame) -> DataFrame:
     return spans.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("segment", line.alias("line")))).alias("x")).select("job_id", F.array_join(F.col("x.line"), "\n").alias("report"))
 
 
+# The lines of a segmentation report.
+SUMMARY = "# Segmentation Report\n\n- Frame metrics: %d\n- Boundary candidates: %d\n- Screen states: %d\n- Final event segments: %d\n- Threshold: %.4f\n- Median/MAD: %.4f / %.4f\n\n## Event Segments\n"
+SEGMENT = "- #%d %.1fs-%.1fs system=%s state=%d score=%.4f hint=%s\n"
+
+
+def segmentation_report(segments: DataFrame, jobs: DataFrame) -> DataFrame:
+    """job_id, report: a summary and a line for each segment, in order; a job without segments has the summary only.
+
+    ``jobs``: job_id, n_frames, n_candidates, threshold, median, mad; segments with system, screen_state_id and action_hint."""
+    line = F.format_string(SEGMENT, "event_id", "start_time", "end_time", "system", "screen_state_id", "boundary_score", "action_hint")
+    by = segments.groupBy("job_id").agg(F.count_distinct("screen_state_id").alias("n_states"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("x"))
+    rows = jobs.join(by, "job_id", "left").fillna(0, ["n_states", "n"])
+    summary = F.format_string(SUMMARY, "n_frames", "n_candidates", "n_states", "n", "threshold", "median", "mad")
+    return rows.select("job_id", F.concat(summary, F.coalesce(F.array_join("x.line", ""), F.lit(""))).alias("report"))
+
+
 def artifact_counts(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
     """job_id, name, n: rows of each stage's table by job, as ``write_artifacts`` has written them; a stage that
     isn't there has one row without job_id and n, so a job that stopped early can be read as far as it came."""

@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the folder that spark.checkpoint.dir names, which executors must share.
-
-    The folder may be unset only where there is one machine."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        root = context.getConf().get("spark.checkpoint.dir")
-        if not root and not context.master.startswith("local"):
+def work_dir(spark: SparkSession) -> str:
+    """A new folder under the shared spark.checkpoint.dir. It may be unset only where there is one machine."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(root or f"{tempfile.gettempdir()}/tracewright-settled")
-    return df.checkpoint()
+        root = f"file://{tempfile.gettempdir()}/tracewright-settled"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, computed now, written to the shared folder and read back: lineage ends there, and rows can be pruned."""
+    path = f"{work_dir(df.sparkSession)}/table.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def in_order(*order: str) -> Window:

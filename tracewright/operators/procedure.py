@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from tracewright.functions import rules
 from tracewright.functions.score import coverage_minimum
 from tracewright.functions.text import contains_any, first_rule, normalized, text_of
-from tracewright.operators.cleanup import BY_NUMBER, COMPARED, category_of, described, duplicate, phase_of, setup_first, step_flags
+from tracewright.operators.cleanup import BY_NUMBER, COMPARED, category_of, described, duplicate, order_key, phase_of, setup_first, step_flags
 from tracewright.operators.ordered import in_order, paired, run_id
 
-TIME = ("time_sec", BY_NUMBER)
+TIME = ("order_key", BY_NUMBER)
 
-# Fixed value: wording of a pivot's set-up and creation when they are merged.
+# Wording of a pivot's set-up and creation when they are merged.
 SETUP_WORDING = "Confirm the PivotTable setup and open the blank PivotTable worksheet."
+SETUP_RESULT = "The blank PivotTable worksheet is ready."
 
 
 def job() -> Window:
@@ -73,11 +74,11 @@ def legacy_phases(steps: DataFrame) -> DataFrame:
 
 
 def judged(steps: DataFrame, info: DataFrame) -> DataFrame:
-    """Steps in time order with flags, category, and the removal of each: null, noise or filler.
+    """Steps with order_key, flags, category, and the removal of each: null, noise or filler. Neighbours are those by order_key.
 
     Guards: where removal would leave less than 0.60 steps an event (from 25 events), where there were too few
     steps to begin with, or where over 40 % of five or more steps would go, only noise goes."""
-    rows = step_flags(steps.join(info.select("job_id", "n_events"), "job_id")).withColumn("family", family_of())
+    rows = step_flags(steps.withColumn("order_key", order_key(steps)).join(info.select("job_id", "n_events"), "job_id")).withColumn("family", family_of())
     rows = rows.withColumn("category", category_of(in_order(*TIME)))
     n, events = F.count(F.lit(1)).over(job()), F.col("n_events")
     going = F.count_if(F.col("noise") | F.col("category").eqNullSafe(F.lit("passive_filler"))).over(job())
@@ -92,7 +93,8 @@ def judged(steps: DataFrame, info: DataFrame) -> DataFrame:
 def merged(rows: DataFrame) -> DataFrame:
     """One row for each step or pair of adjacent duplicates: the more specific one with ``sources`` (numbers).
 
-    A job whose merging would fall below its coverage minimum stays unmerged."""
+    A job whose merging would fall below its coverage minimum stays unmerged. Of a pivot's set-up and creation the
+    creation's expected output stays, or else the set-up's, or else a fixed one."""
     score = F.size("words") + 8 * F.col("meaningful").cast("int") - 5 * F.col("passive").cast("int") + 4 * F.col("checkpoint").cast("int")
     own = [c for c in rows.columns if c != "job_id"]
     rows = described(rows)
@@ -106,15 +108,17 @@ def merged(rows: DataFrame) -> DataFrame:
     setup = setup_first("me", "next")
     best = F.when(F.col("pair") & (setup | (F.col("next.score") > F.col("me.score"))), F.col("next")).otherwise(F.col("me"))
     said = F.when(F.col("pair") & setup, SETUP_WORDING)
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    shown = F.when(F.col("pair") & setup, F.coalesce(blank("next.expected_output"), blank("me.expected_output"), F.lit(SETUP_RESULT)))
     sources = F.when(F.col("pair"), F.array("me.step_number", "next.step_number")).otherwise(F.array("me.step_number"))
-    rows = rows.select("job_id", best.alias("x"), sources.alias("sources"), said.alias("said")).select("job_id", *[F.col(f"x.{c}").alias(c) for c in own], "sources", "said")
-    return rows.withColumn("action", F.coalesce("said", "action")).drop("said")
+    rows = rows.select("job_id", best.alias("x"), sources.alias("sources"), said.alias("said"), shown.alias("shown")).select("job_id", *[F.col(f"x.{c}").alias(c) for c in own], "sources", "said", "shown")
+    return rows.withColumns({"action": F.coalesce("said", "action"), "expected_output": F.coalesce("shown", "expected_output")}).drop("said", "shown")
 
 
 def clean_steps(steps: DataFrame, info: DataFrame, most: int | None = None) -> DataFrame:
-    """The cleaned procedure: judged, merged, capped, renumbered by time as ``place``, with phases and sections."""
+    """The cleaned procedure: judged, merged, capped, renumbered by ``order_key`` as ``place``, with phases and sections."""
     rows = merged(judged(steps, info).where("removal is null")).withColumn("place", F.row_number().over(in_order(*TIME)))
-    rows = phase_labels(rows if most is None else rows.where(F.col("place") <= most))
+    rows = phase_labels(rows if most is None else rows.where(F.col("place") <= most)).drop("order_key")
     return rows.withColumn("section", run_id(F.col("phase") != F.lag("phase").over(in_order("place")), "place"))
 
 
@@ -141,27 +145,33 @@ def watched(clean: DataFrame) -> DataFrame:
 
 
 def job_counts(clean: DataFrame) -> DataFrame:
-    """One row per job: counts of its cleaned steps, and which actions the evidence asks for but no step describes."""
+    """One row per job: counts of its cleaned steps, and which actions the evidence asks for but no step describes.
+
+    Evidence is what steps say, expect and, where there is a column ocr_text, show. It and what is done are looked for in
+    the texts of all steps of a job, one after another, so a phrase may go on from one step to the next."""
     n = F.count(F.lit(1))
     action = normalized(F.col("action"))
-    text = F.concat_ws(" ", action, normalized(F.col("expected_output")))
+    seen = [F.col(c) for c in ("action", "expected_output", "ocr_text") if c in clean.columns]
+    text = normalized(F.concat_ws(" ", *[text_of(c) for c in seen]))
     pivot = F.first("family") == "excel_pivottable"
-    any_of = lambda column, terms: F.bool_or(contains_any(column, terms if isinstance(terms, list) else [terms]))
+    together = lambda c: F.array_join(F.array_sort(F.collect_list(F.struct("place", c.alias("said"))))["said"], " ")
+    any_of = lambda column, terms: contains_any(F.col(column), terms if isinstance(terms, list) else [terms])
     missing = []
     for name, evidence, acted, asked, phrases in rules.EXPECTED_ACTIONS:
-        done = any_of(action, phrases) if asked else any_of(action, acted) & any_of(action, phrases)
-        asks = any_of(text, evidence) & (any_of(action, acted) if asked else F.lit(True))
-        missing.append(F.when(pivot & asks & ~done, name))
+        done = any_of("acts", phrases) if asked else any_of("acts", acted) & any_of("acts", phrases)
+        asks = any_of("evidence", evidence) & (any_of("acts", acted) if asked else F.lit(True))
+        missing.append(F.when(F.col("pivot") & asks & ~done, name))
     diagnostic = F.col("generation_source").eqNullSafe(F.lit("diagnostic_fallback"))
-    return watched(clean).groupBy("job_id").agg(
+    counts = watched(clean).groupBy("job_id").agg(
         n.alias("steps"), F.first("n_before").alias("before"), F.count_if("noise").alias("noise"), F.count_if(F.col("passive") | F.col("category").eqNullSafe(F.lit("contextual_review"))).alias("passive"),
         F.count_if("twice").alias("duplicates"), F.count_if(F.size("sources") > 1).alias("merged"), F.count_if(~F.col("confidence").eqNullSafe(F.lit("high"))).alias("low"), F.count_if(diagnostic).alias("diagnostic"),
         F.count_if((F.col("review") & ~F.col("meaningful")) | action.startswith("review the process state shown")).alias("generic"), F.count_if(F.col("meaningful")).alias("operational"),
         F.count_if(F.col("category") == "contextual_review").alias("contextual"), F.count_if(F.col("category") == "operational_checkpoint").alias("checkpoints"),
         F.count_if(F.col("run_at") == 2).alias("review_runs"), F.coalesce(F.max("event_gap"), F.lit(0)).alias("widest_gap"), F.count_if(F.col("duration") > 45).alias("long"),
         F.count_if("corrected").alias("corrections"), F.count("phase_error").alias("phase_errors"), F.count_if(F.col("phase").isin(rules.GENERIC_PHASES)).alias("generic_phases"), F.countDistinct("phase").alias("phases"),
-        F.array_join(F.array_compact(F.array(*missing)), ",").alias("missing"),
+        pivot.alias("pivot"), together(text).alias("evidence"), together(action).alias("acts"),
     )
+    return counts.withColumn("missing", F.array_join(F.array_compact(F.array(*missing)), ",")).drop("pivot", "evidence", "acts")
 
 
 def completeness(clean: DataFrame, info: DataFrame) -> DataFrame:

@@ -92,19 +92,34 @@ def verified_offline(steps: DataFrame) -> DataFrame:
 def repaired(steps: DataFrame, toolbar: bool = True) -> DataFrame:
     """Steps with an action (that doesn't begin like a toolbar entry, unless ``toolbar`` is off), with a known
     system: an unknown one gives way to the rules', and theirs overrides and costs high confidence."""
-    known = F.array(*map(F.lit, [*rules.SYSTEMS, "Other"]))
+    return with_repairs(steps.where(told(toolbar)))
+
+
+def told(toolbar: bool = True) -> Column:
+    """Whether a step has an action, and (with ``toolbar``) none that begins like a toolbar entry."""
     action = F.trim(text_of(F.col("action")))
-    rows = steps.where(action != "")
-    if toolbar:
-        rows = rows.where(~F.lower(action).rlike(rules.TOOLBAR))
+    return (action != "") & ~F.lower(action).rlike(rules.TOOLBAR) if toolbar else action != ""
+
+
+def with_repairs(rows: DataFrame) -> DataFrame:
+    """Steps with trimmed texts, a known system and a known confidence."""
+    known, action = F.array(*map(F.lit, [*rules.SYSTEMS, "Other"])), F.trim(text_of(F.col("action")))
     rule_known = F.array_contains(known, F.coalesce("rule_system", F.lit("")))
     first = F.when(F.array_contains(known, F.coalesce("system", "rule_system", F.lit("Other"))), F.coalesce("system", "rule_system", F.lit("Other"))).when(rule_known, F.col("rule_system")).otherwise("Other")
     sure = F.when(F.col("confidence").isin("high", "medium", "low"), F.col("confidence")).otherwise("medium")
     over = rule_known & (F.col("rule_system") != "Other") & (first != F.col("rule_system"))
-    kept = [c for c in steps.columns if c not in ("action", "system", "confidence", "expected_output")]
+    kept = [c for c in rows.columns if c not in ("action", "system", "confidence", "expected_output")]
     return rows.select(*kept, action.alias("action"), F.trim(text_of(F.col("expected_output"))).alias("expected_output"), F.when(over, F.col("rule_system")).otherwise(first).alias("system"), F.when(over & (sure == "high"), "medium").otherwise(sure).alias("confidence"))
 
 
+def keyed(steps: DataFrame) -> DataFrame:
+    """All steps, repaired, with the key by which they are told apart (null for those that ``repaired`` leaves out) and generic."""
+    words = word_norm(F.col("action")), word_norm(F.col("expected_output"))
+    rows = with_repairs(steps.withColumn("told", told())).withColumn("key", F.when(F.col("told"), F.concat_ws("|", "system", *words)))
+    return rows.drop("told").withColumn("generic", F.concat_ws(" ", *words).isin(
+        "review the visible process screen the relevant process information is available on screen", "review the visible process screen the expected screen is displayed"))
+
+
 def validated(steps: DataFrame, most: int = 40) -> DataFrame:
     """job_id, step_number, source_number: repaired steps without those that repeat the last kept one.
 
@@ -113,11 +128,7 @@ def validated(steps: DataFrame, most: int = 40) -> DataFrame:
     the former. The event is source_event_index where there is such a column, else the number."""
     for name, of in (("screenshot", F.lit(None).cast("string")), ("source_event_index", F.col("step_number"))):
         steps = steps if name in steps.columns else steps.withColumn(name, of)
-    rows = repaired(steps).withColumn("shot", F.nullif(F.col("screenshot"), F.lit("")))
-    rows = rows.withColumn("key", F.concat_ws("|", "system", word_norm(F.col("action")), word_norm(F.col("expected_output"))))
-    rows = rows.withColumn("generic", F.concat_ws(" ", word_norm(F.col("action")), word_norm(F.col("expected_output"))).isin(
-        "review the visible process screen the relevant process information is available on screen", "review the visible process screen the expected screen is displayed"))
-
+    rows = keyed(steps).where("key is not null").withColumn("shot", F.nullif(F.col("screenshot"), F.lit("")))
     rows = rows.withColumn("event", F.col("source_event_index").cast("int"))
 
     def step(kept, x):

@@ -1,4 +1,8 @@
-"""The whole job: frames to segments, local steps, audit, verification, validation, cleaned procedure, report."""
+"""The whole job: frames to segments, local steps, audit, verification, validation, cleaned procedure, report, document.
+
+The stages are tables that a broken run takes up again (``operators.stages``). Where a stage breaks for good, ``run_jobs``
+falls back to the segments, if these are whole: their first events are written up without audit, and marked so.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import hint_of, text_of
-from tracewright.operators import cleanup, procedure, review, steps
-from tracewright.operators.ordered import settled
+from tracewright.operators import boundaries, cleanup, jobs, procedure, review, stages, steps
+from tracewright.operators.ordered import work_dir
+from tracewright.operators.stages import Stage, StageFailed
 from tracewright.plans.segments import segments_of
 from tracewright.sources import recordings
 
+FALLBACK_EVENTS = 25
+
 
 def job_steps(segments: DataFrame, items: DataFrame | None = None, most_risky: int = 24, most: int = 40) -> DataFrame:
     """Validated steps of segments as ``segments_of`` gives them, numbered within each job.
@@ -37,10 +44,75 @@ def known_jobs(frames: DataFrame, segments: DataFrame) -> DataFrame:
     return length.join(found, "job_id").withColumns(fixed)
 
 
+def segmentation(frames: DataFrame, segments: DataFrame) -> DataFrame:
+    """job_id, report: counts, the threshold and a line for each segment of every job."""
+    found = boundaries.boundary_starts(frames, MOST_SEGMENTS).select("job_id", F.size("starts").alias("n_candidates"))
+    counts = frames.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_frames")).join(found, "job_id", "left").join(boundaries.thresholds(frames), "job_id")
+    return jobs.segmentation_report(segments.withColumn("action_hint", hint_of(F.col("ocr_text"))), counts.fillna(0, ["n_candidates"]))
+
+
+MOST_SEGMENTS = 36
+
+STAGES = [
+    Stage("segments", ("frames",), lambda frames: segments_of(frames, MOST_SEGMENTS)),
+    Stage("segmentation", ("frames", "segments"), segmentation),
+    Stage("jobs", ("frames", "segments"), lambda frames, segments: known_jobs(frames, segments)),
+    Stage("steps", ("segments",), lambda segments: job_steps(segments)),
+    Stage("cleaned", ("steps", "jobs"), lambda rows, info: procedure.clean_steps(rows, info)),
+    Stage("removed", ("steps", "jobs"), lambda rows, info: procedure.removed_steps(rows, info)),
+    Stage("report", ("steps", "cleaned", "jobs"), lambda rows, clean, info: procedure.quality_report(clean, info, cleanup.chronology(rows))),
+    Stage("document", ("cleaned", "report"), lambda clean, report: jobs.documents(clean, report)),
+]
+
+
+def fallback(segments: DataFrame, info: DataFrame) -> list[Stage]:
+    """Stages that make a report and a document of the first events alone."""
+
+    def fewer(segments, info):
+        first = segments.where(F.col("event_id") <= FALLBACK_EVENTS).groupBy("job_id").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.trim(text_of(F.col("ocr_text"))) != "").alias("ocr_count"))
+        return info.drop("n_events", "ocr_count").join(first, "job_id")
+
+    return [
+        Stage("fallback_jobs", ("segments", "jobs"), fewer),
+        Stage("fallback_steps", ("segments",), lambda segments: job_steps(segments.where(F.col("event_id") <= FALLBACK_EVENTS), most_risky=0)),
+        Stage("cleaned", ("fallback_steps", "fallback_jobs"), lambda rows, info: procedure.clean_steps(rows, info)),
+        Stage("report", ("fallback_steps", "cleaned", "fallback_jobs"), lambda rows, clean, info: procedure.quality_report(clean, info, cleanup.chronology(rows))),
+        Stage("document", ("cleaned", "report"), lambda clean, report: jobs.documents(clean, report).withColumn("document", F.concat("document", F.lit("\n- made after a failure, of the first events only\n")))),
+    ]
+
+
+def run_jobs(frames: DataFrame, root: str, plan: list[Stage] | None = None) -> dict[str, DataFrame]:
+    """The tables of all stages of the jobs whose frames these are, and ``log``, the jobs' rows as they went along.
+
+    Run again on the same folder it reads what is whole and makes the rest. If a stage fails after the segments are
+    there, the result is the fallback's, and the log says so; before that the failure is the caller's."""
+    try:
+        done = stages.run(root, {"frames": frames}, STAGES if plan is None else plan)
+        message, error = "Procedure ready", None
+    except StageFailed as failed:
+        if not {"segments", "jobs"} <= failed.done.keys():
+            raise
+        sources = {x: failed.done[x] for x in ("segments", "jobs")}
+        done = failed.done | stages.run(root, sources, fallback(**{"segments": sources["segments"], "info": sources["jobs"]}))
+        message, error = "Procedure ready with fallback output", f"{failed}: {failed.__cause__}"
+    return done | {"log": job_log(done, message, error)}
+
+
+def job_log(done: dict[str, DataFrame], message: str, error: str | None) -> DataFrame:
+    """id, status, progress, message, error, updated, seq: one row for each stage that a job has passed, the last one complete."""
+    report = done["report"].select(F.col("job_id").alias("id"))
+    row = lambda i, status, progress, text, fault: report.select("id", F.lit(status).alias("status"), F.lit(progress).alias("progress"), F.lit(text).alias("message"), F.lit(fault).cast("string").alias("error"), F.lit(i).cast("long").alias("updated"), F.lit(i).cast("long").alias("seq"))
+    passed = [row(i, "running", round(0.9 * (i + 1) / len(done), 2), f"Stage {name} done", None) for i, name in enumerate(done)]
+    out = passed[0]
+    for more in [*passed[1:], row(len(done), "complete", 1.0, message, error)]:
+        out = out.unionByName(more)
+    return out
+
+
+def hashed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recordings.screens(spark, sf_dir).withColumn("hash", F.lpad(F.lower(F.hex(F.col("k") % 5 * 1023)), 16, "0"))
+
+
 def job_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality report of each job, from its frames."""
-    frames = recordings.screens(spark, sf_dir).withColumn("hash", F.lpad(F.lower(F.hex(F.col("k") % 5 * 1023)), 16, "0"))
-    segments = settled(segments_of(frames))
-    rows = settled(job_steps(segments))
-    info = known_jobs(frames, segments)
-    return procedure.quality_report(settled(procedure.clean_steps(rows, info)), info, cleanup.chronology(rows))
+    return run_jobs(hashed_frames(spark, sf_dir), work_dir(spark))["report"]

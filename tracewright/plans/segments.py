@@ -2,39 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.score import segment_score
 from tracewright.functions.text import clean_lines, hint_of
-from tracewright.operators import boundaries, screens
+from tracewright.operators import boundaries, evidence, screens
+from tracewright.operators.ordered import in_order
 from tracewright.sources import recordings
 
 TELLING = ["filter", "export", "data entry", "post/save"]
+ROLES = {"stable_frame": "stable", "entry_frame": "entry", "after_frame": "after"}
 
 
-def segments_of(frames: DataFrame, most: int = 36, longest: float = 30.0) -> DataFrame:
-    """Segments of frames (job_id, ord, time_sec, boundary_score, visual_score, ocr_text, hash).
-
-    job_id, event_id, ord (of the stable frame), start_time, end_time, frame_count, ocr_text, screen_state_id,
-    dense_repeated_run. A segment's text is that of its stable frame, its first frame and the frame after it,
-    cleaned; its score weighs the score of the boundary that closes it, change of text and system, and whether
-    its text names an action. States are told before systems are smoothed, scrolling is judged after."""
-    spans = boundaries.spans(frames, boundaries.boundary_candidates(frames, most))
-    parts = boundaries.top_spans(boundaries.split_long(spans, frames, longest), frames, most, keep=("segment",))
-    stable = boundaries.stable_frames(parts, frames)
-    parts = parts.join(stable, ["job_id", "start_ord"]).join(spans.select("job_id", "segment", F.col("boundary_score").alias("closing")), ["job_id", "segment"])
-    # One row for each frame that tells something of a segment: its role and what it shows.
-    roles = [("1stable", F.col("stable_ord")), ("2entry", F.col("start_ord")), ("3after", F.col("end_ord")), ("4last", F.col("end_ord") - 1)]
-    told = parts.select("*", F.explode(F.array(*[F.struct(F.lit(name).alias("role"), at.alias("ord")) for name, at in roles])).alias("at")).select("*", "at.role", "at.ord")
-    told = told.join(frames.select("job_id", "ord", "time_sec", "hash", clean_lines(F.col("ocr_text")).alias("said")), ["job_id", "ord"])
-    first = F.row_number().over(Window.partitionBy("job_id", "start_ord", "ord").orderBy("role")) == 1
-    told = told.withColumn("said", F.when(first & (F.col("role") != "4last") & (F.col("said") != ""), F.struct("role", "said")))
-    of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
-    rows = told.groupBy("job_id", "start_ord").agg(
-        F.first("stable_ord").alias("ord"), F.first("closing").alias("visual_score"), (F.first("end_ord") - F.first("start_ord")).alias("frame_count"), of("1stable", "time_sec").alias("time_sec"), of("4last", "time_sec").alias("end_time"), of("2entry", "time_sec").alias("start_time"),
-        of("1stable", "hash").alias("hash"), F.array_join(F.array_sort(F.collect_list("said"))["said"], "\n").alias("ocr_text"),
-    ).drop("start_ord")
+def by_role(role: Column, field: str) -> Column:
+    """A field of the frame that a segment's role names."""
+    return F.coalesce(*[F.when(role == name, F.col(f"{at}.{field}")) for name, at in ROLES.items()])
+
+
+def initial_segments(frames: DataFrame, most: int = 36, longest: float = 30.0) -> DataFrame:
+    """job_id, event_id, start_ord, end_ord, start_time, end_time, frame_count, forced, closing (the score of the boundary that
+    ends it), and of its stable and entry frame and the frame after it ord, time_sec, hash, ocr_text and structure.
+
+    Frames: job_id, ord, time_sec, boundary_score, visual_score, ocr_text, hash, and diff_score and structure where known.
+    All is windows and aggregates by job; the frames are laid beside their parts once, no self join."""
+    known = {c: F.coalesce(F.col(c), F.lit(0.0)) if c in frames.columns else F.lit(0.0) for c in ("diff_score", "structure")}
+    frames = frames.select("job_id", "ord", "time_sec", "boundary_score", "visual_score", "ocr_text", "hash", known["diff_score"].alias("change"), known["structure"].alias("structure"))
+    starts = boundaries.boundary_starts(frames, most).select("job_id", F.transform("starts", lambda x: x["ord"]).alias("starts"))
+    so_far = in_order().rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.coalesce(F.array_contains("starts", F.col("ord")), F.lit(False))
+    spans = frames.select("job_id", "ord", "time_sec", "boundary_score").join(starts, "job_id", "left").withColumn("segment", F.sum(begins.cast("int")).over(so_far) + 1)
+    span = Window.partitionBy("job_id", "segment")
+    ends = {"start_ord": F.min("ord").over(span), "end_ord": F.max("ord").over(span) + 1, "start_time": F.min("time_sec").over(span), "end_time": F.max("time_sec").over(span)}
+    spans = spans.drop("starts").withColumns(ends)
+    parts = boundaries.parts_of(boundaries.cuts(spans, longest))
+
+    shown = F.struct("ord", "time_sec", "hash", "ocr_text", "structure")
+    rows = boundaries.located(frames, parts, ("segment", "part", "forced")).groupBy("job_id", "start_ord").agg(
+        *[F.first(c).alias(c) for c in ("end_ord", "part", "forced")], F.count(F.lit(1)).alias("frame_count"), F.min_by("time_sec", "ord").alias("start_time"), F.max_by("time_sec", "ord").alias("end_time"),
+        F.min_by("boundary_score", "ord").alias("start_score"), F.min_by(shown, boundaries.steadiness()).alias("stable"), F.min_by(shown, "ord").alias("entry"),
+    )
+    w = in_order("start_ord")
+    closing = F.first(F.when(F.col("part") == 1, F.col("start_score")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumns({"after": F.coalesce(F.lead("entry").over(w), F.col("stable")), "closing": F.coalesce(closing, F.lit(0.0))})
+    rank = F.row_number().over(Window.partitionBy("job_id").orderBy((F.col("start_ord") != 0).cast("int"), F.desc("start_score"), "start_ord"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= most).withColumn("event_id", F.row_number().over(w)).drop("rank", "part", "start_score")
+
+
+def with_evidence(segments: DataFrame, most_read: int) -> DataFrame:
+    """Segments with what is read of them: ocr_text of the frames that ``evidence.picks`` takes, cleaned, stable, entry and
+    after frame in that order, and evidence (role, score, strength, structure, reason) with evidence_ord, the best of them.
+
+    A frame is read for one segment only, so the frame after a segment tells of it only if it isn't the next one's stable
+    frame. At most ``most_read`` frames of a job are read."""
+    path = lambda at: F.lpad(F.col(f"{at}.ord").cast("string"), 12, "0")
+    chosen = segments.select("job_id", F.col("event_id").alias("segment"), *[path(at).alias(name) for name, at in ROLES.items()], F.col("stable.hash").alias("image_hash"), F.col("closing").alias("boundary_score"), "forced")
+    rows = segments.join(evidence.picks(chosen, most_read), "job_id", "left")
+    mine = F.filter("state", lambda x: x["segment"] == F.col("event_id"))
+    read = F.transform(mine, lambda x, i: F.struct(i.alias("pos"), x["role"].alias("role"), clean_lines(by_role(x["role"], "ocr_text")).alias("text"), by_role(x["role"], "structure").alias("structure")))
+    rows = rows.withColumn("read", F.coalesce(read, F.array().cast("array<struct<pos:int,role:string,text:string,structure:double>>")))
+    text = F.array_join(F.filter(F.col("read.text"), lambda x: x != ""), "\n")
+    rows = rows.withColumns({"ocr_text": text, "evidence": evidence.best_role(F.col("read"))})
+    return rows.withColumn("evidence_ord", by_role(F.col("evidence.role"), "ord")).drop("read", "state")
+
+
+def segments_of(frames: DataFrame, most: int = 36, longest: float = 30.0, most_read: int = 30) -> DataFrame:
+    """Segments of frames as ``initial_segments`` wants them.
+
+    job_id, event_id, ord (of the stable frame), start_time, end_time, frame_count, ocr_text, system, screen_state_id,
+    boundary_score, dense_repeated_run. A segment's score weighs the score of the boundary that closes it, change of text
+    and system, and whether its text names an action. States are told before systems are smoothed, scrolling is judged after."""
+    rows = with_evidence(initial_segments(frames, most, longest), most_read)
+    rows = rows.select("job_id", F.col("stable.ord").alias("ord"), F.col("stable.time_sec").alias("time_sec"), F.col("stable.hash").alias("hash"), "start_time", "end_time", "frame_count", "ocr_text", F.col("closing").alias("visual_score"))
     rows = screens.with_deltas(screens.labelled(rows))
     action = F.when(hint_of(F.col("ocr_text")).isin(TELLING), 1.0).otherwise(0.3)
     rows = rows.withColumn("boundary_score", F.round(segment_score(F.col("visual_score"), F.col("text_delta"), F.col("system_delta"), action), 4))

@@ -11,7 +11,7 @@ from tracewright.functions import pixels, rules, score, text
 from tracewright.operators import boundaries, cleanup, evidence, jobs, procedure, review, screens, steps
 from tracewright.plans import job, report, segments
 from tracewright.sources import recordings as R
-from tracewright.streaming import live
+from tracewright.streaming import folds, live, replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +27,7 @@ def duck_rows(rows: list) -> str:
 # The bound relations in SQL.
 EV = """ev AS (SELECT user_id AS job_id, row_number() OVER w - 1 AS ord, round((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 3.6e9, 6) AS time_sec,
   event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
-FRAMES = f"{EV}, frames AS (SELECT job_id, ord, time_sec, event_id, k, round(value / 500, 6) AS boundary_score, round(round(value / 500, 6) / 3, 6) AS visual_score FROM ev)"
+FRAMES = f"{EV}, frames AS (SELECT job_id, ord, time_sec, event_id, k, round(value / 500, 6) AS boundary_score, round(round(value / 500, 6) / 3, 6) AS visual_score, k % 7 / 10 AS diff_score FROM ev)"
 SCREENS = f"{FRAMES}, texts(i, ocr_text) AS (VALUES {duck_rows(R.TEXTS)}), screens AS (SELECT frames.*, ocr_text FROM frames JOIN texts ON k % {len(R.TEXTS)} = i)"
 STEPS = f"""{EV}, vocab(i, sys, action, expected_output, confidence) AS (VALUES {duck_rows(R.STEPS)}),
 steps AS (SELECT job_id, ord + 1 AS step_number, round(CASE WHEN k % 17 = 0 THEN greatest(0.0, time_sec - 50) ELSE time_sec END, 6) AS time_sec, k,
@@ -94,8 +94,8 @@ REDACT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coal
 THRESHOLD = f"""{FRAMES}, rest AS (SELECT job_id, boundary_score AS x FROM frames WHERE ord > 0),
 one AS (SELECT job_id, median(x) AS m, quantile_cont(x, 0.88) AS p88, quantile_cont(x, 0.94) AS p94, max(x) - min(x) AS r FROM rest GROUP BY 1),
 dev AS (SELECT job_id, median(abs(x - m)) AS d FROM rest JOIN one USING (job_id) GROUP BY 1),
-th AS (SELECT job_id, round(coalesce(m, 0), 6) AS median, round(coalesce(CASE WHEN d = 0 THEN 1e-6 ELSE d END, 0), 6) AS mad, round(coalesce(p88, 1), 6) AS percentile,
-  round(coalesce(CASE WHEN r < 0.03 THEN p94 ELSE greatest(m + 2.5 * CASE WHEN d = 0 THEN 1e-6 ELSE d END, p88) END, 1), 6) AS threshold FROM (SELECT DISTINCT job_id FROM frames) LEFT JOIN one USING (job_id) LEFT JOIN dev USING (job_id))"""
+th AS (SELECT job_id, coalesce(m, 0) AS median, coalesce(CASE WHEN d = 0 THEN 1e-6 ELSE d END, 0) AS mad, coalesce(p88, 1) AS percentile,
+  coalesce(CASE WHEN r < 0.03 THEN p94 ELSE greatest(m + 2.5 * CASE WHEN d = 0 THEN 1e-6 ELSE d END, p88) END, 1) AS threshold FROM (SELECT DISTINCT job_id FROM frames) LEFT JOIN one USING (job_id) LEFT JOIN dev USING (job_id))"""
 MAX_SEGMENTS = 20
 QUALIFIED = f"""{THRESHOLD}, ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY boundary_score DESC, ord) AS rank, count(*) OVER (PARTITION BY job_id) AS n FROM frames JOIN (SELECT job_id, CASE WHEN max(time_sec) - min(time_sec) < 20 THEN 1.0 ELSE 3.0 END AS calm FROM frames GROUP BY 1) USING (job_id) WHERE ord > 0),
 q AS (SELECT row_number() OVER (PARTITION BY job_id ORDER BY ord) AS i, r.*, boundary_score >= threshold AS by_score FROM ranked r JOIN th USING (job_id)
@@ -246,6 +246,40 @@ def q_ordering(spark, sf_dir):
     return cleanup.ordering_keys(rows.withColumn("time_sec", F.when(k % 3 == 0, F.col("time_sec")))).select("job_id", "step_number", "kind", "value", "place")
 
 
+def timed(spark, sf_dir):
+    """Steps of which some have no time, and of these some no event either."""
+    k = F.col("k")
+    rows = R.steps(spark, sf_dir).select("job_id", "step_number", "k", F.when(k % 7 > 0, F.col("time_sec")).alias("time_sec"))
+    return rows.withColumn("source_event_index", F.when(k % 2 == 0, F.col("step_number")))
+
+
+def at_events(rows: DataFrame, spark, sf_dir) -> DataFrame:
+    """Rows by event_id with the job and time of their event, without what only a whole recording tells."""
+    when = R.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return rows.join(when, "event_id")
+
+
+def q_stream_boundaries(spark, sf_dir):
+    rows = at_events(R.frames(spark, sf_dir).select("job_id", "event_id", "boundary_score"), spark, sf_dir)
+    return replay.replayed(rows, lambda s: folds.boundary_candidates(s, MAX_SEGMENTS))
+
+
+def q_stream_scroll(spark, sf_dir):
+    rows = stated(spark, sf_dir).select("job_id", "event_id", "ocr_text", "system", "screen_state_id", "visual_score", "boundary_score")
+    return replay.replayed(at_events(rows, spark, sf_dir), folds.scroll_collapse)
+
+
+def in_place(spark, sf_dir):
+    """Steps at the times of their events."""
+    events = R.frames(spark, sf_dir).select("job_id", (F.col("ord") + 1).alias("step_number"), "event_id", F.col("time_sec").alias("at"))
+    return R.steps(spark, sf_dir).join(events, ["job_id", "step_number"]).withColumn("time_sec", F.col("at")).drop("at")
+
+
+def q_stream_dedupe(spark, sf_dir):
+    rows = in_place(spark, sf_dir).select("job_id", "event_id", "action", "expected_output", "system", "rule_system", "confidence", "screen_state_id")
+    return replay.replayed(at_events(rows, spark, sf_dir), folds.validated)
+
+
 def q_slowest(spark, sf_dir):
     return jobs.slowest_stage(jobs.job_state(job_updates(spark, sf_dir), ["status", "progress", "meta"]), "meta")
 
@@ -278,7 +312,7 @@ def queries() -> dict[str, Query]:
     """Name to query; each takes (spark, sf_dir)."""
     st, fr, sc = R.steps, R.frames, R.screens
     return {
-        "threshold_by_job": lambda s, d: boundaries.thresholds(fr(s, d)),
+        "threshold_by_job": lambda s, d: boundaries.thresholds(fr(s, d)).select("job_id", *[F.round(c, 6).alias(c) for c in ("median", "mad", "percentile", "threshold")]),
         "frame_deltas": lambda s, d: boundaries.frame_deltas(fr(s, d)),
         "sampling_grid": lambda s, d: R.sampling_grid(fr(s, d).groupBy("job_id").agg(F.max("time_sec").alias("duration")), 4.5, 40),
         "boundary_candidates": lambda s, d: boundaries.boundary_candidates(fr(s, d), MAX_SEGMENTS),
@@ -318,8 +352,8 @@ def queries() -> dict[str, Query]:
         "job_created": lambda s, d: jobs.created(R.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(1).alias("updated"), F.lit(0).alias("seq"), F.col("c_name").alias("input_path"), F.when(F.col("c_custkey") % 3 == 0, "{}").alias("meta"))),
         "workflow_family": lambda s, d: cleanup.workflow_family(st(s, d)),
         "phase_sections": lambda s, d: procedure.phase_sections(st(s, d)),
-        "chronology": lambda s, d: cleanup.chronology(st(s, d)),
-        "order_repair": lambda s, d: cleanup.in_time(st(s, d)),
+        "chronology": lambda s, d: cleanup.chronology(timed(s, d)),
+        "order_repair": lambda s, d: cleanup.in_time(timed(s, d)),
         "review_runs": lambda s, d: cleanup.review_runs(st(s, d)),
         "pair_merge": lambda s, d: cleanup.merged_pairs(st(s, d)),
         "anti_removed": lambda s, d: cleanup.removed(st(s, d), cleanup.step_flags(st(s, d)).where("noise").select("job_id", "step_number")).select("job_id", "step_number", "action"),
@@ -334,6 +368,7 @@ def queries() -> dict[str, Query]:
         "phase_errors": lambda s, d: R.procedures(s, d).withColumns({"family": F.lit("excel_pivottable"), "phase": R.pick(["Configure PivotTable fields", "Add calculations and formatting", "Create PivotTable"], F.col("step_number"))}).select("job_id", "step_number", procedure.phase_error().alias("error")),
         "segments": segments.job_segments,
         "job_pipeline": job.job_pipeline,
+        "segmentation_report": lambda s, d: (lambda f: job.segmentation(f, segments.segments_of(f)))(job.hashed_frames(s, d)),
         "job_state": lambda s, d: jobs.job_state(job_updates(s, d), ["status", "progress", "meta"]).select("id", "status", "progress", "updated", F.coalesce(F.element_at(jobs.meta_of(F.col("meta")), "extraction"), F.lit("")).alias("extraction")),
         "slowest_stage": q_slowest,
         "capabilities": q_capabilities,
@@ -364,6 +399,9 @@ def queries() -> dict[str, Query]:
         "state_signatures": lambda s, d: stated(s, d).select("event_id", text.state_signature(F.col("system"), F.col("hash"), F.col("ocr_text")).alias("state"), text.event_signature(F.col("system"), F.col("ocr_text")).alias("event"), F.array_join(text.key_terms(F.col("ocr_text")), ",").alias("terms")),
         "confidence_reasons": lambda s, d: steps.risk_flags(st(s, d)).select("job_id", "step_number", text.confidence_reason(F.col("confidence"), F.col("risky"), F.col("k") / 100, F.col("k") / 500).alias("reason")),
         "parsed_items": lambda s, d: R.table(s, d, "region").select("r_regionkey", F.explode(text.parsed_items(F.concat(F.lit("```json\n[{\"id\": 1, \"action\": \""), "r_name", F.lit("\"}]\n```")), "struct<id:int,action:string>")).alias("x")).select("r_regionkey", "x.id", "x.action"),
+        "stream_boundaries": q_stream_boundaries,
+        "stream_scroll_collapse": q_stream_scroll,
+        "stream_dedupe": q_stream_dedupe,
         "live_activity": lambda s, d: live.activity(R.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select(F.unix_micros("start").alias("start_us"), "user_id", "n", "peak"),
         "live_sessions": lambda s, d: live.sessions(R.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "user_id", "n"),
     }
@@ -412,11 +450,12 @@ def scroll_sql() -> str:
     SELECT job_id, event_id::INT AS event_id, x.ord AS ord, x.start AS start_time, x.fin AS end_time, x.n AS frame_count, x.text AS ocr_text, x.system AS system, x.state AS screen_state_id, x.score AS boundary_score FROM (SELECT job_id, event_id, kept[event_id] AS x FROM done)"""
 
 
-def validate_sql(repair: str) -> str:
-    """Adjacent repeats dropped, one step after another with the last one kept; at most 40 stay."""
+def validate_sql(repair: str, in_place: bool = False) -> str:
+    """With ``in_place``, by the times of events. Adjacent repeats dropped, one step after another with the last one kept; at most 40 stay."""
     norm = lambda x: f"trim(regexp_replace(lower(coalesce({x}, '')), '[^\\pL\\pN_]+', ' ', 'g'))"
     vague = ["review the visible process screen the relevant process information is available on screen", "review the visible process screen the expected screen is displayed"]
-    return f"""WITH RECURSIVE {STEPS}, fixed AS ({repair}), r AS (SELECT row_number() OVER (PARTITION BY job_id ORDER BY step_number) AS i, job_id, step_number, time_sec, screen_state_id AS state,
+    steps = STEPS.replace("CASE WHEN k % 17 = 0 THEN greatest(0.0, time_sec - 50) ELSE time_sec END", "time_sec") if in_place else STEPS
+    return f"""WITH RECURSIVE {steps}, fixed AS ({repair}), r AS (SELECT row_number() OVER (PARTITION BY job_id ORDER BY step_number) AS i, job_id, step_number, time_sec, screen_state_id AS state,
       f.system || '|' || {norm("f.action")} || '|' || {norm("trim(expected_output)")} AS key, {norm("f.action")} || ' ' || {norm("trim(expected_output)")} IN ({", ".join(map(lit, vague))}) AS vague
       FROM fixed f JOIN (SELECT job_id, step_number, time_sec, screen_state_id, expected_output FROM steps) USING (job_id, step_number)),
     f AS (SELECT job_id, 0::BIGINT AS i, 0 AS n, false AS kept, NULL::BIGINT AS number, NULL::DOUBLE AS tm, NULL::VARCHAR AS key, NULL::INT AS state FROM (SELECT DISTINCT job_id FROM r)
@@ -467,19 +506,19 @@ def sql_dup(x: str, y: str) -> str:
     canned = lambda a, b: f"((contains({x}.body, {lit(a)}) AND contains({y}.body, {lit(b)})) OR (contains({x}.body, {lit(b)}) AND contains({y}.body, {lit(a)})))"
     both = lambda c: f"len({x}.{c}) > 0 AND len({y}.{c}) > 0"
     alike = lambda c: f"({sql_jaccard(f'{x}.{c}', f'{y}.{c}', 1.0)})"
-    return f"""({x}.system = {y}.system AND NOT (({x}.pivot OR {y}.pivot) AND {both("fields")} AND {x}.fields <> {y}.fields) AND (abs({y}.step_number - {x}.step_number) <= 2 OR abs({y}.time_sec - {x}.time_sec) <= 45)
+    return f"""({x}.system = {y}.system AND NOT (({x}.pivot OR {y}.pivot) AND {both("fields")} AND {x}.fields <> {y}.fields) AND (abs({y}.step_number - {x}.step_number) <= 2 OR abs({y}.begins - {x}.ends) <= 45)
       AND NOT ({both("targets")} AND NOT list_has_any({x}.targets, {y}.targets)) AND NOT ({both("details")} AND {x}.details <> {y}.details)
       AND ({canned(*cleanup.SAME_INTENT[0])} OR NOT ({both("roots")} AND {x}.roots <> {y}.roots AND {alike("aw")} < 0.72))
       AND ({canned(*cleanup.SAME_INTENT[0])} OR {canned(*cleanup.SAME_INTENT[1])} OR {alike("w")} > 0.72 OR ({alike("ew")} > 0.45 AND {alike("w")} > 0.55)))"""
 
 
-def sql_me(*more: str) -> str:
+def sql_me(*more: str, ends: str = "time_sec") -> str:
     """A struct of what pairs are compared by, and further columns."""
     terms = lambda x, of: f"list_sort(list_distinct(list_filter({x}, lambda t: list_contains([{', '.join(map(lit, of))}], t))))"
     words = sql_content(BOTH_TEXT)
     details = f"list_sort(list_distinct(list_filter({words}, lambda t: list_contains([{', '.join(map(lit, rules.DETAIL_TERMS))}], t) OR regexp_matches(t, '^[0-9]+$'))))"
     fields = f"list_filter([{', '.join(map(lit, rules.FIELD_TERMS))}], lambda t: contains({A}, t))"
-    parts = {"step_number": "step_number", "time_sec": "time_sec", "system": "system", "body": BOTH, "pivot": f"contains({A}, 'pivottable')", "fields": fields, "w": words, "aw": sql_content("action"), "ew": sql_content("expected_output"),
+    parts = {"step_number": "step_number", "begins": "coalesce(time_sec, 0.0)", "ends": f"coalesce({ends}, 0.0)", "system": "system", "body": BOTH, "pivot": f"contains({A}, 'pivottable')", "fields": fields, "w": words, "aw": sql_content("action"), "ew": sql_content("expected_output"),
              "targets": terms(words, rules.DOMAIN_TERMS), "details": details, "roots": terms(sql_roots("action"), rules.VERBS)}
     return "{" + ", ".join(f"'{k}': {v}" for k, v in (parts | {m: m for m in more}).items()) + "}"
 
@@ -492,11 +531,14 @@ p AS (SELECT *, row_number() OVER (PARTITION BY job_id, run, edge ORDER BY me.st
 
 # Whole procedures in SQL.
 RAW = f"""{EV}, vocab(i, rule_system, action, expected_output, confidence) AS (VALUES {duck_rows([*R.STEPS, *R.PIVOT_STEPS])}),
-raw AS (SELECT job_id, ord + 1 AS step_number, round(CASE WHEN k % 17 = 0 THEN greatest(0.0, time_sec - 50) ELSE time_sec END, 6) AS time_sec, k, rule_system, rule_system AS system, action, expected_output, confidence, (k % 47)::DOUBLE AS duration,
-  CASE WHEN k % 29 = 0 THEN 'diagnostic_fallback' WHEN job_id % 5 = 0 THEN 'local_ocr' ELSE 'openai_vision' END AS generation_source FROM ev JOIN vocab ON i = CASE WHEN job_id % 2 = 0 THEN k % {len(R.STEPS)} ELSE {len(R.STEPS)} + k % {len(R.PIVOT_STEPS)} END),
+raw AS (SELECT *, time_sec + duration AS end_time FROM (SELECT job_id, ord + 1 AS step_number, CASE WHEN k % 13 > 0 THEN round(CASE WHEN k % 17 = 0 THEN greatest(0.0, time_sec - 50) ELSE time_sec END, 6) END AS time_sec, k, rule_system, rule_system AS system, action, expected_output, confidence, (k % 47)::DOUBLE AS duration,
+  CASE WHEN k % 9 = 0 THEN 'Slicer settings' WHEN k % 10 = 0 THEN 'Percentage of total' WHEN k % 11 = 0 THEN 'PivotChart fields' END AS ocr_text, CASE WHEN k % 3 > 0 THEN ord + 1 END AS source_event_index,
+  CASE WHEN k % 29 = 0 THEN 'diagnostic_fallback' WHEN job_id % 5 = 0 THEN 'local_ocr' ELSE 'openai_vision' END AS generation_source FROM ev JOIN vocab ON i = CASE WHEN job_id % 2 = 0 THEN k % {len(R.STEPS)} ELSE {len(R.STEPS)} + k % {len(R.PIVOT_STEPS)} END)),
 info AS (SELECT job_id, CASE WHEN job_id % 4 = 0 THEN n * 2 WHEN job_id % 4 = 1 THEN 0 ELSE n END AS n_events, CASE WHEN job_id % 7 = 0 THEN 'short training clip' ELSE '' END AS justification,
   CASE WHEN job_id % 3 = 0 THEN 'production_vision' WHEN job_id % 3 = 1 THEN 'local_ocr_draft' ELSE 'diagnostic_only' END AS mode, job_id % 3 = 0 AS model_ready, CASE WHEN job_id % 3 = 0 THEN 3 ELSE 0 END AS calls,
   CASE WHEN job_id % 6 = 0 THEN 2 ELSE 0 END AS succeeded, CASE WHEN job_id % 2 = 0 THEN 5 ELSE 0 END AS ocr_count, duration AS length FROM (SELECT job_id, count(*) AS n, max(time_sec) AS duration FROM raw GROUP BY 1))"""
+KEY = "{'kind': CASE WHEN time_sec IS NOT NULL THEN 0 WHEN source_event_index IS NOT NULL THEN 1 ELSE 2 END, 'value': coalesce(time_sec, source_event_index, step_number)::DOUBLE}"
+TIMED = f"{STEPS}, t0 AS (SELECT job_id, step_number, CASE WHEN k % 7 > 0 THEN time_sec END AS time_sec, CASE WHEN k % 2 = 0 THEN step_number END AS source_event_index FROM steps), timed AS (SELECT *, {KEY} AS order_key FROM t0)"
 LEAST = "CASE WHEN n_events >= 35 THEN 24 WHEN n_events >= 30 THEN 22 WHEN n_events >= 25 THEN 18 ELSE 0 END"
 SAID = {"action": A, "expected": E, "text": BOTH, "phase": "phase"}
 
@@ -524,9 +566,9 @@ def phases_sql(rows: str) -> str:
 
 def judged_sql() -> str:
     has = lambda terms: sql_has("body", terms)
-    return f"""{safe_sql()}, flags AS (SELECT *, {BOTH} AS body, {MEANINGFUL} AS meaningful, {CHECKPOINT} AS checkpoint, {NOISE} AS noise, {PASSIVE} AS passive, {REVIEW} AS review, {family_sql()} AS family FROM safe JOIN info USING (job_id)),
+    return f"""{safe_sql()}, flags AS (SELECT *, {BOTH} AS body, {MEANINGFUL} AS meaningful, {CHECKPOINT} AS checkpoint, {NOISE} AS noise, {PASSIVE} AS passive, {REVIEW} AS review, {family_sql()} AS family, {KEY} AS order_key FROM safe JOIN info USING (job_id)),
     near AS (SELECT *, coalesce(lag(meaningful) OVER w, false) AS before_it, coalesce(lead(meaningful) OVER w, false) AS after_it, family LIKE 'excel%' AS xl, {has(cleanup.REVIEW_OBJECTS)} AS about, {has(cleanup.OUTPUTS)} AS shows, {has(cleanup.FILLER)} AS filler
-      FROM flags WINDOW w AS (PARTITION BY job_id ORDER BY time_sec, step_number)),
+      FROM flags WINDOW w AS (PARTITION BY job_id ORDER BY order_key, step_number)),
     cat AS (SELECT *, CASE WHEN NOT (review OR passive OR checkpoint) THEN NULL WHEN checkpoint THEN 'operational_checkpoint' WHEN xl AND filler THEN 'passive_filler' WHEN (about OR (xl AND shows)) AND before_it THEN 'operational_checkpoint'
       WHEN (about OR (xl AND shows)) AND after_it THEN 'contextual_review' ELSE 'passive_filler' END AS c FROM near),
     going AS (SELECT *, count(*) OVER (PARTITION BY job_id) AS n_before, count_if(noise OR coalesce(c = 'passive_filler', false)) OVER (PARTITION BY job_id) AS out FROM cat),
@@ -536,28 +578,29 @@ def judged_sql() -> str:
 
 
 def clean_sql() -> str:
-    more = "score action expected_output confidence duration generation_source noise meaningful passive checkpoint review category n_events n_before".split()
-    at = "(PARTITION BY job_id ORDER BY me.time_sec, me.step_number)"
-    return f"""{judged_sql()}, d AS (SELECT job_id, {sql_me(*more)} AS me FROM (SELECT *, {SCORE} AS score FROM judged WHERE removal IS NULL)), l AS (SELECT job_id, me, lead(me) OVER {at} AS nxt FROM d),
+    more = "score action expected_output confidence duration generation_source noise meaningful passive checkpoint review category n_events n_before order_key time_sec end_time ocr_text source_event_index".split()
+    at = "(PARTITION BY job_id ORDER BY me.order_key, me.step_number)"
+    return f"""{judged_sql()}, d AS (SELECT job_id, {sql_me(*more, ends="coalesce(end_time, time_sec)")} AS me FROM (SELECT *, {SCORE} AS score FROM judged WHERE removal IS NULL)), l AS (SELECT job_id, me, lead(me) OVER {at} AS nxt FROM d),
     e AS (SELECT *, coalesce({sql_dup("me", "nxt")}, false) AS edge FROM l), r AS (SELECT *, sum((NOT edge)::INT) OVER {at} AS run FROM e),
-    p AS (SELECT *, edge AND row_number() OVER (PARTITION BY job_id, run, edge ORDER BY me.time_sec, me.step_number) % 2 = 1 AS first FROM r),
+    p AS (SELECT *, edge AND row_number() OVER (PARTITION BY job_id, run, edge ORDER BY me.order_key, me.step_number) % 2 = 1 AS first FROM r),
     u AS (SELECT *, coalesce(lag(first) OVER {at}, false) AS second, count(*) OVER (PARTITION BY job_id) AS n, count_if(first) OVER (PARTITION BY job_id) AS pairs, {LEAST.replace("n_events", "me.n_events")} AS least_n FROM p),
     v AS (SELECT *, least_n > 0 AND n - pairs < least_n AND least_n <= n AS undo FROM u),
-    m AS (SELECT job_id, CASE WHEN first AND NOT undo AND (({SETUP}) OR nxt.score > me.score) THEN nxt ELSE me END AS x, first AND NOT undo AS pair, CASE WHEN first AND NOT undo AND {SETUP} THEN {lit(procedure.SETUP_WORDING)} END AS said FROM v WHERE undo OR NOT second),
-    rows AS (SELECT job_id, pair, x.step_number AS step_number, x.time_sec AS time_sec, x.system AS system, coalesce(said, x.action) AS action, {", ".join(f"x.{c} AS {c}" for c in more if c != "action")} FROM m),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY time_sec, step_number) AS place FROM rows), {phases_sql("placed")}"""
+    m AS (SELECT job_id, CASE WHEN first AND NOT undo AND (({SETUP}) OR nxt.score > me.score) THEN nxt ELSE me END AS x, first AND NOT undo AS pair, CASE WHEN first AND NOT undo AND {SETUP} THEN {lit(procedure.SETUP_WORDING)} END AS said,
+      CASE WHEN first AND NOT undo AND {SETUP} THEN coalesce(nullif(nxt.expected_output, ''), nullif(me.expected_output, ''), {lit(procedure.SETUP_RESULT)}) END AS shown FROM v WHERE undo OR NOT second),
+    rows AS (SELECT job_id, pair, x.step_number AS step_number, x.system AS system, coalesce(said, x.action) AS action, coalesce(shown, x.expected_output) AS expected_output, {", ".join(f"x.{c} AS {c}" for c in more if c not in ("action", "expected_output"))} FROM m),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY order_key, step_number) AS place FROM rows), {phases_sql("placed")}"""
 
 
 def report_sql() -> str:
     """The relations ``counts`` (one row per job) and before them all that leads there."""
     missing = []
     for name, evidence, acted, asked, phrases in rules.EXPECTED_ACTIONS:
-        any_of = lambda x, terms: f"bool_or({sql_has(x, terms if isinstance(terms, list) else [terms])})"
+        any_of = lambda x, terms: sql_has(f"string_agg({x}, ' ' ORDER BY place)", terms if isinstance(terms, list) else [terms])
         done = any_of("a", phrases) if asked else f"({any_of('a', [acted])} AND {any_of('a', phrases)})"
         asks = f"({any_of('b', evidence)} AND {any_of('a', [acted]) if asked else 'true'})"
         missing.append(f"CASE WHEN any_value(family) = 'excel_pivottable' AND {asks} AND NOT {done} THEN {lit(name)} END")
-    return f"""{clean_sql()}, w1 AS (SELECT *, {A} AS a, {BOTH} AS b, {sql_me()} AS me, coalesce(category IN ('contextual_review', 'passive_filler'), false) OR (review AND NOT meaningful) AS in_review,
-      CASE WHEN meaningful THEN step_number - last_value(CASE WHEN meaningful THEN step_number END IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS gap FROM phased),
+    return f"""{clean_sql()}, w1 AS (SELECT *, {A} AS a, {sql_norm("coalesce(action, '') || ' ' || coalesce(expected_output, '') || ' ' || coalesce(ocr_text, '')")} AS b, {sql_me(ends="coalesce(end_time, time_sec)")} AS me, coalesce(category IN ('contextual_review', 'passive_filler'), false) OR (review AND NOT meaningful) AS in_review,
+      CASE WHEN meaningful THEN source_event_index - last_value(CASE WHEN meaningful THEN source_event_index END IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS gap FROM phased),
     w2 AS (SELECT *, sum((NOT in_review)::INT) OVER (PARTITION BY job_id ORDER BY place) AS rv, lead(me) OVER (PARTITION BY job_id ORDER BY place) AS nxt FROM w1),
     w3 AS (SELECT *, coalesce({sql_dup("me", "nxt")}, false) AS twice, CASE WHEN in_review THEN count_if(in_review) OVER (PARTITION BY job_id, rv ORDER BY place) END AS run_at FROM w2),
     counts AS (SELECT job_id, count(*) AS steps, any_value(n_before) AS before, count_if(noise) AS noise, count_if(passive OR coalesce(category = 'contextual_review', false)) AS passive, count_if(twice) AS duplicates, count_if(pair) AS merged,
@@ -601,7 +644,8 @@ def evidence_sql() -> dict[str, str]:
         "role_score": f"""WITH {READ}, m AS (SELECT *, CASE WHEN len({sql_tokens("text")}) = 0 THEN 0.0 ELSE least(1.0, 0.55 * least(1.0, len({sql_tokens("text")}) / 18) + 0.45 * least(1.0, length(trim(text)) / 180)) END AS s,
             CASE WHEN role = 'stable_frame' THEN 0.03 ELSE 0.08 END + CASE WHEN {sql_has("lower(text)", rules.DIALOG_TERMS)} THEN 0.12 ELSE 0.0 END AS bonus FROM read),
             n AS (SELECT *, round(CASE WHEN s = 0 THEN 0.7 * structure ELSE 0.6 * s + 0.3 * structure END + bonus, 9) AS score FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY job_id, segment ORDER BY score DESC, pos) AS nth FROM n)
-            SELECT job_id, segment, role, round(score, 6) AS score, round(s, 3) AS strength FROM r WHERE nth = 1""",
+            SELECT job_id, segment, role, round(score, 6) AS score, round(s, 3) AS strength, round(structure, 3) AS structure,
+              role || ' ' || CASE WHEN s > 0 THEN {lit(evidence.REASONS[0])} WHEN {sql_has("lower(text)", rules.DIALOG_TERMS)} THEN {lit(evidence.REASONS[1])} ELSE {lit(evidence.REASONS[2])} END AS reason FROM r WHERE nth = 1""",
         "ocr_join": f"WITH {READ} SELECT frames.job_id, frames.ord AS segment, count(role)::INT AS n, coalesce(max(text) FILTER (WHERE role = 'entry_frame'), '') AS entry_text FROM frames LEFT JOIN read ON read.job_id = frames.job_id AND read.segment = frames.ord GROUP BY 1, 2",
         "ocr_stride": f"WITH {FRAMES}, n AS (SELECT *, count(*) OVER (PARTITION BY job_id) AS n FROM frames) SELECT job_id, ord FROM n WHERE n <= 9 OR (ord % greatest(1, n // 9) = 0 AND ord < n // 9 * 8) OR ord = n - 1",
         "ambiguous_boundaries": f"WITH RECURSIVE {QUALIFIED}, r AS (SELECT job_id, ord, round(abs(boundary_score - 0.16), 6) AS distance FROM cand) SELECT job_id, ord, distance FROM r QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY distance, ord) <= 4",
@@ -656,7 +700,7 @@ def quality_sql() -> str:
     costs = "10 * noise + 5 * duplicates + 3 * greatest(0, passive - 2) + 2 * low + least(60, 8 * diagnostic) + 8 * n_missing + 5 * review_runs + least(30, 10 * long)"
     for cond, points in (("raw_low", 30), ("final_low", 35), ("short", 15), ("vague", 35), ("wordy", 25), ("steps < 8", 10), ("low / greatest(1, steps) > 0.25", 10), ("violations > 0", 20), ("(phases = 1 AND generic_phases > 0)", 5), ("generic_phases = steps", 5), ("phase_errors > 0", 20), ("sparse", 25)):
         costs += f" + {points} * ({cond})::INT"
-    return f"""{report_sql()}, late AS (SELECT job_id, count(*) AS violations FROM (SELECT job_id, time_sec < lag(time_sec) OVER (PARTITION BY job_id ORDER BY step_number) AS back FROM safe) WHERE back GROUP BY 1),
+    return f"""{report_sql()}, late AS (SELECT job_id, count(*) AS violations FROM (SELECT job_id, order_key < lag(order_key) OVER (PARTITION BY job_id ORDER BY step_number) AS back FROM (SELECT *, {KEY} AS order_key FROM safe)) WHERE back GROUP BY 1),
     q1 AS (SELECT info.*, {zero}, coalesce(missing, '') AS missing, coalesce(violations, 0) AS violations FROM info LEFT JOIN counts USING (job_id) LEFT JOIN late USING (job_id)),
     q2 AS (SELECT *, CASE WHEN n_events > 0 THEN round(steps / n_events, 3) END AS ratio, round(operational / greatest(1, steps), 3) AS coverage, CASE WHEN length > 0 THEN round(steps / (length / 60), 3) END AS density,
       CASE WHEN missing = '' THEN 0 ELSE len(string_split(missing, ',')) END AS n_missing FROM q1),
@@ -685,7 +729,7 @@ def oracle_sql() -> dict[str, str]:
     calls = "least(max_calls, ceil(max_events / batch) + (risky > 0)::INT + (reviews > 0)::INT)"
     made = "least(max_events, batch * least(ceil(max_events / batch), greatest(0, max_calls - (risky > 0)::INT - (reviews > 0)::INT)))"
     return evidence_sql() | job_sql() | {
-        "threshold_by_job": f"WITH {THRESHOLD} SELECT * FROM th",
+        "threshold_by_job": f"WITH {THRESHOLD} SELECT job_id, round(median, 6) AS median, round(mad, 6) AS mad, round(percentile, 6) AS percentile, round(threshold, 6) AS threshold FROM th",
         "frame_deltas": f"""WITH {FRAMES} SELECT job_id, ord, round(abs(coalesce(boundary_score - lag(boundary_score) OVER w, 0)), 6) AS score_delta, round(abs(coalesce(visual_score - lag(visual_score) OVER w, 0)), 6) AS visual_delta,
             round(abs(coalesce(time_sec - lag(time_sec) OVER w, 0)), 6) AS gap FROM frames WINDOW w AS (PARTITION BY job_id ORDER BY ord)""",
         "sampling_grid": f"""WITH {FRAMES}, r AS (SELECT job_id, max(time_sec) AS d FROM frames GROUP BY 1), g AS (SELECT job_id, d, unnest(range(0, greatest(1, least(40, ceil(d / 4.5)))::INT)) AS i FROM r),
@@ -696,7 +740,7 @@ def oracle_sql() -> dict[str, str]:
         "forced_split": f"WITH RECURSIVE {PARTS} SELECT * FROM parts",
         "segment_topk": f"""WITH RECURSIVE {PARTS}, s AS (SELECT parts.job_id, start_ord, end_ord, boundary_score AS start_score, forced, row_number() OVER (PARTITION BY parts.job_id ORDER BY (start_ord <> 0)::INT, boundary_score DESC, start_ord) AS r
             FROM parts JOIN frames ON frames.job_id = parts.job_id AND frames.ord = start_ord) SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY start_ord) AS event_id, start_ord, end_ord, start_score, forced FROM s WHERE r <= 12""",
-        "stable_frame": f"WITH RECURSIVE {PARTS} SELECT parts.job_id, start_ord, arg_min(ord, (visual_score, ord)) AS stable_ord FROM parts JOIN frames ON frames.job_id = parts.job_id AND ord >= start_ord AND ord < end_ord GROUP BY 1, 2",
+        "stable_frame": f"WITH RECURSIVE {PARTS} SELECT parts.job_id, start_ord, arg_min(ord, (visual_score, -diff_score, ord)) AS stable_ord FROM parts JOIN frames ON frames.job_id = parts.job_id AND ord >= start_ord AND ord < end_ord GROUP BY 1, 2",
         "average_hash": f"WITH {hash_sql} SELECT vec_id, {nibbles} AS hash FROM h",
         "hash_distance": f"WITH {hash_sql} SELECT a.vec_id, (SELECT count(*) FROM range(1, 65) r(i) WHERE substr(a.b, i::INT, 1) <> substr(b.b, i::INT, 1))::INT AS distance FROM h a JOIN h b ON b.vec_id = a.vec_id + 1",
         "classify_system": f"WITH {SCREENS} SELECT job_id, ord, {sql_class('ocr_text', rules.SYSTEMS, 'Other')} AS system, {sql_class('ocr_text', rules.HINTS, 'review')} AS hint FROM screens",
@@ -746,8 +790,8 @@ def oracle_sql() -> dict[str, str]:
         "workflow_family": f"WITH {FAMILY} SELECT * FROM fam",
         "phase_sections": f"""WITH {STEPS}, {phases_sql("steps")}, m AS (SELECT *, (phase IS DISTINCT FROM lag(phase) OVER (PARTITION BY job_id ORDER BY step_number))::INT AS s FROM phased)
             SELECT job_id, step_number, family, phase, sum(s) OVER (PARTITION BY job_id ORDER BY step_number) AS section FROM m""",
-        "chronology": f"WITH {STEPS}, p AS (SELECT *, lag(time_sec) OVER (PARTITION BY job_id ORDER BY step_number) AS prior_time FROM steps) SELECT job_id, step_number, time_sec, prior_time FROM p WHERE time_sec < prior_time",
-        "order_repair": f"WITH {STEPS} SELECT job_id, step_number AS original, row_number() OVER (PARTITION BY job_id ORDER BY time_sec, step_number) AS step_number FROM steps",
+        "chronology": f"WITH {TIMED}, p AS (SELECT *, lag(order_key) OVER (PARTITION BY job_id ORDER BY step_number) AS prior FROM timed) SELECT job_id, step_number, order_key.kind AS kind, order_key.value AS value, prior.kind AS prior_kind, prior.value AS prior_value FROM p WHERE order_key < prior",
+        "order_repair": f"WITH {TIMED} SELECT job_id, step_number AS original, row_number() OVER (PARTITION BY job_id ORDER BY order_key, step_number) AS step_number FROM timed",
         "review_runs": f"WITH {FLAGS}, r AS (SELECT *, sum((NOT review)::INT) OVER (PARTITION BY job_id ORDER BY step_number) AS run FROM flags) SELECT job_id, min(step_number) AS first_number, max(step_number) AS last_number, count(*) AS n FROM r WHERE review GROUP BY job_id, run HAVING count(*) >= 2",
         "anti_removed": f"WITH {FLAGS} SELECT job_id, step_number, action FROM flags WHERE NOT noise",
         "semantic_counts": f"""WITH {FLAGS} SELECT job_id, count(*) AS steps, count_if(noise) AS noise, count_if(passive) AS passive, count_if(generic) AS generic, count_if(meaningful) AS operational, count_if(confidence <> 'high') AS low_confidence,
@@ -758,7 +802,7 @@ def oracle_sql() -> dict[str, str]:
         "ordering_keys": f"""WITH {STEPS}, t AS (SELECT *, coalesce(CASE WHEN k % 5 = 0 THEN time_sec + 1 END, CASE WHEN k % 3 = 0 THEN time_sec END, CASE WHEN k % 4 = 0 THEN k * 7.0 END)::DOUBLE AS t, CASE WHEN k % 9 > 0 THEN step_number * 2.0 END AS e FROM steps),
             v AS (SELECT job_id, step_number, CASE WHEN t IS NOT NULL THEN 0 WHEN e IS NOT NULL THEN 1 ELSE 2 END AS kind, coalesce(t, e, step_number)::DOUBLE AS value FROM t) SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY kind, value, step_number) AS place FROM v""",
         "removal_guards": f"WITH {judged_sql()} SELECT job_id, step_number, removal, guarded, category FROM judged",
-        "removed_steps": f"WITH {judged_sql()} SELECT job_id, step_number, CASE WHEN removal = 'filler' AND row_number() OVER (PARTITION BY job_id, removal, body ORDER BY time_sec, step_number) > 1 THEN 'repeated filler' ELSE removal END AS reason FROM judged WHERE removal IS NOT NULL",
+        "removed_steps": f"WITH {judged_sql()} SELECT job_id, step_number, CASE WHEN removal = 'filler' AND row_number() OVER (PARTITION BY job_id, removal, body ORDER BY order_key, step_number) > 1 THEN 'repeated filler' ELSE removal END AS reason FROM judged WHERE removal IS NOT NULL",
         "completeness": f"WITH {report_sql()} SELECT job_id, review_runs, n_events >= 25 AND operational < greatest(12, floor(steps * 0.55)) AS thin, n_events >= 25 AND widest_gap >= 5 AS gappy, missing FROM counts JOIN info USING (job_id)",
         "phase_labels": f"WITH {RAW}, {phases_sql('raw')} SELECT job_id, step_number, family, phase, corrected FROM phased",
         "phase_errors": f"WITH {RAW}, p AS (SELECT *, ['Configure PivotTable fields', 'Add calculations and formatting', 'Create PivotTable'][step_number % 3 + 1] AS phase FROM raw) SELECT job_id, step_number, {sql_first(rules.PHASE_ERRORS, SAID)} AS error FROM p",
@@ -784,6 +828,9 @@ def oracle_sql() -> dict[str, str]:
         "confidence_reasons": f"""WITH {STEPS} SELECT job_id, step_number, concat_ws('; ', CASE WHEN confidence <> 'high' THEN 'confidence is not high' END, CASE WHEN {RISKY} THEN 'contains a specific action or value' END,
             CASE WHEN k / 100 > 0.6 THEN 'text changed strongly' END, CASE WHEN k / 500 < 0.04 THEN 'little visual change' END) AS reason FROM steps""",
         "parsed_items": "SELECT r_regionkey, 1 AS id, r_name AS action FROM region",
+        "stream_boundaries": f"WITH RECURSIVE {QUALIFIED} SELECT * FROM cand",
+        "stream_scroll_collapse": scroll_sql(),
+        "stream_dedupe": validate_sql(repair, in_place=True),
         "live_activity": "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, user_id, count(*) AS n, max(value) AS peak FROM events GROUP BY 1, 2",
         "live_sessions": f"WITH m AS ({session}), r AS (SELECT *, sum(mark) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM m) SELECT min(t) AS start_us, max(t) + 10800000000 AS end_us, user_id, count(*) AS n FROM r GROUP BY user_id, s",
     }

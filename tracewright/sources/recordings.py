@@ -81,9 +81,9 @@ def ordered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """job_id, ord, time_sec, event_id, k, boundary_score, visual_score."""
+    """job_id, ord, time_sec, event_id, k, boundary_score, visual_score, diff_score."""
     score = F.round(F.col("value") / 500, 6)
-    return ordered_events(spark, sf_dir).select("job_id", "ord", "time_sec", "event_id", "k", score.alias("boundary_score"), F.round(score / 3, 6).alias("visual_score"))
+    return ordered_events(spark, sf_dir).select("job_id", "ord", "time_sec", "event_id", "k", score.alias("boundary_score"), F.round(score / 3, 6).alias("visual_score"), (F.col("k") % 7 / 10).alias("diff_score"))
 
 
 def pick(values: list, key: Column) -> Column:
@@ -109,13 +109,18 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps as ``steps`` gives them, in odd jobs of pivot workflows, with generation_source and duration."""
+    """Steps as ``steps`` gives them, in odd jobs of pivot workflows, with generation_source, duration, end_time and
+    ocr_text. Every 13th key has no time, some of them no event either."""
     i = F.when(F.col("job_id") % 2 == 0, F.col("k") % len(STEPS)).otherwise(len(STEPS) + F.col("k") % len(PIVOT_STEPS))
     step = pick([*STEPS, *PIVOT_STEPS], i)
     said = {"rule_system": step["col1"], "action": step["col2"], "expected_output": step["col3"], "confidence": step["col4"]}
     rows = steps(spark, sf_dir).withColumns(said).withColumn("system", F.col("rule_system"))
     source = F.when(F.col("k") % 29 == 0, "diagnostic_fallback").when(F.col("job_id") % 5 == 0, "local_ocr").otherwise("openai_vision")
-    return rows.withColumns({"generation_source": source, "duration": (F.col("k") % 47).cast("double")})
+    k = F.col("k")
+    shown = F.when(k % 9 == 0, "Slicer settings").when(k % 10 == 0, "Percentage of total").when(k % 11 == 0, "PivotChart fields")
+    rows = rows.withColumns({"generation_source": source, "duration": (k % 47).cast("double"), "ocr_text": shown, "source_event_index": F.when(k % 3 > 0, F.col("step_number"))})
+    rows = rows.withColumn("time_sec", F.when(k % 13 > 0, F.col("time_sec")))
+    return rows.withColumn("end_time", F.col("time_sec") + F.col("duration"))
 
 
 def job_info(steps: DataFrame) -> DataFrame:
