@@ -62,7 +62,7 @@ def test_narrow_scores(spark):
     got = boundaries.thresholds(frames(spark, scores)).first()
     rest = sorted(scores[1:])
     at = lambda q: rest[int(q * 59)] + (q * 59 % 1) * (rest[int(q * 59) + 1] - rest[int(q * 59)])
-    assert (got["percentile"], got["threshold"]) == (round(at(0.88), 6), round(at(0.94), 6))
+    assert (got["percentile"], got["threshold"]) == pytest.approx((at(0.88), at(0.94)), abs=1e-12)
 
 
 def test_short_recordings(spark):
