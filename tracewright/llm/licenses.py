@@ -129,20 +129,32 @@ def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> Da
 
 def contained(canon: Column, texts: list) -> Column:
     """The digests of runs of words in the canonical text that begin a line with a known text's head, end a line, and
-    have as many words as that text."""
+    have as many words as that text.
+
+    The words are bound once a row. Of a line first its first word is looked at, then its head, and only runs as long
+    as a text with that head are put together, so the work is in proportion to the text and the heads found in it."""
     none = F.array().cast("array<string>")
     if not texts:
         return none
-    heads, mark = sorted({r["head"] for r in texts}), "\u00b6"  # the mark stands before the first word of each line
+    mark = "\u00b6"  # stands before the first word of each line
+    heads: dict[str, set[int]] = {}
+    for r in texts:
+        heads.setdefault(r["head"], set()).add(r["n_words"])
+    firsts = sorted({mark + head.split(" ")[0] for head in heads})
+    sizes = F.create_map(*(x for head, n in sorted(heads.items()) for x in (F.lit(head), F.array(*map(F.lit, sorted(n))))))
+
+    def runs(words: Column) -> Column:
+        said = lambda i, n: F.replace(F.array_join(F.slice(words, i + 1, n), " "), F.lit(mark), F.lit(""))
+        starts = F.filter(F.transform(words, lambda w, i: F.when(w.isin(firsts), i)), lambda i: i.isNotNull())
+        ends = lambda i: F.coalesce(F.get(words, i).startswith(mark), F.lit(True))
+        fits = lambda i, n: (i + n <= F.size(words)) & ends(i + n)
+        known_sizes = lambda i: F.coalesce(F.try_element_at(sizes, said(i, HEAD)), F.array().cast("array<int>"))
+        return F.flatten(F.transform(starts, lambda i: F.transform(F.filter(known_sizes(i), lambda n: fits(i, n)), lambda n: F.sha2(said(i, n), 256))))
+
     words = F.split(F.concat(F.lit(mark), F.replace(canon, F.lit("\n"), F.lit(" " + mark))), " ")
-    said = lambda i, n: F.replace(F.array_join(F.slice(words, i + 1, n), " "), F.lit(mark), F.lit(""))
-    starts = F.filter(F.transform(words, lambda w, i: F.when(w.startswith(mark), i)), lambda i: i.isNotNull())
-    starts = F.filter(starts, lambda i: said(i, HEAD).isin(heads))
-    ends = lambda i: F.coalesce(F.get(words, i).startswith(mark), F.lit(True))
-    sizes = F.array(*(F.lit(n) for n in sorted({r["n_words"] for r in texts})))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(sizes, lambda n: (i + n <= F.size(words)) & ends(i + n)), lambda n: F.sha2(said(i, n), 256))))
+    found = F.get(F.transform(F.array(words), runs), F.lit(0))  # a lambda's variable: a column would be inlined into each use
     # Heads are letters, digits and spaces, so they are patterns as they stand.
-    return F.when(whole(canon).rlike("|".join(heads)), runs).otherwise(none)
+    return F.when(whole(canon).rlike("|".join(sorted(heads))), found).otherwise(none)
 
 
 def license_scan(docs: DataFrame, licences: DataFrame, most: int = 1_000) -> DataFrame:
