@@ -297,6 +297,24 @@ def pixel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("pixels", "before").join(after, "vec_id")
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 8 by 8 images; those of one label are a recording."""
+    rows = pixel_pairs(spark, sf_dir).select("vec_id", F.col("before").alias("pixels"))
+    labels = R.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("job_id"))
+    return rows.join(labels, "vec_id").select("job_id", F.col("vec_id").alias("ord"), "pixels", score.average_hash(F.col("pixels")).alias("hash"))
+
+
+def q_metrics(spark, sf_dir):
+    rows = pixels.frame_metrics(images(spark, sf_dir), 8, 8)
+    return rows.select("job_id", "ord", *[F.round(c, 5).alias(c) for c in ("absdiff", "ssim_delta", "edge_delta", "hash_delta", "visual_score")])
+
+
+def q_small(spark, sf_dir):
+    """Halved images, and their average hash."""
+    rows = pixels.resize(images(spark, sf_dir), 8, 8, 4, 4)
+    return rows.select("ord", F.array_join("pixels", " ").alias("small"))
+
+
 def q_merges(spark, sf_dir):
     spans = spans_of(spark, sf_dir)[1]
     decisions = spans.select("job_id", "segment", F.when((F.col("start_ord") + F.col("segment")) % 3 == 0, "merge").otherwise("keep").alias("decision"))
@@ -378,6 +396,10 @@ def queries() -> dict[str, Query]:
         "pixel_structure": lambda s, d: pixels.ssim(pixel_pairs(s, d), 8, 8).select("vec_id", F.round("ssim", 5).alias("ssim")),
         "ordering_keys": q_ordering,
         "evidence_pick": lambda s, d: evidence.pick_evidence(segment_frames(s, d), 30),
+        "pixel_edges": lambda s, d: pixels.edge_delta(pixel_pairs(s, d), 8, 8).select("vec_id", F.round("edge_delta", 6).alias("edge_delta")),
+        "visual_structure": lambda s, d: pixels.structure(images(s, d), 8, 8).select("ord", F.round("structure", 6).alias("structure")),
+        "frame_metrics": q_metrics,
+        "resized": q_small,
         "role_score": lambda s, d: evidence.role_scores(read_texts(s, d)),
         "ocr_join": q_texts,
         "ocr_stride": lambda s, d: evidence.strided(fr(s, d), 9).select("job_id", "ord"),
@@ -609,6 +631,21 @@ def report_sql() -> str:
       count_if(corrected) AS corrections, count(phase_error) AS phase_errors, count_if(phase IN ({", ".join(map(lit, rules.GENERIC_PHASES))})) AS generic_phases, count(DISTINCT phase) AS phases, concat_ws(',', {", ".join(missing)}) AS missing FROM w3 GROUP BY 1)"""
 
 
+def canny_sql(px: str) -> str:
+    """Edges of 8 by 8 images by pixel numbers, and how many are in one of two neighbouring images only."""
+    at = lambda i, j: f"x[greatest(0, least(7, i // 8 + {i})) * 8 + greatest(0, least(7, i % 8 + {j})) + 1]"
+    beside = lambda i, j: f"CASE WHEN i // 8 + {i} BETWEEN 0 AND 7 AND i % 8 + {j} BETWEEN 0 AND 7 THEN s[(i // 8 + {i}) * 8 + i % 8 + {j} + 1] ELSE 0 END"
+    gx = f"{at(-1, 1)} + 2 * {at(0, 1)} + {at(1, 1)} - {at(-1, -1)} - 2 * {at(0, -1)} - {at(1, -1)}"
+    gy = f"{at(1, -1)} + 2 * {at(1, 0)} + {at(1, 1)} - {at(-1, -1)} - 2 * {at(-1, 0)} - {at(-1, 1)}"
+    return f"""WITH RECURSIVE p AS (SELECT vec_id, {px} AS x FROM embeddings), g AS (SELECT vec_id, list_transform(range(0, 64), lambda i: {gx}) AS gx, list_transform(range(0, 64), lambda i: {gy}) AS gy FROM p),
+    s AS (SELECT *, list_transform(range(1, 65), lambda i: abs(gx[i]) + abs(gy[i])) AS s FROM g), c AS (SELECT vec_id, i, gx[i + 1]::BIGINT AS dx, gy[i + 1]::BIGINT AS dy, s[i + 1] AS m, s FROM (SELECT *, unnest(range(0, 64)) AS i FROM s)),
+    thin AS (SELECT vec_id, i, m FROM c WHERE m > {pixels.LOW} AND CASE WHEN abs(dy) * 32768 < abs(dx) * {pixels.TAN} THEN m > {beside(0, -1)} AND m >= {beside(0, 1)}
+      WHEN abs(dy) * 32768 > abs(dx) * ({pixels.TAN} + 65536) THEN m > {beside(-1, 0)} AND m >= {beside(1, 0)} WHEN xor(dx, dy) < 0 THEN m > {beside(-1, 1)} AND m > {beside(1, -1)} ELSE m > {beside(-1, -1)} AND m > {beside(1, 1)} END),
+    edge AS (SELECT vec_id, i FROM thin WHERE m > {pixels.HIGH} UNION SELECT t.vec_id, t.i FROM edge e JOIN thin t ON t.vec_id = e.vec_id AND abs(t.i // 8 - e.i // 8) <= 1 AND abs(t.i % 8 - e.i % 8) <= 1),
+    once AS (SELECT vec_id, count(*) AS n FROM (SELECT vec_id, i FROM (SELECT vec_id, i FROM edge UNION ALL SELECT vec_id - 1, i FROM edge) GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1)
+    SELECT a.vec_id, round(coalesce(n, 0) / 64, 6) AS edge_delta FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 LEFT JOIN once ON once.vec_id = a.vec_id"""
+
+
 def fold_sql(rows: str, kind: str, step: str) -> str:
     """A fold over the rows of each job by ``i`` from 1; ``kept`` is the list so far. Gives ``got`` (job_id, x)."""
     return f"""f AS (SELECT job_id, 0 AS i, []::{kind}[] AS kept FROM (SELECT DISTINCT job_id FROM {rows}) UNION ALL SELECT f.job_id, q.i, {step} FROM f JOIN {rows} q ON q.job_id = f.job_id AND q.i = f.i + 1),
@@ -683,6 +720,9 @@ def job_sql() -> dict[str, str]:
         "capabilities": """SELECT c_custkey AS id, k AS model_ready, CASE WHEN k THEN 'production_vision' WHEN c_custkey % 2 = 0 THEN 'local_ocr_draft' ELSE 'diagnostic_only' END AS mode,
             CASE WHEN k THEN 'production_vision' WHEN c_custkey % 5 > 0 THEN 'local_ocr_draft' ELSE 'diagnostic_only' END AS mode_after_text FROM (SELECT c_custkey, c_custkey % 4 = 1 AND c_custkey % 3 <> 0 AS k FROM customer)""",
         "job_evaluation": f"WITH {quality_sql().replace('SELECT job_id, n_events', ', rep AS (SELECT job_id, n_events', 1)}) SELECT job_id, generation_source, count(*) AS steps, count_if(confidence <> 'high') AS low_confidence, any_value(readiness) = 'demo_ready' AND bool_or(generation_source = 'diagnostic_fallback') AS fault FROM phased JOIN rep USING (job_id) GROUP BY 1, 2",
+        "resized": f"""WITH p AS (SELECT vec_id, {px} AS x FROM embeddings), q AS (SELECT vec_id, x FROM p WHERE vec_id + 1 IN (SELECT vec_id FROM p))
+            SELECT vec_id AS ord, array_to_string(list_transform(range(0, 16), lambda i: round_even((x[i // 4 * 16 + i % 4 * 2 + 1] + x[i // 4 * 16 + i % 4 * 2 + 2] + x[i // 4 * 16 + i % 4 * 2 + 9] + x[i // 4 * 16 + i % 4 * 2 + 10]) / 4, 0)::INT), ' ') AS small FROM q""",
+        "pixel_edges": canny_sql(px),
         "pixel_diff": f"WITH p AS (SELECT vec_id, {px} AS x FROM embeddings) SELECT a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: abs(a.x[i] - b.x[i]))) / 64 / 255, 6) AS diff FROM p a JOIN p b ON b.vec_id = a.vec_id + 1",
     }
 
