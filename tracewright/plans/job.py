@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import hint_of, text_of
-from tracewright.operators import boundaries, cleanup, jobs, procedure, review, stages, steps
+from tracewright.operators import boundaries, cleanup, documents, jobs, procedure, review, stages, steps
 from tracewright.operators.ordered import work_dir
 from tracewright.operators.stages import Stage, StageFailed
 from tracewright.plans.segments import segments_of
@@ -62,6 +62,7 @@ STAGES = [
     Stage("removed", ("steps", "jobs"), lambda rows, info: procedure.removed_steps(rows, info)),
     Stage("report", ("steps", "cleaned", "jobs"), lambda rows, clean, info: procedure.quality_report(clean, info, cleanup.chronology(rows))),
     Stage("document", ("cleaned", "report"), lambda clean, report: jobs.documents(clean, report)),
+    Stage("paragraphs", ("cleaned", "report", "removed", "jobs"), documents.blocks),
 ]
 
 
@@ -77,6 +78,8 @@ def fallback(segments: DataFrame, info: DataFrame) -> list[Stage]:
         Stage("fallback_steps", ("segments",), lambda segments: job_steps(segments.where(F.col("event_id") <= FALLBACK_EVENTS), most_risky=0)),
         Stage("cleaned", ("fallback_steps", "fallback_jobs"), lambda rows, info: procedure.clean_steps(rows, info)),
         Stage("report", ("fallback_steps", "cleaned", "fallback_jobs"), lambda rows, clean, info: procedure.quality_report(clean, info, cleanup.chronology(rows))),
+        Stage("removed", ("fallback_steps", "fallback_jobs"), procedure.removed_steps),
+        Stage("paragraphs", ("cleaned", "report", "removed", "fallback_jobs"), documents.blocks),
         Stage("document", ("cleaned", "report"), lambda clean, report: jobs.documents(clean, report).withColumn("document", F.concat("document", F.lit("\n- made after a failure, of the first events only\n")))),
     ]
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import pixels, rules, score, text
-from tracewright.operators import boundaries, cleanup, evidence, jobs, procedure, review, screens, steps
+from tracewright.operators import boundaries, cleanup, documents, evidence, jobs, procedure, review, screens, steps
 from tracewright.plans import job, report, segments
 from tracewright.sources import recordings as R
 from tracewright.streaming import folds, live, replay
@@ -391,6 +391,7 @@ def queries() -> dict[str, Query]:
         "slowest_stage": q_slowest,
         "capabilities": q_capabilities,
         "job_evaluation": lambda s, d: (lambda x: jobs.evaluation(procedure.clean_steps(*x), report.job_reports(s, d)))(report.verified(s, d)),
+        "document_paragraphs": lambda s, d: (lambda x: documents.blocks(procedure.clean_steps(*x), report.job_reports(s, d), procedure.removed_steps(*x), x[1]))(report.verified(s, d)),
         "job_document": lambda s, d: jobs.documents(report.cleaned(s, d), report.job_reports(s, d)).select("job_id", F.md5("document").alias("document_md5"), F.size(F.split("document", "\n")).alias("n_lines")),
         "pixel_diff": lambda s, d: pixel_pairs(s, d).select("vec_id", F.round(pixels.diff_score(F.col("before"), F.col("after")), 6).alias("diff")),
         "pixel_structure": lambda s, d: pixels.ssim(pixel_pairs(s, d), 8, 8).select("vec_id", F.round("ssim", 5).alias("ssim")),
