@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 import numpy as np
@@ -36,29 +37,38 @@ def work_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-WRITTEN: list[str] = []
+#: Folders written within the innermost ``scratch`` of this thread or task; none outside of one.
+WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, and the columns stay prunable."""
     folder = work_dir(df.sparkSession)
     path = f"{folder}/{name}.parquet"
-    WRITTEN.append(folder)
+    if (mine := WRITTEN.get()) is not None:
+        mine.append(folder)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that operators write inside are deleted at the end. Results must have been written by then."""
-    first = len(WRITTEN)
+    """Tables that operators write inside, in this thread, are deleted at the end. Results must have been written by then.
+
+    Runs in other threads keep theirs."""
+    token = WRITTEN.set([])
     try:
         yield
     finally:
-        for folder in WRITTEN[first:]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        del WRITTEN[first:]
+        for folder in WRITTEN.get():
+            removed(spark, folder)
+        WRITTEN.reset(token)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder wherever Spark can write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def if_small(ids: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -13,7 +13,7 @@ columns are never read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import if_small, lower_ascii, written
@@ -34,9 +34,9 @@ def exact_dedup(docs: DataFrame, tracked: int = 10_000, top: int = 1_000, least:
     winners = written(counted.where(F.col("group_size") >= least), "winners")
 
     heavy = digests.join(F.broadcast(winners), "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    light = digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti").select(
-        "text_sha256", "doc_id", "row", F.count(F.lit(1)).over(group).alias("group_size"), F.max(best).over(group).alias("best"))
+    # Groups are summed up where their rows are read, then joined again: a join can split what a window can't.
+    light = digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    light = light.join(light.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), F.max(best).alias("best")), "text_sha256")
     out = [F.col("doc_id"), F.col("best.doc_id").alias("keep_id"), F.col("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), F.col("text_sha256")]
     return heavy.select(*out).unionByName(light.select(*out))
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import n_words, written
 
 HALVINGS = 4
+STRETCHES = 12  # bits of a block's turn that name its stretch
 
 
 def bisect(shares: DataFrame, entropy: float | None, repetition: float, rounds: int = 8) -> float:
@@ -83,8 +84,14 @@ def mix(docs: DataFrame, seed: int = 7, block_docs: int = 2_000, entropy: float
     dealt = own.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("key", key).withColumn("block", F.pmod("key", "blocks"))
     sums = written(dealt.groupBy("source", "block", "epochs", "rest").agg(F.sum("n_tokens").alias("tokens")), "blocks")
     turn = F.xxhash64(F.lit(seed), F.col("epochs"), "source", "block")
-    before = F.sum("tokens").over(Window.partitionBy("source").orderBy(turn, "block").rowsBetween(Window.unboundedPreceding, -1))
-    ends = written(sums.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < F.col("rest")).select(
+    # Cumulative sums in two levels: over the blocks of each stretch of turns, and over the stretches of a source.
+    sums = sums.withColumns({"turn": turn, "stretch": F.shiftright(turn, 64 - STRETCHES)})
+    so_far = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = sums.groupBy("source", "stretch").agg(F.sum("tokens").alias("tokens"))
+    stretches = stretches.select(F.col("source").alias("s1"), F.col("stretch").alias("t1"), F.coalesce(F.sum("tokens").over(so_far("source").orderBy("stretch")), F.lit(0)).alias("earlier"))
+    inside = F.coalesce(F.sum("tokens").over(so_far("source", "stretch").orderBy("turn", "block")), F.lit(0))
+    placed = sums.withColumn("inside", inside).join(stretches, F.col("source").eqNullSafe(F.col("s1")) & (F.col("stretch") == F.col("t1")))
+    ends = written(placed.withColumn("before", F.col("earlier") + F.col("inside")).where(F.col("before") < F.col("rest")).select(
         F.col("source").alias("s2"), F.col("block").alias("b2"), (F.col("rest") - F.col("before")).alias("room"), (F.col("tokens") <= F.col("rest") - F.col("before") + 1e-6).alias("fits")), "ends")
     here = F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2"))
     edge = dealt.join(ends.where("not fits"), here).withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("key", "row"))).where(F.col("upto") <= F.col("room") + 1e-6)

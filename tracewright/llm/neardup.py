@@ -162,6 +162,18 @@ def likely(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return both.where(F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u"))) >= F.floor(F.size("u") * SHARE)).select("a", "b").distinct()
 
 
+def with_sets(pairs: DataFrame, key: str, other: str, sets: DataFrame) -> DataFrame:
+    """``pairs`` with the whole set of ``key`` as w<key>. A document with very many partners has them dealt into heaps of
+    about HEAP, each of which gets a copy of its set, so no task meets all partners of one document."""
+    whole = sets.select(F.col("id").alias(key), F.col("whole").alias(f"w{key}"))
+    hot = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("heaps")).where(F.col("heaps") > HEAP).withColumn("heaps", F.ceil(F.col("heaps") / HEAP))
+    hot = if_small(written(hot, "hot"))
+    heap = F.coalesce(F.pmod(F.xxhash64(other), "heaps"), F.lit(0).cast("long"))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("heaps") - 1, F.lit(0).cast("long"))))
+    dealt = pairs.join(hot, key, "left").withColumn("heap", heap).drop("heaps")
+    return dealt.join(whole.join(hot, key, "left").withColumn("heap", copies).drop("heaps"), [key, "heap"]).drop("heap")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
@@ -174,8 +186,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * same >= percent * (len(mine) + len(other) - same) and same > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    whole = lambda x: sets.select(F.col("id").alias(x), F.col("whole").alias(f"w{x}"))
-    full = pairs.join(whole("b"), "b").join(whole("a"), "a").select("a", "b", "wa", "wb")
+    pairs = written(pairs, "pairs")
+    full = with_sets(with_sets(pairs, "b", "a", sets), "a", "b", sets).select("a", "b", "wa", "wb")
     return written(small_batches(full).mapInArrow(verify, "a long, b long"), "links").distinct()
 
 
