@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import pixels, rules, score, text
 from tracewright.operators import boundaries, cleanup, documents, evidence, jobs, procedure, review, screens, steps
+from tracewright.operators.ordered import work_dir
 from tracewright.plans import job, report, segments
 from tracewright.sources import recordings as R
-from tracewright.streaming import folds, live, replay
+from tracewright.streaming import folds, jobtable, live, replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -280,6 +281,31 @@ def q_stream_dedupe(spark, sf_dir):
     return replay.replayed(at_events(rows, spark, sf_dir), folds.validated)
 
 
+def job_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of the jobs of customers by their orders: some create, some set fields, one of which no job has, and some set a field to nothing."""
+    n, text = F.col("o_orderkey"), lambda c: c.cast("string")
+    rows = R.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("id"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("updated"), n.cast("long").alias("seq"), F.when(n % 4 == 0, "create").otherwise("update").alias("kind"), n.alias("n"), F.col("o_orderstatus").alias("s"))
+    entry = lambda cond, name, value: F.when(cond, F.struct(F.lit(name).alias("key"), value.cast("string").alias("value")))
+    n = F.col("n")
+    fields = F.array_compact(F.array(entry(n % 3 > 0, "status", F.col("s")), entry(n % 5 == 0, "progress", n % 100 / 100), entry(n % 2 == 0, "color", F.lit("red")), entry(n % 7 == 0, "error", F.when(n % 2 == 0, text(n))), entry(n % 6 == 0, "meta_json", F.when(n % 12 == 0, "{broken").otherwise(F.concat(F.lit('{"k": '), text(n), F.lit("}"))))))
+    return rows.select("id", "updated", "seq", "kind", F.map_from_entries(fields).alias("fields"))
+
+
+def q_job_table(spark, sf_dir):
+    """The changes sent as a stream of three batches, one of them twice, with a compaction between."""
+    root = work_dir(spark)
+    rows, sink = job_changes(spark, sf_dir), jobtable.upsert(f"{root}/jobs")
+    jobtable.init(spark, f"{root}/jobs")
+    for i in range(3):
+        rows.where(F.pmod(F.xxhash64("seq"), F.lit(3)) == i).coalesce(1).write.parquet(f"{root}/in/{i}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+    for part in ("first", "again"):  # the second query knows nothing of the first one's progress, so it sends all batches anew
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/{part}").trigger(availableNow=True).start().awaitTermination()
+        jobtable.compact(spark, f"{root}/jobs")
+    got = jobtable.jobs(spark, f"{root}/jobs")
+    return got.select("id", "status", "progress", "message", "error", "created", "updated", F.coalesce(F.try_element_at("meta", F.lit("k")), F.lit("")).alias("k"))
+
+
 def q_slowest(spark, sf_dir):
     return jobs.slowest_stage(jobs.job_state(job_updates(spark, sf_dir), ["status", "progress", "meta"]), "meta")
 
@@ -422,6 +448,7 @@ def queries() -> dict[str, Query]:
         "state_signatures": lambda s, d: stated(s, d).select("event_id", text.state_signature(F.col("system"), F.col("hash"), F.col("ocr_text")).alias("state"), text.event_signature(F.col("system"), F.col("ocr_text")).alias("event"), F.array_join(text.key_terms(F.col("ocr_text")), ",").alias("terms")),
         "confidence_reasons": lambda s, d: steps.risk_flags(st(s, d)).select("job_id", "step_number", text.confidence_reason(F.col("confidence"), F.col("risky"), F.col("k") / 100, F.col("k") / 500).alias("reason")),
         "parsed_items": lambda s, d: R.table(s, d, "region").select("r_regionkey", F.explode(text.parsed_items(F.concat(F.lit("```json\n[{\"id\": 1, \"action\": \""), "r_name", F.lit("\"}]\n```")), "struct<id:int,action:string>")).alias("x")).select("r_regionkey", "x.id", "x.action"),
+        "job_table": q_job_table,
         "stream_boundaries": q_stream_boundaries,
         "stream_scroll_collapse": q_stream_scroll,
         "stream_dedupe": q_stream_dedupe,
@@ -869,6 +896,16 @@ def oracle_sql() -> dict[str, str]:
         "confidence_reasons": f"""WITH {STEPS} SELECT job_id, step_number, concat_ws('; ', CASE WHEN confidence <> 'high' THEN 'confidence is not high' END, CASE WHEN {RISKY} THEN 'contains a specific action or value' END,
             CASE WHEN k / 100 > 0.6 THEN 'text changed strongly' END, CASE WHEN k / 500 < 0.04 THEN 'little visual change' END) AS reason FROM steps""",
         "parsed_items": "SELECT r_regionkey, 1 AS id, r_name AS action FROM region",
+        "job_table": """WITH c AS (SELECT o_custkey AS id, epoch_us(o_orderdate::TIMESTAMP) AS updated, o_orderkey AS seq, o_orderkey % 4 = 0 AS create_it, o_orderkey AS n, o_orderstatus AS s FROM orders),
+            born AS (SELECT id, arg_min({'updated': updated, 'seq': seq, 'n': n, 's': s}, (updated, seq)) AS b FROM c WHERE create_it GROUP BY id),
+            f AS (SELECT id, updated, seq, unnest([{'f': 'status', 'on': n % 3 > 0, 'v': s}, {'f': 'progress', 'on': n % 5 = 0, 'v': (n % 100 / 100)::VARCHAR}, {'f': 'error', 'on': n % 7 = 0, 'v': CASE WHEN n % 2 = 0 THEN n::VARCHAR END},
+              {'f': 'meta', 'on': n % 6 = 0, 'v': CASE WHEN n % 12 = 0 THEN '{broken' ELSE n::VARCHAR END}], recursive := true) FROM c WHERE NOT create_it),
+            later AS (SELECT f.*, row_number() OVER (PARTITION BY f.id, f ORDER BY f.updated DESC, f.seq DESC) AS nth FROM f JOIN born USING (id) WHERE "on" AND (f.updated, f.seq) > (b.updated, b.seq)),
+            last AS (SELECT id, max(updated) AS u, count_if(f = 'status') AS ns, any_value(v) FILTER (WHERE f = 'status') AS vs, count_if(f = 'progress') AS np, any_value(v) FILTER (WHERE f = 'progress') AS vp, count_if(f = 'error') AS ne, max(v) FILTER (WHERE f = 'error') AS ve,
+              count_if(f = 'meta') AS nm, any_value(v) FILTER (WHERE f = 'meta') AS vm FROM later WHERE nth = 1 GROUP BY id)
+            SELECT id, CASE WHEN ns > 0 THEN vs WHEN b.n % 3 > 0 THEN b.s ELSE 'queued' END AS status, CASE WHEN np > 0 THEN vp::DOUBLE WHEN b.n % 5 = 0 THEN b.n % 100 / 100 ELSE 0.0 END AS progress, 'Queued' AS message,
+              CASE WHEN ne > 0 THEN ve WHEN b.n % 7 = 0 AND b.n % 2 = 0 THEN b.n::VARCHAR END AS error, b.updated AS created, greatest(coalesce(u, b.updated), b.updated) AS updated,
+              CASE WHEN nm > 0 THEN CASE WHEN vm = '{broken' THEN '' ELSE vm END WHEN b.n % 6 = 0 AND b.n % 12 <> 0 THEN b.n::VARCHAR ELSE '' END AS k FROM born LEFT JOIN last USING (id)""",
         "stream_boundaries": f"WITH RECURSIVE {QUALIFIED} SELECT * FROM cand",
         "stream_scroll_collapse": scroll_sql(),
         "stream_dedupe": validate_sql(repair, in_place=True),
