@@ -20,20 +20,23 @@ def with_profile(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def cost_estimate(profiles: DataFrame, prices: dict = rules.PRICES) -> DataFrame:
-    """profile, calls, images, input_tokens, output_tokens, usd."""
+    """id (if there is one), profile, calls, images, input_tokens, output_tokens, usd.
+
+    Prices of a million tokens are those of the row's own input_price and output_price where there are any."""
     c = F.col
+    own = lambda name: F.coalesce(c(name).cast("double"), F.lit(float(prices[name.removesuffix("_price")]))) if name in profiles.columns else F.lit(float(prices[name.removesuffix("_price")]))
     made, check, look = F.ceil(c("max_events") / c("batch")), (c("risky") > 0).cast("int"), (c("reviews") > 0).cast("int")
     calls = F.least(c("max_calls"), made + check + look)
     events = F.least(c("max_events"), c("batch") * F.least(made, F.greatest(F.lit(0), c("max_calls") - check - look)))
     images = events * F.when(c("context"), 3).otherwise(1) + F.least("risky", "max_events") + F.least(c("reviews") * 2, c("max_events") * 2)
     read = calls * prices["call"] + events * prices["event"] + images * prices["image"]
     written = F.least("max_steps", "max_events") * prices["step"]
-    usd = F.round(read / 1e6 * prices["input"] + written / 1e6 * prices["output"], 4)
-    return profiles.select("profile", calls.cast("long").alias("calls"), images.cast("long").alias("images"), read.cast("long").alias("input_tokens"), written.cast("long").alias("output_tokens"), usd.alias("usd"))
+    usd = F.round(read / 1e6 * own("input_price") + written / 1e6 * own("output_price"), 4)
+    return profiles.select(*[x for x in ("id",) if x in profiles.columns], "profile", calls.cast("long").alias("calls"), images.cast("long").alias("images"), read.cast("long").alias("input_tokens"), written.cast("long").alias("output_tokens"), usd.alias("usd"))
 
 
 def call_budget(profiles: DataFrame) -> DataFrame:
-    return profiles.select("profile", F.greatest(F.lit(1), F.col("max_calls") - 1 - (F.col("reviews") > 0).cast("int")).cast("long").alias("generation_calls"))
+    return profiles.select(*[x for x in ("id",) if x in profiles.columns], "profile", F.greatest(F.lit(1), F.col("max_calls") - 1 - (F.col("reviews") > 0).cast("int")).cast("long").alias("generation_calls"))
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -129,6 +132,22 @@ def configured(values: DataFrame) -> DataFrame:
     return set_.groupBy("key").agg(F.min_by(F.struct("value", "source"), rank).alias("x")).select("key", "x.value", "x.source")
 
 
+def report_totals(reports: DataFrame) -> DataFrame:
+    """family, mode, readiness, level, jobs, steps, score of each combination, of each family and mode, of each family, and of all.
+
+    ``level`` tells these apart: 0, 1, 3 and 7, the bits of what is summed up; null is a value of its own besides."""
+    c = F.col
+    sets = [[c("family"), c("mode"), c("readiness")], [c("family"), c("mode")], [c("family")], []]
+    rows = reports.groupingSets(sets, "family", "mode", "readiness")
+    return rows.agg(F.grouping_id("family", "mode", "readiness").alias("level"), F.count(F.lit(1)).alias("jobs"), F.sum("steps").alias("steps"), F.round(F.avg("score"), 6).alias("score"))
+
+
+def phase_table(clean: DataFrame, phases: list[str]) -> DataFrame:
+    """job_id and a column p<i> for each of ``phases`` in order: how many of its steps are in it, 0 for none."""
+    rows = clean.groupBy("job_id").pivot("phase", phases).agg(F.count(F.lit(1)))
+    return rows.select("job_id", *[F.coalesce(F.col(f"`{p}`"), F.lit(0)).alias(f"p{i}") for i, p in enumerate(phases)])
+
+
 def segment_report(spans: DataFrame) -> DataFrame:
     """job_id, report: a line for each segment, in order."""
     line = F.format_string("- %d: %.1f-%.1f s, %d frames, score %.4f", "segment", "start_time", "end_time", "frame_count", "boundary_score")

@@ -170,8 +170,57 @@ def q_updates(spark, sf_dir):
 
 
 def q_config(spark, sf_dir):
-    rows = [("dotenv", "MODEL", "a"), ("environment", "MODEL", "b"), ("secrets", "KEY", "c"), ("dotenv", "PRICE", " "), ("secrets", "PRICE", "5"), ("other", "X", "1")]
-    return jobs.configured(spark.createDataFrame(rows, "source string, key string, value string"))
+    """Settings by customer: up to four sources set the same key, one of which doesn't count, and some values are blank."""
+    c = F.col("c_custkey")
+    source = F.element_at(F.array(*map(F.lit, ["environment", "dotenv", "secrets", "other"])), ((c * 7) % 4 + 1).cast("int"))
+    rows = R.table(spark, sf_dir, "customer").where(c % 5 > 0)
+    return jobs.configured(rows.select(source.alias("source"), F.concat(F.lit("K"), F.floor(c / 4).cast("string")).alias("key"), F.when(c % 3 == 0, " ").otherwise(F.col("c_name")).alias("value")))
+
+
+def planned_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job for each customer: the profile of its market segment, with numbers and prices of its own."""
+    c, names = F.col("c_custkey"), F.create_map(*(F.lit(x) for pair in PLANS.items() for x in pair))
+    rows = jobs.with_profile(R.table(spark, sf_dir, "customer").select(c.alias("id"), F.try_element_at(names, "c_mktsegment").alias("profile")), jobs.profiles(spark))
+    n = F.col("id")
+    own = {"max_events": F.col("max_events") + n % 7, "batch": F.col("batch") + n % 3, "max_calls": n % 9 + 1, "risky": F.when(n % 3 == 0, 0).otherwise(F.col("risky")), "reviews": F.when(n % 4 == 0, 0).otherwise(F.col("reviews") + n % 2)}
+    return rows.withColumns(own).withColumns({"input_price": F.when(n % 5 == 0, 2.5), "output_price": F.when(n % 10 == 0, 12.0)})
+
+
+PHASE_COLUMNS = sorted({phase for table in rules.PHASES.values() for _, phase in table} | {name for name, _ in rules.PIVOT_PHASES + rules.PIVOT_OVERRIDES} | {rules.PIVOT_DEFAULT})
+PLANS = {"BUILDING": "Balanced", "MACHINERY": "none such", "AUTOMOBILE": "Lowest cost", "FURNITURE": "Highest accuracy"}
+PLANNED = f"""{{profiles}}, plan AS (SELECT c_custkey AS id, p.* REPLACE (max_events + c_custkey % 7 AS max_events, batch + c_custkey % 3 AS batch, c_custkey % 9 + 1 AS max_calls, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE risky END AS risky,
+  CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE reviews + c_custkey % 2 END AS reviews), CASE WHEN c_custkey % 5 = 0 THEN 2.5 ELSE 5.0 END AS input_price, CASE WHEN c_custkey % 10 = 0 THEN 12.0 ELSE 30.0 END AS output_price
+  FROM customer JOIN p ON profile = CASE c_mktsegment WHEN 'BUILDING' THEN 'Balanced' WHEN 'AUTOMOBILE' THEN 'Lowest cost' WHEN 'FURNITURE' THEN 'Highest accuracy' ELSE 'Showcase fast' END)"""
+
+
+def said_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answers about turns of conversations: fenced, with words around, broken, without an array, or with items that aren't objects."""
+    n = F.col("conv_id") * 100 + F.col("turn")
+    item = F.to_json(F.struct(n.alias("id"), F.col("text").alias("action")))
+    shapes = [F.concat(F.lit("```json\n["), item, F.lit("]\n```")), F.concat(F.lit("Here it is: ["), item, F.lit(", "), item, F.lit("] as asked.")), F.concat(F.lit("["), item, F.lit(", {broken]")), item, F.lit(None).cast("string")]
+    rows = R.table(spark, sf_dir, "conversations").select(n.alias("n"), F.element_at(F.array(*shapes), (n % 5 + 1).cast("int")).alias("said"))
+    return rows.select("n", F.posexplode(text.parsed_items(F.col("said"), "struct<id:long,action:string>")).alias("at", "x")).select("n", "at", "x.id", F.md5("x.action").alias("action_md5"))
+
+
+def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports with the family and mode of their job."""
+    rows, info = report.verified(spark, sf_dir)
+    return report.job_reports(spark, sf_dir).join(cleanup.workflow_family(rows), "job_id").join(info.select("job_id", "mode"), "job_id")
+
+
+def by_day(rows: DataFrame) -> DataFrame:
+    """Frames or steps with the day of their recording."""
+    return rows.withColumn("day", F.floor(F.col("time_sec") / 24))
+
+
+def q_sketched(spark, sf_dir):
+    """Sketched thresholds whose rank among all scores is within the error of the exact one's."""
+    rows = R.frames(spark, sf_dir)
+    found = boundaries.sketched_thresholds(by_day(rows), "day")
+    ranks = rows.where("ord > 0").join(found.select("job_id", F.col("median").alias("m"), F.col("percentile").alias("p")), "job_id").groupBy("job_id").agg(
+        *[F.count_if(F.col("boundary_score") < F.col(c)).alias(f"under_{c}") for c in "mp"], *[F.count_if(F.col("boundary_score") <= F.col(c)).alias(f"upto_{c}") for c in "mp"], F.count(F.lit(1)).alias("n"))
+    near = lambda c, p: (F.col(f"under_{c}") <= (p + 0.02) * F.col("n") + 1) & (F.col(f"upto_{c}") >= (p - 0.02) * F.col("n") - 1)
+    return ranks.select("job_id", "n", near("m", 0.5).alias("median_near"), near("p", 0.88).alias("percentile_near"))
 
 
 def job_log(spark, sf_dir):
@@ -437,8 +486,12 @@ def queries() -> dict[str, Query]:
         "representative_frames": lambda s, d: evidence.representative_frames(stated(s, d).select("job_id", "ord", "time_sec", F.col("visual_score").alias("diff_score"), F.conv(F.concat(F.lit("0"), (F.col("k") * 91193).cast("string")), 10, 16).alias("image_hash")), 20),
         "legacy_phases": lambda s, d: procedure.legacy_phases(R.procedures(s, d)),
         "batches": lambda s, d: jobs.batches(fr(s, d), 9).groupBy("job_id", "batch").agg(F.count(F.lit(1)).alias("n")),
-        "cost_estimate": lambda s, d: jobs.cost_estimate(jobs.profiles(s)),
-        "call_budget": lambda s, d: jobs.call_budget(jobs.profiles(s)),
+        "cost_estimate": lambda s, d: jobs.cost_estimate(planned_jobs(s, d)),
+        "call_budget": lambda s, d: jobs.call_budget(planned_jobs(s, d)),
+        "report_totals": lambda s, d: jobs.report_totals(reported(s, d)),
+        "phase_table": lambda s, d: jobs.phase_table(report.cleaned(s, d), PHASE_COLUMNS),
+        "sketched_thresholds": q_sketched,
+        "state_counts": lambda s, d: cleanup.state_counts(by_day(st(s, d)), "day"),
         "profile_default": lambda s, d: jobs.with_profile(R.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_mktsegment") == "BUILDING", "Balanced").when(F.col("c_mktsegment") == "MACHINERY", "none such").alias("profile")), jobs.profiles(s)).select("id", "profile", "max_events", "density"),
         "job_latest": lambda s, d: jobs.latest(job_log(s, d)),
         "job_list": lambda s, d: jobs.newest(job_log(s, d).select(F.col("seq").alias("id"), F.col("updated").alias("created"), "status"), 25),
@@ -447,7 +500,7 @@ def queries() -> dict[str, Query]:
         "review_categories": lambda s, d: cleanup.review_categories(st(s, d)),
         "state_signatures": lambda s, d: stated(s, d).select("event_id", text.state_signature(F.col("system"), F.col("hash"), F.col("ocr_text")).alias("state"), text.event_signature(F.col("system"), F.col("ocr_text")).alias("event"), F.array_join(text.key_terms(F.col("ocr_text")), ",").alias("terms")),
         "confidence_reasons": lambda s, d: steps.risk_flags(st(s, d)).select("job_id", "step_number", text.confidence_reason(F.col("confidence"), F.col("risky"), F.col("k") / 100, F.col("k") / 500).alias("reason")),
-        "parsed_items": lambda s, d: R.table(s, d, "region").select("r_regionkey", F.explode(text.parsed_items(F.concat(F.lit("```json\n[{\"id\": 1, \"action\": \""), "r_name", F.lit("\"}]\n```")), "struct<id:int,action:string>")).alias("x")).select("r_regionkey", "x.id", "x.action"),
+        "parsed_items": said_items,
         "job_table": q_job_table,
         "stream_boundaries": q_stream_boundaries,
         "stream_scroll_collapse": q_stream_scroll,
@@ -878,14 +931,20 @@ def oracle_sql() -> dict[str, str]:
             SELECT job_id, step_number, coalesce(phase, CASE WHEN count_if(phase IS NULL) OVER (PARTITION BY job_id ORDER BY step_number) <= {rules.LEGACY_FIRST} THEN 'Access system' ELSE 'Validate' END) AS phase FROM p""",
         "distinct_states": f"WITH {STEPS}, f AS (SELECT job_id, screen_state_id AS state, min(step_number) AS first_number FROM steps GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY first_number) AS place FROM f",
         "batches": f"WITH {FRAMES} SELECT job_id, (ord // 9)::INT AS batch, count(*) AS n FROM frames GROUP BY 1, 2",
-        "cost_estimate": f"""WITH {profiles_sql()}, c AS (SELECT *, {calls} AS calls, {made} AS made FROM p), i AS (SELECT *, made * CASE WHEN context THEN 3 ELSE 1 END + least(risky, max_events) + least(reviews * 2, max_events * 2) AS images FROM c)
-            SELECT profile, calls::BIGINT AS calls, images::BIGINT AS images, (calls * 900 + made * 220 + images * 85)::BIGINT AS input_tokens, (least(max_steps, max_events) * 90)::BIGINT AS output_tokens,
-            round((calls * 900 + made * 220 + images * 85) / 1e6 * 5.0 + least(max_steps, max_events) * 90 / 1e6 * 30.0, 4) AS usd FROM i""",
-        "call_budget": f"WITH {profiles_sql()} SELECT profile, greatest(1, max_calls - 1 - (reviews > 0)::INT)::BIGINT AS generation_calls FROM p",
+        "report_totals": f"""WITH {safe_sql()}, q AS (WITH {quality_sql()}), r AS (SELECT q.*, mode, family FROM q JOIN info USING (job_id) JOIN (SELECT DISTINCT job_id, {family_sql()} AS family FROM safe) f USING (job_id))
+            SELECT family, mode, readiness, (grouping(family, mode, readiness))::BIGINT AS level, count(*) AS jobs, sum(steps)::BIGINT AS steps, round(avg(score), 6) AS score FROM r GROUP BY GROUPING SETS ((family, mode, readiness), (family, mode), (family), ())""",
+        "phase_table": f"WITH {clean_sql()} SELECT job_id, " + ", ".join(f"count_if(phase = {lit(p)}) AS p{i}" for i, p in enumerate(PHASE_COLUMNS)) + " FROM phased GROUP BY job_id",
+        "sketched_thresholds": f"WITH {FRAMES} SELECT job_id, count(*) AS n, true AS median_near, true AS percentile_near FROM frames WHERE ord > 0 GROUP BY job_id",
+        "state_counts": f"WITH {STEPS} SELECT job_id, count(DISTINCT screen_state_id) AS states FROM steps GROUP BY job_id",
+        "cost_estimate": f"""WITH {PLANNED.format(profiles=profiles_sql())}, c AS (SELECT *, {calls} AS calls, {made} AS made FROM plan), i AS (SELECT *, made * CASE WHEN context THEN 3 ELSE 1 END + least(risky, max_events) + least(reviews * 2, max_events * 2) AS images FROM c)
+            SELECT id, profile, calls::BIGINT AS calls, images::BIGINT AS images, (calls * 900 + made * 220 + images * 85)::BIGINT AS input_tokens, (least(max_steps, max_events) * 90)::BIGINT AS output_tokens,
+            round(((calls * 900 + made * 220 + images * 85) / 1e6 * input_price + least(max_steps, max_events) * 90 / 1e6 * output_price)::VARCHAR::DECIMAL(28, 18), 4)::DOUBLE AS usd FROM i""",
+        "call_budget": f"WITH {PLANNED.format(profiles=profiles_sql())} SELECT id, profile, greatest(1, max_calls - 1 - (reviews > 0)::INT)::BIGINT AS generation_calls FROM plan",
         "profile_default": f"WITH {profiles_sql()} SELECT c_custkey AS id, profile, max_events::BIGINT AS max_events, density::DOUBLE AS density FROM customer JOIN p ON profile = CASE WHEN c_mktsegment = 'BUILDING' THEN 'Balanced' ELSE 'Showcase fast' END",
         "job_latest": "SELECT o_custkey AS id, arg_max(o_orderstatus, (epoch_us(o_orderdate), o_orderkey)) AS status, max(epoch_us(o_orderdate)) AS updated, arg_max(o_orderkey, (epoch_us(o_orderdate), o_orderkey)) AS seq FROM orders GROUP BY 1",
         "job_list": "SELECT o_orderkey AS id, epoch_us(o_orderdate) AS created, o_orderstatus AS status FROM orders ORDER BY created DESC, id LIMIT 25",
-        "config_precedence": "SELECT * FROM (VALUES ('MODEL', 'b', 'environment'), ('KEY', 'c', 'secrets'), ('PRICE', '5', 'secrets')) v(key, value, source)",
+        "config_precedence": """WITH v AS (SELECT ['environment', 'dotenv', 'secrets', 'other'][(c_custkey * 7) % 4 + 1] AS source, (c_custkey * 7) % 4 AS rank, 'K' || c_custkey // 4 AS key, c_name AS value FROM customer WHERE c_custkey % 5 > 0 AND c_custkey % 3 > 0)
+            SELECT key, arg_min(value, rank) AS value, arg_min(source, rank) AS source FROM v WHERE rank < 3 GROUP BY key""",
         "review_categories": f"""WITH {FLAGS.replace(STEPS, FAMILY, 1)}, n AS (SELECT flags.*, family, coalesce(lag(meaningful) OVER w, false) AS before, coalesce(lead(meaningful) OVER w, false) AS after, {A} || ' ' || {E} AS body
             FROM flags JOIN fam USING (job_id) WINDOW w AS (PARTITION BY flags.job_id ORDER BY step_number)), c AS (SELECT *, family LIKE 'excel%' AS xl, {sql_has("body", cleanup.REVIEW_OBJECTS)} AS about, {sql_has("body", cleanup.OUTPUTS)} AS shows, {sql_has("body", cleanup.FILLER)} AS filler FROM n)
             SELECT job_id, step_number, CASE WHEN checkpoint THEN 'operational_checkpoint' WHEN xl AND filler THEN 'passive_filler' WHEN (about OR (xl AND shows)) AND before THEN 'operational_checkpoint'
@@ -895,7 +954,7 @@ def oracle_sql() -> dict[str, str]:
               array_to_string(list_sort(list_distinct(regexp_extract_all(lower(ocr_text), {lit(text.KEY_TERMS)})))[1:18], ',') AS terms FROM l""",
         "confidence_reasons": f"""WITH {STEPS} SELECT job_id, step_number, concat_ws('; ', CASE WHEN confidence <> 'high' THEN 'confidence is not high' END, CASE WHEN {RISKY} THEN 'contains a specific action or value' END,
             CASE WHEN k / 100 > 0.6 THEN 'text changed strongly' END, CASE WHEN k / 500 < 0.04 THEN 'little visual change' END) AS reason FROM steps""",
-        "parsed_items": "SELECT r_regionkey, 1 AS id, r_name AS action FROM region",
+        "parsed_items": "SELECT n, unnest(range(0, CASE n % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END))::INT AS at, n AS id, md5(text) AS action_md5 FROM (SELECT conv_id * 100 + turn AS n, text FROM conversations)",
         "job_table": """WITH c AS (SELECT o_custkey AS id, epoch_us(o_orderdate::TIMESTAMP) AS updated, o_orderkey AS seq, o_orderkey % 4 = 0 AS create_it, o_orderkey AS n, o_orderstatus AS s FROM orders),
             born AS (SELECT id, arg_min({'updated': updated, 'seq': seq, 'n': n, 's': s}, (updated, seq)) AS b FROM c WHERE create_it GROUP BY id),
             f AS (SELECT id, updated, seq, unnest([{'f': 'status', 'on': n % 3 > 0, 'v': s}, {'f': 'progress', 'on': n % 5 = 0, 'v': (n % 100 / 100)::VARCHAR}, {'f': 'error', 'on': n % 7 = 0, 'v': CASE WHEN n % 2 = 0 THEN n::VARCHAR END},
