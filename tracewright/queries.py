@@ -11,6 +11,7 @@ from tracewright.functions import pixels, rules, score, text
 from tracewright.operators import boundaries, cleanup, documents, evidence, jobs, procedure, review, screens, steps
 from tracewright.operators.ordered import work_dir
 from tracewright.plans import job, report, segments
+from tracewright.sources import grid
 from tracewright.sources import recordings as R
 from tracewright.streaming import folds, jobtable, live, replay
 
@@ -303,6 +304,14 @@ def timed(spark, sf_dir):
     return rows.withColumn("source_event_index", F.when(k % 2 == 0, F.col("step_number")))
 
 
+def q_recordings(spark, sf_dir):
+    """The sampling grid of recordings by the source, from files made of the frames' jobs."""
+    path = f"{work_dir(spark)}/recordings"
+    R.frames(spark, sf_dir).groupBy("job_id").agg(F.max("time_sec").alias("duration")).write.parquet(path)
+    spark.dataSource.register(grid.Recordings)
+    return spark.read.format("recording").option("path", path).option("interval", "4.5").option("most", "40").load()
+
+
 def at_events(rows: DataFrame, spark, sf_dir) -> DataFrame:
     """Rows by event_id with the job and time of their event, without what only a whole recording tells."""
     when = R.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
@@ -407,6 +416,7 @@ def queries() -> dict[str, Query]:
     return {
         "threshold_by_job": lambda s, d: boundaries.thresholds(fr(s, d)).select("job_id", *[F.round(c, 6).alias(c) for c in ("median", "mad", "percentile", "threshold")]),
         "frame_deltas": lambda s, d: boundaries.frame_deltas(fr(s, d)),
+        "recording_source": q_recordings,
         "sampling_grid": lambda s, d: R.sampling_grid(fr(s, d).groupBy("job_id").agg(F.max("time_sec").alias("duration")), 4.5, 40),
         "boundary_candidates": lambda s, d: boundaries.boundary_candidates(fr(s, d), MAX_SEGMENTS),
         "segment_spans": lambda s, d: spans_of(s, d)[1],
@@ -856,6 +866,9 @@ def oracle_sql() -> dict[str, str]:
         "sampling_grid": f"""WITH {FRAMES}, r AS (SELECT job_id, max(time_sec) AS d FROM frames GROUP BY 1), g AS (SELECT job_id, d, unnest(range(0, greatest(1, least(40, ceil(d / 4.5)))::INT)) AS i FROM r),
             t AS (SELECT job_id, d, i, least(d, i * 4.5) AS time_sec FROM g), e AS (SELECT job_id, max(d) AS d, max(i) AS i, max(time_sec) AS m FROM t GROUP BY 1)
             SELECT job_id, i AS frame_id, time_sec FROM t UNION ALL SELECT job_id, i + 1, d FROM e WHERE m < d - 1""",
+        "recording_source": f"""WITH {FRAMES}, r AS (SELECT job_id, max(time_sec) AS d FROM frames GROUP BY 1), g AS (SELECT job_id, d, unnest(range(0, greatest(1, least(40, ceil(d / 4.5)))::INT)) AS i FROM r),
+            t AS (SELECT job_id, d, i, least(d, i * 4.5) AS time_sec FROM g), e AS (SELECT job_id, max(d) AS d, max(i) AS i, max(time_sec) AS m FROM t GROUP BY 1)
+            SELECT job_id, i AS frame_id, time_sec FROM t UNION ALL SELECT job_id, i + 1, d FROM e WHERE m < d - 1""",
         "boundary_candidates": f"WITH RECURSIVE {QUALIFIED} SELECT * FROM cand",
         "segment_spans": f"WITH RECURSIVE {SPANS} SELECT * FROM spans",
         "forced_split": f"WITH RECURSIVE {PARTS} SELECT * FROM parts",
