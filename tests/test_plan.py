@@ -90,6 +90,36 @@ def test_neighbours_evidence(spark, near):
     assert [(r.start_time, r.system) for r in got][-1] == (25.0, "Other" if near else "SAP")
 
 
+def test_reviewed(spark):
+    """Boundaries near 0.16 may be decided, others not; a run of merged ones is one segment."""
+    kinds = "job_id int, event_id int, ord int, start_time double, end_time double, frame_count int, ocr_text string, system string, screen_state_id int, boundary_score double"
+    rows = [(1, i, 10 * i, float(i), i + 0.5, i, f"t{i}", "SAP", i, s) for i, s in enumerate([0.9, 0.15, 0.17, 0.8, 0.16], 1)] + [(2, 1, 0, 0.0, 1.0, 1, "", "SAP", 1, 0.16)]
+    said = [(1, i, "merge") for i in (1, 2, 3, 4)] + [(1, 5, "keep"), (1, 2, "merge"), (2, 1, "merge"), (3, 2, "merge")]
+    decisions = spark.createDataFrame(said, "job_id int, event_id int, decision string")
+    got = segments.reviewed(spark.createDataFrame(rows, kinds), decisions, 3).orderBy("job_id", "event_id").collect()
+    assert [(r.job_id, r.event_id, r.ord, r.start_time, r.end_time, r.frame_count, r.ocr_text) for r in got] == [(1, 1, 10, 1.0, 3.5, 6, "t1"), (1, 2, 40, 4.0, 4.5, 4, "t4"), (1, 3, 50, 5.0, 5.5, 5, "t5"), (2, 1, 0, 0.0, 1.0, 1, "")]
+
+
+def test_sketches(spark):
+    """Thresholds and states from sketches of days, merged, are within the error stated; a job's scores are never together."""
+    n = 60_000
+    f = spark.range(n).select((F.col("id") % 2).cast("int").alias("job_id"), F.floor(F.col("id") / 2).cast("int").alias("ord"), F.floor(F.col("id") / 2000).alias("day"), (F.pow(F.pmod(F.xxhash64("id"), F.lit(10**6)) / 1e6, 3)).alias("boundary_score"))
+    sketches = boundaries.score_sketches(f, ["job_id", "day"])
+    assert sketches.count() == 60 and sketches.agg(F.max(F.octet_length("sketch"))).first()[0] < 40_000
+    found = {r.job_id: r for r in boundaries.sketched_thresholds(f, "day").collect()}
+    exact = {r.job_id: r for r in boundaries.thresholds(f).collect()}
+    scores = {j: sorted(r[0] for r in f.where((F.col("job_id") == j) & (F.col("ord") > 0)).select("boundary_score").collect()) for j in found}
+    import bisect
+
+    for j, r in found.items():
+        rank = lambda x: bisect.bisect(scores[j], x) / len(scores[j])  # noqa: B023, E731
+        assert abs(rank(r.median) - 0.5) < 0.01 and abs(rank(r.percentile) - 0.88) < 0.01 and abs(r.mad - exact[j].mad) < 0.02 and abs(r.threshold - exact[j].threshold) < 0.06
+    assert boundaries.sketched_thresholds(f.where("ord = 0"), "day").first().threshold == 1.0
+    s = spark.range(20_000).select((F.col("id") % 2).cast("int").alias("job_id"), F.floor(F.col("id") / 500).alias("day"), F.pmod(F.xxhash64("id"), F.lit(3000)).cast("int").alias("screen_state_id"))
+    true = {r.job_id: r.n for r in s.groupBy("job_id").agg(F.countDistinct("screen_state_id").alias("n")).collect()}
+    assert all(abs(r.states - true[r.job_id]) < 0.06 * true[r.job_id] for r in cleanup.state_counts(s, "day").collect())
+
+
 def test_roles(spark):
     read = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(role).alias("role"), F.lit(t).alias("text"), F.lit(s).alias("structure")) for i, (role, t, s) in enumerate([("stable_frame", "", 0.2), ("entry_frame", "", 0.9), ("after_frame", "", 0.9)])])
     got = spark.range(1).select(evidence.best_role(read).alias("x"), evidence.best_role(F.lit(None).cast("array<struct<pos:int,role:string,text:string,structure:double>>")).alias("y")).first()

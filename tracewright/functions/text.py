@@ -66,14 +66,19 @@ def hint_of(x: Column) -> Column:
     return best_class(x, rules.HINTS, "review")
 
 
+def roots_of(words: Column) -> Column:
+    """The words of an array without the endings ing, ed and s, in this order, where enough is left; creat as create."""
+    for end, left in (("ing", 3), ("ed", 3), ("s", 4)):
+        words = F.transform(words, lambda w: F.when(w.endswith(end) & (F.length(w) >= left + len(end)), F.left(w, F.length(w) - len(end))).otherwise(w))
+    return F.transform(words, lambda w: F.when(w == "creat", "create").otherwise(w))
+
+
 def verb_root(w: Column) -> Column:
-    """The word without the endings ing, ed and s, in this order, where enough is left; creat as create."""
-    root = F.regexp_replace(F.regexp_replace(F.regexp_replace(w, "^(.{3,})ing$", "$1"), "^(.{3,})ed$", "$1"), "^(.{4,})s$", "$1")
-    return F.when(root == "creat", "create").otherwise(root)
+    return F.get(roots_of(F.array(w)), F.lit(0))
 
 
 def action_roots(x: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(F.split(normalized(x), " "), lambda w: w != ""), verb_root))
+    return F.array_distinct(roots_of(F.filter(F.split(normalized(x), " "), lambda w: w != "")))
 
 
 def meaningful(action: Column) -> Column:

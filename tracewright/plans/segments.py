@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.score import segment_score
 from tracewright.functions.text import clean_lines, hint_of
 from tracewright.operators import boundaries, evidence, screens
-from tracewright.operators.ordered import in_order
+from tracewright.operators.ordered import in_order, run_id
 from tracewright.sources import recordings
 
 TELLING = ["filter", "export", "data entry", "post/save"]
@@ -66,8 +66,22 @@ def with_evidence(segments: DataFrame, most_read: int) -> DataFrame:
     return rows.withColumn("evidence_ord", by_role(F.col("evidence.role"), "ord")).drop("read", "state")
 
 
-def segments_of(frames: DataFrame, most: int = 36, longest: float = 30.0, most_read: int = 30) -> DataFrame:
-    """Segments of frames as ``initial_segments`` wants them.
+def reviewed(segments: DataFrame, decisions: DataFrame, most: int) -> DataFrame:
+    """Segments renumbered, those merged into the one before of which ``decisions`` (job_id, event_id, decision) says so.
+
+    Only the ``most`` boundaries of a job that are hardest to tell may be decided. What is merged adds its end and its
+    frames; all else is the first one's."""
+    asked = evidence.ambiguous(segments.where("event_id > 1").select("job_id", F.col("event_id").alias("ord"), "boundary_score"), most)
+    merge = decisions.where("decision = 'merge'").join(asked.select("job_id", F.col("ord").alias("event_id")), ["job_id", "event_id"]).select("job_id", "event_id").distinct()
+    rows = segments.join(merge.withColumn("merge", F.lit(True)), ["job_id", "event_id"], "left")
+    rows = rows.withColumn("run", run_id(F.col("merge").isNull(), "event_id"))
+    kept = [c for c in segments.columns if c not in ("job_id", "event_id", "end_time", "frame_count")]
+    out = rows.groupBy("job_id", "run").agg(F.min_by(F.struct(*kept), "event_id").alias("x"), F.max_by("end_time", "event_id").alias("end_time"), F.sum("frame_count").cast("int").alias("frame_count"))
+    return out.select("job_id", F.col("run").cast("int").alias("event_id"), "x.*", "end_time", "frame_count").select(segments.columns)
+
+
+def segments_of(frames: DataFrame, most: int = 36, longest: float = 30.0, most_read: int = 30, decisions: DataFrame | None = None, most_reviews: int = 8) -> DataFrame:
+    """Segments of frames as ``initial_segments`` wants them; with ``decisions``, of up to ``most_reviews`` boundaries of a job, ``reviewed``.
 
     job_id, event_id, ord (of the stable frame), start_time, end_time, frame_count, ocr_text, system, screen_state_id,
     boundary_score, dense_repeated_run. A segment's score weighs the score of the boundary that closes it, change of text
@@ -78,7 +92,8 @@ def segments_of(frames: DataFrame, most: int = 36, longest: float = 30.0, most_r
     action = F.when(hint_of(F.col("ocr_text")).isin(TELLING), 1.0).otherwise(0.3)
     rows = rows.withColumn("boundary_score", F.round(segment_score(F.col("visual_score"), F.col("text_delta"), F.col("system_delta"), action), 4))
     rows = screens.screen_states(rows, keep=("time_sec", "start_time", "end_time", "frame_count", "system", "ocr_text", "visual_score", "boundary_score"))
-    return screens.repeated_runs(screens.scroll_collapse(screens.smooth_systems(rows)), "screen_state_id")
+    rows = screens.scroll_collapse(screens.smooth_systems(rows))
+    return screens.repeated_runs(rows if decisions is None else reviewed(rows, decisions, most_reviews), "screen_state_id")
 
 
 def job_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
