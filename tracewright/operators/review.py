@@ -23,11 +23,27 @@ def said(c: str):
     return F.nullif(F.trim(F.col(c)), F.lit(""))
 
 
-def generated(events: DataFrame, items: DataFrame) -> DataFrame:
+def called(events: DataFrame, batch: int, max_calls: int) -> DataFrame:
+    """job_id, event_id, call of the events that a model is asked about: ``batch`` in a call, ``max_calls`` calls for a job at most."""
+    call = F.floor((F.row_number().over(in_order("event_id")) - 1) / batch).cast("int") + 1
+    return events.select("job_id", "event_id", call.alias("call")).where(F.col("call") <= max_calls)
+
+
+def calls_made(events: DataFrame, items: DataFrame, batch: int, max_calls: int) -> DataFrame:
+    """job_id, attempted, succeeded: the calls within the budget, and those that an item came of."""
+    asked = called(events, batch, max_calls)
+    answered = asked.join(items.select("job_id", "event_id").distinct().withColumn("answered", F.lit(True)), ["job_id", "event_id"], "left")
+    by = answered.groupBy("job_id", "call").agg(F.bool_or(F.coalesce("answered", F.lit(False))).alias("answered"))
+    return by.groupBy("job_id").agg(F.count(F.lit(1)).alias("attempted"), F.count_if("answered").alias("succeeded"))
+
+
+def generated(events: DataFrame, items: DataFrame, batch: int | None = None, max_calls: int | None = None) -> DataFrame:
     """One step per event: the model's item for it where there is one, else the local writer's; blank fields likewise.
 
     ``events`` as for ``local_steps``; ``items``: job_id, event_id, pos, system, action, expected_output,
-    confidence, of which the last by pos counts."""
+    confidence, of which the last by pos counts. With ``batch`` and ``max_calls`` only those ``called`` for count."""
+    if batch is not None and max_calls is not None:
+        items = items.join(called(events, batch, max_calls).drop("call"), ["job_id", "event_id"], "left_semi")
     last = items.groupBy("job_id", "event_id").agg(F.max_by(F.struct("system", "action", "expected_output", "confidence"), "pos").alias("i"))
     own = local_steps(events).join(events.select("job_id", "event_id", F.col("system").alias("seen")), ["job_id", "event_id"])
     rows = own.join(last, ["job_id", "event_id"], "left")

@@ -19,14 +19,14 @@ from tracewright.sources import recordings
 FALLBACK_EVENTS = 25
 
 
-def job_steps(segments: DataFrame, items: DataFrame | None = None, most_risky: int = 24, most: int = 40) -> DataFrame:
+def job_steps(segments: DataFrame, items: DataFrame | None = None, most_risky: int = 24, most: int = 40, batch: int = 9, max_calls: int = 6) -> DataFrame:
     """Validated steps of segments as ``segments_of`` gives them, numbered within each job.
 
-    ``items``: a model's answers by event, as for ``review.generated``. Of the risky steps the first
+    ``items``: a model's answers by event, as for ``review.generated``, of which those within ``max_calls`` calls of ``batch`` events count. Of the risky steps the first
     ``most_risky`` of a job are marked ``sent``."""
     rows = segments.select("job_id", "event_id", "end_time", "start_time", "boundary_score", "ocr_text", "screen_state_id", "system", F.col("ocr_text").alias("clean_text"), hint_of(F.col("ocr_text")).alias("action_hint"))
     none = segments.sparkSession.createDataFrame([], "job_id long, event_id int, pos int, system string, action string, expected_output string, confidence string")
-    made = review.generated(rows.select("job_id", "event_id", "clean_text", "system", "action_hint", "screen_state_id"), none if items is None else items)
+    made = review.generated(rows.select("job_id", "event_id", "clean_text", "system", "action_hint", "screen_state_id"), none if items is None else items, batch, max_calls)
     known = rows.select("job_id", "event_id", F.col("system").alias("rule_system"), "action_hint", "boundary_score", "ocr_text", "screen_state_id", "start_time", "end_time")
     made = made.join(known, ["job_id", "event_id"]).withColumnRenamed("event_id", "step_number").withColumns({"time_sec": F.col("start_time"), "source_event_index": F.col("step_number")})
     risky = steps.risk_flags(review.audited(made))

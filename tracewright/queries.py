@@ -448,6 +448,8 @@ def queries() -> dict[str, Query]:
         "audit_runs": lambda s, d: steps.audit_runs(st(s, d)),
         "update_join": q_updates,
         "generated_steps": lambda s, d: review.generated(local_events(s, d), answers(s, d)),
+        "budgeted_steps": lambda s, d: review.generated(local_events(s, d), answers(s, d), 9, 3),
+        "calls_made": lambda s, d: review.calls_made(local_events(s, d), answers(s, d), 2, 5),
         "audit_flags": lambda s, d: review.audited(audit_rows(s, d)).select("job_id", "step_number", "duration", "weak_candidate", "missing_operation", "long_segment", "coverage_review_required"),
         "verify_updates": q_verified,
         "run_stats": lambda s, d: review.run_stats(R.ordered_events(s, d).select("job_id", F.col("ord").alias("pos"), F.when(F.col("k") % 6 == 0, F.concat(F.lit("timeout "), F.col("k").cast("string"))).alias("error"))),
@@ -910,6 +912,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT job_id, event_id, CASE WHEN k % 6 = 0 THEN 'SAP' ELSE seen END AS system, CASE WHEN k % 3 = 0 AND k % 5 > 0 THEN 'Post document ' || (event_id - 1) || ' take ' || CASE WHEN k % 12 = 0 THEN 2 ELSE 1 END ELSE action END AS action,
               CASE WHEN k % 3 = 0 AND k % 4 > 0 THEN 'It is posted.' ELSE expected_output END AS expected_output, CASE WHEN k % 3 > 0 THEN confidence WHEN k % 9 = 0 THEN 'medium' ELSE 'high' END AS confidence,
               CASE WHEN k % 3 = 0 THEN 'openai_vision' ELSE generation_source END AS generation_source FROM own JOIN seen USING (job_id, event_id)""",
+        "budgeted_steps": f"""WITH own AS ({fallback_sql()}), seen AS (WITH {SCREENS} SELECT job_id, ord + 1 AS event_id, k, {sql_class("ocr_text", rules.SYSTEMS, "Other")} AS seen FROM screens)
+            SELECT job_id, event_id, CASE WHEN (k % 6 = 0 AND (event_id - 1) // 9 < 3) THEN 'SAP' ELSE seen END AS system, CASE WHEN (k % 3 = 0 AND (event_id - 1) // 9 < 3) AND k % 5 > 0 THEN 'Post document ' || (event_id - 1) || ' take ' || CASE WHEN k % 12 = 0 THEN 2 ELSE 1 END ELSE action END AS action,
+              CASE WHEN (k % 3 = 0 AND (event_id - 1) // 9 < 3) AND k % 4 > 0 THEN 'It is posted.' ELSE expected_output END AS expected_output, CASE WHEN (k % 3 > 0 OR (event_id - 1) // 9 >= 3) THEN confidence WHEN k % 9 = 0 THEN 'medium' ELSE 'high' END AS confidence,
+              CASE WHEN (k % 3 = 0 AND (event_id - 1) // 9 < 3) THEN 'openai_vision' ELSE generation_source END AS generation_source FROM own JOIN seen USING (job_id, event_id)""",
+        "calls_made": f"WITH {FRAMES}, c AS (SELECT job_id, ord // 2 AS call, bool_or(k % 3 = 0) AS answered FROM frames WHERE ord // 2 < 5 GROUP BY 1, 2) SELECT job_id, count(*) AS attempted, count_if(answered) AS succeeded FROM c GROUP BY 1",
         "audit_flags": audit_sql(),
         "verify_updates": f"""WITH {STEPS}, r AS (SELECT *, {RISKY} AS risky FROM steps), n AS (SELECT *, row_number() OVER (PARTITION BY job_id, risky ORDER BY step_number) AS nth FROM r), u AS (SELECT *, risky AND nth <= 8 AND k % 2 = 0 AS upd FROM n),
             v AS (SELECT job_id, step_number, risky, upd, k, confidence AS c, expected_output, system AS sy, CASE WHEN upd THEN action || ' Click 12345.' ELSE action END AS action FROM u)
