@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,27 +60,57 @@ def boundary_starts(frames: DataFrame, max_segments: int = 20, min_stable: float
 
     A frame qualifies by the threshold or among the job's highest scores. Within ``min_stable`` (if none is
     given 3, for recordings under 20 long 1) of the last accepted one it may only replace it, if its score is higher. A job ends at ``max_segments`` - 1."""
-    rank = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("boundary_score"), "ord"))
-    every = Window.partitionBy("job_id")
-    calm = F.lit(min_stable) if min_stable is not None else F.when(F.max("time_sec").over(every) - F.min("time_sec").over(every) < 20, 1.0).otherwise(3.0)
-    rest = frames.withColumn("calm", calm).where("ord > 0").withColumn("rank", rank).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("job_id")))
-    top = F.least(F.greatest(F.lit(2), F.lit(max_segments // 3)), F.greatest(F.lit(2), F.floor(F.col("n") / 4)))
-    high = (F.col("rank") <= top) & (F.col("boundary_score") >= F.greatest(F.lit(0.01), F.col("percentile") * 0.75))
-    rest = rest.join(thresholds(frames), "job_id").withColumn("by_score", F.col("boundary_score") >= F.col("threshold")).where(F.col("by_score") | high)
-
+    entry = F.struct("ord", "time_sec", "boundary_score")
+    one = frames.groupBy("job_id").agg(F.array_sort(F.collect_list(F.when(F.col("ord") > 0, entry))).alias("rest"), (F.max("time_sec") - F.min("time_sec")).alias("lasts"))
+    back = lambda x: F.struct((-x["boundary_score"]).alias("less"), x["ord"].alias("ord"))
     kind = "array<struct<ord:int,time_sec:double,score:double,reason:string>>"
-    entry = lambda x, reason: F.struct(x["ord"].alias("ord"), x["time_sec"].alias("time_sec"), x["boundary_score"].alias("score"), reason.alias("reason"))
+    found = lambda x, reason: F.struct(x["ord"].alias("ord"), x["time_sec"].alias("time_sec"), x["boundary_score"].alias("score"), reason.alias("reason"))
+
+    def kept_of(rest: Column, p: Column) -> Column:
+        high = lambda x: (back(x) <= p["last"]) & (x["boundary_score"] >= p["floor"])
+
+        def step(kept, x):
+            n, last = F.size(kept), F.try_element_at(kept, F.lit(-1))
+            close = (n > 0) & (x["time_sec"] - last["time_sec"] < p["calm"])
+            replaced = F.array_append(F.slice(kept, F.lit(1), F.greatest(n - 1, F.lit(0))), found(x, F.lit("hysteresis-replace")))
+            added = F.array_append(kept, found(x, F.when(x["boundary_score"] >= p["limit"], "adaptive-threshold").otherwise("top-percentile")))
+            go = (n == 0) | (n < max_segments - 1)
+            return F.when(~go, kept).when(close & (x["boundary_score"] > last["score"]), replaced).when(close, kept).otherwise(added)
+
+        return F.aggregate(F.filter(rest, lambda x: (x["boundary_score"] >= p["limit"]) | high(x)), F.array().cast(kind), step)
+
+    def starts_of(rest: Column) -> Column:
+        n_top = F.least(F.greatest(F.lit(2), F.lit(max_segments // 3)), F.greatest(F.lit(2), F.floor(F.size(rest) / 4).cast("int")))
+        last = F.get(F.array_sort(F.transform(rest, back)), F.least(n_top, F.size(rest)) - 1)  # the lowest of the highest scores
+        calm = F.lit(min_stable) if min_stable is not None else F.when(F.col("lasts") < 20, 1.0).otherwise(3.0)
+
+        def limits(q: Column) -> Column:
+            limit = F.when(q["range"] < 0.03, q["p94"]).otherwise(F.greatest(q["median"] + 2.5 * F.coalesce(F.nullif(q["mad"], F.lit(0.0)), F.lit(1e-6)), q["p88"]))
+            return F.struct(limit.alias("limit"), F.greatest(F.lit(0.01), q["p88"] * 0.75).alias("floor"), calm.cast("double").alias("calm"), last.alias("last"))
 
-    def step(kept, x):
-        n, last = F.size(kept), F.try_element_at(kept, F.lit(-1))
-        close = (n > 0) & (x["time_sec"] - last["time_sec"] < x["calm"])
-        replaced = F.array_append(F.slice(kept, F.lit(1), F.greatest(n - 1, F.lit(0))), entry(x, F.lit("hysteresis-replace")))
-        added = F.array_append(kept, entry(x, F.when(x["by_score"], "adaptive-threshold").otherwise("top-percentile")))
-        go = (n == 0) | (n < max_segments - 1)
-        return F.when(~go, kept).when(close & (x["boundary_score"] > last["score"]), replaced).when(close, kept).otherwise(added)
+        def measures(scores: Column) -> Column:
+            mad = lambda m: quantile(F.array_sort(F.transform(scores, lambda v: F.abs(v - m))), 0.5)
+            spread = F.element_at(scores, -1) - F.element_at(scores, 1)
+            return F.struct(quantile(scores, 0.5).alias("median"), bound(quantile(scores, 0.5), mad).alias("mad"), quantile(scores, 0.88).alias("p88"), quantile(scores, 0.94).alias("p94"), spread.alias("range"))
 
-    got = fold(rest, ["ord", "time_sec", "boundary_score", "by_score", "calm"], ["ord"], F.array().cast(kind), step)
-    return got.select("job_id", F.col("state").alias("starts"))
+        scores = F.array_sort(F.transform(rest, lambda x: x["boundary_score"]))
+        return bound(bound(scores, measures), lambda q: bound(limits(q), lambda p: kept_of(rest, p)))
+
+    return one.where(F.size("rest") > 0).select("job_id", bound(F.col("rest"), starts_of).alias("starts")).where(F.size("starts") > 0)
+
+
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a value that is computed once a row: a lambda's variable, where a column would be put into each of its uses."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def quantile(values: Column | str, share: float) -> Column:
+    """Of a sorted array, between its values by their distance; null if it is empty."""
+    values = F.col(values) if isinstance(values, str) else values
+    at = (F.size(values) - 1) * F.lit(share)
+    low, high = F.floor(at), F.ceil(at)
+    value = lambda i: F.get(values, i.cast("int"))
+    return F.when(value(low) == value(high), value(low)).otherwise((high - at) * value(low) + (at - low) * value(high))
 
 
 def boundary_candidates(frames: DataFrame, max_segments: int = 20, min_stable: float | None = None) -> DataFrame:
@@ -123,28 +155,31 @@ def cuts(rows: DataFrame, longest: float) -> DataFrame:
     span = ["start_ord", "end_ord", "start_time", "end_time", "k"]
     inner = (F.col("k") > 1) & (F.col("boundary_score") >= 0.01) & (F.col("ord") > F.col("start_ord")) & (F.col("ord") < F.col("end_ord") - 1)
     rows = rows.select("job_id", "segment", "ord", "time_sec", "boundary_score", *span[:-1], k.alias("k")).withColumn("inner", inner)
-    rows = rows.withColumn("n_inner", F.count_if("inner").over(Window.partitionBy("job_id", "segment")))
-    whole = rows.where("ord = start_ord")
+    # Of inner frames at one time the best stands for all; it knows the next one.
+    w = Window.partitionBy("job_id", "segment")
+    first = F.row_number().over(Window.partitionBy("job_id", "segment", "time_sec", "inner").orderBy(F.desc("boundary_score"), "ord")) == 1
+    rows = rows.withColumn("here", F.when(F.col("inner") & first, F.struct("time_sec", "boundary_score", "ord")))
+    # Backwards, as a frame to the end is summed up anew for each row.
+    behind = w.orderBy(F.desc("time_sec"), F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"after": F.last("here", ignorenulls=True).over(behind), "lowest": F.min("here.time_sec").over(w)})
 
     target = lambda i: F.col("start_time") + (F.col("end_time") - F.col("start_time")) * i / F.col("k")
-    at = rows.where("inner").groupBy("job_id", "segment", "time_sec", *span).agg(F.min_by(F.struct("boundary_score", "ord"), F.struct(-F.col("boundary_score"), "ord")).alias("x"))
-    at = at.select("job_id", "segment", *span, F.struct("time_sec", "x.boundary_score", "x.ord").alias("here"))
-    w = Window.partitionBy("job_id", "segment").orderBy("here")
-    at = at.withColumns({"after": F.lead("here").over(w), "first": F.lag("here").over(w).isNull()})
-    # Targets from this frame's time up to the next one's; the first and the last also have all before and behind them.
     place = lambda t: (t - F.col("start_time")) * F.col("k") / (F.col("end_time") - F.col("start_time"))
-    low = F.when(F.col("first"), 1).otherwise(F.greatest(F.lit(1), F.floor(place(F.col("here.time_sec"))).cast("int") - 1))
+    # Targets from this frame's time up to the next one's; the first and the last also have all before and behind them.
+    earliest = F.col("here.time_sec") == F.col("lowest")
+    low = F.when(earliest, 1).otherwise(F.greatest(F.lit(1), F.floor(place(F.col("here.time_sec"))).cast("int") - 1))
     high = F.coalesce(F.least(F.col("k") - 1, F.ceil(place(F.col("after.time_sec"))).cast("int") + 1), F.col("k") - 1)
-    near = at.where(low <= high).withColumn("i", F.explode(F.sequence(low, high)))
-    near = near.where((F.col("first") | (target(F.col("i")) >= F.col("here.time_sec"))) & (F.col("after").isNull() | (target(F.col("i")) < F.col("after.time_sec"))))
-    far = lambda x: F.struct(F.abs(x["time_sec"] - target(F.col("i"))).alias("far"), (-x["boundary_score"]).alias("less"), x["ord"].alias("ord"))
-    taken = near.select("job_id", "segment", F.least(far(F.col("here")), F.when(F.col("after").isNotNull(), far(F.col("after"))))["ord"].alias("cut"), "start_ord", "end_ord")
-
-    i = F.col("i")
-    share = F.least(F.col("end_ord") - 1, F.greatest(F.col("start_ord") + 1, F.rint(F.col("start_ord") + (F.col("end_ord") - F.col("start_ord")) * i / F.col("k")).cast("long")))
-    plain = whole.where("k > 1 and n_inner = 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k") - 1))).select("job_id", "segment", share.alias("cut"), "start_ord", "end_ord")
-    inside = taken.unionByName(plain).where("cut > start_ord and cut < end_ord").drop("start_ord")
-    return inside.unionByName(whole.select("job_id", "segment", F.col("start_ord").alias("cut"), "end_ord")).distinct()
+    own = F.filter(F.sequence(low, high), lambda i: (earliest | (target(i) >= F.col("here.time_sec"))) & (F.col("after").isNull() | (target(i) < F.col("after.time_sec"))))
+    far = lambda x, i: F.struct(F.abs(x["time_sec"] - target(i)).alias("far"), (-x["boundary_score"]).alias("less"), x["ord"].alias("ord"))
+    nearest = lambda i: F.least(far(F.col("here"), i), F.when(F.col("after").isNotNull(), far(F.col("after"), i)))["ord"]
+    taken = F.when(F.col("here").isNotNull() & (low <= high), F.transform(own, lambda i: nearest(i).cast("long")))
+    share = lambda i: F.least(F.col("end_ord") - 1, F.greatest(F.col("start_ord") + 1, F.rint(F.col("start_ord") + (F.col("end_ord") - F.col("start_ord")) * i / F.col("k")).cast("long"))).cast("long")
+    plain = F.when((F.col("ord") == F.col("start_ord")) & (F.col("k") > 1) & F.col("lowest").isNull(), F.transform(F.sequence(F.lit(1), F.col("k") - 1), share))
+    inside = F.filter(F.coalesce(taken, plain), lambda x: (x > F.col("start_ord")) & (x < F.col("end_ord")))
+    begin = F.when(F.col("ord") == F.col("start_ord"), F.array(F.col("start_ord").cast("long")))
+    none = F.array().cast("array<long>")
+    every = rows.select("job_id", "segment", "end_ord", F.explode(F.concat(F.coalesce(inside, none), F.coalesce(begin, none))).alias("cut"))
+    return every.groupBy("job_id", "segment", "cut").agg(F.first("end_ord").alias("end_ord"))
 
 
 def parts_of(edges: DataFrame) -> DataFrame:

@@ -43,7 +43,8 @@ def initial_segments(frames: DataFrame, most: int = 36, longest: float = 30.0) -
         F.min_by("boundary_score", "ord").alias("start_score"), F.min_by(shown, boundaries.steadiness()).alias("stable"), F.min_by(shown, "ord").alias("entry"),
     )
     w = in_order("start_ord")
-    closing = F.first(F.when(F.col("part") == 1, F.col("start_score")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    behind = Window.partitionBy("job_id").orderBy(F.desc("start_ord")).rowsBetween(Window.unboundedPreceding, -1)
+    closing = F.last(F.when(F.col("part") == 1, F.col("start_score")), ignorenulls=True).over(behind)
     rows = rows.withColumns({"after": F.coalesce(F.lead("entry").over(w), F.col("stable")), "closing": F.coalesce(closing, F.lit(0.0))})
     rank = F.row_number().over(Window.partitionBy("job_id").orderBy((F.col("start_ord") != 0).cast("int"), F.desc("start_score"), "start_ord"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= most).withColumn("event_id", F.row_number().over(w)).drop("rank", "part", "start_score")
