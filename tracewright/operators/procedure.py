@@ -202,14 +202,15 @@ def quality_report(clean: DataFrame, info: DataFrame, late: DataFrame) -> DataFr
         "sparse": (c("mode") == "production_vision") & (c("duration") > 300) & F.coalesce(c("density") < c("target_density"), F.lit(False)) & ~excused,
     })
     rows = rows.withColumn("uncovered", (c("raw_low") | c("final_low")) & ~excused)
-    costs = [
-        10 * c("noise"), 5 * c("duplicates"), 3 * F.greatest(F.lit(0), c("passive") - 2), 2 * c("low"), F.least(F.lit(60), 8 * c("diagnostic")), 8 * c("n_missing"), 5 * c("review_runs"), F.least(F.lit(30), 10 * c("long")),
-        *[F.when(cond, points).otherwise(0) for cond, points in (
-            (c("raw_low"), 30), (c("final_low"), 35), (c("short"), 15), (c("vague"), 35), (c("wordy"), 25), (n < 8, 10), (share(c("low")) > 0.25, 10), (c("violations") > 0, 20),
-            ((c("phases") == 1) & (c("generic_phases") > 0), 5), (c("generic_phases") == n, 5), (c("phase_errors") > 0, 20), (c("sparse"), 25))],
-    ]
+    free = lambda name: F.greatest(F.lit(0), c(name) - rules.FREE.get(name, 0))
+    each = [F.least(F.lit(rules.MOST_POINTS.get(name, 10**6)), points * free(name)) for name, points in rules.POINTS_EACH.items()]
+    holds = {
+        "raw_low": c("raw_low"), "final_low": c("final_low"), "short": c("short"), "vague": c("vague"), "wordy": c("wordy"), "few": n < 8, "unsure": share(c("low")) > 0.25, "violations": c("violations") > 0,
+        "one_phase": (c("phases") == 1) & (c("generic_phases") > 0), "generic_phases": c("generic_phases") == n, "phase_errors": c("phase_errors") > 0, "sparse": c("sparse"),
+    }
+    costs = each + [F.when(holds[name], points).otherwise(0) for name, points in rules.POINTS_ONCE.items()]
     score = F.when(n == 0, 0).otherwise(100 - reduce(lambda a, b: a + b, costs))
-    limit = F.when(c("n_missing") > 0, 69).when((c("phase_errors") > 0) | c("sparse"), 79).otherwise(100)
+    limit = F.when(c("n_missing") > 0, rules.SCORE_MISSING).when((c("phase_errors") > 0) | c("sparse"), rules.SCORE_IMPLAUSIBLE).otherwise(100)
     rows = rows.withColumn("score", F.greatest(F.lit(0), F.least(limit, score)).cast("int"))
     crowded = c("contextual") > F.greatest(F.lit(3), F.floor(n / 5))
     block = [
