@@ -27,6 +27,7 @@ import json
 import re
 import struct
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +51,14 @@ class Coder:
     """A vocabulary as the library reads it, and its bare merges for symbols that are normalised and split already."""
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
+        self.file = file
         self.whole = Tokenizer.from_str(file)
         self.whole.no_padding()
         self.whole.no_truncation()
         spec = json.loads(file)
-        plain = spec | dict.fromkeys(("normalizer", "pre_tokenizer", "post_processor", "padding", "truncation")) | {"added_tokens": []}
-        bare = lambda end: Tokenizer.from_str(json.dumps(plain | {"model": spec["model"] | {"end_of_word_suffix": end}}))
         self.end = spec["model"].get("end_of_word_suffix") or ""
-        self.words, self.inside = bare(self.end or None), bare(None)
-        self.words.pre_tokenizer = self.inside.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         special = sorted((t.content for t in self.whole.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.known: dict[str, bytes] = {}
@@ -70,6 +68,25 @@ class Coder:
         if ids(" a  b\n\tc ") != ids("a") + ids("b") + ids("c"):
             raise ValueError("the vocabulary must drop white space")
 
+    def bare(self, end: str | None):
+        """The merges alone, for symbols parted by spaces."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        spec = json.loads(self.file)
+        spec |= dict.fromkeys(("normalizer", "pre_tokenizer", "post_processor", "padding", "truncation")) | {"added_tokens": []}
+        out = Tokenizer.from_str(json.dumps(spec | {"model": spec["model"] | {"end_of_word_suffix": end}}))
+        out.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        return out
+
+    # Made when first used: a task that decodes needs neither, few need the second.
+    @cached_property
+    def words(self):
+        return self.bare(self.end or None)
+
+    @cached_property
+    def inside(self):
+        return self.bare(None)
+
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts or pieces of them, as bytes."""
         split, met, odd = [], set(), set()
