@@ -725,7 +725,7 @@ def report_sql() -> str:
 
 
 def canny_sql(px: str) -> str:
-    """Edges of 8 by 8 images by pixel numbers, and how many are in one of two neighbouring images only."""
+    """Edges of 8 by 8 images by pixel numbers, as the relations ``p`` (images) and ``edge``."""
     at = lambda i, j: f"x[greatest(0, least(7, i // 8 + {i})) * 8 + greatest(0, least(7, i % 8 + {j})) + 1]"
     beside = lambda i, j: f"CASE WHEN i // 8 + {i} BETWEEN 0 AND 7 AND i % 8 + {j} BETWEEN 0 AND 7 THEN s[(i // 8 + {i}) * 8 + i % 8 + {j} + 1] ELSE 0 END"
     gx = f"{at(-1, 1)} + 2 * {at(0, 1)} + {at(1, 1)} - {at(-1, -1)} - 2 * {at(0, -1)} - {at(1, -1)}"
@@ -734,9 +734,7 @@ def canny_sql(px: str) -> str:
     s AS (SELECT *, list_transform(range(1, 65), lambda i: abs(gx[i]) + abs(gy[i])) AS s FROM g), c AS (SELECT vec_id, i, gx[i + 1]::BIGINT AS dx, gy[i + 1]::BIGINT AS dy, s[i + 1] AS m, s FROM (SELECT *, unnest(range(0, 64)) AS i FROM s)),
     thin AS (SELECT vec_id, i, m FROM c WHERE m > {pixels.LOW} AND CASE WHEN abs(dy) * 32768 < abs(dx) * {pixels.TAN} THEN m > {beside(0, -1)} AND m >= {beside(0, 1)}
       WHEN abs(dy) * 32768 > abs(dx) * ({pixels.TAN} + 65536) THEN m > {beside(-1, 0)} AND m >= {beside(1, 0)} WHEN xor(dx, dy) < 0 THEN m > {beside(-1, 1)} AND m > {beside(1, -1)} ELSE m > {beside(-1, -1)} AND m > {beside(1, 1)} END),
-    edge AS (SELECT vec_id, i FROM thin WHERE m > {pixels.HIGH} UNION SELECT t.vec_id, t.i FROM edge e JOIN thin t ON t.vec_id = e.vec_id AND abs(t.i // 8 - e.i // 8) <= 1 AND abs(t.i % 8 - e.i % 8) <= 1),
-    once AS (SELECT vec_id, count(*) AS n FROM (SELECT vec_id, i FROM (SELECT vec_id, i FROM edge UNION ALL SELECT vec_id - 1, i FROM edge) GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1)
-    SELECT a.vec_id, round(coalesce(n, 0) / 64, 6) AS edge_delta FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 LEFT JOIN once ON once.vec_id = a.vec_id"""
+    edge AS (SELECT vec_id, i FROM thin WHERE m > {pixels.HIGH} UNION SELECT t.vec_id, t.i FROM edge e JOIN thin t ON t.vec_id = e.vec_id AND abs(t.i // 8 - e.i // 8) <= 1 AND abs(t.i % 8 - e.i % 8) <= 1)"""
 
 
 def fold_sql(rows: str, kind: str, step: str) -> str:
@@ -815,7 +813,10 @@ def job_sql() -> dict[str, str]:
         "job_evaluation": f"WITH {quality_sql().replace('SELECT job_id, n_events', ', rep AS (SELECT job_id, n_events', 1)}) SELECT job_id, generation_source, count(*) AS steps, count_if(confidence <> 'high') AS low_confidence, any_value(readiness) = 'demo_ready' AND bool_or(generation_source = 'diagnostic_fallback') AS fault FROM phased JOIN rep USING (job_id) GROUP BY 1, 2",
         "resized": f"""WITH p AS (SELECT vec_id, {px} AS x FROM embeddings), q AS (SELECT vec_id, x FROM p WHERE vec_id + 1 IN (SELECT vec_id FROM p))
             SELECT vec_id AS ord, array_to_string(list_transform(range(0, 16), lambda i: round_even((x[i // 4 * 16 + i % 4 * 2 + 1] + x[i // 4 * 16 + i % 4 * 2 + 2] + x[i // 4 * 16 + i % 4 * 2 + 9] + x[i // 4 * 16 + i % 4 * 2 + 10]) / 4, 0)::INT), ' ') AS small FROM q""",
-        "pixel_edges": canny_sql(px),
+        "pixel_edges": f"""{canny_sql(px)}, once AS (SELECT vec_id, count(*) AS n FROM (SELECT vec_id, i FROM (SELECT vec_id, i FROM edge UNION ALL SELECT vec_id - 1, i FROM edge) GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1)
+            SELECT a.vec_id, round(coalesce(n, 0) / 64, 6) AS edge_delta FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 LEFT JOIN once ON once.vec_id = a.vec_id""",
+        "visual_structure": f"""{canny_sql(px)}, n AS (SELECT vec_id, count(*) AS n FROM edge GROUP BY 1), d AS (SELECT vec_id, stddev_pop(v) AS d FROM (SELECT vec_id, unnest(x) AS v FROM p) GROUP BY 1)
+            SELECT d.vec_id AS ord, round(least(1.0, greatest(0.0, 0.65 * coalesce(n, 0) / 64 + 0.35 * least(1.0, d / 128))), 6) AS structure FROM d LEFT JOIN n USING (vec_id) WHERE d.vec_id + 1 IN (SELECT vec_id FROM p)""",
         "pixel_diff": f"WITH p AS (SELECT vec_id, {px} AS x FROM embeddings) SELECT a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: abs(a.x[i] - b.x[i]))) / 64 / 255, 6) AS diff FROM p a JOIN p b ON b.vec_id = a.vec_id + 1",
     }
 
