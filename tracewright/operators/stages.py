@@ -21,6 +21,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.operators.ordered import dealt
+
 MARKS = "digest string, name string, attempt string, n long"
 
 
@@ -70,16 +72,17 @@ def run(root: str, sources: dict[str, DataFrame], stages: list[Stage]) -> dict[s
         digest = hashlib.sha256(repr((stage.name, stage.version, [(x, digests[x]) for x in stage.reads])).encode()).hexdigest()
         digests[stage.name] = digest
         try:
-            attempt = marks[digest]["attempt"] if digest in marks else made(spark, root, stage, digest, [tables[x] for x in stage.reads])
+            attempt, n = (marks[digest]["attempt"], marks[digest]["n"]) if digest in marks else made(spark, root, stage, digest, [tables[x] for x in stage.reads])
         except Exception as error:
             raise StageFailed(stage.name, done) from error
-        tables[stage.name] = done[stage.name] = spark.read.parquet(f"{root}/tables/{attempt}")
+        table = done[stage.name] = spark.read.parquet(f"{root}/tables/{attempt}")
+        tables[stage.name] = dealt(table, n) if "job_id" in table.columns else table
     return done
 
 
-def made(spark: SparkSession, root: str, stage: Stage, digest: str, reads: list[DataFrame]) -> str:
+def made(spark: SparkSession, root: str, stage: Stage, digest: str, reads: list[DataFrame]) -> tuple[str, int]:
     attempt = f"{stage.name}-{uuid.uuid4().hex}"
     stage.make(*reads).write.parquet(f"{root}/tables/{attempt}")
     n = spark.read.parquet(f"{root}/tables/{attempt}").count()
     spark.createDataFrame([(digest, stage.name, attempt, n)], MARKS).coalesce(1).write.parquet(f"{root}/marks/{attempt}")
-    return attempt
+    return attempt, n
