@@ -5,9 +5,11 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from time import process_time
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_operators import EMPTY, ODD, lower, table
 
@@ -115,6 +117,66 @@ def test_audit_sketch(spark):
     assert divergence.audit(table(spark, EMPTY)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 40, 1 << 22])
+def test_audit_terms(most):
+    """Terms of texts that are counted together stay apart, at both ends of texts and around empty ones."""
+    texts = ["", "Ab", "ab", " ab\tAB9x ", "日本-é\x00É", "12 3", "", "no_underscore " * 9, "é"]
+    got = Counter()
+    for terms, doc, term, n in divergence.occurrences([t.encode() for t in texts], most):
+        terms = terms.to_pylist()
+        got.update({(d, terms[t].decode()): k for d, t, k in zip(doc.tolist(), term.tolist(), n.tolist())})
+    assert got == Counter((d, t) for d, text in enumerate(texts) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(text)))
+
+
+def test_audit_hashes():
+    """A term's hash doesn't depend on its neighbours, and long terms are hashed alone."""
+    terms = [b"a", "日本".encode(), b"x" * 70_000, b"b", b"x" * 70_000, b"a", b"y" * 65_536, b"z" * 65_537]
+    found = divergence.term_hashes(pa.array(terms, pa.binary()))
+    assert found[0] == found[5] and found[2] == found[4] and len(set(found.tolist())) == 6
+    assert (divergence.term_hashes(pa.array([b"before", *terms], pa.binary()).slice(1)) == found).all()
+
+
+def test_audit_tally():
+    """Rows are summed up before there are too many of them, and none is lost or doubled when they are handed out."""
+    rng, tally, expected, got = random.Random(2), divergence.Tally(most=20), Counter(), Counter()
+    groups = [(b"en", b"a"), (b"en", "é".encode()), (b"", b"")]
+
+    def handed_out():
+        for rows in map(pa.RecordBatch.to_pylist, tally.rows(batch=7)):
+            for r in rows:
+                got.update({(r["lang"], r["source"], r["term"], "n"): r["n"], (r["lang"], r["source"], r["term"], "docs"): r["docs"]})
+
+    for _ in range(60):
+        keys = rng.sample([(g, t) for g in range(3) for t in range(12)], rng.randrange(12))
+        n, docs = [rng.randrange(1, 9) for _ in keys], [rng.randrange(1, 9) for _ in keys]
+        for (g, t), x, y in zip(keys, n, docs):
+            name = (groups[g][0].decode(), groups[g][1].decode(), f"t{t}")
+            expected.update({(*name, "n"): x, (*name, "docs"): y})
+        tally.add(groups, np.array([g for g, _ in keys], np.int64), pa.array([b"t%d" % t for _, t in keys], pa.binary()), np.array(n, np.int64), np.array(docs, np.int64))
+        assert tally.size <= 40
+        if rng.random() < 0.1:
+            handed_out()
+    handed_out()
+    assert got == expected and not list(tally.rows())
+
+
+def test_audit_cost():
+    """Counting takes about the time of Python's own counter of each text's words; it took more than twice as long."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randrange(2, 12))) for _ in range(20_000)]
+    batch = [" ".join(rng.choices(words, k=300)).encode() for _ in range(1_000)]
+
+    def least_cpu(run):
+        took = []
+        for _ in range(5):
+            began = process_time()
+            run()
+            took.append(process_time() - began)
+        return min(took)
+
+    assert least_cpu(lambda: list(divergence.occurrences(batch))) < 1.5 * least_cpu(lambda: [Counter(t.translate(divergence.TERMS).split()) for t in batch])
+
+
 @pytest.fixture(scope="module")
 def coder():
     with open(VOCABULARY, encoding="utf-8") as file:

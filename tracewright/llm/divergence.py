@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import if_small, mix, shipped, small_batches, texts, word_hashes, written
+from tracewright.llm.common import Runs, chunks, if_small, mix, shipped, small_batches, texts, word_hashes, written
 
 # A-Z to a-z; every other ASCII byte that is no letter to a space. Other bytes belong to terms.
 TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+INSIDE, BETWEEN = bytes(c != 32 for c in TERMS), bytes(c for c in range(256) if TERMS[c] == 32)
 SCALE, PRIOR = 1_000_000_000, 5
 SLICE = 1 << 16
 
@@ -48,7 +49,19 @@ def term_counts(text: bytes, most: int = 1 << 20) -> Counter:
     return found
 
 
-def occurrences(batch: list[bytes], most: int = 1 << 22) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+def cut(batch: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All terms of some texts in order, and the number of each one's text."""
+    text = b" ".join([b"", *batch, b""])
+    inside = np.frombuffer(text.translate(INSIDE), bool)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # first bytes of terms, and the first behind them, in turn
+    offsets = np.zeros(len(edges) // 2 + 1, np.int32)
+    np.cumsum(edges[1::2] - edges[::2], out=offsets[1:])
+    terms = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(text.translate(TERMS, BETWEEN))])
+    ends = np.cumsum([len(t) + 1 for t in batch])
+    return terms, np.repeat(np.arange(len(batch)), np.diff(np.searchsorted(edges[::2], ends, side="right"), prepend=0))
+
+
+def occurrences(batch: list[bytes], most: int = 1 << 22) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     """(terms, doc, term, n): the distinct terms of each text with their counts, as numbers of texts and terms, for about
     ``most`` bytes of text at a time. A text longer than that comes alone."""
     at = 0
@@ -56,24 +69,37 @@ def occurrences(batch: list[bytes], most: int = 1 << 22) -> Iterator[tuple[list[
         end, size = at + 1, len(batch[at])
         if size > most:
             seen = term_counts(batch[at])
-            yield list(seen), np.full(len(seen), at), np.arange(len(seen)), np.fromiter(seen.values(), np.int64, len(seen))
+            yield pa.array(list(seen), pa.binary()), np.full(len(seen), at), np.arange(len(seen)), np.fromiter(seen.values(), np.int64, len(seen))
             at = end
             continue
         while end < len(batch) and size + len(batch[end]) <= most:
             size += len(batch[end])
             end += 1
-        words = [t.translate(TERMS).split() for t in batch[at:end]]
-        doc = np.repeat(np.arange(at, end), list(map(len, words)))
-        coded = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode()
-        terms = coded.dictionary.to_pylist()
-        pairs = pa.array(doc * max(1, len(terms)) + coded.indices.to_numpy()).value_counts()
-        key, n = pairs.field("values").to_numpy(), pairs.field("counts").to_numpy()
-        yield terms, key // max(1, len(terms)), key % max(1, len(terms)), n
+        words, doc = cut(batch[at:end])
+        coded = words.dictionary_encode()
+        many = max(1, len(coded.dictionary))
+        key, n = np.unique((at + doc) * many + coded.indices.to_numpy(), return_counts=True)
+        yield coded.dictionary, key // many, key % many, n
         at = end
 
 
+def term_hashes(terms: pa.Array, most: int = 1 << 16) -> np.ndarray:
+    """Terms are hashed together for ``most`` bytes at a time; a longer one alone, without arrays as long as itself."""
+    out = np.zeros(len(terms), np.uint64)
+    _, offsets, data = terms.buffers()
+    if len(terms):
+        ends, data = np.frombuffer(offsets, np.int32)[terms.offset : terms.offset + len(terms) + 1], np.frombuffer(data, np.uint8)
+        for i, j in chunks(ends, most):
+            some = data[ends[i] : ends[j]]
+            if len(some) > most:
+                out[i] = word_hashes([some.tobytes()])[0]
+            else:
+                out[i:j] = Runs(some.astype(np.uint64)).hash(ends[i:j] - ends[i], ends[i + 1 : j + 1] - ends[i])
+    return out
+
+
 def hashes(terms: list[bytes], lang: bytes) -> np.ndarray:
-    return mix(word_hashes(terms) ^ word_hashes([lang])[0])
+    return mix(term_hashes(pa.array(terms, pa.binary())) ^ word_hashes([lang])[0])
 
 
 def places(h: np.ndarray, width: int, depth: int) -> np.ndarray:
@@ -82,6 +108,13 @@ def places(h: np.ndarray, width: int, depth: int) -> np.ndarray:
     return np.stack([(h + np.uint64(i) * step) % np.uint64(width) + np.uint64(i * width) for i in range(depth)]).astype(np.int64)
 
 
+def numbered(keys: list) -> tuple[list, np.ndarray]:
+    """Distinct keys in order of appearance, and the number of each row's."""
+    numbers: dict = {}
+    rows = np.array([numbers.setdefault(k, len(numbers)) for k in keys], np.int64)
+    return list(numbers), rows
+
+
 def sketch(docs: DataFrame, least: int, width: int, depth: int) -> np.ndarray:
     """Document frequencies of (lang, term), at most ``least``: counters of ``depth`` rows of ``width``."""
     kind = np.dtype(np.uint8 if least <= 255 else np.uint32)
@@ -89,14 +122,14 @@ def sketch(docs: DataFrame, least: int, width: int, depth: int) -> np.ndarray:
     def local(batches):
         total = np.zeros(depth * width, kind)
         for batch in batches:
-            langs = np.array(texts(batch.column("lang")), object)
+            langs, lang = numbered(texts(batch.column("lang")))
+            salts = word_hashes(langs)
             for terms, doc, term, _ in occurrences(texts(batch.column("text"))):
-                for lang in set(langs[doc]):
-                    df = np.bincount(term[langs[doc] == lang], minlength=len(terms))
-                    seen = np.flatnonzero(df)
-                    for row in places(hashes([terms[i] for i in seen], lang), width, depth):  # terms may share a counter
-                        cells, back = np.unique(row, return_inverse=True)
-                        total[cells] = np.minimum(total[cells] + np.bincount(back, df[seen]).astype(np.int64), least).astype(kind)
+                many = max(1, len(terms))
+                key, df = np.unique(lang[doc] * many + term, return_counts=True)
+                for row in places(mix(term_hashes(terms)[key % many] ^ salts[key // many]), width, depth):  # terms may share a counter
+                    cells, back = np.unique(row, return_inverse=True)
+                    total[cells] = np.minimum(total[cells] + np.bincount(back, df).astype(np.int64), least).astype(kind)
         for i in range(0, len(total), SLICE):
             if total[i : i + SLICE].any():
                 yield pa.RecordBatch.from_arrays([pa.array([i // SLICE], pa.int32()), pa.array([zlib.compress(total[i : i + SLICE].tobytes(), 1)], pa.binary())], ["slice", "counters"])
@@ -121,14 +154,14 @@ def sketch(docs: DataFrame, least: int, width: int, depth: int) -> np.ndarray:
     return out
 
 
-def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Keys, each once, with the sums of the columns beside them."""
-    key, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return (key, *(np.bincount(back, np.concatenate([p[i] for p in parts])).astype(np.int64) for i in range(1, len(parts[0]))))
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, each once, with the sum of n and the number of rows."""
+    key, back, rows = np.unique(key, return_inverse=True, return_counts=True)
+    return key, np.bincount(back, n).astype(np.int64), rows
 
 
 class Tally:
-    """Counts by (lang, source, term) in a task, handed out when there are ``most`` of them."""
+    """Counts by (lang, source, term) in a task, handed out when there are ``most`` of them or terms of 32 times as many bytes."""
 
     def __init__(self, most: int = 1 << 20):
         self.most = most
@@ -136,28 +169,46 @@ class Tally:
 
     def clear(self) -> None:
         self.groups: dict[tuple[bytes, bytes], int] = {}
-        self.terms: dict[bytes, int] = {}
         self.parts, self.size = [], 0
 
-    def add(self, group: np.ndarray, term: np.ndarray, n: np.ndarray) -> None:
-        """One row for each document and term."""
-        self.parts.append(summed([(group << np.int64(32) | term, n, np.ones(len(n), np.int64))]))
-        self.size += len(self.parts[-1][0])
-        if self.size > self.most:
-            self.parts = [summed(self.parts)]
-            self.size = len(self.parts[0][0])
+    def add(self, groups: list[tuple[bytes, bytes]], group: np.ndarray, terms: pa.Array, n: np.ndarray, docs: np.ndarray) -> None:
+        """Rows of a number in ``groups``, a term and its counts, each number and term once."""
+        if not len(terms):
+            return
+        number = np.array([self.groups.setdefault(g, len(self.groups)) for g in groups], np.int64)
+        self.parts.append((number[group], terms, n, docs))
+        self.size += self.weight(terms)
+        if self.size > 2 * self.most:  # more than ``most`` of them are new since the last time
+            self.parts = [self.total()]
+            self.size = self.weight(self.parts[0][1])
+
+    def weight(self, terms: pa.Array) -> int:
+        return max(len(terms), terms.nbytes // 32)
+
+    def total(self) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        """The parts summed up to one; they are gone."""
+        if len(self.parts) == 1:
+            return self.parts.pop()
+        group, terms, n, docs = zip(*self.parts)
+        self.parts = []
+        coded = pa.chunked_array(terms).dictionary_encode().unify_dictionaries().chunks
+        key = np.concatenate(group) << 32 | np.concatenate([c.indices.to_numpy() for c in coded])
+        order = np.argsort(key)
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        n, docs = (np.add.reduceat(np.concatenate(x)[order], first) for x in (n, docs))
+        key = key[order[first]]
+        return key >> 32, coded[0].dictionary.take(pa.array(key & 0xFFFFFFFF)), n, docs
 
     def rows(self, batch: int = 1 << 17) -> Iterator[pa.RecordBatch]:
         if not self.parts:
             return
-        key, n, docs = summed(self.parts)
-        groups, terms = list(self.groups), pa.array(list(self.terms), pa.binary())
-        langs, sources = (pa.array([g[i] for g in groups], pa.binary()) for i in (0, 1))
-        for i in range(0, len(key), batch):
-            group, term = pa.array(key[i : i + batch] >> 32), pa.array(key[i : i + batch] & 0xFFFFFFFF)
-            columns = [langs.take(group), sources.take(group), terms.take(term)]
-            yield pa.RecordBatch.from_arrays([*(c.cast(pa.string()) for c in columns), pa.array(n[i : i + batch]), pa.array(docs[i : i + batch])], ["lang", "source", "term", "n", "docs"])
+        langs, sources = (pa.array([g[i] for g in self.groups], pa.binary()).cast(pa.string()) for i in (0, 1))
+        group, terms, n, docs = self.total()
         self.clear()
+        for i in range(0, len(n), batch):
+            one = slice(i, i + batch)
+            of = pa.array(group[one])
+            yield pa.RecordBatch.from_arrays([langs.take(of), sources.take(of), terms[one].cast(pa.string()), pa.array(n[one]), pa.array(docs[one])], ["lang", "source", "term", "n", "docs"])
 
 
 def counted(docs: DataFrame, least: int, width: int, depth: int) -> DataFrame:
@@ -167,26 +218,15 @@ def counted(docs: DataFrame, least: int, width: int, depth: int) -> DataFrame:
     def count(batches):
         counters, tally = shared(), Tally()
         for batch in batches:
-            langs, sources = np.array(texts(batch.column("lang")), object), texts(batch.column("source"))
+            groups, group = numbered(list(zip(texts(batch.column("lang")), texts(batch.column("source")))))
+            salts = word_hashes([lang for lang, _ in groups])
             for terms, doc, term, n in occurrences(texts(batch.column("text"))):
-                keep, own = np.zeros(len(n), bool), langs[doc]
-                for lang in set(own):
-                    here = np.flatnonzero(own == lang)
-                    seen = np.unique(term[here])
-                    possible = np.zeros(len(terms), bool)
-                    possible[seen] = counters[places(hashes([terms[i] for i in seen], lang), width, depth)].min(axis=0) >= least
-                    keep[here] = possible[term[here]]
-                doc, term, n = doc[keep], term[keep], n[keep]
-                if not len(n):
-                    continue
-                number = np.zeros(len(terms), np.int64)
-                for i in np.unique(term):
-                    number[i] = tally.terms.setdefault(terms[i], len(tally.terms))
-                group = {d: tally.groups.setdefault((langs[d], sources[d]), len(tally.groups)) for d in np.unique(doc).tolist()}
-                of = np.zeros(len(sources), np.int64)
-                of[list(group)] = list(group.values())
-                tally.add(of[doc], number[term], n)
-                if tally.size > tally.most or len(tally.terms) > tally.most:
+                many = max(1, len(terms))
+                key, n, df = summed(group[doc] * many + term, n)
+                own, term = key // many, key % many
+                keep = counters[places(mix(term_hashes(terms)[term] ^ salts[own]), width, depth)].min(axis=0) >= least
+                tally.add(groups, own[keep], terms.take(pa.array(term[keep])), n[keep], df[keep])
+                if tally.size > tally.most and len(tally.parts) == 1:
                     yield from tally.rows()
         yield from tally.rows()
 
