@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import boundaries, cleanup, evidence, procedure, stages
+from tracewright.operators import boundaries, cleanup, evidence, ordered, procedure, stages
 from tracewright.plans import job, segments
 
 FRAME = "job_id int, ord int, time_sec double, boundary_score double, visual_score double, ocr_text string, hash string, diff_score double, structure double"
@@ -256,7 +256,7 @@ def test_failure_is_no_result(spark, tmp_path, monkeypatch):
     def fails(*tables):
         raise RuntimeError("lost")
 
-    short = [stages.Stage(s.name, s.reads, fails if s.name == "steps" else s.make, s.version) for s in job.STAGES if s.name in ("segments", "jobs", "steps")]
+    short = [stages.Stage(s.name, s.reads, fails if s.name == "steps" else s.make, s.version) for s in job.STAGES if s.name in ("starts", "parts", "segments", "jobs", "steps")]
     report = job.run_jobs(run_frames(spark), f"file://{tmp_path}", short)["report"].collect()
     assert len(report) == 4 and all(r.readiness == "not_ready" and r.blockers.startswith("first events only, after a failure") for r in report)
     monkeypatch.setattr(job, "STAGES", short)
@@ -265,6 +265,31 @@ def test_failure_is_no_result(spark, tmp_path, monkeypatch):
         job.job_pipeline(spark, "")
 
 
+def test_work_once(spark):
+    """Starts are folded once, and steps are written, audited, verified and validated without another shuffle of their jobs."""
+    frames = spark.createDataFrame([(1, i, i * 5.0, 0.5, 0.0, "", "", 0.0, 0.0) for i in range(9)], FRAME)
+    assert boundaries.boundary_starts(frames)._jdf.queryExecution().optimizedPlan().toString().count("hysteresis-replace") == 1
+    kinds = "job_id long, event_id int, start_time double, end_time double, boundary_score double, ocr_text string, screen_state_id int, system string"
+    rows = [(j, i, i * 20.0, i * 20.0 + 5, 0.1 * i, ["SAP vendor invoice", "", "Excel pivot field", "export download"][i % 4], i % 3, ["SAP", "Other", "Excel", "Other"][i % 4]) for j in range(2) for i in range(1, 9)]
+    segments_ = ordered.dealt(spark.createDataFrame(rows, kinds), 16)
+    plain = job.job_steps(segments_)
+    assert plain._jdf.queryExecution().sparkPlan().toString().count("Join") == 0 and plain._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    looked_up = job.job_steps(segments_, told=ordered.by_value)
+    assert sorted(map(str, looked_up.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_by_value(spark, monkeypatch):
+    """What a value tells is the same, row by row or looked up, with nulls, many values or long ones; no row is lost."""
+    rows = spark.createDataFrame([(i, [None, "", "a", "b"][i % 4], "x" if i % 3 else None) for i in range(24)], "i int, a string, b string")
+    make = lambda x: x.withColumn("said", F.concat_ws("-", F.coalesce("a", F.lit("none")), "b"))
+    want = sorted(map(str, make(rows).collect()))
+    for few, length in ((20_000, 8_000_000), (3, 8_000_000), (20_000, 5)):
+        monkeypatch.setattr(ordered, "FEW_VALUES", few)
+        monkeypatch.setattr(ordered, "FEW_BYTES", length)
+        got = ordered.by_value(rows, ["a", "b"], make)
+        assert sorted(map(str, got.collect())) == want and ("Join" in got._jdf.queryExecution().sparkPlan().toString()) == (few > 3 and length > 5)
+
+
 def test_digest(spark):
     rows = spark.createDataFrame([(i, f"t{i % 3}") for i in range(20)], "a int, b string")
     same = stages.content_digest(rows.repartition(3).select("b", "a"))

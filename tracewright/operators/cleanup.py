@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import rules
 from tracewright.functions.score import seconds_in
 from tracewright.functions.text import action_roots, checkpoint, contains_any, content_tokens, generic_review, jaccard, meaningful, noise, normalized, passive, review_style, text_of
-from tracewright.operators.ordered import in_order, paired, run_id
+from tracewright.operators.ordered import each_row, in_order, paired, run_id
 
 BY_NUMBER = "step_number"
 
 
+#: What a step is worded by.
+WORDING = ["action", "expected_output"]
+
+
 def step_flags(steps: DataFrame) -> DataFrame:
     a, e = F.col("action"), F.col("expected_output")
     rows = steps.withColumns({"meaningful": meaningful(a), "checkpoint": checkpoint(a, e), "review": review_style(a), "generic": generic_review(a)})
@@ -78,16 +84,21 @@ def terms_in(tokens: Column, terms: list[str]) -> Column:
     return F.array_sort(F.array_intersect(tokens, F.array(*map(F.lit, terms))))
 
 
-def described(steps: DataFrame) -> DataFrame:
-    """Adds what pairs are compared by."""
+def described(steps: DataFrame, told: Callable[..., DataFrame] = each_row) -> DataFrame:
+    """Adds what pairs are compared by. ``told``: how what their wording tells is found, see ``ordered.by_value``."""
+    begins = start_of(steps)
+    times = {"begins": F.coalesce(begins, F.lit(0.0)), "ends": F.coalesce(first_of(steps, ("end_time",)), begins, F.lit(0.0))}
+    return told(steps, WORDING, compared).withColumns(times)
+
+
+def compared(steps: DataFrame) -> DataFrame:
+    """Adds what pairs are compared by that their wording alone tells."""
     a, e = text_of(F.col("action")), text_of(F.col("expected_output"))
     words = F.col("words")
     details = F.array_sort(F.array_union(F.array_intersect(words, F.array(*map(F.lit, rules.DETAIL_TERMS))), F.filter(words, lambda w: w.rlike("^[0-9]+$"))))
     body = normalized(F.concat_ws(" ", a, e))
     fields = F.filter(F.array(*map(F.lit, rules.FIELD_TERMS)), lambda t: normalized(a).contains(t))
-    begins = start_of(steps)
-    times = {"begins": F.coalesce(begins, F.lit(0.0)), "ends": F.coalesce(first_of(steps, ("end_time",)), begins, F.lit(0.0))}
-    steps = steps.withColumn("words", content_tokens(F.concat_ws(" ", a, e))).withColumns(times)
+    steps = steps.withColumn("words", content_tokens(F.concat_ws(" ", a, e)))
     return steps.withColumns({"body": body, "fields": fields, "pivot": normalized(a).contains("pivottable"), "action_words": content_tokens(a), "expected_words": content_tokens(e), "targets": terms_in(words, rules.DOMAIN_TERMS), "details": details, "roots": terms_in(action_roots(a), rules.VERBS)})
 
 
@@ -180,17 +191,22 @@ FILLER = ["worksheet data", "fields pane", "design tab", "visible process screen
 OUTPUTS = ["formatted excel table", "selected header row", "source data table", "pivottable summary", "pivot table summary", "pivottable with", "pivot table with", "pivotchart", "pivot chart", "slicer", "filter", "percentage column"]
 
 
-def category_of(order: Window) -> Column:
+def review_terms() -> Column:
+    """Whether a step's wording names what a review may be about, filler, and outputs."""
+    body = F.concat_ws(" ", normalized(F.col("action")), normalized(F.col("expected_output")))
+    return F.struct(contains_any(body, REVIEW_OBJECTS).alias("about"), contains_any(body, FILLER).alias("filler"), contains_any(body, OUTPUTS).alias("outputs"))
+
+
+def category_of(order: Window, terms: Column | None = None) -> Column:
     """operational_checkpoint, contextual_review or passive_filler for a review-like step, by its neighbours in
-    ``order``; null for others. Needs the flags and family.
+    ``order``; null for others. Needs the flags and family. ``terms``: ``review_terms``, if they are known already.
 
     A step between two meaningful ones bridges them only if the next is meaningful, so that case is part of it."""
     before, after = (F.coalesce(f("meaningful").over(order), F.lit(False)) for f in (F.lag, F.lead))
-    body = F.concat_ws(" ", normalized(F.col("action")), normalized(F.col("expected_output")))
-    about, excel = contains_any(body, REVIEW_OBJECTS), F.col("family").startswith("excel")
-    shows = excel & contains_any(body, OUTPUTS)
+    terms, excel = review_terms() if terms is None else terms, F.col("family").startswith("excel")
+    about, shows = terms["about"], excel & terms["outputs"]
     category = (
-        F.when(F.col("checkpoint"), "operational_checkpoint").when(excel & contains_any(body, FILLER), "passive_filler").when(shows & before, "operational_checkpoint")
+        F.when(F.col("checkpoint"), "operational_checkpoint").when(excel & terms["filler"], "passive_filler").when(shows & before, "operational_checkpoint")
         .when(shows & after, "contextual_review").when(about & before, "operational_checkpoint").when(about & after, "contextual_review").otherwise("passive_filler")
     )
     return F.when(F.col("review") | F.col("passive") | F.col("checkpoint"), category)

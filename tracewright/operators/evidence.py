@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import rules
-from tracewright.functions.text import contains_any, event_signature, hash_distance, hint_of, jaccard, text_of, text_strength, tokens
+from tracewright.functions.text import bits_apart, contains_any, event_signature, hash_bits, hash_distance, hint_of, jaccard, text_of, text_strength, tokens
 from tracewright.operators.ordered import fold, in_order, run_id
 
 
@@ -91,18 +91,18 @@ def pick_evidence(segments: DataFrame, most: int) -> DataFrame:
 
 
 def picks(segments: DataFrame, most: int) -> DataFrame:
-    """job_id, state: what ``pick_evidence`` takes, an array (segment, role, path, hash) for each job."""
+    """job_id, state: what ``pick_evidence`` takes, an array (segment, role, path, bits of the hash) for each job."""
     frames = F.array(*[F.struct(F.lit(go).alias("go"), "segment", F.lit(i).alias("i"), F.lit(role).alias("role"), F.col(role).alias("path")) for i, (go, role) in enumerate([(1, "stable_frame"), (2, "entry_frame"), (2, "after_frame")])])
-    rows = segments.select("job_id", F.coalesce("image_hash", F.lit("")).alias("hash"), F.coalesce("boundary_score", F.lit(0.0)).alias("score"), F.coalesce("forced", F.lit(False)).alias("forced"), F.explode(frames).alias("x")).select("job_id", "hash", "score", "forced", "x.*").where("path is not null")
+    rows = segments.select("job_id", hash_bits(F.col("image_hash")).alias("bits"), F.coalesce("boundary_score", F.lit(0.0)).alias("score"), F.coalesce("forced", F.lit(False)).alias("forced"), F.explode(frames).alias("x")).select("job_id", "bits", "score", "forced", "x.*").where("path is not null")
 
     def step(kept, x):
         known = F.exists(kept, lambda k: k["path"] == x["path"])
-        weak = (x["hash"] != "") & (x["score"] < 0.02) & ~x["forced"] & F.exists(kept, lambda k: (k["hash"] != "") & (hash_distance(k["hash"], x["hash"]) <= 2))
-        entry = F.struct(x["segment"].cast("int").alias("segment"), x["role"].alias("role"), x["path"].alias("path"), x["hash"].alias("hash"))
+        weak = (x["score"] < 0.02) & ~x["forced"] & F.exists(kept, lambda k: bits_apart(k["bits"], x["bits"]) <= 2)
+        entry = F.struct(x["segment"].cast("int").alias("segment"), x["role"].alias("role"), x["path"].alias("path"), x["bits"].alias("bits"))
         return F.when(known | weak | (F.size(kept) >= most), kept).otherwise(F.array_append(kept, entry))
 
-    start = F.array().cast("array<struct<segment:int,role:string,path:string,hash:string>>")
-    return fold(rows, ["role", "path", "hash", "score", "forced"], ["go", "segment", "i"], start, step)
+    start = F.array().cast("array<struct<segment:int,role:string,path:string,bits:bigint>>")
+    return fold(rows, ["role", "path", "bits", "score", "forced"], ["go", "segment", "i"], start, step)
 
 
 def with_context(events: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ A job without steps has no rows in the step tables and a row with zeros in the r
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from tracewright.functions import rules
 from tracewright.functions.score import coverage_minimum
 from tracewright.functions.text import contains_any, first_rule, normalized, text_of
-from tracewright.operators.cleanup import BY_NUMBER, COMPARED, category_of, described, duplicate, order_key, phase_of, setup_first, step_flags
-from tracewright.operators.ordered import in_order, paired, run_id
+from tracewright.operators.cleanup import BY_NUMBER, COMPARED, WORDING, category_of, described, duplicate, order_key, phase_of, review_terms, setup_first, step_flags
+from tracewright.operators.ordered import each_row, in_order, paired, run_id
 
 TIME = ("order_key", BY_NUMBER)
 
@@ -38,8 +39,23 @@ def family_of() -> Column:
     return out.otherwise("generic")
 
 
+def worded_phases(rows: DataFrame) -> DataFrame:
+    """Adds ``phases``: for each family the phase that a step's wording alone tells, before and after overrides."""
+    a, e = normalized(F.col("action")), normalized(F.col("expected_output"))
+    said = {"action": a, "expected": e, "text": F.trim(F.concat_ws(" ", a, e))}
+    of = [F.coalesce(first_rule(rules.PIVOT_PHASES, said), F.lit(rules.PIVOT_DEFAULT)).alias("base"), first_rule(rules.PIVOT_OVERRIDES, said).alias("override")]
+    return rows.withColumn("phases", F.struct(*of, *[phase_of(F.concat_ws(" ", a, e), F.lit(name)).alias(name) for name in rules.PHASES]))
+
+
 def phase_labels(steps: DataFrame) -> DataFrame:
-    """Adds family, phase, corrected (whether an override changed it) and phase_error (null if none)."""
+    """Adds family, phase, corrected (whether an override changed it) and phase_error (null if none).
+
+    Steps with ``phases`` (``worded_phases``) give up these, others are looked at row by row."""
+    if "phases" in steps.columns:
+        pivot, of = F.col("family") == "excel_pivottable", lambda name: F.col(f"phases.{name}")
+        base = F.when(pivot, of("base")).otherwise(F.coalesce(*[F.when(F.col("family") == name, of(name)) for name in rules.PHASES]))
+        rows = steps.withColumn("family", family_of()).withColumn("base", base).withColumn("phase", F.coalesce(F.when(pivot, of("override")), F.col("base")))
+        return rows.withColumns({"corrected": F.col("phase") != F.col("base"), "phase_error": phase_error()}).drop("base", "phases")
     a, e = normalized(F.col("action")), normalized(F.col("expected_output"))
     said = {"action": a, "expected": e, "text": F.trim(F.concat_ws(" ", a, e))}
     pivot = F.col("family") == "excel_pivottable"
@@ -73,13 +89,17 @@ def legacy_phases(steps: DataFrame) -> DataFrame:
     return rows.select("job_id", BY_NUMBER, F.coalesce("phase", F.when(nth <= rules.LEGACY_FIRST, "Access system").otherwise("Validate")).alias("phase"))
 
 
-def judged(steps: DataFrame, info: DataFrame) -> DataFrame:
+Told = Callable[..., DataFrame]  # ``ordered.each_row`` or ``ordered.by_value``: how what a step's wording tells is found
+
+
+def judged(steps: DataFrame, info: DataFrame, told: Told = each_row) -> DataFrame:
     """Steps with order_key, flags, category, and the removal of each: null, noise or filler. Neighbours are those by order_key.
 
     Guards: where removal would leave less than 0.60 steps an event (from 25 events), where there were too few
     steps to begin with, or where over 40 % of five or more steps would go, only noise goes."""
-    rows = step_flags(steps.withColumn("order_key", order_key(steps)).join(info.select("job_id", "n_events"), "job_id")).withColumn("family", family_of())
-    rows = rows.withColumn("category", category_of(in_order(*TIME)))
+    rows = told(steps, WORDING, lambda x: step_flags(x.withColumn("terms", review_terms())))
+    rows = rows.withColumn("order_key", order_key(steps)).join(info.select("job_id", "n_events"), "job_id").withColumn("family", family_of())
+    rows = rows.withColumn("category", category_of(in_order(*TIME), F.col("terms"))).drop("terms")
     n, events = F.count(F.lit(1)).over(job()), F.col("n_events")
     going = F.count_if(F.col("noise") | F.col("category").eqNullSafe(F.lit("passive_filler"))).over(job())
     few = (events > 0) & (n < coverage_minimum(events))
@@ -90,14 +110,14 @@ def judged(steps: DataFrame, info: DataFrame) -> DataFrame:
     return rows.withColumns({"removal": removal, "category": F.when(F.col("guarded"), alone).otherwise(F.col("category")), "n_before": n})
 
 
-def merged(rows: DataFrame) -> DataFrame:
+def merged(rows: DataFrame, told: Told = each_row) -> DataFrame:
     """One row for each step or pair of adjacent duplicates: the more specific one with ``sources`` (numbers).
 
     A job whose merging would fall below its coverage minimum stays unmerged. Of a pivot's set-up and creation the
     creation's expected output stays, or else the set-up's, or else a fixed one."""
     score = F.size("words") + 8 * F.col("meaningful").cast("int") - 5 * F.col("passive").cast("int") + 4 * F.col("checkpoint").cast("int")
     own = [c for c in rows.columns if c != "job_id"]
-    rows = described(rows)
+    rows = described(rows, told)
     rows = rows.withColumn("me", F.struct(*COMPARED, *[c for c in own if c not in COMPARED], score.alias("score")))
     rows = rows.select("job_id", *TIME, "n_events", "me", F.lead("me").over(in_order(*TIME)).alias("next"))
     rows = paired(rows, duplicate("me", "next"), *TIME)
@@ -117,34 +137,49 @@ def merged(rows: DataFrame) -> DataFrame:
 
 def clean_steps(steps: DataFrame, info: DataFrame, most: int | None = None) -> DataFrame:
     """The cleaned procedure: judged, merged, capped, renumbered by ``order_key`` as ``place``, with phases and sections."""
-    rows = merged(judged(steps, info).where("removal is null")).withColumn("place", F.row_number().over(in_order(*TIME)))
-    rows = phase_labels(rows if most is None else rows.where(F.col("place") <= most)).drop("order_key")
+    return clean_judged(judged(steps, info), most)
+
+
+def clean_judged(rows: DataFrame, most: int | None = None, told: Told = each_row) -> DataFrame:
+    """``clean_steps`` of steps that are ``judged`` already."""
+    stay = rows.where("removal is null")
+    rows = merged(stay, told).withColumn("place", F.row_number().over(in_order(*TIME)))
+    rows = rows if most is None else rows.where(F.col("place") <= most)
+    if told is not each_row:
+        shown = stay.select("expected_output").unionByName(stay.sparkSession.createDataFrame([(SETUP_RESULT,)], "expected_output string"))
+        rows = told(rows, WORDING, worded_phases, stay.select(*WORDING).unionByName(shown.withColumn("action", F.lit(SETUP_WORDING))))
+    rows = phase_labels(rows).drop("order_key")
     return rows.withColumn("section", run_id(F.col("phase") != F.lag("phase").over(in_order("place")), "place"))
 
 
 def removed_steps(steps: DataFrame, info: DataFrame) -> DataFrame:
     """job_id, step_number, reason: noise, filler, or repeated filler (the same words were removed before)."""
-    rows = judged(steps, info).where("removal is not null")
+    return removed_judged(judged(steps, info))
+
+
+def removed_judged(rows: DataFrame) -> DataFrame:
+    """``removed_steps`` of steps that are ``judged`` already."""
+    rows = rows.where("removal is not null")
     words = F.concat_ws(" ", normalized(F.col("action")), normalized(F.col("expected_output")))
     again = F.row_number().over(Window.partitionBy("job_id", "removal", words).orderBy(*TIME)) > 1
     return rows.select("job_id", BY_NUMBER, F.when((F.col("removal") == "filler") & again, "repeated filler").otherwise(F.col("removal")).alias("reason"))
 
 
-def watched(clean: DataFrame) -> DataFrame:
+def watched(clean: DataFrame, told: Told = each_row) -> DataFrame:
     """Adds what is counted along the order: event_gap to the last operational step, in_review, run, twice.
 
     The gap is in source_event_index where there is such a column, else in step numbers."""
     w, at = in_order("place"), F.col("source_event_index" if "source_event_index" in clean.columns else BY_NUMBER)
     before = F.last(F.when(F.col("meaningful"), at), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     in_review = F.coalesce(F.col("category").isin("contextual_review", "passive_filler"), F.lit(False)) | (F.col("review") & ~F.col("meaningful"))
-    rows = described(clean).withColumns({"event_gap": F.when(F.col("meaningful"), at - before), "in_review": in_review})
+    rows = described(clean, told).withColumns({"event_gap": F.when(F.col("meaningful"), at - before), "in_review": in_review})
     rows = rows.withColumn("run", run_id(~F.col("in_review"), "place"))
     rows = rows.withColumn("run_at", F.when(F.col("in_review"), F.count_if("in_review").over(Window.partitionBy("job_id", "run").orderBy("place"))))
     rows = rows.withColumn("me", F.struct(*COMPARED))
     return rows.withColumn("next", F.lead("me").over(w)).withColumn("twice", F.coalesce(duplicate("me", "next"), F.lit(False)))
 
 
-def job_counts(clean: DataFrame) -> DataFrame:
+def job_counts(clean: DataFrame, told: Told = each_row) -> DataFrame:
     """One row per job: counts of its cleaned steps, and which actions the evidence asks for but no step describes.
 
     Evidence is what steps say, expect and, where there is a column ocr_text, show. It and what is done are looked for in
@@ -154,7 +189,8 @@ def job_counts(clean: DataFrame) -> DataFrame:
     seen = [F.col(c) for c in ("action", "expected_output", "ocr_text") if c in clean.columns]
     text = normalized(F.concat_ws(" ", *[text_of(c) for c in seen]))
     pivot = F.first("family") == "excel_pivottable"
-    together = lambda c: F.array_join(F.array_sort(F.collect_list(F.struct("place", c.alias("said"))))["said"], " ")
+    of_pivot = lambda c: F.when(F.col("family") == "excel_pivottable", F.struct("place", c.alias("said")))  # noqa: E731  (others ask for nothing)
+    together = lambda c: F.array_join(F.array_sort(F.collect_list(of_pivot(c)))["said"], " ")
     any_of = lambda column, terms: contains_any(F.col(column), terms if isinstance(terms, list) else [terms])
     missing = []
     for name, evidence, acted, asked, phrases in rules.EXPECTED_ACTIONS:
@@ -162,7 +198,7 @@ def job_counts(clean: DataFrame) -> DataFrame:
         asks = any_of("evidence", evidence) & (any_of("acts", acted) if asked else F.lit(True))
         missing.append(F.when(F.col("pivot") & asks & ~done, name))
     diagnostic = F.col("generation_source").eqNullSafe(F.lit("diagnostic_fallback"))
-    counts = watched(clean).groupBy("job_id").agg(
+    counts = watched(clean, told).groupBy("job_id").agg(
         n.alias("steps"), F.first("n_before").alias("before"), F.count_if("noise").alias("noise"), F.count_if(F.col("passive") | F.col("category").eqNullSafe(F.lit("contextual_review"))).alias("passive"),
         F.count_if("twice").alias("duplicates"), F.count_if(F.size("sources") > 1).alias("merged"), F.count_if(~F.col("confidence").eqNullSafe(F.lit("high"))).alias("low"), F.count_if(diagnostic).alias("diagnostic"),
         F.count_if((F.col("review") & ~F.col("meaningful")) | action.startswith("review the process state shown")).alias("generic"), F.count_if(F.col("meaningful")).alias("operational"),
@@ -182,13 +218,13 @@ def completeness(clean: DataFrame, info: DataFrame) -> DataFrame:
     return rows.select("job_id", "review_runs", thin.alias("thin"), (big & (F.col("widest_gap") >= 5)).alias("gappy"), "missing")
 
 
-def quality_report(clean: DataFrame, info: DataFrame, late: DataFrame) -> DataFrame:
+def quality_report(clean: DataFrame, info: DataFrame, late: DataFrame, told: Told = each_row) -> DataFrame:
     """One row per job of ``info``: counts, ratios, score 0 to 100, readiness, blockers in the order of their rules.
 
     ``late``: the rows out of order at the start (job_id). Order itself is repaired by then, so it costs points only."""
     c = F.col
     violations = late.groupBy("job_id").agg(F.count(F.lit(1)).alias("violations"))
-    rows = info.join(job_counts(clean), "job_id", "left").join(violations, "job_id", "left").fillna(0).fillna("", ["missing"])
+    rows = info.join(job_counts(clean, told), "job_id", "left").join(violations, "job_id", "left").fillna(0).fillna("", ["missing"])
     n, events = c("steps"), c("n_events")
     share = lambda x: F.when(n > 0, x / n).otherwise(0.0)
     rows = rows.withColumns({

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions import rules
 from tracewright.functions.text import contains_any, generic_review, redacted, text_of, word_norm
 from tracewright.operators.ordered import in_order, run_id
-from tracewright.operators.steps import local_steps
+from tracewright.operators.steps import known, local_steps, operates, signature
 
 # What speaks for an operation that a generic review of an Excel screen has missed.
 OPERATION_HINTS = ["data entry", "filter", "post/save"]
-OPERATION_TERMS = ["field", "measure", "sum", "maximum", "percentage", "pivotchart", "slicer", "dialog", "pane"]
-PIVOT_TERMS = ["field", "measure", "value", "percentage", "pivotchart", "slicer"]
+OPERATION_TERMS, PIVOT_TERMS = rules.OPERATION_TERMS, rules.PIVOT_TERMS
 OPERATION_SCORE = 0.18
 LONG_SECONDS = 45
 CONFIDENCES = ["high", "medium", "low"]
@@ -37,22 +37,26 @@ def calls_made(events: DataFrame, items: DataFrame, batch: int, max_calls: int)
     return by.groupBy("job_id").agg(F.count(F.lit(1)).alias("attempted"), F.count_if("answered").alias("succeeded"))
 
 
-def generated(events: DataFrame, items: DataFrame, batch: int | None = None, max_calls: int | None = None) -> DataFrame:
+def generated(events: DataFrame, items: DataFrame | None, batch: int | None = None, max_calls: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One step per event: the model's item for it where there is one, else the local writer's; blank fields likewise.
 
-    ``events`` as for ``local_steps``; ``items``: job_id, event_id, pos, system, action, expected_output,
-    confidence, of which the last by pos counts. With ``batch`` and ``max_calls`` only those ``called`` for count."""
+    ``events`` as for ``local_steps``; ``items`` (None: no model was asked): job_id, event_id, pos, system, action, expected_output,
+    confidence, of which the last by pos counts. With ``batch`` and ``max_calls`` only those ``called`` for count. ``keep``: the
+    events' columns that go along."""
+    own = local_steps(events, (F.col("system").alias("seen"), *keep))
+    if items is None:
+        seen = F.coalesce(F.nullif(F.col("seen"), F.lit("")), F.lit("Other")).alias("system")
+        return own.select("job_id", "event_id", seen, "action", "expected_output", "confidence", "generation_source", *keep)
     if batch is not None and max_calls is not None:
         items = items.join(called(events, batch, max_calls).drop("call"), ["job_id", "event_id"], "left_semi")
     last = items.groupBy("job_id", "event_id").agg(F.max_by(F.struct("system", "action", "expected_output", "confidence"), "pos").alias("i"))
-    own = local_steps(events).join(events.select("job_id", "event_id", F.col("system").alias("seen")), ["job_id", "event_id"])
     rows = own.join(last, ["job_id", "event_id"], "left")
     sure = F.lower("i.confidence")
     return rows.select(
         "job_id", "event_id", F.coalesce(F.nullif(F.col("i.system"), F.lit("")), F.nullif(F.col("seen"), F.lit("")), F.lit("Other")).alias("system"),
         F.coalesce(said("i.action"), "action").alias("action"), F.coalesce(said("i.expected_output"), "expected_output").alias("expected_output"),
         F.when(F.col("i").isNull(), F.col("confidence")).when(sure.isin(CONFIDENCES), sure).otherwise("medium").alias("confidence"),
-        F.when(F.col("i").isNull(), F.col("generation_source")).otherwise("openai_vision").alias("generation_source"),
+        F.when(F.col("i").isNull(), F.col("generation_source")).otherwise("openai_vision").alias("generation_source"), *keep,
     )
 
 
@@ -62,21 +66,21 @@ def audited(steps: DataFrame) -> DataFrame:
     ``steps``: job_id, step_number, system, action, expected_output, action_hint, boundary_score, ocr_text,
     screen_state_id, start_time, end_time."""
     w = in_order("step_number")
-    generic = generic_review(F.col("action"))
-    signature = word_norm(F.concat_ws(" ", text_of(F.col("system")), text_of(F.col("action")), text_of(F.col("expected_output"))))
-    rows = steps.withColumns({"signature": signature, "is_generic": generic, "low": F.lower(text_of(F.col("ocr_text")))})
+    generic = known(steps, "generic", lambda: generic_review(F.col("action")))
+    rows = steps.withColumns({"signature": signature(steps), "is_generic": generic})
+    shown = known(steps, "operates", lambda: operates(F.lower(text_of(F.col("ocr_text")))), "screen")
     rows = rows.withColumn("run", run_id(F.col("signature") != F.lag("signature").over(w), "step_number"))
     again = F.row_number().over(Window.partitionBy("job_id", "run").orderBy("step_number")) >= 2
     state = F.col("screen_state_id")
     alone = ~state.eqNullSafe(F.lag(state).over(w)) | ~state.eqNullSafe(F.lead(state).over(w))
-    operated = F.coalesce(F.col("action_hint").isin(OPERATION_HINTS), F.lit(False)) | (F.coalesce("boundary_score", F.lit(0.0)) >= OPERATION_SCORE) | contains_any(F.col("low"), OPERATION_TERMS) | contains_any(F.col("low"), PIVOT_TERMS)
+    operated = F.coalesce(F.col("action_hint").isin(OPERATION_HINTS), F.lit(False)) | (F.coalesce("boundary_score", F.lit(0.0)) >= OPERATION_SCORE) | shown
     rows = rows.withColumns({
         "weak_candidate": F.col("is_generic") & again, "apart": F.col("is_generic") & alone, "missing_operation": F.col("is_generic") & F.coalesce(F.col("system") == "Excel", F.lit(False)) & operated,
         "duration": F.round(F.greatest(F.lit(0.0), F.coalesce(F.col("end_time") - F.col("start_time"), F.lit(0.0))), 3),
     })
     rows = rows.withColumn("long_segment", F.col("duration") > LONG_SECONDS)
     rows = rows.withColumn("coverage_review_required", F.col("weak_candidate") | F.col("apart") | F.col("missing_operation") | F.col("long_segment"))
-    return rows.drop("signature", "is_generic", "low", "run", "apart")
+    return rows.drop("signature", "is_generic", "run", "apart")
 
 
 def to_verify(steps: DataFrame, most: int) -> DataFrame:

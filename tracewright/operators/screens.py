@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import contains_any, hash_distance, jaccard, system_of, text_of, tokens
+from tracewright.functions.text import bits_apart, contains_any, hash_bits, jaccard, system_of, text_of, tokens
 from tracewright.functions import rules
 from tracewright.operators.ordered import fold, in_order
 
@@ -48,19 +48,19 @@ def screen_states(screens: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     A row joins the first state of its system whose hash is within 8 bits or whose tokens overlap by more than
     0.72; an Other row without text and with a boundary over 0.02 joins none without text. Leaders don't change."""
-    kind = "struct<states:array<struct<system:string,hash:string,tok:array<string>,blank:boolean>>,out:array<int>>"
+    kind = "struct<states:array<struct<system:string,bits:bigint,tok:array<string>,blank:boolean>>,out:array<int>>"
 
     def step(s, x):
         fit = lambda st: (st["system"] == x["system"]) & ~(st["blank"] & x["blank"] & (x["system"] == "Other") & (x["boundary_score"] > 0.02)) & (
-            (hash_distance(st["hash"], x["hash"]) <= 8) | (jaccard(st["tok"], x["tok"], 0.0) > 0.72))
+            (bits_apart(st["bits"], x["bits"]) <= 8) | (jaccard(st["tok"], x["tok"], 0.0) > 0.72))
         at = F.array_position(F.transform(s["states"], lambda st: F.coalesce(fit(st), F.lit(False))), True).cast("int")
-        new = F.array_append(s["states"], F.struct(x["system"].alias("system"), x["hash"].alias("hash"), x["tok"].alias("tok"), x["blank"].alias("blank")))
+        new = F.array_append(s["states"], F.struct(x["system"].alias("system"), x["bits"].alias("bits"), x["tok"].alias("tok"), x["blank"].alias("blank")))
         number = F.when(at > 0, at).otherwise(F.size(s["states"]) + 1)
         return F.struct(F.when(at > 0, s["states"]).otherwise(new).alias("states"), F.array_append(s["out"], number).alias("out"))
 
-    start = F.struct(F.array().cast("array<struct<system:string,hash:string,tok:array<string>,blank:boolean>>").alias("states"), F.array().cast("array<int>").alias("out")).cast(kind)
-    rows = screens.withColumns({"tok": tokens(F.col("ocr_text")), "blank": F.trim(text_of(F.col("ocr_text"))) == ""})
-    got = fold(rows, ["ord", "system", "hash", "tok", "blank", "boundary_score", *keep], ["ord"], start, step)
+    start = F.struct(F.array().cast("array<struct<system:string,bits:bigint,tok:array<string>,blank:boolean>>").alias("states"), F.array().cast("array<int>").alias("out")).cast(kind)
+    rows = screens.withColumns({"tok": tokens(F.col("ocr_text")), "blank": F.trim(text_of(F.col("ocr_text"))) == "", "bits": hash_bits(F.col("hash"))})
+    got = fold(rows, ["ord", "system", "bits", "tok", "blank", "boundary_score", *keep], ["ord"], start, step)
     both = got.select("job_id", F.explode(F.arrays_zip("rows", F.col("state.out").alias("id"))).alias("x"))
     return both.select("job_id", *[f"x.rows.{c}" for c in dict.fromkeys(["ord", *keep])], F.col("x.id").alias("screen_state_id"))
 

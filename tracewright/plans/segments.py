@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.score import segment_score
 from tracewright.functions.text import clean_lines, hint_of
 from tracewright.operators import boundaries, evidence, screens
-from tracewright.operators.ordered import in_order, run_id
+from tracewright.operators.ordered import each_row, in_order, run_id
 from tracewright.sources import recordings
 
 TELLING = ["filter", "export", "data entry", "post/save"]
@@ -20,15 +23,16 @@ def by_role(role: Column, field: str) -> Column:
     return F.coalesce(*[F.when(role == name, F.col(f"{at}.{field}")) for name, at in ROLES.items()])
 
 
-def initial_segments(frames: DataFrame, most: int = 36, longest: float = 30.0) -> DataFrame:
+def initial_segments(frames: DataFrame, most: int = 36, longest: float = 30.0, starts: DataFrame | None = None) -> DataFrame:
     """job_id, event_id, start_ord, end_ord, start_time, end_time, frame_count, forced, closing (the score of the boundary that
     ends it), and of its stable and entry frame and the frame after it ord, time_sec, hash, ocr_text and structure.
 
     Frames: job_id, ord, time_sec, boundary_score, visual_score, ocr_text, hash, and diff_score and structure where known.
+    ``starts``: their ``boundary_starts`` for ``most``, if these are known already.
     All is windows and aggregates by job; the frames are laid beside their parts once, no self join."""
     known = {c: F.coalesce(F.col(c), F.lit(0.0)) if c in frames.columns else F.lit(0.0) for c in ("diff_score", "structure")}
     frames = frames.select("job_id", "ord", "time_sec", "boundary_score", "visual_score", "ocr_text", "hash", known["diff_score"].alias("change"), known["structure"].alias("structure"))
-    starts = boundaries.boundary_starts(frames, most).select("job_id", F.transform("starts", lambda x: x["ord"]).alias("starts"))
+    starts = (boundaries.boundary_starts(frames, most) if starts is None else starts).select("job_id", F.transform("starts", lambda x: x["ord"]).alias("starts"))
     so_far = in_order().rowsBetween(Window.unboundedPreceding, 0)
     begins = F.coalesce(F.array_contains("starts", F.col("ord")), F.lit(False))
     spans = frames.select("job_id", "ord", "time_sec", "boundary_score").join(starts, "job_id", "left").withColumn("segment", F.sum(begins.cast("int")).over(so_far) + 1)
@@ -50,21 +54,27 @@ def initial_segments(frames: DataFrame, most: int = 36, longest: float = 30.0) -
     return rows.withColumn("rank", rank).where(F.col("rank") <= most).withColumn("event_id", F.row_number().over(w)).drop("rank", "part", "start_score")
 
 
-def with_evidence(segments: DataFrame, most_read: int) -> DataFrame:
+def with_evidence(segments: DataFrame, most_read: int, told: Callable[..., DataFrame] = each_row) -> DataFrame:
     """Segments with what is read of them: ocr_text of the frames that ``evidence.picks`` takes, cleaned, stable, entry and
     after frame in that order, and evidence (role, score, strength, structure, reason) with evidence_ord, the best of them.
 
     A frame is read for one segment only, so the frame after a segment tells of it only if it isn't the next one's stable
-    frame. At most ``most_read`` frames of a job are read."""
+    frame. At most ``most_read`` frames of a job are read. ``told``: how their texts are cleaned, see ``ordered.by_value``."""
     path = lambda at: F.lpad(F.col(f"{at}.ord").cast("string"), 12, "0")
     chosen = segments.select("job_id", F.col("event_id").alias("segment"), *[path(at).alias(name) for name, at in ROLES.items()], F.col("stable.hash").alias("image_hash"), F.col("closing").alias("boundary_score"), "forced")
-    rows = segments.join(evidence.picks(chosen, most_read), "job_id", "left")
+    rows, text_of_role = segments, lambda role: clean_lines(by_role(role, "ocr_text"))
+    if told is not each_row:
+        shown = reduce(DataFrame.unionByName, [segments.select(F.col(f"{at}.ocr_text").alias("text")) for at in ROLES.values()])
+        for at in ROLES.values():
+            rows = told(rows.withColumn("text", F.col(f"{at}.ocr_text")), ["text"], lambda x: x.withColumn("clean", clean_lines(F.col("text"))), shown).withColumnRenamed("clean", f"clean_{at}").drop("text")
+        text_of_role = lambda role: F.coalesce(*[F.when(role == name, F.col(f"clean_{at}")) for name, at in ROLES.items()])
+    rows = rows.join(evidence.picks(chosen, most_read), "job_id", "left")
     mine = F.filter("state", lambda x: x["segment"] == F.col("event_id"))
-    read = F.transform(mine, lambda x, i: F.struct(i.alias("pos"), x["role"].alias("role"), clean_lines(by_role(x["role"], "ocr_text")).alias("text"), by_role(x["role"], "structure").alias("structure")))
+    read = F.transform(mine, lambda x, i: F.struct(i.alias("pos"), x["role"].alias("role"), text_of_role(x["role"]).alias("text"), by_role(x["role"], "structure").alias("structure")))
     rows = rows.withColumn("read", F.coalesce(read, F.array().cast("array<struct<pos:int,role:string,text:string,structure:double>>")))
     text = F.array_join(F.filter(F.col("read.text"), lambda x: x != ""), "\n")
     rows = rows.withColumns({"ocr_text": text, "evidence": evidence.best_role(F.col("read"))})
-    return rows.withColumn("evidence_ord", by_role(F.col("evidence.role"), "ord")).drop("read", "state")
+    return rows.withColumn("evidence_ord", by_role(F.col("evidence.role"), "ord")).drop("read", "state", *[f"clean_{at}" for at in ROLES.values()])
 
 
 def reviewed(segments: DataFrame, decisions: DataFrame, most: int) -> DataFrame:
@@ -87,7 +97,12 @@ def segments_of(frames: DataFrame, most: int = 36, longest: float = 30.0, most_r
     job_id, event_id, ord (of the stable frame), start_time, end_time, frame_count, ocr_text, system, screen_state_id,
     boundary_score, dense_repeated_run. A segment's score weighs the score of the boundary that closes it, change of text
     and system, and whether its text names an action. States are told before systems are smoothed, scrolling is judged after."""
-    rows = with_evidence(initial_segments(frames, most, longest), most_read)
+    return labelled_segments(initial_segments(frames, most, longest), most_read, decisions, most_reviews)
+
+
+def labelled_segments(segments: DataFrame, most_read: int = 30, decisions: DataFrame | None = None, most_reviews: int = 8, told: Callable[..., DataFrame] = each_row) -> DataFrame:
+    """``segments_of`` of segments as ``initial_segments`` gives them. These are read twice, so they should be a table."""
+    rows = with_evidence(segments, most_read, told)
     rows = rows.select("job_id", F.col("stable.ord").alias("ord"), F.col("stable.time_sec").alias("time_sec"), F.col("stable.hash").alias("hash"), "start_time", "end_time", "frame_count", "ocr_text", F.col("closing").alias("visual_score"))
     rows = screens.with_deltas(screens.labelled(rows))
     action = F.when(hint_of(F.col("ocr_text")).isin(TELLING), 1.0).otherwise(0.3)
