@@ -99,7 +99,7 @@ def picks(segments: DataFrame, most: int) -> DataFrame:
         known = F.exists(kept, lambda k: k["path"] == x["path"])
         weak = (x["score"] < 0.02) & ~x["forced"] & F.exists(kept, lambda k: bits_apart(k["bits"], x["bits"]) <= 2)
         entry = F.struct(x["segment"].cast("int").alias("segment"), x["role"].alias("role"), x["path"].alias("path"), x["bits"].alias("bits"))
-        return F.when(known | weak | (F.size(kept) >= most), kept).otherwise(F.array_append(kept, entry))
+        return F.when((F.size(kept) >= most) | known | weak, kept).otherwise(F.array_append(kept, entry))
 
     start = F.array().cast("array<struct<segment:int,role:string,path:string,bits:bigint>>")
     return fold(rows, ["role", "path", "bits", "score", "forced"], ["go", "segment", "i"], start, step)

@@ -204,7 +204,7 @@ def job_counts(clean: DataFrame, told: Told = each_row) -> DataFrame:
         F.count_if((F.col("review") & ~F.col("meaningful")) | action.startswith("review the process state shown")).alias("generic"), F.count_if(F.col("meaningful")).alias("operational"),
         F.count_if(F.col("category") == "contextual_review").alias("contextual"), F.count_if(F.col("category") == "operational_checkpoint").alias("checkpoints"),
         F.count_if(F.col("run_at") == 2).alias("review_runs"), F.coalesce(F.max("event_gap"), F.lit(0)).alias("widest_gap"), F.count_if(F.col("duration") > 45).alias("long"),
-        F.count_if("corrected").alias("corrections"), F.count("phase_error").alias("phase_errors"), F.count_if(F.col("phase").isin(rules.GENERIC_PHASES)).alias("generic_phases"), F.countDistinct("phase").alias("phases"),
+        F.count_if("corrected").alias("corrections"), F.count("phase_error").alias("phase_errors"), F.count_if(F.col("phase").isin(rules.GENERIC_PHASES)).alias("generic_phases"), F.size(F.collect_set("phase")).alias("phases"),
         pivot.alias("pivot"), together(text).alias("evidence"), together(action).alias("acts"),
     )
     return counts.withColumn("missing", F.array_join(F.array_compact(F.array(*missing)), ",")).drop("pivot", "evidence", "acts")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.text import bits_apart, contains_any, hash_bits, jaccard, system_of, text_of, tokens
 from tracewright.functions import rules
-from tracewright.operators.ordered import fold, in_order
+from tracewright.operators.ordered import bound, fold, in_order
 
 
 def labelled(screens: DataFrame) -> DataFrame:
@@ -30,10 +30,11 @@ def text_deltas(screens: DataFrame) -> DataFrame:
 def with_deltas(screens: DataFrame) -> DataFrame:
     """Adds text_delta (1 - token Jaccard to the previous row) and system_delta."""
     w = in_order()
-    before = F.coalesce(F.lag("ocr_text").over(w), F.lit(""))
+    screens = screens.withColumn("__tok", tokens(F.col("ocr_text")))
+    before = F.coalesce(F.lag("__tok").over(w), F.array().cast("array<string>"))
     changed = (F.lag("system").over(w) != "Other") & (F.lag("system").over(w) != F.col("system"))
     rows = screens.withColumns({"before": before, "system_delta": F.coalesce(changed.cast("int"), F.lit(0))})
-    return rows.withColumn("text_delta", F.round(1 - jaccard(tokens(F.col("before")), tokens(F.col("ocr_text")), 1.0), 6)).drop("before")
+    return rows.withColumn("text_delta", F.round(1 - jaccard(F.col("before"), F.col("__tok"), 1.0), 6)).drop("before", "__tok")
 
 
 def repeated_runs(rows: DataFrame, state: str) -> DataFrame:
@@ -53,10 +54,10 @@ def screen_states(screens: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     def step(s, x):
         fit = lambda st: (st["system"] == x["system"]) & ~(st["blank"] & x["blank"] & (x["system"] == "Other") & (x["boundary_score"] > 0.02)) & (
             (bits_apart(st["bits"], x["bits"]) <= 8) | (jaccard(st["tok"], x["tok"], 0.0) > 0.72))
-        at = F.array_position(F.transform(s["states"], lambda st: F.coalesce(fit(st), F.lit(False))), True).cast("int")
+        found = F.array_position(F.transform(s["states"], lambda st: F.coalesce(fit(st), F.lit(False))), True).cast("int")
         new = F.array_append(s["states"], F.struct(x["system"].alias("system"), x["bits"].alias("bits"), x["tok"].alias("tok"), x["blank"].alias("blank")))
-        number = F.when(at > 0, at).otherwise(F.size(s["states"]) + 1)
-        return F.struct(F.when(at > 0, s["states"]).otherwise(new).alias("states"), F.array_append(s["out"], number).alias("out"))
+        number = lambda at: F.when(at > 0, at).otherwise(F.size(s["states"]) + 1)
+        return bound(found, lambda at: F.struct(F.when(at > 0, s["states"]).otherwise(new).alias("states"), F.array_append(s["out"], number(at)).alias("out")))
 
     start = F.struct(F.array().cast("array<struct<system:string,bits:bigint,tok:array<string>,blank:boolean>>").alias("states"), F.array().cast("array<int>").alias("out")).cast(kind)
     rows = screens.withColumns({"tok": tokens(F.col("ocr_text")), "blank": F.trim(text_of(F.col("ocr_text"))) == "", "bits": hash_bits(F.col("hash"))})

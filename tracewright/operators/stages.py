@@ -46,9 +46,13 @@ class StageFailed(RuntimeError):
 
 def content_digest(df: DataFrame) -> str:
     """A digest of the rows of a table, in any order: their number and two sums of 64-bit hashes of whole rows."""
+    return digest_and_number(df)[0]
+
+
+def digest_and_number(df: DataFrame) -> tuple[str, int]:
     row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
     sums = df.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(F.xxhash64(row, F.lit(i)).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")) for i in (1, 2))).first()
-    return hashlib.sha256(repr((sorted(df.dtypes), [str(x) for x in sums])).encode()).hexdigest()
+    return hashlib.sha256(repr((sorted(df.dtypes), [str(x) for x in sums])).encode()).hexdigest(), sums[0]
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -66,7 +70,10 @@ def run(root: str, sources: dict[str, DataFrame], stages: list[Stage]) -> dict[s
     """The tables of all stages, by name, read from ``root`` where they are whole and made there where they aren't."""
     spark = next(iter(sources.values())).sparkSession
     marks = {r["digest"]: r for r in manifest(spark, root).collect()}  # one row for each stage ever made
-    tables, digests = dict(sources), {name: content_digest(df) for name, df in sources.items()}
+    tables, digests = {}, {}
+    for name, df in sources.items():
+        digests[name], n = digest_and_number(df)
+        tables[name] = by_job(df, n)
     done: dict[str, DataFrame] = {}
     for stage in stages:
         digest = hashlib.sha256(repr((stage.name, stage.version, [(x, digests[x]) for x in stage.reads])).encode()).hexdigest()
@@ -75,11 +82,15 @@ def run(root: str, sources: dict[str, DataFrame], stages: list[Stage]) -> dict[s
             attempt, n = (marks[digest]["attempt"], marks[digest]["n"]) if digest in marks else made(spark, root, stage, digest, [tables[x] for x in stage.reads])
         except Exception as error:
             raise StageFailed(stage.name, done) from error
-        table = done[stage.name] = spark.read.parquet(f"{root}/tables/{attempt}")
-        tables[stage.name] = dealt(table, n) if "job_id" in table.columns else table
+        done[stage.name] = spark.read.parquet(f"{root}/tables/{attempt}")
+        tables[stage.name] = by_job(done[stage.name], n)
     return done
 
 
+def by_job(table: DataFrame, n: int) -> DataFrame:
+    return dealt(table, n) if "job_id" in table.columns else table
+
+
 def made(spark: SparkSession, root: str, stage: Stage, digest: str, reads: list[DataFrame]) -> tuple[str, int]:
     attempt = f"{stage.name}-{uuid.uuid4().hex}"
     stage.make(*reads).write.parquet(f"{root}/tables/{attempt}")
